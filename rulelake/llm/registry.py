@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bytebpe, packing, sharding
+from . import bytebpe, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
+    "op3_secrets": secrets.op3_secrets,
+    "op5_quality": quality.op5_quality,
     "op9_byte_bpe": bytebpe.op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_quality": quality.op5_sql()}
