@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bytebpe, packing, quality, secrets, sharding
+from . import bytebpe, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
     "op5_quality": quality.op5_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_byte_bpe": bytebpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op5_quality": quality.op5_sql()}
