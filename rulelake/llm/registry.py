@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, packing, quality, secrets, sharding, toxicity
+from . import bytebpe, ngramjoin, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op5_quality": quality.op5_quality,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_ngram_join": ngramjoin.op8_ngram_join,
     "op9_byte_bpe": bytebpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op5_quality": quality.op5_sql()}
