@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bytebpe, ngramjoin, packing, quality, secrets, sharding, toxicity
+from . import bytebpe, lmscore, ngramjoin, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
     "op5_quality": quality.op5_quality,
+    "op6_lm_score": lmscore.op6_lm_score,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_ngram_join": ngramjoin.op8_ngram_join,
     "op9_byte_bpe": bytebpe.op9_byte_bpe,
