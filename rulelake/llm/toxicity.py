@@ -226,7 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     ones = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     slim = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text"))
-    rows = materialize(slim.join(ones, "_id").select("_id", "_text", "_y"), "toxic-labelled")
+    # always by shuffle: labels grow with the corpus
+    rows = materialize(slim.join(ones.hint("merge"), "_id").select("_id", "_text", "_y"), "toxic-labelled")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
