@@ -15,7 +15,6 @@ arc of h weighs m(h) / (c(h) + m(h)), so probabilities sum to one in every state
 
 from __future__ import annotations
 
-import io
 import math
 from collections.abc import Iterator
 from itertools import chain
@@ -23,12 +22,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_bytes, total_bytes
+from .blocks import expand, read_block, squeeze, write_blocks
+from .common import materialize, text_bytes, total_bytes
 
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -112,28 +110,6 @@ class Block:
         return BackoffAutomaton(len(one), np.log10(p), fail, s, w, arc)
 
 
-def _squeeze(a: np.ndarray) -> bytes:
-    """Bytes of an integer array, planes of equal significance together, compressed."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
-
-
-def _expand(raw: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
-
-
-def _write(batch: pa.RecordBatch) -> bytes:
-    out = io.BytesIO()
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return out.getvalue()
-
-
-def _read(raw: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(raw).read_next_batch()
-
-
 def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, prior: float = PRIOR, weight: float = WEIGHT) -> DataFrame:
     """``<id_col>, in_training, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -146,27 +122,10 @@ def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id",
     _, size = total_bytes(docs, text_col)
     parts = max(4, math.ceil(size / (6 << 20)))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k, held, bytes_ = TaskContext.get().partitionId() << 32, 0, [], 0
-
-        def leave():
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([_write(whole)], pa.binary())], ["block", "data"])
-
-        for whole in batches:
-            for batch in slices(whole, 2, block_bytes):
-                bytes_ += batch.column(2).nbytes
-                held.append(batch)
-                if bytes_ >= block_bytes // 2:
-                    yield leave()
-                    k, held, bytes_ = k + 1, [], 0
-        if held:
-            yield leave()
-
-    texts = materialize(slim.mapInArrow(blocks, "block long, data binary"), "lm-blocks")
+    texts = write_blocks(slim, 2, block_bytes, "lm-blocks")
 
     def load(raw: bytes) -> tuple[pa.RecordBatch, Block]:
-        batch = _read(raw)
+        batch = read_block(raw)
         return batch, Block(batch.column(2).to_pylist(), np.array(batch.column(1).to_pylist(), bool))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,19 +135,19 @@ def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id",
                 for order in (0, 1):
                     at, cuts = b.by_part(order, parts)
                     rows = [(p, at[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1]]
-                    data = [_squeeze(np.diff(b.keys[order][i], prepend=np.uint64(0))) for _, i in rows]
-                    own = [_squeeze(b.own[order][i]) for _, i in rows]
+                    data = [squeeze(np.diff(b.keys[order][i], prepend=np.uint64(0))) for _, i in rows]
+                    own = [squeeze(b.own[order][i]) for _, i in rows]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([order * parts + p for p, _ in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array(data, pa.binary()), pa.array(own, pa.binary())], ["part", "block", "keys", "own"]
                     )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def reply(part, rows):
-            keys = [np.cumsum(_expand(k, np.uint64), dtype=np.uint64) for _, k, _ in rows]
+            keys = [np.cumsum(expand(k, np.uint64), dtype=np.uint64) for _, k, _ in rows]
             u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate([_expand(o, np.uint32) for _, _, o in rows]), minlength=len(u)).astype(np.uint32)
+            total = np.bincount(inverse, weights=np.concatenate([expand(o, np.uint32) for _, _, o in rows]), minlength=len(u)).astype(np.uint32)
             cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            counts = [_squeeze(total[inverse[cuts[i] : cuts[i + 1]]]) for i in range(len(rows))]
+            counts = [squeeze(total[inverse[cuts[i] : cuts[i + 1]]]) for i in range(len(rows))]
             first = [int((total > 0).sum()), int(total.sum(dtype=np.int64))] if part < parts else [0, 0]
             n = len(rows)
             return pa.RecordBatch.from_arrays(
@@ -218,7 +177,7 @@ def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id",
             counts = []
             for order in (0, 1):
                 at, _ = b.by_part(order, parts)
-                flat = [_expand(got[p], np.uint32) for p in sorted(got) if p // parts == order]
+                flat = [expand(got[p], np.uint32) for p in sorted(got) if p // parts == order]
                 c = np.empty(len(at), np.uint32)
                 c[at] = np.concatenate(flat)
                 counts.append(c)

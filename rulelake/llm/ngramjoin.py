@@ -1,11 +1,13 @@
 """Exact Jaccard self-join of word-shingle sets with prefix filters and prefix trees.
 
-1. Each text becomes a set of 64-bit shingle hashes; equal sets are one node.
-2. Shingles have a global order (those known to be frequent last; any order gives the
-   same links). Sets of Jaccard >= t share a shingle among their first
-   n - ceil(t * n) + 1. These prefixes are dealt by shingle in packed arrays; shingles of
-   one node alone fall away, and every other one sends its nodes to the bucket of its
-   least node. Nodes of one group of copies meet in few buckets, each node once in each.
+1. Each text becomes a set of 64-bit shingle hashes; equal sets are one node. Texts are
+   written in blocks; every block asks how many nodes hold each of its shingles.
+2. A set of which under `percent` of the shingles are held by others links with nothing and
+   goes no further. For the rest, shingles have a global order: those of one node alone
+   first, very frequent ones last, by hash between. Sets of Jaccard >= t share a shingle
+   among their first n - ceil(t * n) + 1. These prefixes are dealt by shingle in packed
+   arrays; each shingle sends its nodes to the bucket of its least node. Nodes of one group
+   of copies meet in few buckets, each node once in each.
 3. A bucket's sets are stored in a prefix tree, common shingles first, and every set walks
    it: overlaps are shared along paths, and subtrees are left where what remains of the set
    or of the longest path below cannot reach the overlap that the shortest path needs.
@@ -13,7 +15,9 @@
    row per node (its least linked node), never a row per pair.
 4. Components of these links are found by label propagation on tables.
 
-Shingles and sets are told apart by 64-bit hashes of their content.
+Shingles and sets are told apart by 64-bit hashes of their content. Questions use only as
+many bits of a shingle as keep chance collisions rare; a collision makes a count too high,
+which can send a set further than needed but never loses a link.
 """
 
 from __future__ import annotations
@@ -26,15 +30,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import expand, read_block, squeeze, write_blocks
 from .common import materialize, release, slices, text_bytes, total_bytes
 
 SHINGLE = 5
 PERCENT = 75
-FREQUENT = 1 << 16
+#: Shingles of more nodes than this come last in the order; it moves work, never a link.
+OFTEN = 1000
+#: Most nodes that a bucket's tree holds at once.
 BLOCK = 2048
+BLOCK_BYTES = 5 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -271,68 +279,120 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Names a row by its id and text; equal for exact repeats of a row alone."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("?")), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).cast("string"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, often: int = OFTEN, block: int = BLOCK, with_keys: bool = False) -> DataFrame:
     """``<id_col>, n_shingles, component_id`` for every row.
 
     Rows link when 100 * |intersection| >= percent * |union| of their sets; equal sets always do.
     component_id is the smallest id reachable by links. Texts without words, null texts included,
     have an empty set, link with nothing and are components of their own. Rows with a null id take
     part; their component's id is the smallest that is not null, or null. Repeated ids are rows of
-    their own. An empty table gives an empty result.
+    their own. An empty table gives an empty result. with_keys adds ``row_key`` and ``component``,
+    a long that names the component also where ids are null (null for empty sets).
     """
-    spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t:"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).cast("string")))
-    slim = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), text_bytes(text_col).alias("_text"))
+    slim = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), text_bytes(text_col).alias("_text"))
     _, size = total_bytes(docs, text_col)
     parts = max(8, math.ceil(size / (8 << 20)))
     kind = slim.schema["_id"].dataType.simpleString()
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "_key", "node", "n", "token", "df"]
+    # 1 in 512 shingles or fewer share their bits with another by chance
+    bits = min(63, max(32, math.ceil(math.log2(size / 5 + 1)) + 9))
+    texts = write_blocks(slim, 2, BLOCK_BYTES, "shingle-blocks")
+
+    def load(raw: bytes):
+        """A block's rows, their sets and nodes, and the distinct question keys of its distinct sets with how many hold each."""
+        batch = read_block(raw)
+        sets = shingle_sets(batch.column(2).to_pylist(), shingle)
+        nodes = [node_of(s) for s in sets]
+        once = dict(zip(nodes, sets))
+        keys, counts = np.unique(np.concatenate([*once.values(), np.empty(0, np.uint64)]) >> np.uint64(64 - bits), return_counts=True)
+        part = (keys * np.uint64(parts)) >> np.uint64(bits) if bits + parts.bit_length() < 64 else keys // np.uint64((1 << bits) // parts + 1)
+        return batch, sets, nodes, once, keys, counts, np.concatenate([[0], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2, 16 << 20):
-                sets = shingle_sets(batch.column(2).to_pylist(), shingle)
-                nodes = [node_of(s) for s in sets]
-                n = batch.num_rows
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none], names)
-                once = dict(zip(nodes, sets))
-                tokens, counts = np.unique(np.concatenate(list(once.values())), return_counts=True)
-                often = np.flatnonzero(counts > 2)
-                often = often[np.argsort(-counts[often], kind="stable")[:8192]]
-                k = len(often)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.column(0).type), pa.nulls(k, batch.column(1).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names)
-
-    seen = materialize(slim.mapInArrow(describe, f"_id {kind}, _key string, node long, n long, token long, df long"), "shingle-nodes")
-    # the order's frequent end: at most `frequent` pairs of longs; it moves work, never a link
-    often = seen.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(frequent).collect()
-    tokens = np.array([r.token for r in often], np.int64).view(np.uint64)
-    by_token = np.argsort(tokens)
-    order = spark.sparkContext.broadcast((tokens[by_token], np.array([r.df for r in often], np.int64)[by_token]))
+            for name, raw in zip(whole.column(0).to_pylist(), whole.column(1)):
+                *_, keys, counts, cuts = load(raw.as_py())
+                rows = [(p, slice(cuts[p], cuts[p + 1])) for p in range(parts) if cuts[p] < cuts[p + 1]]
+                data = [squeeze(np.diff(keys[i], prepend=np.uint64(0))) for _, i in rows]
+                own = [squeeze(counts[i].astype(np.uint32)) for _, i in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array(data, pa.binary()), pa.array(own, pa.binary())], ["part", "block", "keys", "own"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def reply(part, rows):
+            keys = [np.cumsum(expand(k, np.uint64), dtype=np.uint64) for _, k, _ in rows]
+            u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(inverse, weights=np.concatenate([expand(o, np.uint32) for _, _, o in rows]), minlength=len(u))
+            total = np.minimum(total, 65535).astype(np.uint16)
+            cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+            data = [squeeze(total[inverse[cuts[i] : cuts[i + 1]]]) for i in range(len(rows))]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(data, pa.binary())], ["block", "part", "data"])
+
+        now, rows = None, []
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now and rows:
+                    yield reply(now, rows)
+                    rows = []
+                now = part
+                rows.append(row)
+        if rows:
+            yield reply(now, rows)
+
+    asked = texts.mapInArrow(ask, "part int, block long, keys binary, own binary").repartition(parts, "part").sortWithinPartitions("part")
+    replies = asked.mapInArrow(answer, "block long, part int, data binary")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def leave(raw, got):
+            batch, sets, nodes, once, keys, _, _ = load(raw)
+            df = np.concatenate([expand(got[p], np.uint16) for p in sorted(got)]) if got else np.empty(0, np.uint16)
+            firsts: dict[int, bytes] = {}
+            for node, s in once.items():
+                d = df[np.searchsorted(keys, s >> np.uint64(64 - bits))]
+                if len(s) and 100 * int((d > 1).sum()) >= percent * len(s):
+                    o = np.argsort(np.where(d == 1, 0, np.where(d <= often, 1, 2)), kind="stable")
+                    firsts[node] = s[o[: prefix_length(len(s), percent)]].tobytes()
+            shown = [firsts.pop(n, None) for n in nodes]  # a node's set once in a block
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(shown, pa.binary()), pa.array([None if f is None else s.tobytes() for f, s in zip(shown, sets)], pa.binary())],
+                ["_id", "_key", "node", "n", "firsts", "shingles"],
+            )
+
+        now, raw, got = None, None, {}
+        for batch in batches:
+            for block, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if block != now:
+                    if raw is not None:
+                        yield leave(raw, got)
+                    now, raw, got = block, None, {}
+                if part < 0:
+                    raw = data.as_py()
+                else:
+                    got[part] = data.as_py()
+        if raw is not None:
+            yield leave(raw, got)
+
+    both = texts.select("block", F.lit(-1).alias("part"), "data").unionByName(replies)
+    met = both.repartition(parts, "block").sortWithinPartitions("block", "part")
+    seen = materialize(met.mapInArrow(describe, f"_id {kind}, _key string, node long, n long, firsts binary, shingles binary"), "shingle-nodes")
+    release(texts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = order.value
         for whole in batches:
-            for batch in slices(whole, 0, 16 << 20):
-                once = {node_of(s): s for s in shingle_sets(batch.column(0).to_pylist(), shingle) if len(s)}
-                firsts, names = [], []
-                for node, s in once.items():
-                    p = prefix_length(len(s), percent)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        df = np.where(known[at] == s, counts[at], 0)
-                        s = s[np.argsort(df, kind="stable")]
-                    firsts.append(s[:p])
-                    names.append(np.full(p, node, np.int64))
-                if not firsts:
-                    continue
-                t, names_ = np.concatenate(firsts), np.concatenate(names)
+            for batch in slices(whole, 1, 16 << 20):
+                firsts = [np.frombuffer(f, np.uint64) for f in batch.column(1).to_pylist()]
+                t = np.concatenate(firsts)
+                names = np.repeat(batch.column(0).to_numpy(), [len(f) for f in firsts])
                 part = ((t >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                 o = np.argsort(part, kind="stable")
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
                 low = (t & np.uint64(0xFFFFFFFF)).astype(np.uint32)[o]
-                names_ = names_[o]
-                rows = [(p, _pack(low[cuts[p] : cuts[p + 1]], names_[cuts[p] : cuts[p + 1]])) for p in range(parts) if cuts[p] < cuts[p + 1]]
+                names = names[o]
+                rows = [(p, _pack(low[cuts[p] : cuts[p + 1]], names[cuts[p] : cuts[p + 1]])) for p in range(parts) if cuts[p] < cuts[p + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "data"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,18 +420,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if blobs:
             yield pairs(blobs)
 
-    packed = slim.select("_text").mapInArrow(prefixes, "part int, data binary").repartition(parts, "part").sortWithinPartitions("part")
+    packed = seen.where("firsts is not null").select("node", "firsts").mapInArrow(prefixes, "part int, data binary").repartition(parts, "part").sortWithinPartitions("part")
     members = materialize(packed.mapInArrow(meet, "bucket long, node long").distinct(), "buckets")
-    nodes = seen.where("node is not null").groupBy("node").agg(F.min("_id").alias("_least"), F.min("_key").alias("_key"), F.max("n").alias("n"))
-    active = nodes.join(members.select("node").distinct(), "node", "left_semi").select("_key")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 0):
-                once = {node_of(s): s for s in shingle_sets(batch.column(0).to_pylist(), shingle)}
-                yield pa.RecordBatch.from_arrays([pa.array(once.keys(), pa.int64()), pa.array([s.tobytes() for s in once.values()], pa.binary())], ["node", "shingles"])
-
-    sets = slim.select("_key", "_text").join(active, "_key", "left_semi").select("_text").mapInArrow(sets_of, "node long, shingles binary")
+    nodes = seen.groupBy("node").agg(F.min("_id").alias("_least"), F.min("_key").alias("_key"), F.max("n").alias("n"))
+    sets = seen.where("shingles is not null").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.select("bucket", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -407,10 +459,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     classes = nodes.join(labels, "node", "left").select("node", "n", "_least", F.coalesce("label", "node").alias("label"))
     named = classes.groupBy("label").agg(F.min("_least").alias("component_id"))
-    by_node = materialize(classes.where("n > 0").join(named, "label").select("node", "component_id"), "node-components")
+    by_node = materialize(classes.where("n > 0").join(named, "label").select("node", "label", "component_id"), "node-components")
     release(members, links, labels)
-    out = seen.where("node is not null").select("_id", "node", "n").join(by_node, "node", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    out = seen.select("_id", "_key", "node", "n").join(by_node, "node", "left")
+    more = [F.col("_key").alias("row_key"), F.col("label").alias("component")] if with_keys else []
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), *more)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of its smallest id, null ids last. Rows without words all stay, once each."""
+    found = near_duplicates(docs, id_col, text_col, with_keys=True)
+    first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("row_key")))["row_key"]
+    linked = found.where("component is not null").groupBy("component").agg(first.alias("_key")).select("_key")
+    keepers = materialize(linked.union(found.where("component is null").select(F.col("row_key").alias("_key"))).distinct(), "keepers")
+    return docs.withColumn("_key", row_key(id_col, text_col)).join(keepers, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
