@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bytebpe, lmscore, ngramjoin, packing, quality, secrets, sharding, toxicity
+import corpus_pipeline
+
+from . import bytebpe, chat, lmscore, ngramjoin, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,5 +15,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_ngram_join": ngramjoin.op8_ngram_join,
     "op9_byte_bpe": bytebpe.op9_byte_bpe,
+    "op10_preferences": chat.op10_preferences,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op5_quality": quality.op5_sql()}
+ORACLES: dict[str, str] = {"op5_quality": quality.op5_sql(), "op10_preferences": chat.OP10_SQL}
