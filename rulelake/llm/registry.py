@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bytebpe, chat, lmscore, ngramjoin, packing, quality, secrets, sharding, toxicity
+from . import audio, bytebpe, chat, lmscore, ngramjoin, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_secrets": secrets.op3_secrets,
+    "op4_chroma": audio.op4_chroma,
     "op5_quality": quality.op5_quality,
     "op6_lm_score": lmscore.op6_lm_score,
     "op7_toxicity": toxicity.op7_toxicity,
