@@ -198,6 +198,8 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, pattern: str = public_
 def decode_documents(encoded: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, ids_col: str = "ids") -> DataFrame:
     """All columns plus ``decoded``, the bytes of the ids (null ids: null)."""
 
+    encoded = encoded.drop("decoded")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks, pattern)
         for whole in batches:

@@ -37,15 +37,16 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     columns but the two arrays. A null array is empty, a null role is ``user`` and a null text empty.
     Equal conversations have empty completions; without a common turn the prompt is empty.
     """
-    rest = [c for c in pairs.columns if c not in (chosen, rejected)]
+    made = ("n_common", "prompt", "chosen_text", "rejected_text", "chosen_mask", "rejected_mask")
+    rest = [c for c in pairs.columns if c not in (chosen, rejected, *made)]
     clean = lambda c: f"transform(coalesce(`{c}`, cast(array() as {TURN})), t -> named_struct('role', coalesce(t.role, 'user'), 'text', coalesce(t.text, '')))"
     df = pairs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(rest)], F.expr(clean(chosen)).alias("_c"), F.expr(clean(rejected)).alias("_r"))
     both = "zip_with(_c, _r, (a, b) -> a is not null and b is not null and a.role = b.role and a.text = b.text)"
     df = df.withColumn("_same", F.expr(both))
     df = df.withColumn("n_common", F.expr("if(size(_same) = 0, 0, if(array_position(_same, false) = 0, size(_same), cast(array_position(_same, false) - 1 as int)))"))
     df = df.withColumns({"_ct": F.expr("slice(_c, n_common + 1, greatest(size(_c) - n_common, 0))"), "_rt": F.expr("slice(_r, n_common + 1, greatest(size(_r) - n_common, 0))")})
-    made = {"prompt": _render("slice(_c, 1, n_common)"), "chosen_text": _render("_ct"), "rejected_text": _render("_rt"), "chosen_mask": _mask("_ct"), "rejected_mask": _mask("_rt")}
-    return df.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(rest)], "n_common", *[F.expr(e).alias(k) for k, e in made.items()])
+    texts = {"prompt": _render("slice(_c, 1, n_common)"), "chosen_text": _render("_ct"), "rejected_text": _render("_rt"), "chosen_mask": _mask("_ct"), "rejected_mask": _mask("_rt")}
+    return df.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(rest)], "n_common", *[F.expr(e).alias(k) for k, e in texts.items()])
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:

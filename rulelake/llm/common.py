@@ -5,6 +5,7 @@ Conventions every operator keeps:
 * a null text is an empty text unless the docstring says otherwise;
 * columns are taken by name (``id_col``, ``text_col``); other columns, whatever
   their names, never reach the operator's internals;
+* an input column of the name of one that the operator adds is replaced by it;
 * repeated rows are separate documents and each gets its own output row.
 """
 

@@ -78,6 +78,7 @@ def with_repeat_words(df: DataFrame, hash_bits: int = 64) -> DataFrame:
 def measures(docs: DataFrame, text_col: str = "text", stop_words=STOP_WORDS, hash_bits: int = 64) -> DataFrame:
     """docs plus the struct column ``quality_measures`` and ``_part``, whose expression depends on the task: a filter on
     the measures is therefore not pushed below them, where it would have to work them out again. A null text has no words and all ratios 0."""
+    docs = docs.drop("quality_measures", "quality_failed", "quality_kept", "_part")
     kept = [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(docs.columns)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(*kept, text.alias("_text"))

@@ -91,6 +91,7 @@ def scan(docs: DataFrame, text_col: str = "text", classes=CLASSES, allowed=ALLOW
     an empty table stays empty; repeated rows are scanned each for itself. Entropy spans may
     overlap named ones: both stay.
     """
+    docs = docs.drop("secrets")
     kept = [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(docs.columns)]
     df = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     every = lambda p, g=0: F.regexp_extract_all("_text", F.lit(p), F.lit(g))

@@ -312,7 +312,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, text_col: str = "text", kee
 
     Only the text's bytes reach the score. Repeated rows score alike; an empty table stays empty.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "toxicity"]
     state = docs.sparkSession.sparkContext.broadcast((scorer.chars, scorer.names, scorer.weights, scorer.bias))
     names = [f"c{i}" for i in range(len(keep))]
 
