@@ -1,4 +1,455 @@
-"""All registered engine queries and their SQL oracles."""
+"""All registered engine queries and their SQL oracles.
+
+Each query applies an operator to whole tables; the tables hold prose, pages, events and a
+star schema, so documents stand in for files, events of a user for a path through a program,
+and the star schema's keys for graph edges.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as fx
+from .operators import conditions as cond
+from .operators import dataflow as flow
+from .operators import matching, tokens
+from .plans.rules import load_rules, rules_frame
+from .sources import files as src
+from .sources import reports
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+RULES = r"""
+rules:
+  - {id: mail.address, message: "address $1", severity: warning, confidence: high, languages: [generic], pattern-regex: '([A-Za-z0-9._]+)@[a-z0-9]+\.[a-z]{2,}'}
+  - {id: license.line, message: license, severity: info, confidence: medium, languages: [generic], pattern-regex: 'Licensed under the ([A-Za-z]+) License'}
+  - {id: secret.assign, message: "secret $1", severity: error, confidence: high, languages: [generic], pattern-regex: '(token|password|key) = "[^"]+"'}
+"""
+MAIL, LICENSE, SECRET = r"([A-Za-z0-9._]+)@[a-z0-9]+\.[a-z]{2,}", r"Licensed under the ([A-Za-z]+) License", r"(token|password|key) = \"[^\"]+\""
+SQL_RULES = rf"""(values ('mail.address', '{MAIL}', 'warning', 1, 'high'), ('license.line', '{LICENSE}', 'info', 0, 'medium'), ('secret.assign', '(token|password|key) = "[^"]+"', 'error', 2, 'high')) r(rule_id, re, severity, ord, confidence)"""
+SQL_FOUND = f"(select doc_id, rule_id, severity, ord, confidence, unnest(regexp_extract_all(text, re)) as matched from documents, {SQL_RULES})"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rule_matches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rules, _ = load_rules(RULES)
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    found = matching.evaluate(docs, rules, "doc_id", "text", None)
+    return matching.findings(found, rules_frame(spark, rules), "doc_id"), docs
+
+
+@query(f"select rule_id, severity, confidence, cast(count(*) as bigint) as n, cast(count(distinct doc_id) as bigint) as docs from {SQL_FOUND} group by all")
+def scan_rules(spark, sf):
+    found, _ = rule_matches(spark, sf)
+    return found.groupBy("rule_id", "severity", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query(f"select doc_id, rule_id, matched, cast(count(*) as bigint) as n from {SQL_FOUND} group by all")
+def regex_scan_rows(spark, sf):
+    found, _ = rule_matches(spark, sf)
+    return found.groupBy("doc_id", "rule_id", "matched").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '{MAIL}')) as bigint) as n from documents")
+def regex_scan_counts(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(MAIL)).cast("long").alias("n"))
+
+
+@query(f"select doc_id, rule_id, severity, cast(count(*) as bigint) as n from {SQL_FOUND} where ord >= 1 and confidence = 'high' group by all")
+def severity_floor(spark, sf):
+    found, _ = rule_matches(spark, sf)
+    return found.where("severity_ord >= 1 and confidence_ord >= 2").groupBy("doc_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select severity, cast(count(*) as bigint) as n, cast(count(*) filter (confidence = 'high') as bigint) as sure, bool_or(severity in ('error', 'critical')) as blocking from {SQL_FOUND} group by 1")
+def severity_summary(spark, sf):
+    found, _ = rule_matches(spark, sf)
+    return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "high").alias("sure"), F.bool_or(F.col("severity").isin("error", "critical")).alias("blocking"))
+
+
+@query(f"select doc_id, rule_id, case when rule_id = 'mail.address' then 'address ' || regexp_extract(matched, '{MAIL}', 1) when rule_id = 'secret.assign' then 'secret ' || regexp_extract(matched, '^([a-z]+)', 1) else 'license' end as message, cast(count(*) as bigint) as n from {SQL_FOUND} group by all")
+def capture_message(spark, sf):
+    found, _ = rule_matches(spark, sf)
+    return found.groupBy("doc_id", "rule_id", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select doc_id, cast(line as bigint) as line, cast(col as bigint) as col from (select doc_id, length(p) - length(replace(p, chr(10), '')) + 1 as line, length(string_split(p, chr(10))[-1]) + 1 as col from
+  (select doc_id, substr(text, 1, strpos(text, 'token') - 1) as p from documents where strpos(text, 'token') > 0))""")
+def line_col_of_match(spark, sf):
+    d = read(spark, sf, "documents").where(F.contains("text", F.lit("token"))).withColumn("at", F.instr("text", "token"))
+    return d.select("doc_id", fx.line_of(F.col("text"), F.col("at")).cast("long").alias("line"), fx.column_of(F.col("text"), F.col("at")).cast("long").alias("col"))
+
+
+TWO = 'rules: [{id: either, message: m, severity: info, languages: [generic], pattern-either: [{pattern-regex: "token = .[0-9a-f]+"}, {pattern-regex: "[a-z]+ = .[0-9a-f]{8,}"}]}]'
+
+
+@query("""select doc_id, matched, cast(count(*) as bigint) as n from (
+  select doc_id, unnest(regexp_extract_all(text, '[a-z]+ = .[0-9a-f]{8,}')) as matched from documents
+  union all select doc_id, matched from (select doc_id, unnest(regexp_extract_all(text, 'token = .[0-9a-f]+')) as matched from documents) where length(matched) < 17) group by all""")
+def either_dedup(spark, sf):
+    rules, _ = load_rules(TWO)
+    found = matching.evaluate(read(spark, sf, "documents").select("doc_id", "text"), rules, "doc_id", "text", None)
+    return found.groupBy("doc_id", "matched").agg(F.count(F.lit(1)).alias("n"))
+
+
+LINES = "(select doc_id, unnest(string_split(text, chr(10))) as line from documents)"
+
+
+def lines(spark, sf):
+    d = read(spark, sf, "documents")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+@query(f"select doc_id, cast(count(*) as bigint) as n from {LINES} where contains(line, 'the ') and not regexp_matches(line, '[0-9]') group by 1")
+def pattern_not(spark, sf):
+    ls = lines(spark, sf)
+    digits = ls.where(F.regexp("line", F.lit("[0-9]"))).select("doc_id", "line_no")
+    return ls.where(F.contains("line", F.lit("the "))).join(digits, ["doc_id", "line_no"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select doc_id, cast(count(*) as bigint) as n from {LINES} where not regexp_matches(ltrim(line, ' '), '^(#|//|/\\*)') and contains(line, '###') group by 1")
+def comment_suppressed_lines(spark, sf):
+    return lines(spark, sf).where(~fx.is_comment(F.col("line")) & F.contains("line", F.lit("###"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id from documents where contains(text, 'Licensed') and regexp_matches(text, '[0-9]') intersect select doc_id from documents where contains(text, 'License')")
+def patterns_all(spark, sf):
+    d = read(spark, sf, "documents")
+    return d.where(F.contains("text", F.lit("Licensed")) & F.regexp("text", F.lit("[0-9]"))).select("doc_id").intersect(d.where(F.contains("text", F.lit("License"))).select("doc_id"))
+
+
+@query(f"select rule_id, doc_id, cast(count(*) as bigint) as n from {SQL_FOUND} group by all")
+def patterns_union(spark, sf):
+    rules, _ = load_rules(RULES)
+    found = matching.evaluate(read(spark, sf, "documents").select("doc_id", "text"), rules, "doc_id", "text", None, combine="union")
+    return found.groupBy("rule_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def token_sequence_match(spark, sf):
+    leaves = [("assign", 0, "simple", "token = $V", ["generic"]), ("call", 1, "simple", "the ... of", ["generic"])]
+    found = tokens.match_leaves(read(spark, sf, "documents"), leaves, "doc_id", "text", None)
+    return found.select("doc_id", "rule_id", "start", "end", "start_line", "start_column")
+
+
+TOKEN_RE = r"[+\-*/%=<>!&|^~?:;,()\[\]{}.]|[^ \t\n\r+\-*/%=<>!&|^~?:;,()\[\]{}.]+"
+
+
+@query(f"select role, cast(sum(len(t)) as bigint) as tokens, cast(sum(len([x for x in t if length(x) = 1 and regexp_matches(x, '[.,]')])) as bigint) as marks from (select role, regexp_extract_all(text, '{TOKEN_RE}') as t from conversations) group by role")
+def token_stream_stats(spark, sf):
+    t = read(spark, sf, "conversations").withColumn("t", F.regexp_extract_all("text", F.lit(TOKEN_RE), F.lit(0)))
+    return t.groupBy("role").agg(F.sum(F.size("t")).alias("tokens"), F.sum(F.size(F.filter("t", lambda x: x.isin(".", ",")))).alias("marks"))
+
+
+@query(f"select conv_id, turn, cast(s as bigint) as stmt, cast(count(*) as bigint) as n from (select conv_id, turn, coalesce(sum(case when tok = '.' then 1 else 0 end) over (partition by conv_id, turn order by i rows between unbounded preceding and 1 preceding), 0) as s from (select conv_id, turn, unnest(t) as tok, unnest(range(len(t))) as i from (select conv_id, turn, regexp_extract_all(text, '{TOKEN_RE}') as t from conversations))) group by all")
+def statement_windows(spark, sf):
+    t = read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_RE), F.lit(0))).alias("i", "tok"))
+    w = Window.partitionBy("conv_id", "turn").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return t.withColumn("stmt", F.coalesce(F.sum(F.when(F.col("tok") == ".", 1).otherwise(0)).over(w), F.lit(0)).cast("long")).groupBy("conv_id", "turn", "stmt").agg(F.count(F.lit(1)).alias("n"))
+
+
+BOUND = """(select doc_id, unnest(regexp_extract_all(text, 'token = "([^"]+)"', 1)) as v from documents)"""
+
+
+def bindings(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit('token = "([^"]+)"'), F.lit(1))).alias("v"))
+    return d.withColumn("bindings", F.create_map(F.lit("$V"), F.col("v")))
+
+
+@query(f"select doc_id, v from {BOUND} where regexp_matches(v, '^[0-9a-f]+$') and regexp_matches(v, 'a')")
+def metavar_regex(spark, sf):
+    return bindings(spark, sf).where(cond.clause_column({"kind": "metavariable-regex", "spec": {"metavariable": "$V", "regex": "^[0-9a-f]+$"}}) & cond.name_condition(cond.bound("$V"), "*a*")).select("doc_id", "v")
+
+
+@query("select event_id from events where case when try_cast(cast(value as varchar) as double) > 50 then true else false end and not contains(event_type, 'err')")
+def metavar_compare(spark, sf):
+    b = read(spark, sf, "events").withColumn("bindings", F.create_map(F.lit("$A"), F.col("value").cast("string"), F.lit("$T"), F.col("event_type")))
+    return b.where(cond.compare(cond.bound("$A"), ">", "50") & ~cond.compare(cond.bound("$T"), "contains", "err")).select("event_id")
+
+
+@query("select event_id from events where cast(event_id as double) % 7 = 3 and length(event_type) > 4")
+def metavar_expression(spark, sf):
+    b = read(spark, sf, "events").withColumn("bindings", F.create_map(F.lit("$N"), F.col("event_id").cast("string"), F.lit("$T"), F.col("event_type")))
+    return b.where(cond.expression("int($N) % 7 == 3 and len($T) > 4")).select("event_id")
+
+
+@query(f"select doc_id, v, round(h, 6) as h from (select doc_id, v, -list_sum([c / strlen(v) * log2(c / strlen(v)) for c in [length(v) - length(replace(v, x, '')) for x in list_distinct(string_split(v, ''))]]) as h from {BOUND}) where h between 2.5 and 5")
+def entropy_filter(spark, sf):
+    h = bindings(spark, sf).withColumn("h", cond.entropy(F.col("v")))
+    return h.where("h between 2.5 and 5").select("doc_id", "v", F.round("h", 6).alias("h"))
+
+
+@query(f"select doc_id, v, regexp_matches(v, '^[\\p{{L}}\\p{{N}}]*$') as alnum, strlen(v) = length(v) as ascii, try_cast(v as double) is not null as number, regexp_matches(v, '^[+-]?[0-9]+$') as whole from {BOUND}")
+def charset_type(spark, sf):
+    v = F.col("v")
+    return bindings(spark, sf).select("doc_id", "v", cond.charset(v, "alphanumeric").alias("alnum"), cond.charset(v, "ascii").alias("ascii"), cond.type_condition(v, ["number"]).alias("number"), cond.type_condition(v, ["integer"]).alias("whole"))
+
+
+@query("select page_id, case when ext in ('html', 'xml') then 'xml' when ext in ('js', 'ts') then 'javascript' when ext = 'py' then 'python' when ext = 'php' then 'php' end as language from (select page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) as ext from pages)")
+def language_dim_join(spark, sf):
+    dim = src.languages(spark).where(F.col("ext").isin("xml", "js", "ts", "py", "php")).union(spark.createDataFrame([("html", "xml")], "ext string, language string"))
+    return read(spark, sf, "pages").select("page_id", fx.extension(F.col("url")).alias("ext")).join(F.broadcast(dim), "ext", "left").select("page_id", "language")
+
+
+@query("select page_id, url from pages where (starts_with(url, 'http') and ends_with(url, '1') or contains(url, '2')) and not contains(url, '33')")
+def include_exclude_glob(spark, sf):
+    return read(spark, sf, "pages").where(fx.included(F.col("url"), ["http*1", "2"], ["33"])).select("page_id", "url")
+
+
+@query("select page_id, cast(i - 1 as int) as ordinal, m[i] as snippet from (select page_id, m, unnest(range(1, len(m) + 1)) as i from (select page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1) as m from pages))")
+def embedded_snippets(spark, sf):
+    return src.embedded(read(spark, sf, "pages"), '<a href="([^"]*)">', 1, "html").select("page_id", "ordinal", "snippet")
+
+
+@query("select page_id, tag from (select distinct page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) as tag from pages) o where not exists (select 1 from (select distinct page_id, unnest(regexp_extract_all(html, '</([a-z][a-z0-9]*)', 1)) as tag from pages) c where c.page_id = o.page_id and c.tag = o.tag)")
+def tag_open_close_anti(spark, sf):
+    tag = lambda p: read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(p), F.lit(1))).alias("tag")).distinct()
+    return tag("<([a-z][a-z0-9]*)").join(tag("</([a-z][a-z0-9]*)"), ["page_id", "tag"], "left_anti")
+
+
+def spans(spark, sf):
+    """Intervals of orders: a line item is a span of its quantity, placed by its line number."""
+    li = read(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("file_id"), F.lit("r").alias("rule_id"), F.col("l_linenumber").cast("long").alias("no"), (F.col("l_linenumber") * 10).cast("long").alias("start"), (F.col("l_linenumber") * 10 + F.col("l_quantity")).cast("long").alias("end"))
+
+
+SQL_SPANS = "(select l_orderkey as file_id, cast(l_linenumber as bigint) as no, cast(l_linenumber * 10 as bigint) as s, cast(l_linenumber * 10 + l_quantity as bigint) as e from lineitem)"
+
+
+@query(f"select file_id, no from {SQL_SPANS} a where not exists (select 1 from {SQL_SPANS} b where b.file_id = a.file_id and a.s <= b.s and b.e <= a.e and (a.s < b.s or b.e < a.e))")
+def child_first(spark, sf):
+    return matching.innermost(spans(spark, sf), ["file_id"]).select("file_id", "no")
+
+
+@query(f"select file_id, no from {SQL_SPANS} a where exists (select 1 from {SQL_SPANS} b where b.file_id = a.file_id and b.e - b.s > 40 and b.s <= a.s and a.e <= b.e)")
+def inside(spark, sf):
+    s = spans(spark, sf)
+    return matching.contained(s, s.where(F.col("end") - F.col("start") > 40), "file_id").select("file_id", "no")
+
+
+@query(f"select file_id, no from {SQL_SPANS} a where not exists (select 1 from {SQL_SPANS} b where b.file_id = a.file_id and b.e - b.s > 40 and b.s <= a.s and a.e <= b.e)")
+def not_inside(spark, sf):
+    s = spans(spark, sf)
+    return matching.contained(s, s.where(F.col("end") - F.col("start") > 40), "file_id", wanted=False).select("file_id", "no")
+
+
+@query()
+def smallest_span(spark, sf):
+    return matching.smallest_spans(spans(spark, sf), ["file_id", "rule_id"]).select("file_id", "no", "start", "end")
+
+
+RANKED = "(select user_id, event_id, event_type, value, row_number() over (partition by user_id order by ts, event_id) as i from events)"
+
+
+def ranked(spark, sf):
+    return read(spark, sf, "events").select("user_id", "event_id", "event_type", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("i"))
+
+
+@query(f"select a.event_id from {RANKED} a where a.event_type = 'purchase' and not exists (select 1 from {RANKED} b where b.user_id = a.user_id and b.event_type = 'view' and a.i - b.i between 1 and 3)")
+def guard_within_n(spark, sf):
+    r = ranked(spark, sf)
+    v = r.where("event_type = 'view'").select(F.col("user_id").alias("u"), F.col("i").alias("k"))
+    return r.where("event_type = 'purchase'").join(v, (F.col("user_id") == F.col("u")) & (F.col("i") - F.col("k")).between(1, 3), "left_anti").select("event_id")
+
+
+@query(f"select event_id, max(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by i rows between 2 preceding and current row) as near_error from {RANKED}")
+def lookback_flag(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("i").rowsBetween(-2, 0)
+    return ranked(spark, sf).select("event_id", F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w).alias("near_error"))
+
+
+@query(f"select event_id from (select event_id, event_type, lead(event_type, 1) over w as b, lead(event_type, 2) over w as c from {RANKED} window w as (partition by user_id order by i)) where event_type = 'click' and b = 'view' and c = 'purchase'")
+def sibling_sequence(spark, sf):
+    return matching.consecutive(ranked(spark, sf), ["user_id"], ["i"], "event_type", ["click", "view", "purchase"]).select("event_id")
+
+
+@query("select conv_id, turn from (select conv_id, turn, role, lead(role) over (partition by conv_id order by turn) as nxt from conversations) where role = 'user' and nxt = 'assistant'")
+def turn_sequence(spark, sf):
+    return matching.consecutive(read(spark, sf, "conversations"), ["conv_id"], ["turn"], "role", ["user", "assistant"]).select("conv_id", "turn")
+
+
+def star_edges(spark, sf):
+    """region -> nation -> supplier and customer, as one id space."""
+    t = lambda n: read(spark, sf, n)
+    a = t("nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
+    b = t("supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"))
+    c = t("customer").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+    return a.union(b).union(c)
+
+
+SQL_EDGES = "e as (select 'r' || n_regionkey as src, 'n' || n_nationkey as dst from nation union all select 'n' || s_nationkey, 's' || s_suppkey from supplier union all select 'n' || c_nationkey, 'c' || c_custkey from customer)"
+
+
+@query(f"with recursive {SQL_EDGES}, w(start, node, hops) as (select 'r' || r_regionkey, 'r' || r_regionkey, 0 from region union select w.start, e.dst, w.hops + 1 from w join e on w.node = e.src) select start, node, min(hops) as hops from w group by all")
+def graph_reachability(spark, sf):
+    starts = read(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    return flow.reachable(star_edges(spark, sf), starts)
+
+
+@query(f"with {SQL_EDGES} select a.src as start, b.dst as target, a.src || '>' || a.dst || '>' || b.dst as path from e a join e b on a.dst = b.src where starts_with(b.dst, 's')")
+def simple_paths(spark, sf):
+    starts = read(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    targets = read(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    p = flow.simple_paths(star_edges(spark, sf), starts, targets, 3)
+    return p.select(F.element_at("path", 1).alias("start"), F.col("node").alias("target"), F.array_join("path", ">").alias("path"))
+
+
+@query(f"with {SQL_EDGES} select dst as node, n_name as value from e join nation on src = 'n' || n_nationkey union all select 'n' || n_nationkey, n_name from nation")
+def constant_propagation(spark, sf):
+    known = read(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.col("n_name").alias("value"))
+    return flow.propagate_constants(star_edges(spark, sf), known)
+
+
+def event_graph(spark, sf):
+    r = ranked(spark, sf).withColumn("nxt", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("i")))
+    edges = r.where("nxt is not null").select(F.col("event_id").alias("src"), F.col("nxt").alias("dst"))
+    sources = r.where("event_type = 'signup'").select(F.col("event_id").alias("node"), F.lit("XSS").alias("vulnerability_type"), F.lit(0.9).alias("confidence"))
+    clean = r.where("event_type = 'view'").select(F.col("event_id").alias("node"), F.lit(0.2).alias("effectiveness"), F.array(F.lit("XSS")).alias("vulnerability_types"))
+    sinks = r.where("event_type in ('purchase', 'error')").select(F.col("event_id").alias("node"), F.lit("XSS").alias("vulnerability_type"))
+    return edges, sources, clean, sinks
+
+
+TAINT_STEPS = 4
+SQL_TAINT = f"""with recursive r as {RANKED}, t(source, node, u, i, conf, n) as (
+  select event_id, event_id, user_id, i, 0.9::double, 1 from r where event_type = 'signup'
+  union all select t.source, r.event_id, t.u, r.i, t.conf * case when r.event_type = 'view' then 1 - 0.2::double else 1 end, t.n + 1 from t join r on r.user_id = t.u and r.i = t.i + 1 where t.n <= {TAINT_STEPS})"""
+
+
+@query(SQL_TAINT + " select source, node, round(conf, 6) as confidence, n as length from t")
+def taint_propagation(spark, sf):
+    edges, sources, clean, _ = event_graph(spark, sf)
+    t = flow.taint(edges, sources, clean, rounds=TAINT_STEPS)
+    return t.select("source", "node", F.round("confidence", 6).alias("confidence"), F.size("path").alias("length"))
+
+
+@query(SQL_TAINT + """, k as (select t.source, t.node, t.conf, (select count(*) from r v where v.user_id = t.u and v.event_type = 'view' and v.i between t.i - t.n + 1 and t.i) as views from t join r on r.event_id = t.node where r.event_type in ('purchase', 'error') and t.n > 1 and t.conf > 0.5)
+select source, node as sink, round(conf * pow(0.8, views), 6) as confidence, true as vulnerable from k where conf * pow(0.8, views) > 0.5""")
+def taint_flows(spark, sf):
+    edges, sources, clean, sinks = event_graph(spark, sf)
+    f = flow.flows(flow.taint(edges, sources, clean, rounds=TAINT_STEPS), sinks, clean)
+    return f.select("source", "sink", F.round("confidence", 6).alias("confidence"), "vulnerable")
+
+
+@query("select event_id, case when event_type = 'view' then 'Sanitized' when event_type = 'error' then 'Unknown' else 'Cross-Site Scripting' end as category, case when event_type = 'view' then 'Info' when value > 50 then 'High' else 'Low' end as severity from events")
+def flow_severity(spark, sf):
+    f = read(spark, sf, "events").select("event_id", "event_type", "value", F.when(F.col("event_type") == "error", "OTHER").otherwise("XSS").alias("vulnerability_type"), (F.col("event_type") != "view").alias("vulnerable"))
+    s = flow.flow_severity(F.lit("High"), F.when(F.col("value") > 50, "High").otherwise("Low"), F.col("vulnerable"))
+    return flow.describe_flows(f.withColumn("level", s), spark).select("event_id", "category", F.col("level").alias("severity"))
+
+
+@query("select event_type, cast(count(*) as bigint) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean, min(value) as low, max(value) as high, median(value) as middle from events group by 1")
+def duration_stats(spark, sf):
+    return read(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.median("value").alias("middle"))
+
+
+@query("select user_id, cast(count(*) filter (event_type = 'error') as bigint) as errors, cast(count(*) filter (event_type = 'view') as bigint) as views, coalesce(cast(count(*) filter (event_type = 'error') as double) / nullif(count(*), 0), 0) as rate, max_by(event_type, event_id) as last_type from events group by 1")
+def rule_stats(spark, sf):
+    e = read(spark, sf, "events")
+    return e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") == "view").alias("views"), (F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))).alias("rate"), F.max_by("event_type", "event_id").alias("last_type"))
+
+
+@query("select user_id, round(0.9::double * list_reduce(list_prepend(1.0::double, list(1 - value / 1000 order by event_id)), lambda a, b: a * b), 6) as confidence from events where event_type = 'view' group by 1")
+def sanitizer_decay(spark, sf):
+    v = read(spark, sf, "events").where("event_type = 'view'").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", (F.col("value") / 1000).alias("e")))).alias("l"))
+    return v.select("user_id", F.round(fx.remaining(F.lit(0.9), F.col("l.e")), 6).alias("confidence"))
+
+
+@query("select event_id, cast(floor(90 * (1 - least(0.05::double * (event_id % 9), 0.3::double))) as int) as confidence from events")
+def enhanced_confidence(spark, sf):
+    return read(spark, sf, "events").select("event_id", flow.enhanced_step(F.lit(90), F.col("event_id") % 9).alias("confidence"))
+
+
+@query("select p_partkey, p_name, p_retailprice from part order by p_retailprice desc, p_partkey limit 20")
+def marketplace_topk(spark, sf):
+    return read(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20).select("p_partkey", "p_name", "p_retailprice")
+
+
+@query("select p_brand, round(avg(p_size) filter (p_size between 0 and 30), 6) as rating, cast(count(*) as bigint) as n from part group by 1")
+def rating_avg(spark, sf):
+    return read(spark, sf, "part").groupBy("p_brand").agg(F.round(F.avg(F.when(F.col("p_size").between(0, 30), F.col("p_size"))), 6).alias("rating"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select tag, cast(count(*) as bigint) as n, min(p_partkey) as first_part from (select p_partkey, unnest(string_split(p_type, ' ')) as tag from part) group by 1")
+def tag_index(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", F.explode(F.split("p_type", " ")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_part"))
+
+
+@query("select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey limit 50 offset 100")
+def job_pagination(spark, sf):
+    return read(spark, sf, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(100).limit(50).select("o_orderkey", "o_orderdate")
+
+
+@query("select o_orderkey from orders where o_orderdate >= timestamp '1996-01-01'")
+def retention_cutoff(spark, sf):
+    return read(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")).select("o_orderkey")
+
+
+@query("select p_brand, p_type, cast(count(*) as bigint) as n, cast(grouping(p_brand) as int) as all_brands from part group by cube (p_brand, p_type)")
+def grouping_sets(spark, sf):
+    return read(spark, sf, "part").cube("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.grouping("p_brand").cast("int").alias("all_brands"))
+
+
+@query("select conv_id, turn, cast(i - 1 as int) as position, a[i] as argument, 'p' || (i - 1) as parameter from (select conv_id, turn, a, unnest(range(1, least(len(a), 3) + 1)) as i from (select conv_id, turn, string_split(text, ' ') as a from conversations) where len(a) >= 3)")
+def call_param_zip(spark, sf):
+    c = read(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a")).where(F.size("a") >= 3)
+    pairs = F.arrays_zip(F.slice("a", 1, 3).alias("argument"), F.array(F.lit("p0"), F.lit("p1"), F.lit("p2")).alias("parameter"))
+    return c.select("conv_id", "turn", F.posexplode(pairs).alias("position", "p")).select("conv_id", "turn", "position", "p.argument", "p.parameter")
+
+
+@query("select doc_id, case when ends_with(s, ';') then s else s || ';' end as sql from (select doc_id, trim(regexp_replace(regexp_replace(left(text, 2000000), '\\$\\{[^}]+\\}', 'T0', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) as s from documents where not contains(text, '#{'))")
+def normalize_sql(spark, sf):
+    return read(spark, sf, "documents").where(~F.contains("text", F.lit("#{"))).select("doc_id", fx.normalize_sql(F.col("text")).alias("sql"))
+
+
+@query("select o_orderkey, case when o_orderpriority like '1%' then 'error' when o_orderpriority like '2%' then 'warning' when o_orderpriority like '3%' then 'info' else 'warning' end as severity from orders")
+def severity_alias(spark, sf):
+    p = F.left("o_orderpriority", F.lit(1))
+    word = F.when(p == "1", "HIGH").when(p == "2", "MEDIUM").when(p == "3", "LOW").otherwise("OTHER")
+    return read(spark, sf, "orders").select("o_orderkey", fx.severity_alias(word).alias("severity"))
+
+
+@query("select v, case when regexp_matches(v, '^-?[0-9]+$') then 'integer' when v in ('true', 'false') then 'boolean' else 'none' end as kind from (select distinct cast(l_linenumber as varchar) as v from lineitem union select distinct l_returnflag from lineitem)")
+def literal_folding(spark, sf):
+    li = read(spark, sf, "lineitem")
+    v = li.select(F.col("l_linenumber").cast("string").alias("v")).union(li.select("l_returnflag")).distinct()
+    return v.select("v", fx.literal_kind(F.col("v")).alias("kind"))
+
+
+@query(f"select doc_id, rule_id, min(matched) as first_match from {SQL_FOUND} group by all")
+def first_match(spark, sf):
+    found, _ = rule_matches(spark, sf)
+    return found.groupBy("doc_id", "rule_id").agg(F.min("matched").alias("first_match"))
+
+
+@query()
+def sarif_json(spark, sf):
+    found, _ = rule_matches(spark, sf)
+    return reports.sarif_results(found.withColumn("path", F.concat(F.lit("documents/"), "doc_id")))
+
+
+@query("select c_custkey as use_id, n_name as node_id from customer join nation on c_nationkey = n_nationkey")
+def scope_resolution(spark, sf):
+    """Customers use a name; it is defined in their nation's scope, and again further out in the region's."""
+    n = read(spark, sf, "nation")
+    scopes = n.select(F.concat(F.lit("n"), "n_nationkey").alias("scope_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id")).union(n.select(F.concat(F.lit("r"), "n_regionkey"), F.lit(None).cast("string")).distinct())
+    symbols = n.select(F.concat(F.lit("n"), "n_nationkey").alias("scope_id"), F.lit("x").alias("name"), F.col("n_name").alias("node_id")).union(n.select(F.concat(F.lit("r"), "n_regionkey"), F.lit("x"), F.lit("region")).distinct())
+    uses = read(spark, sf, "customer").select(F.col("c_custkey").alias("use_id"), F.concat(F.lit("n"), "c_nationkey").alias("scope_id"), F.lit("x").alias("name"))
+    return flow.resolve_scopes(uses, scopes, symbols).select("use_id", "node_id")
 
-QUERIES: dict = {}
-ORACLES: dict = {}

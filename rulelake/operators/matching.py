@@ -91,19 +91,13 @@ def innermost(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def smallest_spans(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy choice of non-overlapping spans, shortest first, then leftmost; one file and rule is one group."""
-    names = [f.name for f in matches.schema.fields]
-
-    def run(pdf):
-        taken: list[tuple[int, int]] = []
-        keep = []
-        for i, r in pdf.assign(_n=pdf.end - pdf.start).sort_values(["_n", "start"], kind="stable").iterrows():
-            if all(r.end <= a or r.start >= b for a, b in taken):
-                taken.append((r.start, r.end))
-                keep.append(i)
-        return pdf.loc[sorted(keep), names]
-
-    return matches.groupBy(*keys).applyInPandas(run, matches.schema)
+    """Greedy choice of non-overlapping spans, shortest first, then leftmost; the matches of one file and rule are one group."""
+    rest = [c for c in matches.columns if c not in keys]
+    row = F.struct((F.col("end") - F.col("start")).alias("_n"), F.col("start").alias("_s"), F.struct(*rest).alias("_r"))
+    kind = f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in matches.schema.fields if f.name in rest)}>>"
+    pick = f"aggregate(_all, cast(array() as {kind}), (a, x) -> if(exists(a, y -> x._r.start < y.end and y.start < x._r.end), a, concat(a, array(x._r))))"
+    one = matches.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_all"))
+    return one.select(*keys, F.explode(F.expr(pick)).alias("_x")).select(*keys, "_x.*").select(*matches.columns)
 
 
 def consecutive(df: DataFrame, partition: list[str], order: list[str], column: str, values: list[str]) -> DataFrame:
