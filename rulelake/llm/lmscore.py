@@ -135,7 +135,8 @@ def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id",
                 for order in (0, 1):
                     at, cuts = b.by_part(order, parts)
                     rows = [(p, at[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1]]
-                    data = [squeeze(np.diff(b.keys[order][i], prepend=np.uint64(0))) for _, i in rows]
+                    # keys of a part leave the same remainder, so the quotients name them
+                    data = [squeeze(np.diff(b.keys[order][i] // np.uint64(parts), prepend=np.uint64(0))) for _, i in rows]
                     own = [squeeze(b.own[order][i]) for _, i in rows]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([order * parts + p for p, _ in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array(data, pa.binary()), pa.array(own, pa.binary())], ["part", "block", "keys", "own"]
@@ -208,7 +209,8 @@ def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id",
             yield leave(raw, got)
 
     both = texts.select("block", F.lit(-1).alias("part"), "data").unionByName(replies.select("block", "part", "data"))
-    met = both.repartition(max(4, math.ceil(size / (2 * block_bytes))), "block").sortWithinPartitions("block", "part")
+    # more tasks than blocks, so that few blocks meet in one by chance
+    met = both.repartition(max(4, math.ceil(3 * size / block_bytes)), "block").sortWithinPartitions("block", "part")
     out = met.mapInArrow(walk, f"_id {kind}, in_training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("_id", id_col)
 
