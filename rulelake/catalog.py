@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as fx
 from .operators import conditions as cond
 from .operators import dataflow as flow
-from .operators import matching, tokens
+from .operators import matching, nodes, tokens
 from .plans.rules import load_rules, rules_frame
 from .sources import files as src
 from .sources import reports
@@ -453,3 +453,76 @@ def scope_resolution(spark, sf):
     uses = read(spark, sf, "customer").select(F.col("c_custkey").alias("use_id"), F.concat(F.lit("n"), "c_nationkey").alias("scope_id"), F.lit("x").alias("name"))
     return flow.resolve_scopes(uses, scopes, symbols).select("use_id", "node_id")
 
+
+
+@query("select doc_id, lang, source from (select doc_id, lang, source, row_number() over (partition by lang, source order by doc_id) as n from documents) where n = 1")
+def finding_dedup(spark, sf):
+    return nodes.dedup(read(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang", "source"], ["doc_id"])
+
+
+@query("select event_id from events where event_type = 'error' and user_id in (select user_id from events where event_type = 'signup')")
+def source_sink_semi(spark, sf):
+    e = read(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return nodes.sinks_with_source(e.where("event_type = 'error'"), e.where("event_type = 'signup'"), ["user_id"]).select("event_id")
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'O' and o_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
+def baseline_anti(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return nodes.new_findings(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"), ["o_custkey"]).select("o_orderkey")
+
+
+@query("select doc_id, rule_id, matched from " + SQL_FOUND + " order by doc_id, rule_id, matched limit 15")
+def max_findings(spark, sf):
+    found, _ = rule_matches(spark, sf)
+    return nodes.first_findings(found.select("doc_id", "rule_id", "matched"), 15, ["doc_id", "rule_id", "matched"])
+
+
+@query("select doc_id, cast(n + 1 as int) as start_line from (select doc_id, unnest(l) as line, unnest(range(len(l))) as n from (select doc_id, string_split(text, chr(10)) as l from documents)) where regexp_matches(line, 'token\\s+=\\s+\\S+') and not regexp_matches(ltrim(line, ' '), '^(#|//|/\\*)') and not regexp_matches(line, '(#|//).*token\\s+=')")
+def line_pattern(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("source"))
+    return nodes.line_matches(d, "token = $VALUE").select(F.col("file_id").alias("doc_id"), "start_line")
+
+
+@query("select page_id, contains(html, 'innerHTML') or contains(html, 'outerHTML') or contains(html, 'insertAdjacentHTML') as js_sink, contains(html, 'location.search') or contains(html, 'location.hash') or contains(html, 'document.referrer') as js_source, case when contains(html, '??') then '7.0+' when contains(html, '::class') then '5.5+' else '5.0+' end as php_version from pages")
+def web_features(spark, sf):
+    return nodes.web_features(read(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "js_sink", "js_source", "php_version")
+
+
+@query("with recursive " + SQL_EDGES + ", w(node, source, confidence, length) as (select 'r' || r_regionkey, 'r' || r_regionkey, 90, 1 from region union all select e.dst, w.source, cast(floor(w.confidence * (1 - least(0.05::double * w.length, 0.3::double))) as int), w.length + 1 from w join e on w.node = e.src) select node, source, confidence, length from w where confidence > 30")
+def enhanced_taint(spark, sf):
+    starts = read(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(90).alias("confidence"))
+    return flow.enhanced_taint(star_edges(spark, sf), starts)
+
+
+@query("with recursive " + SQL_EDGES + ", w(f, s, c) as (select 'r' || r_regionkey, 'r' || r_regionkey, 0.8::double from region union all select e.dst, w.s, w.c * 0.9::double from w join e on w.f = e.src) select f as function, s as source, round(c, 6) as confidence from w")
+def interprocedural_taint(spark, sf):
+    starts = read(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("function"), F.concat(F.lit("r"), "r_regionkey").alias("source"), F.lit(0.8).alias("confidence"))
+    calls = star_edges(spark, sf).toDF("caller", "callee")
+    return flow.interprocedural(calls, starts).select("function", "source", F.round("confidence", 6).alias("confidence"))
+
+
+@query("with " + SQL_EDGES + " select 'r' || r_regionkey as function, 'r' || r_regionkey as path from region union all select e.dst, e.src || '>' || e.dst from e where starts_with(e.src, 'r') union all select b.dst, a.src || '>' || a.dst || '>' || b.dst from e a join e b on a.dst = b.src")
+def shortest_call_path(spark, sf):
+    starts = read(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("function"))
+    return flow.shortest_call_path(star_edges(spark, sf).toDF("caller", "callee"), starts).select("function", F.array_join("path", ">").alias("path"))
+
+
+@query("select user_id, round(cast(count(*) filter (value > 50) as double) / count(*), 6) as hit_rate, round(max(value), 4) as peak from events group by 1")
+def cache_hit_rate(spark, sf):
+    return read(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("hit_rate"), F.round(F.max("value"), 4).alias("peak"))
+
+
+@query("select p_name, cast(count(*) as bigint) as n from part group by 1 having count(*) > 1")
+def duplicate_rule_ids(spark, sf):
+    return read(spark, sf, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("select event_type, cast(count(distinct user_id) as bigint) as users, cast(percentile_disc(0.5) within group (order by value) * 100 as bigint) as mid from events group by 1")
+def distinct_and_percentile(spark, sf):
+    return read(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), (F.expr("percentile_disc(0.5) within group (order by value)") * 100).cast("long").alias("mid"))
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, cast(count(*) as bigint) as n from events group by all")
+def windowed_counts(spark, sf):
+    return read(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import fixpoint, saved
+from ..plans.storage import fixpoint
 
 #: Built-in sources (node type, name, kind, confidence), first match wins.
 SOURCES = [
@@ -151,5 +151,39 @@ def describe_flows(flow: DataFrame, spark: SparkSession) -> DataFrame:
     return out.withColumn("category", F.when(~F.col("vulnerable"), "Sanitized").otherwise(F.coalesce("vulnerability", F.lit("Unknown"))))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    return saved(df, "graph")
+def enhanced_taint(edges: DataFrame, sources: DataFrame, rounds: int = 50, least: int = 30) -> DataFrame:
+    """(node, source, confidence 0 to 100) over edges of all kinds; a hop lowers the confidence by the path's length, in integers."""
+    start = sources.select("node", F.col("node").alias("source"), F.col("confidence").cast("int").alias("confidence"), F.lit(1).alias("length"))
+
+    def step(f: DataFrame) -> DataFrame:
+        moved = f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), "source", enhanced_step(F.col("confidence"), F.col("length")).alias("confidence"), (F.col("length") + 1).alias("length"))
+        return moved.where(F.col("confidence") > least).groupBy("node", "source").agg(F.max("confidence").alias("confidence"), F.min("length").alias("length"))
+
+    return fixpoint(start, step, ["node", "source"], rounds)
+
+
+def interprocedural(calls: DataFrame, taints: DataFrame, rounds: int = 100) -> DataFrame:
+    """(function, source, confidence): taints carried from callers to callees, times 0.9 a call; calls(caller, callee)."""
+    start = taints.select("function", "source", F.col("confidence").cast("double").alias("confidence"))
+
+    def step(f: DataFrame) -> DataFrame:
+        moved = f.join(calls, f["function"] == calls["caller"]).select(F.col("callee").alias("function"), "source", (F.col("confidence") * 0.9).alias("confidence"))
+        return moved.groupBy("function", "source").agg(F.max("confidence").alias("confidence"))
+
+    return fixpoint(start, step, ["function", "source"], rounds)
+
+
+def shortest_call_path(calls: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
+    """(function, path) of a shortest chain of calls from any start function; of equals the least path."""
+    first = start.select("function", F.array("function").alias("path"))
+
+    def step(f: DataFrame) -> DataFrame:
+        moved = f.join(calls, f["function"] == calls["caller"]).select(F.col("callee").alias("function"), F.concat("path", F.array("callee")).alias("path"))
+        return moved.groupBy("function").agg(F.min("path").alias("path"))
+
+    return fixpoint(first, step, ["function"], rounds)
+
+
+def branches(taints: DataFrame) -> DataFrame:
+    """Each taint once for either branch of a condition."""
+    return taints.withColumn("branch", F.explode(F.array(F.lit(True), F.lit(False))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rulelake.functions import text as fx
 from rulelake.operators import conditions as cond
-from rulelake.operators import dataflow, matching, merging, syntax
+from rulelake.operators import dataflow, matching, merging, nodes, syntax
 from rulelake.operators.tokens import TokenPattern, line_col, line_starts, tokenize
 from rulelake.plans.rules import complexity, load_rules, rules_frame, validate
 from rulelake.sources import files as src
@@ -206,3 +206,24 @@ def test_streams(spark, tmp_path):
         q = feeds.incremental(stream, lambda d: d.select(F.regexp_count("source", F.lit("ab")).alias("n")), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination(120)
     assert [r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+
+
+def test_node_patterns(spark):
+    files = spark.createDataFrame([(1, "python", "import os\nx = os.system(cmd)\nif x:\n    eval('1')\n# eval(a)\ny = 5  # eval(b)\n")], "file_id long, language string, source string")
+    tree = syntax.parse(files)
+    texts = lambda df: {r.text for r in df.collect()}
+    assert texts(nodes.search(tree, "@call_expression eval")) == {"eval('1')"}
+    assert texts(nodes.search(tree, "(@literal | @import_statement) $X")) == {"'1'", "5", "import os"}
+    assert nodes.search(tree, "@literal $X").first().bindings.keys() == {"$X"}
+    assert texts(nodes.child_first(nodes.search(tree, "eval"))) == {"eval"}
+    with pytest.raises(ValueError):
+        nodes.compile_node_pattern("( a")
+    assert [nodes.classify(p) for p in ("'a'", "12", "import os", "$F($A)", "a.b(c)", "f(x)", "$X", "a.b", "name", "a + b")] == ["string", "number", "import", "meta_call", "method_call", "call", "metavariable", "member", "identifier", "generic"]
+    find = lambda p: texts(tree.where(nodes.classified_column(p)))
+    assert find("os.system(...)") == {"os.system(cmd)"} and find("$O.system(x)") == {"os.system(cmd)"} and find("import os") == {"import os"} and find("5") == {"5"}
+    assert find("$F($A)") == {"os.system(cmd)", "eval('1')"}
+    assert [r.start_line for r in nodes.line_matches(files, "eval($X)").collect()] == [4]
+    todo, old = nodes.cached(files.withColumn("path", F.lit("p")), files.select(F.xxhash64(F.lit("v1"), F.lit("p"), "source").alias("cache_key"), F.lit("f").alias("finding")), "v1")
+    assert todo.count() == 0 and old.count() == 1
+    features = nodes.web_features(spark.createDataFrame([("Laravel $_GET ?? x",)], "source string")).first()
+    assert (features.framework, features.tainted_input, features.php_version, features.js_sink) == ("Laravel", True, "7.0+", False)
