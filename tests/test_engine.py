@@ -227,3 +227,27 @@ def test_node_patterns(spark):
     assert todo.count() == 0 and old.count() == 1
     features = nodes.web_features(spark.createDataFrame([("Laravel $_GET ?? x",)], "source string")).first()
     assert (features.framework, features.tainted_input, features.php_version, features.js_sink) == ("Laravel", True, "7.0+", False)
+
+
+def test_extensions(spark):
+    from rulelake.plans import extensions as ext
+
+    good, _ = load_rules(RULES)
+    more = ext.Extensions(validators=[lambda r: "no fix" if r.fix is None else None])
+    more.conditions["short"] = lambda v: F.char_length(v) < 3
+    df = spark.createDataFrame([("ab",), ("abc",), (None,)], "v string")
+    assert [r[0] for r in df.select(more.condition("short", F.col("v"))).collect()] == [True, False, False]
+    assert df.select(more.condition("nothing", F.col("v"))).first()[0] is False
+    assert more.validate(good[0]) == [] and more.validate(good[1]) == ["no fix"]
+    cat = dataflow.catalog(spark, dataflow.SANITIZERS[:2], "node_type string, name string, kind string, effectiveness double, vulnerability_types array<string>")
+    assert [r.catalog_ord for r in ext.extended(cat, [("call_expression", "mine", "Own", 1.0, ["XSS"])]).orderBy("catalog_ord").collect()] == [0, 1, 2]
+    assert ext.option(good[0], "sql_statement_boundary") and not ext.option(good[0], "sql_statement_boundary", "off")
+    calls = []
+    assert ext.recovered(lambda: calls.append(1) or 1 / 0, retries=2, fallback=lambda: "f") == "f" and len(calls) == 3
+    times: dict = {}
+    with ext.timed(times, "x"):
+        pass
+    assert len(times["x"]) == 1
+    seen, o = ext.observed(spark.createDataFrame([("error",), ("info",)], "severity string"))
+    seen.collect()
+    assert o.get["total"] == 2 and o.get["error"] == 1
