@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rules import PatternNode, Rule, leaves
+from ..plans.storage import saved
 from .conditions import clause_column
 from .tokens import match_leaves
 
@@ -18,7 +19,10 @@ def evaluate(files: DataFrame, rules: list[Rule], id_col: str = "file_id", text_
     """Matches of whole rules: leaves in one pass over the files, then joins on (file, rule).
 
     combine "all" keeps matches of the first positive entry that overlap a match of every other
-    one; "union" keeps all entries' matches and ignores negative ones. Nothing is collected.
+    one; "union" keeps all entries' matches and ignores negative ones. Rules of single patterns,
+    or of alternatives of them, are one filter over that pass and so also run on streams; where
+    there are others, the pass's matches (never texts) are written once to the shared folder and
+    the joins read them from there. Nothing is collected.
     """
     flat, at = [], {}
     for r in rules:
@@ -26,10 +30,23 @@ def evaluate(files: DataFrame, rules: list[Rule], id_col: str = "file_id", text_
             at[id(leaf)] = len(flat)
             flat.append((r.id, len(flat), "simple" if leaf.kind == "simple" else "regex", leaf.text, r.languages))
     found = match_leaves(files, flat, id_col, text_col, language_col)
-    parts = [_rule(found, r, at, id_col, combine, inside_mode) for r in rules if r.enabled and r.pattern]
+    active = [r for r in rules if r.enabled and r.pattern]
+    plain = [r for r in active if _plain(r.pattern)]
+    if len(plain) < len(active):
+        found = saved(found, "matches")
+    numbers = [at[id(leaf)] for r in plain for leaf in leaves(r.pattern)]
+    parts = [found.where(F.col("pattern_no").isin(numbers)).dropDuplicates([id_col, "rule_id", *SPAN])] if plain else []
+    parts += [_rule(found, r, at, id_col, combine, inside_mode) for r in active if not _plain(r.pattern)]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _plain(node: PatternNode) -> bool:
+    """A positive leaf, or alternatives of leaves, without conditions."""
+    if node.text is not None:
+        return node.kind in ("simple", "regex") and not node.conditions
+    return node.kind == "either" and not node.conditions and all(p.text is not None and _plain(p) for p in node.parts)
+
+
 def _rule(found: DataFrame, rule: Rule, at: dict[int, int], id_col: str, combine: str, inside_mode: str) -> DataFrame:
     out = _node(found, rule.pattern, at, id_col, combine, inside_mode)
     for c in rule.pattern.conditions:
