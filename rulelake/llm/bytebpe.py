@@ -26,7 +26,7 @@ from .common import slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space as the vocabulary's pattern counts it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class TreeCodec:
