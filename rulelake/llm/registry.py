@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import audio, bytebpe, chat, lmscore, ngramjoin, packing, quality, secrets, sharding, toxicity
+from . import audio, bytebpe, chat, lmscore, ngramjoin, oracles, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -19,4 +19,4 @@ QUERIES = {
     "op10_preferences": chat.op10_preferences,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op5_quality": quality.op5_sql(), "op10_preferences": chat.OP10_SQL}
+ORACLES: dict[str, str] = {"op3_secrets": oracles.op3_sql(), "op5_quality": quality.op5_sql(), "op8_ngram_join": oracles.OP8_SQL, "op10_preferences": chat.OP10_SQL}

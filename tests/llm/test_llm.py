@@ -364,3 +364,14 @@ def test_digest_columns(spark, sf_dir):
     for r in sharding.op1_sharding(spark, sf_dir).collect():
         raw = texts[r.doc_id].encode()
         assert (r.size, r.text_crc32, r.law) == (len(raw) + 1, zlib.crc32(raw), "bytes")
+
+
+@pytest.mark.parametrize("name", ["op3_secrets", "op8_ngram_join"])
+def test_queries_against_sql(spark, sf_dir, name):
+    from rulelake.llm import registry
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = con.sql(registry.ORACLES[name]).df().sort_values("doc_id").reset_index(drop=True)
+    got = registry.QUERIES[name](spark, sf_dir).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert (got[want.columns] == want).all().all()
