@@ -93,7 +93,7 @@ class ChunkEncoder:
     BLANK = regex.compile(r"\s")
     LONGEST = 40
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -201,7 +201,7 @@ class ChunkEncoder:
         if len(self.place) > self.most:
             for c in missing[max(0, self.most - known) :]:
                 del self.place[c]
-        if len(self.words) > self.most:
+        if len(self.words) > self.most // 2:
             self.words.clear()
         return ids, bounds
 
