@@ -35,7 +35,7 @@ class TreeCodec:
     LEAF = 8
     DECODE_LEAF = 1024
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 300_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
@@ -97,7 +97,7 @@ class TreeCodec:
         """Encoding of two tokens' joint bytes."""
         found = self.seams.get((a, b))
         if found is None:
-            if len(self.seams) >= self.most:
+            if len(self.seams) >= self.most // 2:
                 self.seams.clear()
             found = self.seams[a, b] = self.merge(self.tokens[a] + self.tokens[b])
         return found
@@ -127,7 +127,7 @@ class TreeCodec:
         if len(piece) <= self.LEAF:
             found = self.leaves.get(piece)
             if found is None:
-                if len(self.leaves) >= self.most:
+                if len(self.leaves) >= self.most // 2:
                     self.leaves.clear()
                 found = self.leaves[piece] = self.merge(piece)
             return found
