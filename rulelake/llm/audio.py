@@ -142,20 +142,15 @@ def search(prints: DataFrame, is_query, id_col: str, least: int = 3, most_error:
     classes = named.groupBy("_class").agg(F.first("fp").alias("fp"), F.count_if("_q").alias("nq"), F.min(F.when(F.col("_q"), F.col("_id"))).alias("q"))
     kind = named.schema["_id"].dataType.simpleString()
 
-    def packed(df: DataFrame, prefix: str) -> DataFrame:
-        cols = df.columns
+    n, nq = classes.agg(F.count(F.lit(1)), F.count_if(F.col("nq") > 0)).first()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(0, batch.num_rows, chunk):
-                    part = batch.slice(k, chunk)
-                    yield pa.RecordBatch.from_arrays([pa.array([c.to_pylist()], c_type) for c, c_type in zip(part.columns, [pa.list_(c.type) for c in part.columns])], [prefix + c for c in cols])
+    def packed(df: DataFrame, prefix: str, rows: int) -> DataFrame:
+        """Rows of about `chunk` of df's, as arrays; their number follows the data, not its partitions."""
+        one = df.groupBy(F.pmod(F.xxhash64("_class"), F.lit(max(1, math.ceil(rows / chunk)))).alias("_chunk")).agg(F.collect_list(F.struct(*df.columns)).alias("_l"))
+        return one.select(*[F.col(f"_l.{c}").alias(prefix + c) for c in df.columns])
 
-        fields = ", ".join(f"{prefix}{f.name} array<{f.dataType.simpleString()}>" for f in df.schema.fields)
-        return df.mapInArrow(run, fields)
-
-    recs = packed(classes.select("_class", "fp"), "r_")
-    queries = packed(classes.where("nq > 0").select("q", "nq", "fp"), "q_")
+    recs = packed(classes.select("_class", "fp"), "r_", n)
+    queries = packed(classes.where("nq > 0").select("_class", "q", "nq", "fp"), "q_", nq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +171,7 @@ def search(prints: DataFrame, is_query, id_col: str, least: int = 3, most_error:
                 types = [pa.int64(), pa.int64(), batch.column(2).type.value_type, pa.int64(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_class", "n", "q", "offset", "shared", "error"])
 
-    met = recs.crossJoin(queries).select("r__class", "r_fp", "q_q", "q_nq", "q_fp").repartition(64)
+    met = recs.crossJoin(queries).select("r__class", "r_fp", "q_q", "q_nq", "q_fp").repartition(max(8, min(10_000, math.ceil(n / chunk) * math.ceil(nq / chunk))))
     found = met.mapInArrow(run, f"_class long, n long, q {kind}, offset long, shared long, error double")
     best = found.groupBy("_class").agg(F.sum("n").alias("n"), F.min(F.struct("error", "q", "offset", "shared")).alias("b"))
     out = named.join(materialize(best, "print-matches"), "_class", "left")
