@@ -326,6 +326,7 @@ def event_graph(spark, sf):
     return edges, sources, clean, sinks
 
 
+#: Of the SQL only: the queries have no step limit, and their rows of up to so many hops are the rows of the SQL.
 TAINT_STEPS = 4
 SQL_TAINT = f"""with recursive r as {RANKED}, t(source, node, u, i, conf, n) as (
   select event_id, event_id, user_id, i, 0.9::double, 1 from r where event_type = 'signup'
@@ -335,7 +336,7 @@ SQL_TAINT = f"""with recursive r as {RANKED}, t(source, node, u, i, conf, n) as
 @query(SQL_TAINT + " select source, node, round(conf, 6) as confidence, n as length from t")
 def taint_propagation(spark, sf):
     edges, sources, clean, _ = event_graph(spark, sf)
-    t = flow.taint(edges, sources, clean, rounds=TAINT_STEPS)
+    t = flow.taint(edges, sources, clean)
     return t.select("source", "node", F.round("confidence", 6).alias("confidence"), F.size("path").alias("length"))
 
 
@@ -343,7 +344,7 @@ def taint_propagation(spark, sf):
 select source, node as sink, round(conf * pow(0.8, views), 6) as confidence, true as vulnerable from k where conf * pow(0.8, views) > 0.5""")
 def taint_flows(spark, sf):
     edges, sources, clean, sinks = event_graph(spark, sf)
-    f = flow.flows(flow.taint(edges, sources, clean, rounds=TAINT_STEPS), sinks, clean)
+    f = flow.flows(flow.taint(edges, sources, clean), sinks, clean)
     return f.select("source", "sink", F.round("confidence", 6).alias("confidence"), "vulnerable")
 
 

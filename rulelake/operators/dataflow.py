@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import fixpoint
+from ..plans.storage import fixpoint, saved
 
 #: Built-in sources (node type, name, kind, confidence), first match wins.
 SOURCES = [
@@ -78,24 +78,26 @@ def simple_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most:
     return out
 
 
-def taint(edges: DataFrame, sources: DataFrame, sanitizers: DataFrame, rounds: int = 1000) -> DataFrame:
+def taint(edges: DataFrame, sources: DataFrame, sanitizers: DataFrame) -> DataFrame:
     """One taint per (node, source): the shortest path; of these the surest, then the least path.
 
     edges(src, dst); sources(node, source_type, vulnerability_type, confidence); sanitizers(node,
     effectiveness, vulnerability_types). Entering a sanitizer that protects the source's
     vulnerability multiplies the confidence by 1 - effectiveness; under 0.1 the taint ends.
     """
-    clean = sanitizers.select(F.col("node").alias("_s"), "effectiveness", "vulnerability_types")
+    clean = sanitizers.groupBy(F.col("node").alias("dst")).agg(F.collect_list(F.struct("effectiveness", "vulnerability_types")).alias("clean"))
+    edges = saved(edges.select("src", "dst").join(clean, "dst", "left"), "edges")
     start = sources.select("node", F.col("node").alias("source"), "vulnerability_type", F.col("confidence").cast("double").alias("confidence"), F.array("node").alias("path"))
 
     def step(f: DataFrame) -> DataFrame:
-        moved = f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), "source", "vulnerability_type", "confidence", F.concat("path", F.array("dst")).alias("path"))
-        hit = moved.join(clean, (F.col("node") == F.col("_s")) & F.array_contains("vulnerability_types", F.col("vulnerability_type")), "left")
-        kept = hit.withColumn("confidence", F.col("confidence") * (1 - F.coalesce("effectiveness", F.lit(0.0)))).where("confidence >= 0.1")
+        # of several sanitizers of a node the weakest counts, as the surest taint is kept
+        least = F.array_min(F.transform(F.filter("clean", lambda c: F.array_contains(c["vulnerability_types"], F.col("vulnerability_type"))), lambda c: c["effectiveness"]))
+        moved = f.join(edges, f["node"] == edges["src"]).withColumn("confidence", F.col("confidence") * (1 - F.coalesce(least, F.lit(0.0)))).where("confidence >= 0.1")
+        moved = moved.select(F.col("dst").alias("node"), "source", "vulnerability_type", "confidence", F.concat("path", F.array("dst")).alias("path"))
         best = F.min_by(F.struct("confidence", "path", "vulnerability_type"), F.struct(F.size("path"), -F.col("confidence"), F.col("path"))).alias("b")
-        return kept.groupBy("node", "source").agg(best).select("node", "source", "b.vulnerability_type", "b.confidence", "b.path")
+        return moved.groupBy("node", "source").agg(best).select("node", "source", "b.vulnerability_type", "b.confidence", "b.path")
 
-    return fixpoint(start, step, ["node", "source"], rounds)
+    return fixpoint(start, step, ["node", "source"])
 
 
 def flows(taints: DataFrame, sinks: DataFrame, sanitizers: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,20 +19,31 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, name: str) -> str:
     path = f"{shared_folder(df.sparkSession)}/rulelake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+
+
+#: Fixed value: so many steps' tables are read side by side before they are written as one.
+PARTS = 16
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], rounds: int) -> DataFrame:
-    """All rows reached from start by step; a row is new if its keys have not been seen. At most `rounds` steps."""
-    reached = saved(start, "reached")
-    frontier = reached
-    for _ in range(rounds):
-        new = saved(step(frontier).join(reached.select(*keys), keys, "left_anti"), "frontier")
-        if new.isEmpty():
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], rounds: int | None = None) -> DataFrame:
+    """All rows reached from start by step; a row is new if its keys have not been seen. At most `rounds` steps, or until no row is new."""
+    read = lambda *paths: start.sparkSession.read.schema(start.schema).parquet(*paths)
+    parts = [_written(start, "reached")]
+    frontier = read(*parts)
+    for _ in itertools.count() if rounds is None else range(rounds):
+        new = _written(step(frontier).select(*start.columns).join(read(*parts).select(*keys), keys, "left_anti").select(*start.columns), "frontier")
+        frontier = read(new)
+        if frontier.isEmpty():
             break
-        reached = saved(reached.unionByName(new), "reached")
-        frontier = new
-    return reached
+        parts.append(new)
+        if len(parts) > PARTS:
+            parts = [_written(read(*parts), "reached")]
+    return read(*parts)
