@@ -416,7 +416,8 @@ def call_param_zip(spark, sf):
 
 @query("select doc_id, case when ends_with(s, ';') then s else s || ';' end as sql from (select doc_id, trim(regexp_replace(regexp_replace(left(text, 2000000), '\\$\\{[^}]+\\}', 'T0', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) as s from documents where not contains(text, '#{'))")
 def normalize_sql(spark, sf):
-    return read(spark, sf, "documents").where(~F.contains("text", F.lit("#{"))).select("doc_id", fx.normalize_sql(F.col("text")).alias("sql"))
+    """Every document; a null text stays null. The SQL leaves out texts with #{ and null ones, and cuts at two million characters."""
+    return read(spark, sf, "documents").select("doc_id", fx.normalize_sql(F.col("text")).alias("sql"))
 
 
 @query("select o_orderkey, case when o_orderpriority like '1%' then 'error' when o_orderpriority like '2%' then 'warning' when o_orderpriority like '3%' then 'info' else 'warning' end as severity from orders")
