@@ -307,7 +307,7 @@ def graph_reachability(spark, sf):
 def simple_paths(spark, sf):
     starts = read(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
     targets = read(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
-    p = flow.simple_paths(star_edges(spark, sf), starts, targets, 3)
+    p = flow.simple_paths(star_edges(spark, sf), starts, targets)
     return p.select(F.element_at("path", 1).alias("start"), F.col("node").alias("target"), F.array_join("path", ">").alias("path"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,21 +62,23 @@ def build_edges(nodes: DataFrame) -> DataFrame:
     return control.union(assign).union(call).union(ret)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node, hops): every node reached from each start, itself included, with the fewest hops."""
     first = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct()
     step = lambda f: f.join(edges, f["node"] == edges["src"]).select("start", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
-    return fixpoint(first, step, ["start", "node"], rounds)
+    return fixpoint(first, step, ["start", "node"])
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most: int = 8) -> DataFrame:
-    """All paths without repeated nodes from starts to targets, of at most `most` edges."""
+def simple_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
+    """All paths without repeated nodes from starts to targets, of at most `most` edges (default: of any length)."""
     paths = starts.select("node", F.array("node").alias("path"))
     out = None
-    for _ in range(most):
-        paths = paths.join(edges, paths["node"] == edges["src"]).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+    for _ in itertools.count() if most is None else range(most):
+        paths = saved(paths.join(edges, paths["node"] == edges["src"]).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")), "paths")
         hit = paths.join(targets.select("node"), "node", "left_semi")
         out = hit if out is None else out.unionByName(hit)
+        if paths.isEmpty():
+            break
     return out
 
 
@@ -117,19 +121,19 @@ def enhanced_step(confidence: Column, length: Column) -> Column:
     return F.floor(confidence * (1 - F.least(0.05 * length, F.lit(0.3)))).cast("int")
 
 
-def resolve_scopes(uses: DataFrame, scopes: DataFrame, symbols: DataFrame, rounds: int = 50) -> DataFrame:
+def resolve_scopes(uses: DataFrame, scopes: DataFrame, symbols: DataFrame) -> DataFrame:
     """uses(use_id, scope_id, name) with the symbol of the innermost enclosing scope that defines the name (null: none)."""
-    chain = fixpoint(scopes.select("scope_id", F.col("scope_id").alias("at"), F.lit(0).alias("d")), lambda f: f.join(scopes.select(F.col("scope_id").alias("at"), "parent_id"), "at").where("parent_id is not null").select("scope_id", F.col("parent_id").alias("at"), (F.col("d") + 1).alias("d")), ["scope_id", "at"], rounds)
+    chain = fixpoint(scopes.select("scope_id", F.col("scope_id").alias("at"), F.lit(0).alias("d")), lambda f: f.join(scopes.select(F.col("scope_id").alias("at"), "parent_id"), "at").where("parent_id is not null").select("scope_id", F.col("parent_id").alias("at"), (F.col("d") + 1).alias("d")), ["scope_id", "at"])
     hit = uses.join(chain, "scope_id").join(symbols.select(F.col("scope_id").alias("at"), "name", "node_id"), ["at", "name"]).groupBy("use_id").agg(F.min_by("node_id", "d").alias("node_id"))
     return uses.join(hit, "use_id", "left")
 
 
-def propagate_constants(edges: DataFrame, known: DataFrame, rounds: int = 100) -> DataFrame:
+def propagate_constants(edges: DataFrame, known: DataFrame) -> DataFrame:
     """(node, value) along edges from nodes of known value; the nearest definition wins, then the least value."""
     def step(f: DataFrame) -> DataFrame:
         return f.join(edges, f["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("value").alias("value"))
 
-    return fixpoint(known.select("node", "value"), step, ["node"], rounds)
+    return fixpoint(known.select("node", "value"), step, ["node"])
 
 
 def zip_arguments(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def describe_flows(flow: DataFrame, spark: SparkSession) -> DataFrame:
     return out.withColumn("category", F.when(~F.col("vulnerable"), "Sanitized").otherwise(F.coalesce("vulnerability", F.lit("Unknown"))))
 
 
-def enhanced_taint(edges: DataFrame, sources: DataFrame, rounds: int = 50, least: int = 30) -> DataFrame:
+def enhanced_taint(edges: DataFrame, sources: DataFrame, least: int = 30) -> DataFrame:
     """(node, source, confidence 0 to 100) over edges of all kinds; a hop lowers the confidence by the path's length, in integers."""
     start = sources.select("node", F.col("node").alias("source"), F.col("confidence").cast("int").alias("confidence"), F.lit(1).alias("length"))
 
@@ -161,10 +165,10 @@ def enhanced_taint(edges: DataFrame, sources: DataFrame, rounds: int = 50, least
         moved = f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), "source", enhanced_step(F.col("confidence"), F.col("length")).alias("confidence"), (F.col("length") + 1).alias("length"))
         return moved.where(F.col("confidence") > least).groupBy("node", "source").agg(F.max("confidence").alias("confidence"), F.min("length").alias("length"))
 
-    return fixpoint(start, step, ["node", "source"], rounds)
+    return fixpoint(start, step, ["node", "source"])
 
 
-def interprocedural(calls: DataFrame, taints: DataFrame, rounds: int = 100) -> DataFrame:
+def interprocedural(calls: DataFrame, taints: DataFrame) -> DataFrame:
     """(function, source, confidence): taints carried from callers to callees, times 0.9 a call; calls(caller, callee)."""
     start = taints.select("function", "source", F.col("confidence").cast("double").alias("confidence"))
 
@@ -172,10 +176,10 @@ def interprocedural(calls: DataFrame, taints: DataFrame, rounds: int = 100) -> D
         moved = f.join(calls, f["function"] == calls["caller"]).select(F.col("callee").alias("function"), "source", (F.col("confidence") * 0.9).alias("confidence"))
         return moved.groupBy("function", "source").agg(F.max("confidence").alias("confidence"))
 
-    return fixpoint(start, step, ["function", "source"], rounds)
+    return fixpoint(start, step, ["function", "source"])
 
 
-def shortest_call_path(calls: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
+def shortest_call_path(calls: DataFrame, start: DataFrame) -> DataFrame:
     """(function, path) of a shortest chain of calls from any start function; of equals the least path."""
     first = start.select("function", F.array("function").alias("path"))
 
@@ -183,7 +187,7 @@ def shortest_call_path(calls: DataFrame, start: DataFrame, rounds: int = 100) ->
         moved = f.join(calls, f["function"] == calls["caller"]).select(F.col("callee").alias("function"), F.concat("path", F.array("callee")).alias("path"))
         return moved.groupBy("function").agg(F.min("path").alias("path"))
 
-    return fixpoint(first, step, ["function"], rounds)
+    return fixpoint(first, step, ["function"])
 
 
 def branches(taints: DataFrame) -> DataFrame:

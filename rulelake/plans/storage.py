@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,13 +33,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 PARTS = 16
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], rounds: int | None = None) -> DataFrame:
-    """All rows reached from start by step; a row is new if its keys have not been seen. At most `rounds` steps, or until no row is new."""
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """All rows reached from start by step; a row is new if its keys have not been seen. Ends when no row is new."""
     read = lambda *paths: start.sparkSession.read.schema(start.schema).parquet(*paths)
     parts = [_written(start, "reached")]
     frontier = read(*parts)
-    for _ in itertools.count() if rounds is None else range(rounds):
-        new = _written(step(frontier).select(*start.columns).join(read(*parts).select(*keys), keys, "left_anti").select(*start.columns), "frontier")
+    while True:
+        seen = read(*parts).select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
+        # null-safe: a row with a null key that goes round a cycle would be new for ever
+        new = _written(step(frontier).select(*start.columns).join(seen, [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in keys], "left_anti"), "frontier")
         frontier = read(new)
         if frontier.isEmpty():
             break
