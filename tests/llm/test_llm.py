@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,24 @@ def test_packing(docs, nothing, real):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_chunk_encoder_equals_the_library():
+    rng = np.random.default_rng(3)
+    enc = packing.ChunkEncoder(packing.TOKENIZER, most=300)
+    for signs in ("ȺȾabcdeABCDEÀÉßÿĀİıɏɐ 0123²½'’.,;<|>_-\t\n\x0b\x1c\x7f\x85\xa0\xad日本\u0301µªº𝔘🙂ΣςǅŉſK", "the and ing ed 's don't we'll ɏ "):
+        texts = ["".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(0, 60))) for _ in range(1500)]
+        texts += ["a" * 500 + " " + "b." * 300, "<|endoftext|> x<|startoftext|>", ""]
+        for part in (texts[:700], texts[700:]):
+            ids, bounds = enc.encode(pa.array(part))
+            assert len(enc.chunks.place) <= 300
+            for i, t in enumerate(part):
+                assert ids[bounds[i] : bounds[i + 1]].tolist() == enc.library.encode(t, add_special_tokens=False).ids
+
+
+def test_binary_parts():
+    row, length = packing.binary_parts(np.array([1, 5, 16, 35]), 16)
+    assert list(zip(row, length)) == [(0, 1), (1, 4), (1, 1), (2, 16), (3, 16), (3, 16), (3, 2), (3, 1)]
+
+
 def entropy_spans(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
