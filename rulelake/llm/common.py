@@ -16,7 +16,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +97,19 @@ def total_bytes(df: DataFrame, column: str) -> tuple[int, int]:
     """Rows and bytes of a text or binary column, by one aggregation."""
     r = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0))).first()
     return int(r[0]), int(r[1])
+
+
+def numbered_words(texts: pa.Array, lower: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, number of each word in a row, words of each text); lower: A-Z are lower-cased first."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    at, sizes = coded.indices.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    if "" in distinct:  # blanks at the ends of a text split off empty words
+        e = distinct.index("")
+        del distinct[e]
+        keep = at != e
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+        at = at[keep]
+        at -= at > e
+    return distinct, at, sizes

@@ -1,23 +1,26 @@
-"""Scoring by a weighted backoff automaton over a bigram model of all training texts.
+"""Scoring by a weighted backoff automaton over a trigram model of all training texts.
 
 The model grows with the corpus, so it is never in one place. Texts are written once in
-blocks of a few MB. Each block sends its distinct n-gram keys with its training counts to
-the keys' partitions and gets the corpus counts of exactly those keys back, in the order it
-sent them. From these it builds the part of the global automaton that its texts can reach:
-a state for every word (and for the start of a text), an arc for every bigram seen in
-training, a failure arc from each state to the root, and the root's arcs for words. One
+blocks of a few MB. Each block asks for the corpus counts of exactly its own n-grams
+(blocks.ask, blocks.answer) and builds from them the part of the global automaton that its
+texts can reach: a state for every word, for every bigram seen in training and for the start of
+a text; an arc for every bigram and trigram seen in training; a failure arc from each bigram's
+state to its last word's, from each word's state to the root; and the root's arcs for words. One
 left-to-right walk per text carries the state and adds the arcs' log-probabilities.
 
-Smoothing: with c the training counts, P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and
-P(w | h) = (c(h, w) + m(h) P(w)) / (c(h) + m(h)), m(h) = prior + weight * c(h); the failure
-arc of h weighs m(h) / (c(h) + m(h)), so probabilities sum to one in every state.
+Smoothing is a chain of discounts, each order giving up the share m(h) / (c(h) + m(h)) of a
+history h to the next lower one: P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and P(w | h) =
+(c(h, w) + m(h) P(w | h')) / (c(h) + m(h)), with h' the history without its first word, c
+training counts and m(h) = prior + weight * c(h) of the order. That share is the weight of h's
+failure arc, so probabilities sum to one in every state.
+
+n-grams are counted by hashes: words by 64 bits, bigrams and trigrams by as many bits as leave a
+chance under 2^-10 that one shares its bits with another of the corpus; its count is then too high.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,193 +28,171 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import expand, read_block, squeeze, write_blocks
-from .common import materialize, text_bytes, total_bytes
+from .blocks import answer, ask, key_bits, meet, n_parts, read_block, write_blocks
+from .common import materialize, numbered_words, total_bytes
 
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 BLOCK_BYTES = 5 << 20
-PRIOR, WEIGHT = 5.0, 4.0
+#: (prior, weight) of histories of one word and of two.
+DISCOUNTS = ((5.0, 1.0), (1.0, 0.25))
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ordered pairs of hashes."""
+    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
 class BackoffAutomaton:
-    """Word states with arcs, failure arcs and root arcs; weights are log10 probabilities.
+    """States with arcs and failure arcs; weights are log10 probabilities.
 
-    Words are numbered from 0; state w + 1 is "after word w" and state 0 "at the start".
+    States 0 to n - 1 are the words', n is the start of a text, n + 1 the root (reached by failure
+    alone), and n + 2 + j bigram j's. The root's arcs are the list `root`; every other arc is a
+    (state, word) with a weight and a state to go to.
     """
 
-    def __init__(self, n_words: int, root: np.ndarray, fail: np.ndarray, arc_state: np.ndarray, arc_word: np.ndarray, arc_weight: np.ndarray):
-        self.n = n_words
-        self.root = root.tolist()
-        self.fail = fail.tolist()
-        self.arcs = dict(zip((arc_state.astype(np.int64) * n_words + arc_word).tolist(), arc_weight.tolist()))
+    def __init__(self, root: np.ndarray, fail: np.ndarray, fail_to: np.ndarray, state: np.ndarray, word: np.ndarray, weight: np.ndarray, to: np.ndarray):
+        self.n = len(root)
+        self.root, self.fail, self.fail_to = root.tolist(), fail.tolist(), fail_to.tolist()
+        self.weight, self.to = weight.tolist(), to.tolist()
+        self.arcs = dict(zip((state * self.n + word).tolist(), range(len(state))))
 
     def score(self, words: list[int]) -> float:
         """Log10 probability of a text's words, its end included."""
-        total, state, n = 0.0, 0, self.n
-        arcs, fail, root = self.arcs.get, self.fail, self.root
+        n, arcs, root, fail, fail_to, weight, to = self.n, self.arcs.get, self.root, self.fail, self.fail_to, self.weight, self.to
+        total, state, bottom = 0.0, n, n + 1
         for w in words:
-            weight = arcs(state * n + w)
-            if weight is None:
-                weight = fail[state] + root[w]
-            total += weight
-            state = w + 1
+            while state != bottom:
+                arc = arcs(state * n + w)
+                if arc is not None:
+                    total += weight[arc]
+                    state = to[arc]
+                    break
+                total += fail[state]
+                state = fail_to[state]
+            else:
+                total += root[w]
+                state = w
         return total
 
 
 class Block:
-    """A block's texts as word numbers, and its distinct unigram and bigram keys."""
-
-    def __init__(self, texts: list[bytes], train: np.ndarray):
-        words = [t.lower().split() for t in texts]
-        sizes = np.array([len(w) + 1 for w in words], np.int64)
-        ends = np.cumsum(sizes)
-        h = np.full(int(ends[-1]) if len(ends) else 0, END, np.uint64)
-        inner = np.ones(len(h), bool)
-        inner[ends - 1] = False
-        h[inner] = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(inner.sum()))
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[np.concatenate([[0], ends[:-1]])] = START
-        pair = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (h + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        pair ^= pair >> np.uint64(32)
-        pair *= np.uint64(0xD6E8FEB86659FD93)
-        pair ^= pair >> np.uint64(29)
-        trained = np.repeat(train, sizes)
-        self.sizes, self.ends = sizes, ends
-        self.keys, self.at, self.own = [], [], []
-        for key in (h, pair):
-            u, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    """A block's texts as word numbers, and its distinct n-gram keys with its own training counts of them.
+
+    keys, at and own have one entry an order: ascending keys, each position's number among them,
+    and counts. Trigrams stand at the positions `inner`, which are not the first of their text.
+    """
+
+    def __init__(self, texts: pa.Array, train: np.ndarray, bits: int, orders: int = 3):
+        distinct, at, words = numbered_words(texts, lower=True)
+        hashes = np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)), END)
+        self.sizes = words + 1
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        n = int(self.sizes.sum())
+        h = np.full(n, len(distinct), np.int64)
+        body = np.ones(n, bool)
+        body[self.ends - 1] = False
+        h[body] = at
+        u, inverse = np.unique(hashes, return_inverse=True)
+        self.end_word = int(inverse[-1])
+        self.keys, self.at = [u], [inverse[h]]
+        trained = np.repeat(train, self.sizes)
+        self.own = [np.bincount(self.at[0][trained], minlength=len(u))]
+        if orders == 1:
+            return
+        first = np.zeros(n, bool)
+        first[self.starts] = True
+        self.inner = np.flatnonzero(~first)
+        before = np.full(n, START)
+        before[self.inner] = hashes[h[self.inner - 1]]
+        pair = mix(before, hashes[h])
+        self.place = []
+        for key, where in ((pair, slice(None)), (mix(pair[self.inner - 1], hashes[h[self.inner]]), self.inner)):
+            u, place, inverse = np.unique(key >> np.uint64(64 - bits), return_index=True, return_inverse=True)
             self.keys.append(u)
             self.at.append(inverse)
-            self.own.append(np.bincount(inverse[trained], minlength=len(u)).astype(np.uint32))
-            if key is pair:
-                self.first = first
-        self.end_word = int(np.searchsorted(self.keys[0], END))
-
-    def by_part(self, order: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the keys of an order, dealt by part (ascending keys inside), and the parts' bounds."""
-        part = (self.keys[order] % np.uint64(parts)).astype(np.int64)
-        return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-
-    def automaton(self, counts: list[np.ndarray], n_tokens: int, n_types: int, prior: float, weight: float) -> BackoffAutomaton:
-        one, two = counts[0].astype(float), counts[1].astype(float)
-        p = (one + 0.5) / (n_tokens + 0.5 * (n_types + 1))
-        context = np.concatenate([[one[self.end_word]], one])  # texts start as often as they end
-        m = prior + weight * context
-        fail = np.log10(m / (context + m))
-        word = self.at[0][self.first]
-        starts = np.zeros(len(self.at[0]), bool)
-        starts[np.concatenate([[0], self.ends[:-1]])] = True
-        state = np.where(starts[self.first], 0, self.at[0][self.first - 1] + 1)
-        seen = two > 0
-        s, w = state[seen], word[seen]
-        arc = np.log10((two[seen] + m[s] * p[w]) / (context[s] + m[s]))
-        return BackoffAutomaton(len(one), np.log10(p), fail, s, w, arc)
-
-
-def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, prior: float = PRIOR, weight: float = WEIGHT) -> DataFrame:
+            self.place.append(np.arange(n)[where][place])
+            self.own.append(np.bincount(inverse[trained[where]], minlength=len(u)))
+        self.first = first
+
+    def automaton(self, counts: list[np.ndarray], n_tokens: int, n_types: int, discounts=DISCOUNTS) -> BackoffAutomaton:
+        """The automaton from the corpus counts of this block's keys."""
+        one, two, three = (c.astype(float) for c in counts)
+        word, n = self.at[0], len(one)
+        p1 = (one + 0.5) / (n_tokens + 0.5 * (n_types + 1))
+        history = np.append(one, one[self.end_word])  # texts start as often as they end
+        m1 = discounts[0][0] + discounts[0][1] * history
+        m2 = discounts[1][0] + discounts[1][1] * two
+        at = self.place[0]
+        state1 = np.where(self.first[at], n, word[at - 1])
+        p2 = (two + m1[state1] * p1[word[at]]) / (history[state1] + m1[state1])
+        at3 = self.place[1]
+        pair = self.at[1]
+        before, now = pair[at3 - 1], pair[at3]
+        # a shared hash may show a trigram more often than its history
+        p3 = (three + m2[before] * p2[now]) / (np.maximum(two[before], three) + m2[before])
+        seen2, seen3 = two > 0, (three > 0) & (two[before] > 0) & (two[now] > 0)
+        root = np.full(1, n + 1)
+        return BackoffAutomaton(
+            np.log10(p1),
+            np.concatenate([np.log10(m1 / (history + m1)), [0.0], np.log10(m2 / (two + m2))]),
+            np.concatenate([np.repeat(root, n + 2), word[at]]),
+            np.concatenate([state1[seen2], n + 2 + before[seen3]]),
+            np.concatenate([word[at[seen2]], word[at3[seen3]]]),
+            np.log10(np.concatenate([p2[seen2], p3[seen3]])),
+            np.concatenate([n + 2 + np.flatnonzero(seen2), n + 2 + now[seen3]]),
+        )
+
+
+def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, discounts=DISCOUNTS) -> DataFrame:
     """``<id_col>, in_training, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     `train` is a boolean Column over docs: rows where it is true are what the model learns from.
     A null or empty text is its end token alone. Repeated rows count and score each for itself.
-    Without training rows every probability is the unknown word's. An empty table gives no rows.
+    Without training rows every probability is the unknown word's. Null ids are ids like others.
+    An empty table gives no rows. A very long text is one row of a block of its own.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(train, F.lit(False)).alias("_train"), text_bytes(text_col).alias("_text"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(train, F.lit(False)).alias("_train"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     _, size = total_bytes(docs, text_col)
-    parts = max(4, math.ceil(size / (6 << 20)))
-
+    parts, bits = n_parts(size), key_bits(size)
+    tasks = max(4, math.ceil(3 * size / block_bytes))
     texts = write_blocks(slim, 2, block_bytes, "lm-blocks")
 
-    def load(raw: bytes) -> tuple[pa.RecordBatch, Block]:
+    def load(raw: bytes, orders: int) -> tuple[pa.RecordBatch, Block]:
         batch = read_block(raw)
-        return batch, Block(batch.column(2).to_pylist(), np.array(batch.column(1).to_pylist(), bool))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for name, raw in zip(whole.column(0).to_pylist(), whole.column(1)):
-                _, b = load(raw.as_py())
-                for order in (0, 1):
-                    at, cuts = b.by_part(order, parts)
-                    rows = [(p, at[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1]]
-                    # keys of a part leave the same remainder, so the quotients name them
-                    data = [squeeze(np.diff(b.keys[order][i] // np.uint64(parts), prepend=np.uint64(0))) for _, i in rows]
-                    own = [squeeze(b.own[order][i]) for _, i in rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([order * parts + p for p, _ in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array(data, pa.binary()), pa.array(own, pa.binary())], ["part", "block", "keys", "own"]
-                    )
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def reply(part, rows):
-            keys = [np.cumsum(expand(k, np.uint64), dtype=np.uint64) for _, k, _ in rows]
-            u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate([expand(o, np.uint32) for _, _, o in rows]), minlength=len(u)).astype(np.uint32)
-            cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            counts = [squeeze(total[inverse[cuts[i] : cuts[i + 1]]]) for i in range(len(rows))]
-            first = [int((total > 0).sum()), int(total.sum(dtype=np.int64))] if part < parts else [0, 0]
-            n = len(rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * n, pa.int32()), pa.array(counts, pa.binary()), pa.array([first[0]] + [0] * (n - 1), pa.int64()), pa.array([first[1]] + [0] * (n - 1), pa.int64())],
-                ["block", "part", "data", "types", "tokens"],
-            )
-
-        now, rows = None, []
-        for batch in batches:
-            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if part != now and rows:
-                    yield reply(now, rows)
-                    rows = []
-                now = part
-                rows.append(row)
-        if rows:
-            yield reply(now, rows)
-
-    asked = texts.mapInArrow(ask, "part int, block long, keys binary, own binary").repartition(2 * parts, "part").sortWithinPartitions("part")
-    replies = materialize(asked.mapInArrow(answer, "block long, part int, data binary, types long, tokens long"), "lm-replies")
-    sums = replies.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    n_types, n_tokens = int(sums[0]), int(sums[1])
+        return batch, Block(batch.column(2), np.array(batch.column(1).to_pylist(), bool), bits, orders)
+
+    def words(raw: bytes):
+        _, b = load(raw, 1)
+        return [(b.keys[0], b.own[0])]
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def leave(raw, got):
-            batch, b = load(raw)
-            counts = []
-            for order in (0, 1):
-                at, _ = b.by_part(order, parts)
-                flat = [expand(got[p], np.uint32) for p in sorted(got) if p // parts == order]
-                c = np.empty(len(at), np.uint32)
-                c[at] = np.concatenate(flat)
-                counts.append(c)
-            auto = b.automaton(counts, n_tokens, n_types, prior, weight)
-            one = counts[0][b.at[0]]
-            base = np.log10((one + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
-            starts = b.ends - b.sizes
-            words = b.at[0]
-            scores = [auto.score(words[s:e].tolist()) for s, e in zip(starts, b.ends)]
-            n = batch.num_rows
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(b.sizes), pa.array(np.add.reduceat((one > 0).astype(np.int64), starts)), pa.array([n_tokens] * n, pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(scores, pa.float64())],
-                ["_id", "in_training", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-        now, raw, got = None, None, {}
-        for batch in batches:
-            for block, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if block != now:
-                    if raw is not None:
-                        yield leave(raw, got)
-                    now, raw, got = block, None, {}
-                if part < 0:
-                    raw = data.as_py()
-                else:
-                    got[part] = data.as_py()
-        if raw is not None:
-            yield leave(raw, got)
-
-    both = texts.select("block", F.lit(-1).alias("part"), "data").unionByName(replies.select("block", "part", "data"))
-    # more tasks than blocks, so that few blocks meet in one by chance
-    met = both.repartition(max(4, math.ceil(3 * size / block_bytes)), "block").sortWithinPartitions("block", "part")
-    out = met.mapInArrow(walk, f"_id {kind}, in_training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def ngrams(raw: bytes):
+        _, b = load(raw, 3)
+        return list(zip(b.keys[1:], b.own[1:]))
+
+    one = materialize(answer(ask(texts, words, parts, [64]), max(parts, 4)), "lm-words")
+    sums = one.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    n_types, n_tokens = int(sums[0]), int(sums[1])
+    more = answer(ask(texts, ngrams, parts, [bits, bits]), 4 * parts)
+
+    def walk(raw: bytes, counts: list[np.ndarray]) -> pa.RecordBatch:
+        batch, b = load(raw, 3)
+        auto = b.automaton(counts, n_tokens, n_types, discounts)
+        c = counts[0][b.at[0]]
+        base = np.log10((c + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
+        scores = [auto.score(b.at[0][s:e].tolist()) for s, e in zip(b.starts, b.ends)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(b.sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), b.starts)), pa.array([n_tokens] * len(scores), pa.int64()), pa.array(np.add.reduceat(base, b.starts)), pa.array(scores, pa.float64())],
+            ["_id", "in_training", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    replies = one.unionByName(more.withColumn("slot", F.col("slot") + parts))
+    out = meet(texts, replies, tasks, parts, 3, np.uint64, walk, f"_id {kind}, in_training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -1,30 +1,31 @@
 """Exact Jaccard self-join of word-shingle sets with prefix filters and prefix trees.
 
 1. Each text becomes a set of 64-bit shingle hashes; equal sets are one node. Texts are
-   written in blocks; every block asks how many nodes hold each of its shingles.
-2. A set of which under `percent` of the shingles are held by others links with nothing and
-   goes no further. For the rest, shingles have a global order: those of one node alone
-   first, very frequent ones last, by hash between. Sets of Jaccard >= t share a shingle
-   among their first n - ceil(t * n) + 1. These prefixes are dealt by shingle in packed
-   arrays; each shingle sends its nodes to the bucket of its least node. Nodes of one group
-   of copies meet in few buckets, each node once in each.
-3. A bucket's sets are stored in a prefix tree, common shingles first, and every set walks
-   it: overlaps are shared along paths, and subtrees are left where what remains of the set
-   or of the longest path below cannot reach the overlap that the shortest path needs.
-   Buckets over `block` nodes are walked block against block. What leaves a bucket is one
-   row per node (its least linked node), never a row per pair.
-4. Components of these links are found by label propagation on tables.
+   written in blocks; every block asks in how many sets each of its shingles occurs.
+2. Shingles have one global order, by that frequency and then by hash. A set of which under
+   `percent` of the shingles occur in others links with nothing and goes no further. Sets of
+   Jaccard >= t share a shingle among their rarest n - ceil(t * n) + 1. These prefixes are dealt
+   by shingle in packed arrays; each shingle sends its nodes to the bucket of its least node.
+   Nodes of one group of copies meet in few buckets, each node once in each.
+3. A room's sets are stored in a prefix tree in the global order, frequent shingles first, and
+   every set walks it: overlaps are shared along paths, and subtrees are left where what remains
+   of the set or of the longest path below cannot reach the overlap that the shortest path needs.
+   A bucket of up to `block` nodes is one room. A larger one is cut into rooms of so many, each
+   with the bucket's own node as pivot: nodes that come to be connected with the pivot are
+   connected with each other whatever their room, so only the loose rest of each room walks the
+   other rooms' trees. What leaves a room is one row per node (its least linked node), never a
+   row per pair.
+4. Components of these links are found by alternating large and small stars on tables.
 
 Shingles and sets are told apart by 64-bit hashes of their content. Questions use only as
 many bits of a shingle as keep chance collisions rare; a collision makes a count too high,
-which can send a set further than needed but never loses a link.
+which can send a set further than needed and changes the order for all sets alike, so no link is lost.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +34,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import expand, read_block, squeeze, write_blocks
-from .common import materialize, release, slices, text_bytes, total_bytes
+from .blocks import answer, ask, expand, key_bits, meet, n_parts, read_block, squeeze, write_blocks
+from .common import materialize, numbered_words, release, slices, total_bytes
 
 SHINGLE = 5
 PERCENT = 75
-#: Shingles of more nodes than this come last in the order; it moves work, never a link.
-OFTEN = 1000
-#: Most nodes that a bucket's tree holds at once.
-BLOCK = 2048
+#: Most nodes of a room.
+BLOCK = 1024
 BLOCK_BYTES = 5 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles; one for the whole sequence where it has fewer words."""
-    words = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = list(chain.from_iterable(words))
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
+    distinct, at, sizes = numbered_words(texts, lower=True)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[at]
     mixed = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for i in range(k):
         mixed += h[i : len(h) - k + 1 + i] * _MIX[i % len(_MIX)] + np.uint64(i)
@@ -60,11 +57,11 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     mixed ^= mixed >> np.uint64(29)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     out = []
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(sizes.tolist()):
         if n >= k:
             out.append(np.unique(mixed[starts[i] : starts[i + 1] - k + 1]))
         elif n:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i]), seed=int(n))], np.uint64))
+            out.append(np.array([xxhash.xxh3_64_intdigest(h[starts[i] : starts[i + 1]].tobytes(), seed=n)], np.uint64))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -190,54 +187,45 @@ class Trie:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def link_bucket(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node it is linked with in this bucket) for every linked node; with sides, only links across sides are looked for."""
-    parent = list(range(len(sets)))
+class Forest:
+    """Union-find; a root is the least of its set."""
 
-    def root(i):
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    def union(i, j):
-        a, b = root(i), root(j)
+    def union(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
         if a != b:
-            parent[max(a, b)] = min(a, b)
-
-    by_node = np.argsort(nodes, kind="stable")
-    nodes, sets = nodes[by_node], [sets[i] for i in by_node]
-    side = None if side is None else side[by_node]
-    lengths = np.array([len(s) for s in sets], np.int64)
-    if len(sets) <= 3:  # paths without a branch: walked one against the other
-        for i in range(len(sets)):
-            for j in range(i):
-                if side is None or side[i] != side[j]:
-                    o = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if (100 + percent) * o >= percent * (lengths[i] + lengths[j]):
-                        union(i, j)
-    else:
-        tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(tokens), np.uint32)
-        rank[np.lexsort((tokens, -counts))] = np.arange(len(tokens), dtype=np.uint32)
-        shared = int((counts > 1).sum())  # an element of one set alone is in no overlap
-        ends = np.cumsum(lengths)
-        ranks = []
-        for i in range(len(sets)):
-            r = np.sort(rank[inverse[ends[i] - lengths[i] : ends[i]]])
-            ranks.append(r[: np.searchsorted(r, shared)])
-        flags = np.zeros(len(tokens) + 1, bool)
-        stored = np.arange(len(sets)) if side is None else np.flatnonzero(side == side.min())
-        asking = stored if side is None else np.flatnonzero(side != side.min())
-        if len(stored) and len(asking):
-            trie = Trie([ranks[i] for i in stored], lengths[stored])
-            for i in asking:
-                for j in stored[trie.linked(ranks[i], int(lengths[i]), flags, percent)]:
-                    if i != j:
-                        union(int(i), int(j))
-    least = np.array([root(i) for i in range(len(sets))])
-    moved = np.flatnonzero(least != np.arange(len(sets)))
-    return nodes[moved], nodes[least[moved]]
+            self.parent[max(a, b)] = min(a, b)
+
+
+def link_room(nodes: np.ndarray, lengths: np.ndarray, sets: list[np.ndarray], often: list[np.ndarray], asking: np.ndarray | None, percent: int) -> np.ndarray:
+    """For each of some ascending nodes, the place of the least one it is linked with in this room, itself included.
+
+    sets: the shingles of each that occur elsewhere, with their corpus frequencies in `often`; lengths: of the whole
+    sets. Where `asking` is given, its nodes walk a tree of the others; otherwise all walk a tree of all.
+    """
+    forest = Forest(len(nodes))
+    tokens, first, inverse = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
+    rank = np.empty(len(tokens), np.uint32)
+    rank[np.lexsort((tokens, -np.concatenate(often)[first].astype(np.int64)))] = np.arange(len(tokens), dtype=np.uint32)
+    ends = np.cumsum([len(s) for s in sets])
+    ranks = [np.sort(rank[inverse[e - len(s) : e]]) for e, s in zip(ends, sets)]
+    flags = np.zeros(len(tokens) + 1, bool)
+    stored = np.arange(len(sets)) if asking is None else np.flatnonzero(~asking)
+    if len(stored):
+        trie = Trie([ranks[i] for i in stored], lengths[stored])
+        for i in stored if asking is None else np.flatnonzero(asking):
+            for j in stored[trie.linked(ranks[i], int(lengths[i]), flags, percent)]:
+                forest.union(int(i), int(j))
+    return np.array([forest.root(i) for i in range(len(nodes))])
 
 
 def _pack(tokens: np.ndarray, nodes: np.ndarray) -> bytes:
@@ -252,31 +240,34 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.uint32), np.frombuffer(raw, np.int64, n, 4 + 4 * n)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links(node, least): label is the least node of its component.
 
-    Each round a node takes the least label among itself, its neighbours and its label's label,
-    from tables in the shared folder; it ends when no label changes.
+    Large and small stars in turn, on edges (high, low) in tables of the shared folder: each node's higher
+    neighbours are linked to its least neighbour, then its lower ones are. It ends when every node has one
+    edge, to a node without a lower neighbour; the number of rounds has no limit and grows with the
+    logarithm of a component's size. Nodes whose own least neighbour is themselves, hubs among them, keep their edges
+    without a join, and least neighbours are aggregated before the shuffle.
     """
-    edges = materialize(links.select("node", F.col("least").alias("other")).union(links.select(F.col("least").alias("node"), F.col("node").alias("other"))).distinct(), "links")
-    labels = materialize(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
-    for _ in range(rounds):
-        of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label"))
-        near = edges.join(of("other"), "other").select("node", F.col("other_label").alias("label"))
-        jump = labels.join(of("l"), labels["label"] == F.col("l")).select("node", F.col("l_label").alias("label"))
-        least = near.unionByName(jump).groupBy("node").agg(F.min("label").alias("new"))
-        new = materialize(labels.join(least, "node", "left").select("node", F.least("label", "new").alias("label"), (F.coalesce("new", "label") < F.col("label")).alias("changed")), "labels")
-        changed = new.where("changed").limit(1).count()
-        release(labels)
-        labels = new
-        if not changed:
+    ends = F.array_sort(F.array("node", "least"))
+    edges = materialize(links.where("node != least").select(ends[1].alias("high"), ends[0].alias("low")).distinct(), "star-edges")
+    while True:
+        below = edges.groupBy("high").agg(F.min("low").alias("least"))  # least neighbour of nodes with a lower one
+        large = edges.join(below.toDF("low", "least"), "low", "left").select("high", F.coalesce("least", "low").alias("low"))
+        large = materialize(large.distinct(), "star-large")
+        release(edges)
+        below = large.groupBy("high").agg(F.min("low").alias("least"))
+        moved = large.join(below, "high").where("low != least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+        edges = materialize(below.select("high", F.col("least").alias("low")).unionByName(moved).distinct(), "star-edges")
+        release(large)
+        twice = edges.groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        deep = edges.select("low").distinct().join(edges.select(F.col("high").alias("low")), "low", "left_semi")
+        if twice.isEmpty() and deep.isEmpty():
             break
-    else:
-        raise RuntimeError(f"labels still change after {rounds} rounds")
-    release(edges)
-    out = labels.select("node", "label")
-    out._rulelake_path = labels._rulelake_path
-    return out
+    labels = edges.select(F.col("high").alias("node"), F.col("low").alias("label"))
+    labels = labels.unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("label")).distinct())
+    labels._rulelake_path = edges._rulelake_path
+    return labels
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -284,7 +275,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("?")), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).cast("string"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, often: int = OFTEN, block: int = BLOCK, with_keys: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, with_keys: bool = False) -> DataFrame:
     """``<id_col>, n_shingles, component_id`` for every row.
 
     Rows link when 100 * |intersection| >= percent * |union| of their sets; equal sets always do.
@@ -294,91 +285,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their own. An empty table gives an empty result. with_keys adds ``row_key`` and ``component``,
     a long that names the component also where ids are null (null for empty sets).
     """
-    slim = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), text_bytes(text_col).alias("_text"))
+    slim = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     _, size = total_bytes(docs, text_col)
-    parts = max(8, math.ceil(size / (8 << 20)))
+    parts, bits = n_parts(size), key_bits(size)
+    tasks = max(8, math.ceil(size / (8 << 20)))
     kind = slim.schema["_id"].dataType.simpleString()
-
-    # 1 in 512 shingles or fewer share their bits with another by chance
-    bits = min(63, max(32, math.ceil(math.log2(size / 5 + 1)) + 9))
     texts = write_blocks(slim, 2, BLOCK_BYTES, "shingle-blocks")
 
     def load(raw: bytes):
-        """A block's rows, their sets and nodes, and the distinct question keys of its distinct sets with how many hold each."""
+        """A block's rows, their sets and nodes, its distinct sets, and its distinct question keys with how many sets hold each."""
         batch = read_block(raw)
-        sets = shingle_sets(batch.column(2).to_pylist(), shingle)
+        sets = shingle_sets(batch.column(2), shingle)
         nodes = [node_of(s) for s in sets]
         once = dict(zip(nodes, sets))
-        keys, counts = np.unique(np.concatenate([*once.values(), np.empty(0, np.uint64)]) >> np.uint64(64 - bits), return_counts=True)
-        part = (keys * np.uint64(parts)) >> np.uint64(bits) if bits + parts.bit_length() < 64 else keys // np.uint64((1 << bits) // parts + 1)
-        return batch, sets, nodes, once, keys, counts, np.concatenate([[0], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for name, raw in zip(whole.column(0).to_pylist(), whole.column(1)):
-                *_, keys, counts, cuts = load(raw.as_py())
-                rows = [(p, slice(cuts[p], cuts[p + 1])) for p in range(parts) if cuts[p] < cuts[p + 1]]
-                data = [squeeze(np.diff(keys[i], prepend=np.uint64(0))) for _, i in rows]
-                own = [squeeze(counts[i].astype(np.uint32)) for _, i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array(data, pa.binary()), pa.array(own, pa.binary())], ["part", "block", "keys", "own"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def reply(part, rows):
-            keys = [np.cumsum(expand(k, np.uint64), dtype=np.uint64) for _, k, _ in rows]
-            u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate([expand(o, np.uint32) for _, _, o in rows]), minlength=len(u))
-            total = np.minimum(total, 65535).astype(np.uint16)
-            cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            data = [squeeze(total[inverse[cuts[i] : cuts[i + 1]]]) for i in range(len(rows))]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(data, pa.binary())], ["block", "part", "data"])
-
-        now, rows = None, []
-        for batch in batches:
-            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if part != now and rows:
-                    yield reply(now, rows)
-                    rows = []
-                now = part
-                rows.append(row)
-        if rows:
-            yield reply(now, rows)
-
-    asked = texts.mapInArrow(ask, "part int, block long, keys binary, own binary").repartition(parts, "part").sortWithinPartitions("part")
-    replies = asked.mapInArrow(answer, "block long, part int, data binary")
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def leave(raw, got):
-            batch, sets, nodes, once, keys, _, _ = load(raw)
-            df = np.concatenate([expand(got[p], np.uint16) for p in sorted(got)]) if got else np.empty(0, np.uint16)
-            firsts: dict[int, bytes] = {}
-            for node, s in once.items():
-                d = df[np.searchsorted(keys, s >> np.uint64(64 - bits))]
-                if len(s) and 100 * int((d > 1).sum()) >= percent * len(s):
-                    o = np.argsort(np.where(d == 1, 0, np.where(d <= often, 1, 2)), kind="stable")
-                    firsts[node] = s[o[: prefix_length(len(s), percent)]].tobytes()
-            shown = [firsts.pop(n, None) for n in nodes]  # a node's set once in a block
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(shown, pa.binary()), pa.array([None if f is None else s.tobytes() for f, s in zip(shown, sets)], pa.binary())],
-                ["_id", "_key", "node", "n", "firsts", "shingles"],
-            )
-
-        now, raw, got = None, None, {}
-        for batch in batches:
-            for block, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if block != now:
-                    if raw is not None:
-                        yield leave(raw, got)
-                    now, raw, got = block, None, {}
-                if part < 0:
-                    raw = data.as_py()
-                else:
-                    got[part] = data.as_py()
-        if raw is not None:
-            yield leave(raw, got)
-
-    both = texts.select("block", F.lit(-1).alias("part"), "data").unionByName(replies)
-    met = both.repartition(parts, "block").sortWithinPartitions("block", "part")
-    seen = materialize(met.mapInArrow(describe, f"_id {kind}, _key string, node long, n long, firsts binary, shingles binary"), "shingle-nodes")
+        return batch, sets, nodes, once, *np.unique(np.concatenate([*once.values(), np.empty(0, np.uint64)]) >> np.uint64(64 - bits), return_counts=True)
+
+    def questions(raw: bytes):
+        *_, keys, counts = load(raw)
+        return [(keys, counts)]
+
+    def describe(raw: bytes, counts: list[np.ndarray]) -> pa.RecordBatch:
+        batch, sets, nodes, once, keys, _ = load(raw)
+        found: dict[int, tuple[bytes, bytes, bytes]] = {}
+        for node, s in once.items():
+            often = counts[0][np.searchsorted(keys, s >> np.uint64(64 - bits))]
+            here = often > 1
+            if len(s) and 100 * int(here.sum()) >= percent * len(s):
+                common, often = s[here], often[here]
+                o = np.lexsort((common, often))  # rare first
+                rare = prefix_length(len(s), percent) - (len(s) - len(common))
+                found[node] = common[o[: max(0, rare)]].tobytes(), common[o].tobytes(), squeeze(often[o])
+        shown = [found.pop(n, (None, None, None)) for n in nodes]  # a node's set once in a block
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in shown], pa.binary()) for k in range(3))],
+            ["_id", "_key", "node", "n", "firsts", "shingles", "often"],
+        )
+
+    replies = answer(ask(texts, questions, parts, [bits]), 4 * parts, np.uint32)
+    seen = materialize(meet(texts, replies, tasks, parts, 1, np.uint32, describe, f"_id {kind}, _key string, node long, n long, firsts binary, shingles binary, often binary"), "shingle-nodes")
     release(texts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,15 +331,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 firsts = [np.frombuffer(f, np.uint64) for f in batch.column(1).to_pylist()]
                 t = np.concatenate(firsts)
                 names = np.repeat(batch.column(0).to_numpy(), [len(f) for f in firsts])
-                part = ((t >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                part = ((t >> np.uint64(32)) % np.uint64(tasks)).astype(np.int64)
                 o = np.argsort(part, kind="stable")
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-                low = (t & np.uint64(0xFFFFFFFF)).astype(np.uint32)[o]
-                names = names[o]
-                rows = [(p, _pack(low[cuts[p] : cuts[p + 1]], names[cuts[p] : cuts[p + 1]])) for p in range(parts) if cuts[p] < cuts[p + 1]]
+                low, names, part = (t & np.uint64(0xFFFFFFFF)).astype(np.uint32)[o], names[o], part[o]
+                cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+                rows = [(int(part[a]), _pack(low[a:b], names[a:b])) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "data"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(blobs):
             both = [_unpack(b) for b in blobs]
             t, nodes = np.concatenate([a for a, _ in both]), np.concatenate([b for _, b in both])
@@ -420,43 +363,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if blobs:
             yield pairs(blobs)
 
-    packed = seen.where("firsts is not null").select("node", "firsts").mapInArrow(prefixes, "part int, data binary").repartition(parts, "part").sortWithinPartitions("part")
-    members = materialize(packed.mapInArrow(meet, "bucket long, node long").distinct(), "buckets")
-    nodes = seen.groupBy("node").agg(F.min("_id").alias("_least"), F.min("_key").alias("_key"), F.max("n").alias("n"))
-    sets = seen.where("shingles is not null").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    packed = seen.where("firsts is not null").select("node", "firsts").mapInArrow(prefixes, "part int, data binary").repartition(tasks, "part").sortWithinPartitions("part")
+    members = materialize(packed.mapInArrow(gather, "bucket long, node long").distinct(), "buckets")
+    nodes = seen.groupBy("node").agg(F.min("_id").alias("_least"), F.max("n").alias("n"))
+    sets = seen.where("shingles is not null").groupBy("node").agg(F.first(F.struct("n", "shingles", "often")).alias("set")).select("node", "set.*")
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.select("bucket", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("node", "mine", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("room"), (F.col("mine") == F.col("other")).alias("own"), "bucket")
+
+    def rooms(who: DataFrame) -> DataFrame:
+        """who(node, room, asking, pivot) with the nodes' sets, room by room."""
+        return sets.join(who, "node").select("node", "shingles", "n", "often", "room", "asking", "pivot").repartition(tasks, "room").sortWithinPartitions("room")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def leave(rows):
-            once = {r[0]: r for r in rows}
-            nodes = np.array(list(once), np.int64)
-            sets = [np.frombuffer(r[1], np.uint64) for r in once.values()]
-            side = None if rows[0][3] else np.array([r[2] for r in once.values()])
-            return link_bucket(nodes, sets, side, percent)
+            once = {}
+            for r in rows:
+                once.setdefault(r[0], r)
+            rows = [once[k] for k in sorted(once)]
+            names = np.array([r[0] for r in rows], np.int64)
+            asking = np.array([r[4] for r in rows])
+            lengths = np.array([r[2] for r in rows], np.int64)
+            least = link_room(names, lengths, [np.frombuffer(r[1], np.uint64) for r in rows], [expand(r[3], np.uint32) for r in rows], asking if asking.any() else None, percent)
+            pivot = rows[0][5]
+            loose = np.zeros(len(rows), bool) if pivot is None else least != least[np.searchsorted(names, pivot)]
+            told = np.flatnonzero((least != np.arange(len(rows))) | loose)
+            return names[told], names[least[told]], loose[told]
 
         now, rows, out = None, [], []
         for batch in batches:
             for slice_ in slices(batch, 1, 16 << 20):
-                for node, raw, mine, room, own in zip(*(c.to_pylist() for c in slice_.columns)):
+                for node, raw, n, often, room, asking, pivot in zip(*(c.to_pylist() for c in slice_.columns)):
                     if room != now and rows:
                         if len(rows) > 1:
                             out.append(leave(rows))
                         rows = []
                     now = room
-                    rows.append((node, raw, mine, own))
+                    rows.append((node, raw, n, often, asking, pivot))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]))], ["node", "least"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["node", "least", "loose"])
                     out = []
         if len(rows) > 1:
-            a, b = leave(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["node", "least"])
-
-    rooms = sets.join(dealt, "node").select("node", "shingles", "mine", "room", "own").repartition(parts, "room").sortWithinPartitions("room")
-    links = materialize(rooms.mapInArrow(walk, "node long, least long").distinct(), "room-links")
-    labels = components(links)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in leave(rows)], ["node", "least", "loose"])
+
+    found = "node long, least long, loose boolean"
+    one = dealt.select("node", F.xxhash64("bucket", "mine").alias("room"), F.lit(False).alias("asking"), F.when(F.col("blocks") > 1, F.col("bucket")).alias("pivot"))
+    # a bucket's own node is the pivot of each of its rooms
+    pivots = sizes.where("blocks > 1").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"))
+    one = one.unionByName(pivots.select(F.col("bucket").alias("node"), F.xxhash64("bucket", "mine").alias("room"), F.lit(False).alias("asking"), F.col("bucket").alias("pivot")))
+    links = materialize(rooms(one).mapInArrow(walk, found), "room-links")
+    many = dealt.where("blocks > 1")
+    loose = many.join(links.where("loose").select("node").distinct(), "node", "left_semi").select("bucket", "mine", "node")
+    pairs = links.where("node != least").select("node", "least")
+    if not links.where("loose").isEmpty():
+        # loose nodes of a room walk the trees of the bucket's other rooms
+        from_ = loose.select("bucket", F.col("mine").alias("from")).distinct()
+        to = from_.join(sizes, "bucket").select("bucket", "from", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine")).where("from != mine")
+        stored = many.join(to, ["bucket", "mine"]).select("node", F.xxhash64("bucket", "from", "mine").alias("room"), F.lit(False).alias("asking"))
+        walkers = loose.withColumnRenamed("mine", "from").join(to, ["bucket", "from"]).select("node", F.xxhash64("bucket", "from", "mine").alias("room"), F.lit(True).alias("asking"))
+        two = stored.unionByName(walkers).withColumn("pivot", F.lit(None).cast("long"))
+        pairs = pairs.unionByName(rooms(two).mapInArrow(walk, found).select("node", "least"))
+    labels = components(pairs)
     classes = nodes.join(labels, "node", "left").select("node", "n", "_least", F.coalesce("label", "node").alias("label"))
     named = classes.groupBy("label").agg(F.min("_least").alias("component_id"))
     by_node = materialize(classes.where("n > 0").join(named, "label").select("node", "label", "component_id"), "node-components")
@@ -467,12 +433,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its smallest id, null ids last. Rows without words all stay, once each."""
+    """docs with one row of each component: that of its smallest id, null ids last, and of exact repeats one.
+
+    Rows without words, null texts included, all stay, once each. All columns come back as they were,
+    whatever their names; an empty table stays empty.
+    """
     found = near_duplicates(docs, id_col, text_col, with_keys=True)
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("row_key")))["row_key"]
     linked = found.where("component is not null").groupBy("component").agg(first.alias("_key")).select("_key")
     keepers = materialize(linked.union(found.where("component is null").select(F.col("row_key").alias("_key"))).distinct(), "keepers")
-    return docs.withColumn("_key", row_key(id_col, text_col)).join(keepers, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(docs.columns)], row_key(id_col, text_col).alias("_key"))
+    return rows.join(keepers, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -16,12 +16,11 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import numbered_words, slices
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -112,7 +111,6 @@ class ChunkEncoder:
         self.last = np.array([vocab[c + suffix] for c in symbols], np.int32)
         self.most = most
         self.chunks = IdPool()
-        self.chunks.add([""], np.empty(0, np.uint32), np.zeros(1, np.int64))
         self.forget_words()
 
     def forget_words(self) -> None:
@@ -192,14 +190,11 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and where each text begins and ends in it."""
-        lists = pc.ascii_split_whitespace(texts)
-        coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        chunks, at, sizes = numbered_words(texts)
         known = len(self.chunks.place)
         self.add([c for c in chunks if c not in self.chunks.place])
-        ids, counts, _ = self.chunks.ids(chunks, coded.indices.to_numpy())
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        ids, counts, _ = self.chunks.ids(chunks, at)
+        bounds = np.append(0, np.cumsum(counts))[np.append(0, np.cumsum(sizes))]
         self.chunks.cut(max(known, self.most))
         return ids, bounds
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulelake.llm import audio, bytebpe, chat, lmscore, ngramjoin, packing, quality, secrets, sharding, toxicity
+from rulelake.llm import audio, blocks, bytebpe, chat, lmscore, ngramjoin, packing, quality, secrets, sharding, toxicity
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30000))
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -180,43 +180,106 @@ def test_quality_against_sql(docs, nothing, real, sf_dir):
     assert (few.n_repeat_words.values == want.n_repeat_words.values).all()
 
 
+def brute_lm(texts, train, discounts=lmscore.DISCOUNTS):
+    """Counts and scores by dictionaries: (n_tokens, n_known, train_tokens, base_score, score) of each text."""
+    rows = [(t or "").encode().lower().split() + [None] for t in texts]
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for ws, yes in zip(rows, train):
+        if yes:
+            one.update(ws)
+            two.update(zip(["start", *ws[:-1]], ws))
+            three.update(zip(["start", *ws[:-2]], ws[:-1], ws[1:]))
+    n, v = sum(one.values()), len(one)
+    p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    def share(c, k):
+        return discounts[k][0] + discounts[k][1] * c
+
+    out = []
+    for ws in rows:
+        score = 0
+        for i, w in enumerate(ws):
+            h = ws[i - 1] if i else "start"
+            c = one[h] if i else one[None]
+            q = (two[h, w] + share(c, 0) * p(w)) / (c + share(c, 0))
+            if i:
+                g = (ws[i - 2] if i > 1 else "start", h)
+                q = (three[*g, w] + share(two[g], 1) * q) / (two[g] + share(two[g], 1))
+            score += math.log10(q)
+        out.append((len(ws), sum(one[w] > 0 for w in ws), n, sum(math.log10(p(w)) for w in ws), score))
+    return out
+
+
 def test_lm_score(docs, nothing, real):
     for table in (docs, real):
-        table = table.select("doc_id", "text").withColumn("k", F.monotonically_increasing_id())
-        table = table.sparkSession.createDataFrame(table.collect(), "doc_id long, text string, k long")
-        got = {r.k: r for r in lmscore.score_documents(table, F.col("k") % 5 != 1, "k").collect()}
-        one, two, words = collections.Counter(), collections.Counter(), {}
-        for r in table.collect():
-            words[r.k] = (r.text or "").encode().lower().split() + [None]
-            if r.k % 5 != 1:
-                one.update(words[r.k])
-                two.update(zip(["start", *words[r.k][:-1]], words[r.k]))
-        n, v = sum(one.values()), len(one)
-        p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
-        assert got.keys() == words.keys()
-        for k, ws in words.items():
-            base = sum(math.log10(p(w)) for w in ws)
-            score = 0
-            for h, w in zip(["start", *ws[:-1]], ws):
-                c = one[None] if h == "start" else one[h]
-                m = lmscore.PRIOR + lmscore.WEIGHT * c
-                score += math.log10((two[h, w] + m * p(w)) / (c + m))
-            r = got[k]
-            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(one[w] > 0 for w in ws), n)
-            assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+        table = table.withColumn("k", F.monotonically_increasing_id()).withColumn("score", F.lit("clash"))
+        table = table.sparkSession.createDataFrame(table.collect(), table.schema)
+        got = {r.k: r for r in lmscore.score_documents(table, F.col("k") % 5 != 1, "k", block_bytes=200_000).collect()}
+        rows = table.collect()
+        want = brute_lm([r.text for r in rows], [r.k % 5 != 1 for r in rows])
+        assert len(got) == len(rows)
+        for r, (n, known, train, base, score) in zip(rows, want):
+            g = got[r.k]
+            assert (g.n_tokens, g.n_known, g.train_tokens) == (n, known, train)
+            assert g.base_score == pytest.approx(base) and g.score == pytest.approx(score)
     assert lmscore.score_documents(nothing, F.lit(True)).count() == 0
+    none = lmscore.score_documents(docs, F.lit(None).cast("boolean")).collect()
+    assert len(none) == docs.count() and all(r.train_tokens == 0 and r.n_known == 0 for r in none)
+
+
+def lm_block(texts):
+    return lmscore.Block(pa.array(texts), np.ones(len(texts), bool), 60)
 
 
 def test_lm_probabilities_sum_to_one():
-    texts = [b"a b a c", b"b a", b"c c a b"]
-    b = lmscore.Block(texts, np.array([True, True, True]))
-    counts = [b.own[0], b.own[1]]
+    b = lm_block(["a b a c", "b a", "c c a b", "a b a b"])
+    counts = [c.astype(np.uint64) for c in b.own]
     n, v = int(counts[0].sum()), int((counts[0] > 0).sum())
-    auto = b.automaton(counts, n, v, 5.0, 4.0)
+    auto = b.automaton(counts, n, v)
     unknown = 0.5 / (n + 0.5 * (v + 1))
-    for state in set(range(auto.n + 1)) - {b.end_word + 1}:  # nothing follows an end
-        total = sum(10 ** auto.arcs.get(state * auto.n + w, auto.fail[state] + auto.root[w]) for w in range(auto.n))
-        assert total + 10 ** auto.fail[state] * unknown == pytest.approx(1)
+
+    def step(state, w):
+        total = 0.0
+        while state != auto.n + 1:
+            arc = auto.arcs.get(state * auto.n + w)
+            if arc is not None:
+                return total + auto.weight[arc]
+            total += auto.fail[state]
+            state = auto.fail_to[state]
+        return total + auto.root[w]
+
+    ended = {auto.n + 2 + j for j in range(len(counts[1])) if auto.fail_to[auto.n + 2 + j] == b.end_word} | {b.end_word}  # nothing follows an end
+    chains = 0
+    for state in set(range(len(auto.fail))) - ended:
+        given_up, s = 0.0, state
+        while s != auto.n + 1:
+            given_up, s, chains = given_up + auto.fail[s], auto.fail_to[s], chains + 1
+        assert sum(10 ** step(state, w) for w in range(auto.n)) + 10**given_up * unknown == pytest.approx(1)
+    assert chains > len(auto.fail)
+
+
+def test_lm_orders_help_and_twice_stands_out(spark):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    mean = {}
+    for name, d in {"two": (lmscore.DISCOUNTS[0], (1e12, 0.0)), "three": lmscore.DISCOUNTS}.items():
+        r = lmscore.score_documents(big, ~held, discounts=d).where("not in_training").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+        mean[name], mean["one"] = r[0], r[1]
+    assert mean["one"] < mean["two"] < mean["three"]
+    texts = [" ".join(f"w{k}" for k in range(100 * i, 100 * i + 80)) for i in range(20)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:3])], "doc_id long, text string")
+    got = {r.doc_id: r.score / r.n_tokens for r in lmscore.score_documents(table, F.lit(True)).collect()}
+    assert min(got[i] for i in (0, 1, 2, 20, 21, 22)) > max(got[i] for i in range(3, 20))
+
+
+def test_counts_over_four_billion(spark):
+    """Corpus counts are 64-bit: two blocks' messages add up beyond 2^32, and narrower kinds stop at their greatest value."""
+    key, own = np.array([7], np.uint64), np.array([3_000_000_000], np.uint32)
+    rows = [(0, b, bytearray(blocks.squeeze(key)), bytearray(blocks.squeeze(own))) for b in (1, 2)]
+    messages = spark.createDataFrame(rows, "slot int, block long, keys binary, own binary")
+    got = blocks.answer(messages, 2).collect()
+    assert [blocks.expand(bytes(r.data), np.uint64).tolist() for r in got] == [[6_000_000_000]] * 2 and sum(r.total for r in got) == 6_000_000_000
+    assert [blocks.expand(bytes(r.data), np.uint16).tolist() for r in blocks.answer(messages, 2, np.uint16).collect()] == [[65535]] * 2
 
 
 def test_toxicity(spark, docs, nothing, real):
@@ -282,6 +345,20 @@ def test_ngram_join(spark, nothing, real, block):
     assert kept == {i for i, c in enumerate(comps) if i == c}
 
 
+def test_components_of_a_long_path(spark):
+    """The order 0, n, n - 1, .., 1 along a path gains one node a round where labels only spread to neighbours."""
+    n = 300
+    path = [(0, n)] + [(i, i - 1) for i in range(n, 1, -1)]
+    rows = path + [(1000 + i, 1000) for i in range(1, 50)] + [(5000, 5001), (5001, 5002), (5002, 5000), (7, 7)]
+    got = {r.node: r.label for r in ngramjoin.components(spark.createDataFrame(rows, "node long, least long")).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {1000 + i: 1000 for i in range(50)} | {5000: 5000, 5001: 5000, 5002: 5000}
+
+
+def test_keep_one_returns_clashing_columns(docs):
+    kept = {r.doc_id: r for r in ngramjoin.keep_one(docs).collect()}
+    assert kept[5]._key == 5 and kept[5]._id == "x" and kept[5].size == "s"
+
+
 def test_ngram_join_edges(docs, nothing):
     rows = ngramjoin.near_duplicates(docs).collect()
     assert len(rows) == docs.count()
