@@ -2,8 +2,9 @@
 
 Samples become pitch-class frames; an integral image over them gives every filter's box
 sums in four look-ups, and 16 filters of two bits pack each position into one 32-bit
-integer. Recordings are aligned by a histogram of the offsets at which they share
-integers, and judged by the bit errors of the aligned stretch.
+integer. An inverted index joins recordings and queries on their integers; a histogram of the
+offsets at which a pair shares integers gives the alignments to try, and the bit errors of the
+aligned stretch choose among them.
 """
 
 from __future__ import annotations
@@ -104,77 +105,59 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str, c: Chroma = Chro
     return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, fp binary").withColumnRenamed("_id", id_col)
 
 
-def align(a: np.ndarray, queries: list[np.ndarray], index: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> list[tuple[int, int, int, float]]:
-    """(query, offset, shared integers, bit error rate) for every query that shares `least` integers with a at its fullest offset.
+#: The integer of a position at which all is silent: every filter compares nothing with nothing.
+SILENCE = 0x55555555
 
-    index: all queries' integers in order, with their query's number and place.
-    """
-    values, owner, place = index
-    low, high = np.searchsorted(values, a, "left"), np.searchsorted(values, a, "right")
-    n = high - low
-    if not n.sum():
-        return []
-    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    offset = np.repeat(np.arange(len(a)), n) - place[at]
-    key, count = np.unique((owner[at].astype(np.int64) << 32) + (offset + (1 << 31)), return_counts=True)
-    q, off = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
-    order = np.lexsort((np.abs(off), -count, q))
-    first = order[np.unique(q[order], return_index=True)[1]]
-    out = []
-    for k in first[count[first] >= least]:
-        b, o = queries[q[k]], int(off[k])
-        lo, hi = max(0, o), min(len(a), len(b) + o)
-        wrong = np.bitwise_count(a[lo:hi] ^ b[lo - o : hi - o]).sum()
-        out.append((int(q[k]), o, int(count[k]), float(wrong) / (32 * (hi - lo))))
-    return out
 
+def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
+    """Share of wrong bits where b is laid over a at an offset."""
+    low, high = max(0, offset), min(len(a), len(b) + offset)
+    return float(np.bitwise_count(a[low:high] ^ b[low - offset : high - offset]).sum()) / (32 * (high - low))
 
-def search(prints: DataFrame, is_query, id_col: str, least: int = 3, most_error: float = 0.35, chunk: int = 1024) -> DataFrame:
+
+def search(prints: DataFrame, is_query, id_col: str, least: int = 3, most_error: float = 0.35, salts: int = 8) -> DataFrame:
     """Every recording against all queries (rows where the Column is_query holds).
 
     Returns ``<id_col>, n_items, fp_crc32, n_matches, best_query, best_offset, best_shared, best_error``.
-    n_matches counts query rows that align with an error of at most most_error, the row itself
-    included where it is one; the best has the least error, then the smallest id. Recordings with
-    equal fingerprints are compared once. Distinct queries and recordings meet in chunks of
-    `chunk`: chunk rows times chunk rows, so no task holds more than two chunks.
+    A pair aligns at each offset at which it shares at least `least` integers; the offset of least error
+    counts (then of most shared integers, then the nearest to 0). n_matches counts query rows with an error
+    of at most most_error, the row itself included where it is one; the best has the least error, then the
+    smallest id. Silent positions are in no alignment's count but in its error. Recordings with equal
+    fingerprints are compared once and each row gets its own answer. A null or too short recording has no
+    integers and no match; null ids are answered like others; an empty table gives no rows.
+
+    Integers are joined by value and one of `salts` numbers dealt to recordings, so a frequent integer is
+    met by several tasks; pairs are counted before any fingerprint is looked at.
     """
-    named = materialize(prints.select(F.col(id_col).alias("_id"), "fp", is_query.alias("_q"), F.xxhash64("fp").alias("_class")), "prints")
-    classes = named.groupBy("_class").agg(F.first("fp").alias("fp"), F.count_if("_q").alias("nq"), F.min(F.when(F.col("_q"), F.col("_id"))).alias("q"))
+    named = materialize(prints.select(F.col(id_col).alias("_id"), "fp", is_query.alias("_q"), F.unhex(F.sha2("fp", 256)).alias("_class")), "prints")
+    sound = named.where(F.octet_length("fp") > 0)
+    classes = materialize(sound.groupBy("_class").agg(F.first("fp").alias("fp"), F.count_if("_q").alias("nq"), F.min(F.when(F.col("_q"), F.col("_id"))).alias("q")), "print-classes")
     kind = named.schema["_id"].dataType.simpleString()
 
-    n, nq = classes.agg(F.count(F.lit(1)), F.count_if(F.col("nq") > 0)).first()
-
-    def packed(df: DataFrame, prefix: str, rows: int) -> DataFrame:
-        """Rows of about `chunk` of df's, as arrays; their number follows the data, not its partitions."""
-        one = df.groupBy(F.pmod(F.xxhash64("_class"), F.lit(max(1, math.ceil(rows / chunk)))).alias("_chunk")).agg(F.collect_list(F.struct(*df.columns)).alias("_l"))
-        return one.select(*[F.col(f"_l.{c}").alias(prefix + c) for c in df.columns])
+    def items(df: DataFrame, prefix: str) -> DataFrame:
+        value = lambda k: F.concat(*[F.substring("fp", 4 * k + 4 - i, 1) for i in range(4)])
+        places = F.transform(F.sequence(F.lit(0), (F.octet_length("fp") / 4).cast("int") - 1), lambda k: F.struct(k.alias("at"), F.conv(F.hex(value(k)), 16, 10).cast("long").alias("value")))
+        rows = df.select(F.col("_class").alias(f"{prefix}_class"), F.explode(places).alias("x"))
+        return rows.select(f"{prefix}_class", F.col("x.at").alias(f"{prefix}_at"), F.col("x.value").alias("value")).where(F.col("value") != SILENCE)
 
-    recs = packed(classes.select("_class", "fp"), "r_", n)
-    queries = packed(classes.where("nq > 0").select("_class", "q", "nq", "fp"), "q_", nq)
+    recs = items(classes, "r").withColumn("salt", F.pmod(F.xxhash64("r_class"), F.lit(salts)).cast("int"))
+    queries = items(classes.where("nq > 0"), "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    shared = recs.join(queries, ["value", "salt"]).groupBy("r_class", "q_class", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, fp, q, nq, qfp in zip(*(c.to_pylist() for c in batch.columns)):
-                prints_ = [np.frombuffer(x, "<u4") for x in qfp]
-                values = np.concatenate(prints_)
-                owner = np.repeat(np.arange(len(prints_)), [len(x) for x in prints_])
-                place = np.concatenate([np.arange(len(x)) for x in prints_])
-                o = np.argsort(values, kind="stable")
-                index = (values[o], owner[o], place[o])
-                rows = []
-                for c, x in zip(name, fp):
-                    good = [m for m in align(np.frombuffer(x, "<u4"), prints_, index, least) if m[3] <= most_error]
-                    if good:
-                        best = min(good, key=lambda m: (m[3], q[m[0]]))
-                        rows.append((c, sum(nq[m[0]] for m in good), q[best[0]], best[1], best[2], best[3]))
-                cols = list(zip(*rows)) if rows else [()] * 6
-                types = [pa.int64(), pa.int64(), batch.column(2).type.value_type, pa.int64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_class", "n", "q", "offset", "shared", "error"])
-
-    met = recs.crossJoin(queries).select("r__class", "r_fp", "q_q", "q_nq", "q_fp").repartition(max(8, min(10_000, math.ceil(n / chunk) * math.ceil(nq / chunk))))
-    found = met.mapInArrow(run, f"_class long, n long, q {kind}, offset long, shared long, error double")
-    best = found.groupBy("_class").agg(F.sum("n").alias("n"), F.min(F.struct("error", "q", "offset", "shared")).alias("b"))
-    out = named.join(materialize(best, "print-matches"), "_class", "left")
+            fp, qfp = ([np.frombuffer(x, "<u4") for x in batch.column(k).to_pylist()] for k in (0, 1))
+            errors = [bit_error(a, b, o) for a, b, o in zip(fp, qfp, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(errors, pa.float64())], ["offset", "shared", "_class", "q_class", "q", "nq", "error"])
+
+    side = classes.select(F.col("_class").alias("q_class"), F.col("fp").alias("q_fp"), "q", "nq").where("nq > 0")
+    laid = shared.join(classes.select(F.col("_class").alias("r_class"), "fp"), "r_class").join(side, "q_class").select("fp", "q_fp", "offset", "shared", F.col("r_class").alias("_class"), "q_class", "q", "nq")
+    errors = laid.mapInArrow(run, f"offset int, shared long, _class binary, q_class binary, q {kind}, nq long, error double").where(F.col("error") <= most_error)
+    alignment = F.struct("error", (-F.col("shared")).alias("less"), F.abs("offset").alias("far"), "offset", "q", "nq")
+    pairs = errors.groupBy("_class", "q_class").agg(F.min(alignment).alias("b")).select("_class", "b.*")
+    best = pairs.groupBy("_class").agg(F.sum("nq").alias("n"), F.min(F.struct("error", "q", "offset", (-F.col("less")).alias("shared"))).alias("b"))
+    matched = sound.join(materialize(best, "print-matches"), "_class", "left")
+    out = matched.unionByName(named.where(F.octet_length("fp") == 0), allowMissingColumns=True)
     return out.select(
         F.col("_id").alias(id_col), (F.octet_length("fp") / 4).cast("long").alias("n_items"), F.crc32("fp").alias("fp_crc32"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"),
         F.col("b.q").alias("best_query"), F.col("b.offset").alias("best_offset"), F.col("b.shared").alias("best_shared"), F.col("b.error").alias("best_error"),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 
 #: Bytes of text whose keys one range of the key space should hold.
-PART_BYTES = 32 << 20
+PART_BYTES = 12 << 20
 
 
 def squeeze(a: np.ndarray) -> bytes:

@@ -50,18 +50,31 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:
-    """Pairs from single conversations (conv_id, turn, role, text): the conversation as chosen; as rejected its
-    turns before the last assistant turn, answered by its first assistant turn, or by nothing where that is the last.
+    """Pairs from conversations (conv_id, turn, role, text): each conversation as chosen and another one as rejected.
 
-    Turns are ordered by (turn, role, text); rows with a null conv_id are one conversation. A conversation
-    is one record, so its own turns are gathered; conversations are not gathered with others.
+    The rejected one begins with the same turn: of those conversations that have an id the one of the least, or for that
+    one itself the one of the greatest. A conversation that begins like no other is answered by itself: its turns before the last
+    assistant turn, then its first assistant turn's text, or an empty text where that is the last; without an
+    assistant turn by nothing but itself. ``rejected_id`` names the other conversation, null for its own.
+
+    Turns are ordered by (turn, role, text); repeated turns stay. A null role is ``user``, a null text empty. A turn
+    without conv_id is a conversation of its own. An empty table gives no rows. A conversation is one record, so its
+    own turns are gathered; of those that begin alike only the first and the last are.
     """
-    one = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("_t"))
-    one = one.withColumn("chosen", F.expr("transform(_t, t -> named_struct('role', t.role, 'text', t.text))"))
-    one = one.withColumn("_a", F.expr("filter(transform(chosen, (t, i) -> if(t.role = 'assistant', i, -1)), i -> i >= 0)"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    named = turns.select("conv_id", turn.alias("_x"))
+    one = named.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("_x")).alias("_t"))
+    one = one.unionByName(named.where("conv_id is null").select("conv_id", F.array("_x").alias("_t")))
+    one = one.select("conv_id", F.expr("transform(_t, t -> named_struct('role', t.role, 'text', t.text))").alias("chosen")).withColumn("_key", F.unhex(F.sha2(F.expr("concat(chosen[0].role, char(0), chosen[0].text)"), 256)))
+    named_one = F.when(F.col("conv_id").isNotNull(), F.struct("conv_id", "chosen"))
+    ends = one.groupBy("_key").agg(F.min(named_one).alias("_low"), F.max(named_one).alias("_high"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    both = one.join(ends, "_key", "left")
+    first = F.col("_low.conv_id").eqNullSafe(F.col("conv_id"))
+    both = both.withColumn("_other", F.when(~first, F.col("_low")).when(F.col("_high.conv_id") != F.col("_low.conv_id"), F.col("_high")))
+    both = both.withColumn("_a", F.expr("filter(transform(chosen, (t, i) -> if(t.role = 'assistant', i, -1)), i -> i >= 0)"))
     reply = "if(size(_a) > 1, chosen[_a[0]].text, '')"
-    rejected = F.expr(f"if(size(_a) = 0, chosen, concat(slice(chosen, 1, element_at(_a, -1)), array(named_struct('role', 'assistant', 'text', {reply}))))")
-    return one.select("conv_id", "chosen", rejected.alias("rejected"))
+    own = F.expr(f"if(size(_a) = 0, chosen, concat(slice(chosen, 1, element_at(_a, -1)), array(named_struct('role', 'assistant', 'text', {reply}))))")
+    return both.select("conv_id", F.col("_other.conv_id").alias("rejected_id"), "chosen", F.when(F.col("_other").isNotNull(), F.col("_other.chosen")).otherwise(own).alias("rejected"))
 
 
 def op10_preferences(spark, sf_dir: str) -> DataFrame:
@@ -71,18 +84,23 @@ def op10_preferences(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 with t as (select conv_id, coalesce(role, 'user') as role, coalesce(text, '') as text,
-    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'user'), coalesce(text, '')) as i from conversations),
-a as (select conv_id, count(*) as n, max(case when role = 'assistant' then i end) as l, min(case when role = 'assistant' then i end) as f from t group by conv_id),
-w as (select t.conv_id, t.i, t.role, t.text, a.n, a.l, a.f from t join a on t.conv_id is not distinct from a.conv_id),
-b as (select conv_id, n, l, max(case when i = l then text end) as good, coalesce(max(case when i = f and f < l then text end), '') as bad from w group by conv_id, n, l),
-k as (select conv_id, l, bad, case when l is null then n when good = bad then l else l - 1 end as c from b),
-c as (select w.conv_id, w.i, w.role, w.text, k.c, '<|' || w.role || '|>' || chr(10) || w.text || '<|end|>' || chr(10) as r from w join k on w.conv_id is not distinct from k.conv_id),
-m as (select *, coalesce(sum(length(r)) over (partition by conv_id order by i rows between unbounded preceding and 1 preceding), 0) as off from c where i > c),
-p as (select conv_id, string_agg(r, '' order by i) as prompt from c where i <= c group by conv_id),
-g as (select conv_id, string_agg(r, '' order by i) as chosen_text,
-    string_agg(case when role = 'assistant' then cast(cast(off + length(role) + 5 as bigint) as varchar) || ':' || cast(cast(off + length(role) + 5 + length(text) as bigint) as varchar) end, ',' order by i) as chosen_mask from m group by conv_id)
-select k.conv_id, cast(k.c as int) as n_common, coalesce(p.prompt, '') as prompt, coalesce(g.chosen_text, '') as chosen_text,
-    case when k.l = k.c + 1 then '<|assistant|>' || chr(10) || k.bad || '<|end|>' || chr(10) else '' end as rejected_text,
-    coalesce(g.chosen_mask, '') as chosen_mask,
-    case when k.l = k.c + 1 then '14:' || cast(14 + length(k.bad) as varchar) else '' end as rejected_mask
-from k left join p on k.conv_id is not distinct from p.conv_id left join g on k.conv_id is not distinct from g.conv_id"""
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'user'), coalesce(text, '')) as i from conversations where conv_id is not null),
+k as (select conv_id, role, text from t where i = 1),
+e as (select role, text, min(conv_id) as low, max(conv_id) as high from k group by all),
+o as (select k.conv_id, case when e.low = e.high then null when k.conv_id = e.low then e.high else e.low end as other from k join e using (role, text)),
+a as (select conv_id, max(case when role = 'assistant' then i end) as l, min(case when role = 'assistant' then i end) as f from t group by conv_id),
+r as (select o.conv_id, t.i, t.role, t.text from o join t on t.conv_id = o.other
+  union all select o.conv_id, t.i, t.role, case when t.i = a.l then case when a.f < a.l then (select x.text from t x where x.conv_id = o.conv_id and x.i = a.f) else '' end else t.text end
+  from o join a on a.conv_id = o.conv_id join t on t.conv_id = o.conv_id where o.other is null and (a.l is null or t.i <= a.l)),
+d as (select coalesce(t.conv_id, r.conv_id) as conv_id, min(coalesce(t.i, r.i)) filter (t.conv_id is null or r.conv_id is null or t.role <> r.role or t.text <> r.text) as first,
+    count(*) as n from t full join r on r.conv_id = t.conv_id and r.i = t.i group by 1),
+c as (select conv_id, coalesce(first - 1, n) as c from d),
+s as (select 'c' as side, t.conv_id, t.i, t.role, t.text, c.c from t join c using (conv_id) union all select 'r', r.conv_id, r.i, r.role, r.text, c.c from r join c using (conv_id)),
+w as (select *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as line from s),
+m as (select *, coalesce(sum(length(line)) over (partition by side, conv_id order by i rows between unbounded preceding and 1 preceding), 0) + length(role) + 5 as pos from w where i > c),
+p as (select conv_id, string_agg(line, '' order by i) as prompt from w where side = 'c' and i <= c group by 1),
+g as (select side, conv_id, string_agg(line, '' order by i) as text,
+    string_agg(case when role = 'assistant' then cast(cast(pos as bigint) as varchar) || ':' || cast(cast(pos + length(text) as bigint) as varchar) end, ',' order by i) as mask from m group by 1, 2)
+select c.conv_id, o.other as rejected_id, cast(c.c as int) as n_common, coalesce(p.prompt, '') as prompt, coalesce(x.text, '') as chosen_text, coalesce(y.text, '') as rejected_text,
+    coalesce(x.mask, '') as chosen_mask, coalesce(y.mask, '') as rejected_mask
+from c join o using (conv_id) left join p using (conv_id) left join g x on x.side = 'c' and x.conv_id = c.conv_id left join g y on y.side = 'r' and y.conv_id = c.conv_id"""

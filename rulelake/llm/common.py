@@ -11,9 +11,6 @@ Conventions every operator keeps:
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,53 +19,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import forget, saved
+
 #: Bytes that separate words: \x20 and \x09-\x0D; bytes.split() uses the same set.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="rulelake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, lost executors do not matter."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/rulelake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(release_all)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._rulelake_path = path
-    return out
+    return saved(df, name, "zstd")
 
 
 def release(*tables: DataFrame) -> None:
     """Delete tables made by materialize() that no later plan reads."""
     for t in tables:
-        path = t._rulelake_path
-        spark = t.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        _written[:] = [x for x in _written if x[1] != path]
-
-
-def release_all() -> None:
-    """Delete what is left when the driver ends (results read lazily need their tables until then)."""
-    for spark, path in list(_written):
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM has gone first; the folder belongs to the cluster's clean-up
-            break
-    _written.clear()
+        forget(t.sparkSession, t._rulelake_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,6 +21,7 @@ chance under 2^-10 that one shares its bits with another of the corpus; its coun
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .common import materialize, numbered_words, total_bytes
 
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 4 << 20
 #: (prior, weight) of histories of one word and of two.
 DISCOUNTS = ((5.0, 1.0), (1.0, 0.25))
 
@@ -46,35 +47,43 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _packed(x: np.ndarray, kind: str) -> array:
+    return array(kind, x.astype(kind).tobytes())
+
+
 class BackoffAutomaton:
     """States with arcs and failure arcs; weights are log10 probabilities.
 
     States 0 to n - 1 are the words', n is the start of a text, n + 1 the root (reached by failure
-    alone), and n + 2 + j bigram j's. The root's arcs are the list `root`; every other arc is a
-    (state, word) with a weight and a state to go to.
+    alone), and n + 2 + j bigram j's. The root has an arc for every word. The arc out of a word's state, or out of the
+    start, that makes bigram j leads to that bigram's state; the arc out of a bigram's state that makes trigram k leads to the
+    state of k's last two words. Arcs are named by the n-gram they make, and a weight that is not a number is no arc.
     """
 
-    def __init__(self, root: np.ndarray, fail: np.ndarray, fail_to: np.ndarray, state: np.ndarray, word: np.ndarray, weight: np.ndarray, to: np.ndarray):
+    def __init__(self, root: np.ndarray, fail: np.ndarray, fail_to: np.ndarray, weight2: np.ndarray, weight3: np.ndarray, to3: np.ndarray):
         self.n = len(root)
-        self.root, self.fail, self.fail_to = root.tolist(), fail.tolist(), fail_to.tolist()
-        self.weight, self.to = weight.tolist(), to.tolist()
-        self.arcs = dict(zip((state * self.n + word).tolist(), range(len(state))))
+        self.root, self.fail, self.weight2, self.weight3 = (_packed(x, "d") for x in (root, fail, weight2, weight3))
+        self.fail_to, self.to3 = _packed(fail_to, "q"), _packed(to3, "q")
 
-    def score(self, words: list[int]) -> float:
-        """Log10 probability of a text's words, its end included."""
-        n, arcs, root, fail, fail_to, weight, to = self.n, self.arcs.get, self.root, self.fail, self.fail_to, self.weight, self.to
+    def score(self, words: list[int], pairs: list[int], triples: list[int]) -> float:
+        """Log10 probability of a text's words, its end included; pairs and triples number the n-grams that end at each word."""
+        n, root, fail, fail_to, weight2, weight3, to3 = self.n, self.root, self.fail, self.fail_to, self.weight2, self.weight3, self.to3
         total, state, bottom = 0.0, n, n + 1
-        for w in words:
-            while state != bottom:
-                arc = arcs(state * n + w)
-                if arc is not None:
-                    total += weight[arc]
-                    state = to[arc]
-                    break
+        for w, j, k in zip(words, pairs, triples):
+            if state > bottom:
+                weight = weight3[k]
+                if weight == weight:
+                    total += weight
+                    state = to3[k]
+                    continue
                 total += fail[state]
                 state = fail_to[state]
+            weight = weight2[j]
+            if weight == weight:
+                total += weight
+                state = n + 2 + j
             else:
-                total += root[w]
+                total += fail[state] + root[w]
                 state = w
         return total
 
@@ -136,17 +145,20 @@ class Block:
         # a shared hash may show a trigram more often than its history
         p3 = (three + m2[before] * p2[now]) / (np.maximum(two[before], three) + m2[before])
         seen2, seen3 = two > 0, (three > 0) & (two[before] > 0) & (two[now] > 0)
-        root = np.full(1, n + 1)
         return BackoffAutomaton(
             np.log10(p1),
             np.concatenate([np.log10(m1 / (history + m1)), [0.0], np.log10(m2 / (two + m2))]),
-            np.concatenate([np.repeat(root, n + 2), word[at]]),
-            np.concatenate([state1[seen2], n + 2 + before[seen3]]),
-            np.concatenate([word[at[seen2]], word[at3[seen3]]]),
-            np.log10(np.concatenate([p2[seen2], p3[seen3]])),
-            np.concatenate([n + 2 + np.flatnonzero(seen2), n + 2 + now[seen3]]),
+            np.concatenate([np.full(n + 2, n + 1), word[at]]),
+            np.where(seen2, np.log10(p2), np.nan),
+            np.where(seen3, np.log10(p3), np.nan),
+            n + 2 + now,
         )
 
+    def scores(self, automaton: BackoffAutomaton) -> list[float]:
+        triples = np.zeros(len(self.first), np.int64)  # never looked at where a text begins
+        triples[self.inner] = self.at[2]
+        return [automaton.score(*(x[a:b].tolist() for x in (self.at[0], self.at[1], triples))) for a, b in zip(self.starts, self.ends)]
+
 
 def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, discounts=DISCOUNTS) -> DataFrame:
     """``<id_col>, in_training, n_tokens, n_known, train_tokens, base_score, score`` for every row.
@@ -185,7 +197,7 @@ def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id",
         auto = b.automaton(counts, n_tokens, n_types, discounts)
         c = counts[0][b.at[0]]
         base = np.log10((c + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
-        scores = [auto.score(b.at[0][s:e].tolist()) for s, e in zip(b.starts, b.ends)]
+        scores = b.scores(auto)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(b.sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), b.starts)), pa.array([n_tokens] * len(scores), pa.int64()), pa.array(np.add.reduceat(base, b.starts)), pa.array(scores, pa.float64())],
             ["_id", "in_training", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import CLASSES
+from .secrets import ALLOWED, CLASSES, LEAST, PLACEHOLDERS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,19 +34,23 @@ def op3_sql() -> str:
     names = " ".join(f"when {i} then '{c.name}'" for i, c in enumerate(CLASSES))
     window = " ".join(f"when {i} then {c.window}" for i, c in enumerate(CLASSES))
     bits = " ".join(f"when {i} then {c.bits}::double" for i, c in enumerate(CLASSES))
-    allowed = "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and not regexp_matches(m, '(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$') and not regexp_matches(m, '^[0-9]{4}-[0-9]{2}-[0-9]{2}.*$') and not regexp_matches(m, '^/?([A-Za-z]+[0-9]{0,3}/)+[A-Za-z]+[0-9]{0,3}/?$') and not regexp_matches(m, '(?i)(example|sample|placeholder|dummy|changeme|xxxxx)')"
+    allowed = " and ".join(f"not regexp_matches(m, '{p}')" for p in ALLOWED)
+    made_up = f"[A-Za-z0-9]*(?i:{PLACEHOLDERS})[A-Za-z0-9]*"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 {_found('a', _ASSIGN, 2)},
 {_found('k', 'AKIA[A-Z0-9]+')},
 {_found('h', '[0-9a-f]+')},
-{_found('c', '[A-Za-z0-9+/_=-]+')},
-q as (select doc_id, j, m, s, case {kind} end as c from c where length(m) >= 24 and {allowed}),
-z as (select doc_id, j, m, s, c, case c {window} end as w, unnest(range(1, length(m) - case c {window} end + 2)) as i from q),
-y as (select doc_id, j, s, c, w, i, unnest(string_split(substr(m, i, w), '')) as ch from z),
-x as (select doc_id, j, s, c, w, i, ch, count(*) as n from y group by all),
-u as (select doc_id, j, s, c, w, i, -sum(n / w::double * log2(n / w::double)) as bits from x group by all),
-v as (select doc_id, s + min(i) - 1 as s, s + max(i) - 1 + w as e, c from u where bits >= case c {bits} end - 1e-9 group by doc_id, j, s, c, w),
+pieces as (select doc_id, j, g[j] as t, coalesce(list_sum([length(x) for x in g[1:j - 1]]), 0)::bigint + coalesce(list_sum([length(x) for x in f[1:j - 1]]), 0)::bigint as pos
+  from (select doc_id, g, f, unnest(range(1, len(g) + 1)) as j from (select doc_id, string_split_regex(t, '{made_up}') as g, regexp_extract_all(t, '{made_up}') as f from d))),
+c as (select doc_id, piece, j, m[j] as m, pos + coalesce(list_sum([length(x) for x in b[1:j]]), 0)::bigint + coalesce(list_sum([length(x) for x in m[1:j - 1]]), 0)::bigint as s from
+  (select doc_id, piece, pos, m, b, unnest(range(1, len(m) + 1)) as j from (select doc_id, j as piece, pos, regexp_extract_all(t, '[A-Za-z0-9+/_=-]+') as m, string_split_regex(t, '[A-Za-z0-9+/_=-]+') as b from pieces))),
+q as (select doc_id, piece, j, m, s, case {kind} end as c from c where length(m) >= {LEAST} and {allowed}),
+z as (select doc_id, piece, j, m, s, c, case c {window} end as w, unnest(range(1, length(m) - case c {window} end + 2)) as i from q),
+y as (select doc_id, piece, j, s, c, w, i, unnest(string_split(substr(m, i, w), '')) as ch from z),
+x as (select doc_id, piece, j, s, c, w, i, ch, count(*) as n from y group by all),
+u as (select doc_id, piece, j, s, c, w, i, -sum(n / w::double * log2(n / w::double)) as bits from x group by all),
+v as (select doc_id, s + min(i) - 1 as s, s + max(i) - 1 + w as e, c from u where bits >= case c {bits} end - 1e-9 group by doc_id, piece, j, s, c, w),
 f as (select doc_id, s, 0 as o, s + length(m) as e, 'assign' as kind from a where length(v) >= 6
   union all select doc_id, s, 1, s + length(m), 'access' from k where length(m) >= 20
   union all select doc_id, s, 2, s + length(m), 'hex' from h where length(m) >= 24

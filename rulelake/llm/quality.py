@@ -76,9 +76,11 @@ def with_repeat_words(df: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 
 def measures(docs: DataFrame, text_col: str = "text", stop_words=STOP_WORDS, hash_bits: int = 64) -> DataFrame:
-    """docs plus the struct column ``quality_measures`` and ``_part``, whose expression depends on the task: a filter on
-    the measures is therefore not pushed below them, where it would have to work them out again. A null text has no words and all ratios 0."""
-    docs = docs.drop("quality_measures", "quality_failed", "quality_kept", "_part")
+    """docs plus the struct column ``quality_measures``. A null text has no words and all ratios 0.
+
+    Write the result before filtering by the measures: a filter is pushed below the projection and works them out again.
+    """
+    docs = docs.drop("quality_measures", "quality_failed", "quality_kept")
     kept = [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(docs.columns)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(*kept, text.alias("_text"))
@@ -102,7 +104,7 @@ def measures(docs: DataFrame, text_col: str = "text", stop_words=STOP_WORDS, has
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"]
     ratios = {"repeat_ratio": ("n_repeat_words", "n_words"), "mean_word_length": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "bullet_ratio": ("_bullets", "n_lines"), "ellipsis_ratio": ("_ellipses", "n_lines")}
     packed = F.struct(*names, *[ratio(*ab).alias(k) for k, ab in ratios.items()])
-    return counts.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)], packed.alias("quality_measures"), F.spark_partition_id().alias("_part"))
+    return counts.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)], packed.alias("quality_measures"))
 
 
 def compile_rules(rules=RULES, measures_col: str = "quality_measures") -> tuple[Column, Column]:
@@ -124,7 +126,7 @@ def judge(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     empty table stays empty; other columns pass through untouched.
     """
     kept, failed = compile_rules(rules)
-    return measures(docs, text_col).withColumns({"quality_failed": failed, "quality_kept": kept & (F.col("_part") >= 0)}).drop("_part")
+    return measures(docs, text_col).withColumns({"quality_failed": failed, "quality_kept": kept})
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

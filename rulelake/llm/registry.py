@@ -1,9 +1,7 @@
-"""Queries and SQL oracles of the training-data operators."""
+"""Queries and SQL oracles of the training-data operators; the pipeline's are in corpus_pipeline at the repository's top."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import audio, bytebpe, chat, lmscore, ngramjoin, oracles, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
@@ -17,6 +15,5 @@ QUERIES = {
     "op8_ngram_join": ngramjoin.op8_ngram_join,
     "op9_byte_bpe": bytebpe.op9_byte_bpe,
     "op10_preferences": chat.op10_preferences,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op3_secrets": oracles.op3_sql(), "op5_quality": quality.op5_sql(), "op8_ngram_join": oracles.OP8_SQL, "op10_preferences": chat.OP10_SQL}

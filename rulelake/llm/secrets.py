@@ -1,11 +1,12 @@
 """Secret scans with DataFrame functions only.
 
 Two detectors share one row: named patterns (assignments, access keys, hex runs) and a
-sliding-window Shannon entropy over candidate strings. A candidate is a maximal run of
-base64-like characters; its character class (hex, alnum, base64) sets the window and the
-bits it must reach. The entropy is kept by incremental counts: a step adds the entering
-character and takes the leaving one, changing two terms of sum(c log2 c). Candidates that
-match an allow-list entry are not scanned. Offsets are code points, end exclusive.
+sliding-window Shannon entropy over candidate strings. A candidate is a run of base64-like
+characters of at least the window's length, cut where a segment (letters and digits between
+separators) holds a placeholder word; its character class (hex, alnum, base64) sets the window
+and the bits it must reach. The entropy is kept by incremental counts: a step adds the entering
+character and takes the leaving one, changing two terms of sum(c log2 c). Candidates that match
+an allow-list entry as a whole are not scanned. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -15,11 +16,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import sql_text, sums_before
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+"
 ASSIGN_LEAST = 6
+#: Words that mark a segment as made up.
+PLACEHOLDERS = "example|sample|placeholder|dummy|changeme|xxxxx"
+#: Runs of separators and of segments without a placeholder.
+CANDIDATE = rf"(?:[+/_=-]|(?<![A-Za-z0-9])(?![A-Za-z0-9]*?(?i:{PLACEHOLDERS}))[A-Za-z0-9]++)++"
+LEAST = 24
 
 
 @dataclass(frozen=True)
@@ -37,34 +44,30 @@ CLASSES = (
     EntropyClass("entropy_alnum", "^[0-9A-Za-z]+$", 24, 3.75),
     EntropyClass("entropy_base64", "^[A-Za-z0-9+/_=-]+$", 24, 4.0),
 )
-#: What looks random and is not a secret: no digit or no letter at all, identifiers, dates, paths, placeholders.
+#: Whole candidates that look random and are not secrets: no digit or no letter at all, identifiers, dates with times, paths.
 ALLOWED = (
     "^[^0-9]+$",
     "^[^A-Za-z]+$",
     "(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
-    "^[0-9]{4}-[0-9]{2}-[0-9]{2}.*$",
+    "^[0-9]{4}-[0-9]{2}-[0-9]{2}[-_+TZ0-9]*$",
     "^/?([A-Za-z]+[0-9]{0,3}/)+[A-Za-z]+[0-9]{0,3}/?$",
-    "(?i)(example|sample|placeholder|dummy|changeme|xxxxx)",
 )
 
 
-def _spans(text: str, regex: str, found: str, kind: str, order: int, ok: str = "true", extra: str = "null") -> str:
-    """SQL for the spans of the matches in `found` (all matches of regex), as array<struct<s, o, e, kind, x>>.
+def _spans(df: DataFrame, name: str, text: str, regex: str, found: str, kind: str, order: str, ok: str = "true", first: str = "0", last: str | None = None) -> DataFrame:
+    """Add the column `name`: spans of the matches in `found` (all matches of regex), as array<struct<s, o, e, kind>>.
 
-    The text between matches comes from splitting by the same regex; starts follow by adding lengths up.
+    The text between matches comes from splitting by the same regex; starts follow by adding lengths up. kind, order,
+    ok, first and last are SQL over the match's number j; first and last are offsets inside the match (default: all of it).
     """
-    parts = f"split({text}, {regex}, -1)"
-    step = (
-        f"transform(array(a.at + char_length(p[j])), s -> named_struct('at', s + char_length({found}[j]), 'out', "
-        f"if({ok}, concat(a.out, array(named_struct('s', s, 'o', {order}, 'e', s + char_length({found}[j]), 'kind', {kind}, 'x', {extra}))), a.out)))[0]"
-    )
-    empty = "cast(array() as array<struct<s: int, o: int, e: int, kind: string, x: string>>)"
-    fold = f"aggregate(sequence(0, size({found}) - 1), named_struct('at', 0, 'out', {empty}), (a, j) -> {step}, a -> a.out)"
-    return f"if(size({found}) = 0, {empty}, transform(array({parts}), p -> {fold})[0])"
-
-
-def _lit(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    gaps, at = f"{name}_gaps", f"{name}_at"
+    df = df.withColumn(gaps, F.expr(f"if(size({found}) = 0, cast(array() as array<int>), transform(split({text}, {sql_text(regex)}, -1), p -> char_length(p)))"))
+    df = df.withColumn(at, F.expr(sums_before(f"transform({found}, (f, j) -> {gaps}[j] + char_length(f))")))
+    end = last or f"char_length({found}[j])"
+    one = f"named_struct('s', {at}[j] + {gaps}[j] + {first}, 'o', {order}, 'e', {at}[j] + {gaps}[j] + {end}, 'kind', {kind})"
+    some = f"filter(sequence(0, size({found}) - 1), j -> {ok})"
+    empty = "cast(array() as array<struct<s: int, o: int, e: int, kind: string>>)"
+    return df.withColumn(name, F.expr(f"if(size({found}) = 0, {empty}, transform({some}, j -> {one}))")).drop(gaps, at)
 
 
 def _hot(cand: str, window: str, bits: str) -> str:
@@ -89,29 +92,28 @@ def scan(docs: DataFrame, text_col: str = "text", classes=CLASSES, allowed=ALLOW
 
     Kinds are assign, access, hex and the entropy classes. A null or empty text has no spans;
     an empty table stays empty; repeated rows are scanned each for itself. Entropy spans may
-    overlap named ones: both stay.
+    overlap named ones: both stay. Strings of under 24 base64-like characters have no window, so
+    only the named patterns find them. Of a long run that joins a placeholder or a date to other
+    characters, the rest is scanned. An input column ``secrets`` is replaced.
     """
     docs = docs.drop("secrets")
     kept = [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(docs.columns)]
-    df = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    df = docs.select(*kept, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     every = lambda p, g=0: F.regexp_extract_all("_text", F.lit(p), F.lit(g))
     df = df.withColumns({"_fa": every(ASSIGN), "_fk": every(ACCESS), "_fh": every(HEX), "_fc": every(CANDIDATE)})
     df = df.withColumn("_g2", F.when(F.size("_fa") > 0, every(ASSIGN, 2)).otherwise(F.array().cast("array<string>")))
-    skip = " or ".join(f"rlike(c, {_lit(p)})" for p in allowed) or "false"
-    pick = lambda what: "case " + " ".join(f"when rlike(c, {_lit(k.pattern)}) then {what(k)}" for k in classes) + " end"
-    meta = f"named_struct('w', {pick(lambda k: str(k.window))}, 'b', {pick(lambda k: f'{k.bits}D')}, 'k', {pick(lambda k: _lit(k.name))}, 'o', {pick(lambda k: str(3 + list(classes).index(k)))})"
+    skip = " or ".join([f"char_length(c) < {LEAST}", *(f"rlike(c, {sql_text(p)})" for p in allowed)])
+    pick = lambda what: "case " + " ".join(f"when rlike(c, {sql_text(k.pattern)}) then {what(k)}" for k in classes) + " end"
+    meta = f"named_struct('w', {pick(lambda k: str(k.window))}, 'b', {pick(lambda k: f'{k.bits}D')}, 'k', {pick(lambda k: sql_text(k.name))}, 'o', {pick(lambda k: str(3 + list(classes).index(k)))})"
     candidate = f"if({skip}, null, transform(array({meta}), m -> named_struct('h', {_hot('c', 'm.w', 'm.b')}, 'k', m.k, 'o', m.o))[0])"
     df = df.withColumn("_hot", F.expr(f"transform(_fc, c -> {candidate})"))
-    df = df.withColumns(
-        {
-            "_sa": F.expr(_spans("_text", _lit(ASSIGN), "_fa", "'assign'", 0, ok=f"char_length(_g2[j]) >= {ASSIGN_LEAST}")),
-            "_sk": F.expr(_spans("_text", _lit(ACCESS), "_fk", "'access'", 1)),
-            "_sh": F.expr(_spans("_text", _lit(HEX), "_fh", "'hex'", 2)),
-            "_se": F.expr(_spans("_text", _lit(CANDIDATE), "_fc", "_hot[j].k", 9, ok="_hot[j].h.first is not null", extra="cast(j as string)")),
-        }
-    )
-    hot = "transform(_se, x -> named_struct('s', x.s + _hot[cast(x.x as int)].h.first, 'o', _hot[cast(x.x as int)].o, 'e', x.s + _hot[cast(x.x as int)].h.last, 'kind', x.kind, 'x', cast(null as string)))"
-    df = df.withColumn("_all", F.expr(f"array_sort(concat(_sa, _sk, _sh, {hot}))"))
+    df = _spans(df, "_sa", "_text", ASSIGN, "_fa", "'assign'", "0", ok=f"char_length(_g2[j]) >= {ASSIGN_LEAST}")
+    df = _spans(df, "_sk", "_text", ACCESS, "_fk", "'access'", "1")
+    df = _spans(df, "_sh", "_text", HEX, "_fh", "'hex'", "2")
+    # most texts have no hot candidate: they are not split
+    df = df.withColumn("_fe", F.expr("if(exists(_hot, h -> h.h.first is not null), _fc, cast(array() as array<string>))"))
+    df = _spans(df, "_se", "_text", CANDIDATE, "_fe", "_hot[j].k", "_hot[j].o", ok="_hot[j].h.first is not null", first="_hot[j].h.first", last="_hot[j].h.last")
+    df = df.withColumn("_all", F.expr("array_sort(concat(_sa, _sk, _sh, _se))"))
     out = F.expr("transform(_all, x -> named_struct('start', x.s, 'end', x.e, 'kind', x.kind))")
     return df.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)], out.alias("secrets"))
 
@@ -121,17 +123,23 @@ def joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
 
 
-def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace every reported span of the text by `mark`, overlapping spans by one; drops ``secrets``."""
-    merge = (
-        "aggregate(secrets, cast(array() as array<struct<s: int, e: int>>), (a, x) -> "
-        "if(size(a) > 0 and x.start <= element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.end)))), "
-        "concat(a, array(named_struct('s', x.start, 'e', x.end)))))"
-    )
-    df = scanned.withColumn("_gaps", F.expr(merge))
-    before = f"transform(_gaps, (g, i) -> concat(substring(`{text_col}`, if(i = 0, 0, _gaps[i - 1].e) + 1, g.s - if(i = 0, 0, _gaps[i - 1].e)), {_lit(mark)}))"
-    text = F.expr(f"if(size(_gaps) = 0, `{text_col}`, concat(array_join({before}, ''), substring(`{text_col}`, element_at(_gaps, -1).e + 1)))")
-    return df.withColumn(text_col, text).drop("_gaps", "secrets")
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span that scan() reports replaced by `mark`, spans that meet or overlap by one.
+
+    All columns, whatever their names, come back as they were but for the text; a null text stays null,
+    a text without spans as it is, and an empty table empty.
+    """
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    text = f"_c{docs.columns.index(text_col)}"
+    df = scan(named, text)
+    # spans come ordered by start: a gap begins with one that no earlier span reaches and ends where the last before the next gap does
+    df = df.withColumn("_reach", F.expr(sums_before("transform(secrets, x -> x.end)", "-1", "greatest({0}, {1})")))
+    df = df.withColumn("_begin", F.expr("filter(transform(secrets, (x, i) -> if(x.start > _reach[i], i, -1)), i -> i >= 0)"))
+    end = "if(k < size(_begin) - 1, _reach[_begin[k + 1]], greatest(_reach[size(secrets) - 1], secrets[size(secrets) - 1].end))"
+    df = df.withColumn("_gaps", F.expr(f"transform(_begin, (i, k) -> named_struct('s', secrets[i].start, 'e', {end}))"))
+    before = f"transform(_gaps, (g, i) -> concat(substring({text}, if(i = 0, 0, _gaps[i - 1].e) + 1, g.s - if(i = 0, 0, _gaps[i - 1].e)), {sql_text(mark)}))"
+    new = F.expr(f"if(size(_gaps) = 0, {text}, concat(array_join({before}, ''), substring({text}, element_at(_gaps, -1).e + 1)))")
+    return df.select(*[(new if f"_c{i}" == text else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,13 @@ Noisy channel: an observed token is a lattice of hidden characters. Leetspeak ch
 stand for the letters they imitate, separators and blanks inside a spelled-out word for
 nothing, and repeats for one letter. Viterbi finds the hidden word of the lattice that is
 likeliest under a character trigram model. The model and the features' statistics are
-counted over all labelled training rows; a logistic model over the selected features is
-fitted on a bounded sample of them (`fit_rows`) and scores the restored text of every row.
+counted over every word of all labelled training rows; a logistic model over the selected features
+is fitted on a bounded sample of them (`fit_rows`) and scores the restored text of every row.
+
+A feature is the prefix of a word that tells toxic rows best among the prefixes of its stem. It is
+chosen by the lower confidence bound of its smoothed log-odds, which depends on rates and their
+sampling error: a bar that is the same at every size. `n_features` bounds the model that is sent to
+the executors; the strongest evidence comes first.
 """
 
 from __future__ import annotations
@@ -184,8 +189,11 @@ class Scorer:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Newton steps for a ridge-penalised logistic model; the bias is not penalised."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Newton steps for a ridge-penalised logistic model; the bias is not penalised. Equal rows are one row with a weight."""
+    rows, number = np.unique(np.packbits(x.astype(bool), axis=1), axis=0, return_inverse=True) if x.shape[1] else (np.zeros((1, 0), np.uint8), np.zeros(len(y), int))
+    n = np.bincount(number.ravel(), minlength=len(rows)).astype(float)
+    ones = np.bincount(number.ravel(), weights=y, minlength=len(rows))
+    x = np.hstack([np.unpackbits(rows, axis=1)[:, : x.shape[1]].astype(float), np.ones((len(rows), 1))])
     w = np.zeros(x.shape[1])
     rate = (y.sum() + 0.5) / (len(y) + 1)
     w[-1] = math.log(rate / (1 - rate))
@@ -194,13 +202,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int =
 
     def loss(w):
         z = x @ w
-        return np.logaddexp(0, z).sum() - y @ z + (penalty * w * w).sum() / 2
+        return n @ np.logaddexp(0, z) - ones @ z + (penalty * w * w).sum() / 2
 
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - penalty * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        grad = x.T @ (ones - n * p) - penalty * w
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         size = 1.0
         while size > 1e-4 and loss(w + size * step) > now:
@@ -212,17 +220,34 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int =
     return w[:-1], float(w[-1])
 
 
+def one_a_stem(names: list[str], most: int) -> list[str]:
+    """The first `most` names of which none is a prefix of an earlier one or has an earlier one as its prefix."""
+    chosen: list[str] = []
+    heads: set[str] = set()
+    taken: set[str] = set()
+    for x in names:
+        if len(chosen) == most:
+            break
+        if x in heads or any(x[:k] in taken for k in range(1, len(x) + 1)):
+            continue
+        chosen.append(x)
+        taken.add(x)
+        heads.update(x[:k] for k in range(1, len(x)))
+    return chosen
+
+
 def bucket(id_col: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_features: int = 128, fit_rows: int = 20_000, z_least: float = 4.0) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_features: int = 512, fit_rows: int = 20_000, least_rows: int = 4, bar: float = 0.75) -> Scorer:
     """Learn from the rows of docs whose id has a label (repeated label rows: the largest; null labels are left out).
 
-    Character and feature statistics cover all such rows; the logistic weights are fitted on about
-    `fit_rows` of them, chosen by a hash of the id. Without labelled rows every score is 0.5 or the
-    labels' base rate.
+    Character and feature statistics cover every word of all such rows, whatever their partitions; the
+    logistic weights are fitted on about `fit_rows` of them, chosen by a hash of the id. A feature needs
+    `least_rows` toxic rows and log-odds of at least `bar` at their lower confidence bound. Without
+    labelled rows every score is 0.5 or the labels' base rate.
     """
     ones = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     slim = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text"))
@@ -231,15 +256,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
-        chars: Counter = Counter()
-        plain: dict[bytes, tuple[str, ...]] = {}
+        said: Counter = Counter()
+        plain: dict[bytes, tuple[tuple[str, ...], tuple[str, ...]]] = {}
         totals = [0, 0]
 
         def flush():
+            chars: Counter = Counter()
+            for w, n in said.items():
+                for t in trigrams(w):
+                    chars[t] += n
             pairs = [*counts.items(), *((f"\x01{t}", [n, 0, 0, 0, 0, 0]) for t, n in chars.items()), ("\x02", [totals[0], totals[1], 0, 0, 0, 0])]
             cols = [pa.array([v[k] for _, v in pairs], pa.int64()) for k in range(6)]
             counts.clear()
-            chars.clear()
+            said.clear()
             totals[:] = [0, 0]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), *cols], ["key", "a0", "a1", "a2", "b0", "b1", "b2"])
 
@@ -251,12 +280,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         found = plain.get(token)
                         if found is None:
                             words = restore(token, None)
-                            for w in words:
-                                chars.update(trigrams(w))
-                            found = tuple(features(words))
-                            if len(plain) < 200_000:
+                            found = tuple(words), tuple(features(words))
+                            if len(plain) < 200_000:  # remembers what a token splits into; every occurrence counts
                                 plain[token] = found
-                        for f in found:
+                        for w in found[0]:
+                            said[w] += n
+                        for f in found[1]:
                             seen[f] += n
                     base = 0 if y else 3
                     totals[0 if y else 1] += 1
@@ -267,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         for k, least in enumerate(TIMES):
                             if n >= least:
                                 got[base + k] += 1
-                if len(counts) > 400_000:
+                if len(counts) + len(said) > 500_000:
                     yield flush()
         yield flush()
 
@@ -281,13 +310,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rate = (n1 + 0.5) / (n1 + n0 + 1)
         return Scorer(chars, [], np.zeros((0, len(TIMES))), math.log(rate / (1 - rate)))
 
+    def odds(a: str, b: str):
+        """Log-odds of a feature in toxic against clean rows, and less by 1.64 standard errors."""
+        p, q = F.col(a) + 0.5, F.col(b) + 0.5
+        return F.log(p / q) + math.log((n0 + 1) / (n1 + 1)) - 1.64 * F.sqrt(1 / p + 1 / q)
+
     def z(a: str, b: str):
         p, q = (F.col(a) + 0.5) / (n1 + 1), (F.col(b) + 0.5) / (n0 + 1)
         return (p - q) / F.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0 + F.lit(1e-12))
 
-    best = F.greatest(z("a0", "b0"), z("a1", "b1"), z("a2", "b2"))
-    chosen = stats.where(~F.col("key").startswith("\x01") & (F.col("key") != "\x02") & (F.col("a0") >= 3)).select("key", best.alias("z")).where(F.col("z") >= z_least)
-    names = [r.key for r in chosen.orderBy(F.desc("z"), "key").limit(n_features).collect()]
+    words = stats.where(~F.col("key").startswith("\x01") & (F.col("key") != "\x02"))
+    good = [(F.col(f"a{k}") >= least_rows) & (odds(f"a{k}", f"b{k}") >= bar) for k in range(len(TIMES))]
+    best = F.greatest(*[F.when(g, z(f"a{k}", f"b{k}")) for k, g in enumerate(good)])
+    ranked = words.select("key", F.round(best, 9).alias("z")).where("z is not null").orderBy(F.desc("z"), "key")
+    # a stem has at most len(PREFIXES) lengths above its shortest, so this many hold n_features stems
+    names = one_a_stem([r.key for r in ranked.limit(8 * n_features).collect()], n_features)
     draft = Scorer(chars, names, np.zeros((len(names), len(TIMES))), 0.0)
     share = max(1, math.ceil((n1 + n0) / fit_rows))
 
@@ -298,10 +335,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["y", "i", "n"])
 
     sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(share)) == 0).mapInArrow(seen, "y int, i array<int>, n array<int>").toPandas()
-    x = np.zeros((len(sample), len(names) * len(TIMES)))
+    x = np.zeros((len(sample), len(names) * len(TIMES)), bool)
     for r, (i, n) in enumerate(zip(sample["i"], sample["n"])):
         for k, least in enumerate(TIMES):
-            x[r, np.asarray(i, np.int64)[np.asarray(n) >= least] * len(TIMES) + k] = 1
+            x[r, np.asarray(i, np.int64)[np.asarray(n) >= least] * len(TIMES) + k] = True
     w, bias = fit_logistic(x, (sample["y"].to_numpy() > 0).astype(float))
     release(rows, stats)
     return Scorer(chars, names, w.reshape(len(names), len(TIMES)), bias)
