@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Comparison words and symbols.
 OPERATORS = {"==": "eq", "!=": "ne", ">": "gt", "<": "lt", ">=": "ge", "<=": "le", "eq": "eq", "ne": "ne", "gt": "gt", "lt": "lt", "ge": "ge", "le": "le", "contains": "contains", "starts_with": "starts_with", "ends_with": "ends_with", "matches": "matches"}
-#: What marks a constant as sensitive.
-SENSITIVE = ("password", "secret", "token", "api_key", "private_key", "credential")
 
 
 def bound(name: str, bindings: str = "bindings") -> Column:
@@ -75,7 +74,7 @@ def max_lines(value: Column, most: int) -> Column:
 
 def expression(text: str, bindings: str = "bindings") -> Column:
     """A comparison expression over metavariables, compiled from a whitelist of Python syntax: int float str len,
-    arithmetic, comparisons, in, and or not, re.match. Anything else raises ValueError."""
+    today strptime (dates as yyyy-MM-dd), arithmetic, comparisons, in, and or not, re.match. Anything else raises ValueError."""
     import ast
 
     names: dict[str, str] = {}
@@ -91,6 +90,10 @@ def expression(text: str, bindings: str = "bindings") -> Column:
         if isinstance(n, ast.Call):
             f = n.func.id if isinstance(n.func, ast.Name) else f"{n.func.value.id}.{n.func.attr}" if isinstance(n.func, ast.Attribute) and isinstance(n.func.value, ast.Name) else "?"
             a = [go(x) for x in n.args]
+            if f == "today":
+                return F.date_format(F.current_date(), "yyyy-MM-dd")
+            if f == "strptime":
+                return F.date_format(F.try_to_timestamp(a[0], F.lit("yyyy-MM-dd")), "yyyy-MM-dd")
             if f == "len":
                 return F.char_length(a[0])
             if f in ("int", "float", "str"):
@@ -128,17 +131,50 @@ def expression(text: str, bindings: str = "bindings") -> Column:
     return F.coalesce(go(ast.parse(plain.strip(), mode="eval")), F.lit(False))
 
 
+def node_attribute(name: str, value: str) -> Column:
+    """A node's type, text or number of children equals a value; a missing text and an unknown attribute are false."""
+    if name == "type":
+        return F.coalesce(F.col("node_type") == value, F.lit(False))
+    if name == "text":
+        return F.coalesce(F.col("text") == value, F.lit(False))
+    if name == "child_count" and value.isdigit():
+        return F.coalesce(F.col("child_count") == int(value), F.lit(False))
+    return F.lit(False)
+
+
+def text_holds(value: str) -> Column:
+    """The rule executor's reading of a node condition: the node's text contains the value."""
+    return F.coalesce(F.contains("text", F.lit(value)), F.lit(False))
+
+
+def every(tests: list[Column]) -> Column:
+    """All conditions hold; true where there are none."""
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def some(tests: list[Column]) -> Column:
+    """Any condition holds; false where there are none."""
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def context_is(key: str, value: str, column: str = "context") -> Column:
+    """Rows whose context map has a value under a key; a missing key is false."""
+    return F.coalesce(F.col(column)[F.lit(key)] == value, F.lit(False))
+
+
 def clause_column(clause: dict) -> Column:
     """A rule's metavariable clause as a boolean Column."""
     spec = clause["spec"]
     kind = clause["kind"]
-    value = bound(spec["metavariable"]) if "metavariable" in spec else None
+    value = bound(spec["metavariable"]) if isinstance(spec, dict) and "metavariable" in spec else None
     if kind == "metavariable-regex":
         return regex_condition(value, spec["regex"])
     if kind == "metavariable-name":
         return name_condition(value, spec.get("name") or spec["pattern"])
     if kind == "metavariable-comparison":
         return compare(value, spec["operator"], str(spec["value"])) if "operator" in spec else expression(spec["comparison"])
+    if kind == "where":
+        return expression(spec)
     if kind == "metavariable-pattern":
         return F.coalesce(F.contains(value, F.lit(spec["pattern"])), F.lit(False))
     ok = F.lit(True)

@@ -42,7 +42,7 @@ def catalog(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def detect(nodes: DataFrame, entries: DataFrame, key: list[str]) -> DataFrame:
     """Nodes of an entry's type whose text contains its name; the first entry of the catalog wins."""
     e = entries.withColumnRenamed("node_type", "_type")
-    hit = nodes.join(F.broadcast(e), (F.col("node_type") == F.col("_type")) & F.contains("text", "name"))
+    hit = nodes.join(e, (F.col("node_type") == F.col("_type")) & F.contains("text", "name"))
     w = Window.partitionBy(*key).orderBy("catalog_ord")
     return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_type", "catalog_ord")
 
@@ -85,13 +85,14 @@ def simple_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most:
 def taint(edges: DataFrame, sources: DataFrame, sanitizers: DataFrame) -> DataFrame:
     """One taint per (node, source): the shortest path; of these the surest, then the least path.
 
-    edges(src, dst); sources(node, source_type, vulnerability_type, confidence); sanitizers(node,
+    edges(src, dst); sources(node, vulnerability_type, confidence, and source where it is not named by its node); sanitizers(node,
     effectiveness, vulnerability_types). Entering a sanitizer that protects the source's
     vulnerability multiplies the confidence by 1 - effectiveness; under 0.1 the taint ends.
     """
     clean = sanitizers.groupBy(F.col("node").alias("dst")).agg(F.collect_list(F.struct("effectiveness", "vulnerability_types")).alias("clean"))
     edges = saved(edges.select("src", "dst").join(clean, "dst", "left"), "edges")
-    start = sources.select("node", F.col("node").alias("source"), "vulnerability_type", F.col("confidence").cast("double").alias("confidence"), F.array("node").alias("path"))
+    source = F.col("source" if "source" in sources.columns else "node").alias("source")
+    start = sources.select("node", source, "vulnerability_type", F.col("confidence").cast("double").alias("confidence"), F.array("node").alias("path"))
 
     def step(f: DataFrame) -> DataFrame:
         # of several sanitizers of a node the weakest counts, as the surest taint is kept
@@ -145,9 +146,9 @@ def zip_arguments(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def flow_severity(source_level: Column, sink_level: Column, vulnerable: Column) -> Column:
-    """High meets Critical: Critical; High meets High or Medium meets Critical: High; Medium meets Medium: Medium; else Low; no vulnerability: Info."""
+    """High meets Critical: Critical; High meets High or Medium meets Critical: High; Medium meets High: Medium; else Low; no vulnerability: Info."""
     both = lambda a, b: (source_level == a) & (sink_level == b)
-    return F.when(~vulnerable, "Info").when(both("High", "Critical"), "Critical").when(both("High", "High") | both("Medium", "Critical"), "High").when(both("Medium", "Medium"), "Medium").otherwise("Low")
+    return F.when(~vulnerable, "Info").when(both("High", "Critical"), "Critical").when(both("High", "High") | both("Medium", "Critical"), "High").when(both("Medium", "High"), "Medium").otherwise("Low")
 
 
 def describe_flows(flow: DataFrame, spark: SparkSession) -> DataFrame:
@@ -163,7 +164,8 @@ def enhanced_taint(edges: DataFrame, sources: DataFrame, least: int = 30) -> Dat
 
     def step(f: DataFrame) -> DataFrame:
         moved = f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), "source", enhanced_step(F.col("confidence"), F.col("length")).alias("confidence"), (F.col("length") + 1).alias("length"))
-        return moved.where(F.col("confidence") > least).groupBy("node", "source").agg(F.max("confidence").alias("confidence"), F.min("length").alias("length"))
+        best = F.max_by(F.struct("confidence", "length"), F.struct("confidence", -F.col("length"))).alias("b")
+        return moved.where(F.col("confidence") > least).groupBy("node", "source").agg(best).select("node", "source", "b.*")
 
     return fixpoint(start, step, ["node", "source"])
 

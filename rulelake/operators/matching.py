@@ -2,49 +2,76 @@
 
 from __future__ import annotations
 
+import json
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import included
+from ..plans.extensions import option
 from ..plans.rules import PatternNode, Rule, leaves
 from ..plans.storage import saved
-from .conditions import clause_column
-from .tokens import match_leaves
+from .conditions import clause_column, every
+from .tokens import Leaf, java_regex, match_leaves
 
 SPAN = ["start", "end"]
 
 
-def evaluate(files: DataFrame, rules: list[Rule], id_col: str = "file_id", text_col: str = "source", language_col: str | None = "language", combine: str = "all", inside_mode: str = "ancestor") -> DataFrame:
+def evaluate(files: DataFrame, rules: list[Rule], id_col: str = "file_id", text_col: str = "source", language_col: str | None = "language", combine: str = "all", inside_mode: str = "ancestor", path_col: str | None = None, statements: bool | None = None) -> DataFrame:
     """Matches of whole rules: leaves in one pass over the files, then joins on (file, rule).
 
     combine "all" keeps matches of the first positive entry that overlap a match of every other
-    one; "union" keeps all entries' matches and ignores negative ones. Rules of single patterns,
-    or of alternatives of them, are one filter over that pass and so also run on streams; where
-    there are others, the pass's matches (never texts) are written once to the shared folder and
-    the joins read them from there. Nothing is collected.
+    one; "union" keeps all entries' matches and ignores negative ones. A list without positive
+    entries keeps the enclosing matches of its first `pattern-inside`; of negative entries alone
+    there is nothing to keep. Rules of single patterns, or of alternatives of them, are one filter
+    over that pass, whose equal spans of a file are dropped inside the file's own row: they run on
+    streams without state. Where there are others, the pass's matches (never texts) are written once
+    to the shared folder and the joins read them from there. Nothing is collected. Rules without a pattern and
+    disabled ones match nothing. With path_col, a rule's own include and exclude paths hold (one pass for each
+    different set of them). `statements` is the run's choice of matching SQL statement by statement,
+    which a rule's option overrides.
     """
+    active = [r for r in rules if r.enabled and r.pattern]
+    groups: dict[str, list[Rule]] = {}
+    for r in active:
+        groups.setdefault(json.dumps(r.paths if path_col else {}, sort_keys=True), []).append(r)
+    parts = []
+    for paths, some in groups.items():
+        wanted = json.loads(paths)
+        taken = files.where(included(F.col(path_col), wanted.get("include") or [], wanted.get("exclude") or [])) if wanted else files
+        parts += _evaluate(taken, some, id_col, text_col, language_col, combine, inside_mode, statements)
+    return reduce(DataFrame.unionByName, parts) if parts else match_leaves(files, [], id_col, text_col, language_col)
+
+
+def _evaluate(files: DataFrame, active: list[Rule], id_col: str, text_col: str, language_col: str | None, combine: str, inside_mode: str, statements: bool | None) -> list[DataFrame]:
     flat, at = [], {}
-    for r in rules:
+    plain = [r for r in active if _plain(r.pattern)]
+    for r in active:
+        by_statement = option(r, "sql_statement_boundary", None if statements is None else str(statements))
         for leaf in leaves(r.pattern):
             at[id(leaf)] = len(flat)
-            flat.append((r.id, len(flat), "simple" if leaf.kind == "simple" else "regex", leaf.text, r.languages))
-    found = match_leaves(files, flat, id_col, text_col, language_col)
-    active = [r for r in rules if r.enabled and r.pattern]
-    plain = [r for r in active if _plain(r.pattern)]
+            flat.append(Leaf(r.id, len(flat), "simple" if leaf.kind == "simple" else "regex", leaf.text, tuple(r.languages), by_statement, r.focus if r in plain else None))
+    found = match_leaves(files, flat, id_col, text_col, language_col, once={r.id for r in plain})
     if len(plain) < len(active):
         found = saved(found, "matches")
     numbers = [at[id(leaf)] for r in plain for leaf in leaves(r.pattern)]
-    parts = [found.where(F.col("pattern_no").isin(numbers)).dropDuplicates([id_col, "rule_id", *SPAN])] if plain else []
-    parts += [_rule(found, r, at, id_col, combine, inside_mode) for r in active if not _plain(r.pattern)]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [found.where(F.col("pattern_no").isin(numbers))] if len(plain) < len(active) and plain else [found] if plain else []
+    for r in plain:  # conditions of a single pattern hold on its own matches
+        if clauses := [c for c in r.pattern.conditions if c["kind"] != "focus-metavariable"]:
+            parts = [p.where((F.col("rule_id") != r.id) | every([clause_column(c) for c in clauses])) for p in parts]
+    return parts + [_rule(found, r, at, id_col, combine, inside_mode) for r in active if r not in plain]
 
 
-def _plain(node: PatternNode) -> bool:
-    """A positive leaf, or alternatives of leaves, without conditions."""
+def _plain(node: PatternNode, top: bool = True) -> bool:
+    """A positive leaf, with conditions only where it is the whole rule, or alternatives of leaves without any."""
     if node.text is not None:
-        return node.kind in ("simple", "regex") and not node.conditions
-    return node.kind == "either" and not node.conditions and all(p.text is not None and _plain(p) for p in node.parts)
+        return node.kind in ("simple", "regex") and (top or not node.conditions)
+    return node.kind == "either" and not node.conditions and all(p.text is not None and _plain(p, False) for p in node.parts)
 
 
 def _rule(found: DataFrame, rule: Rule, at: dict[int, int], id_col: str, combine: str, inside_mode: str) -> DataFrame:
@@ -63,6 +90,11 @@ def _node(found: DataFrame, node: PatternNode, at: dict[int, int], id_col: str,
         out = reduce(DataFrame.unionByName, [sub(p) for p in node.parts]).dropDuplicates([id_col, "rule_id", *SPAN])
     elif node.kind == "all":
         positive = [p for p in node.parts if p.kind in ("simple", "regex", "either", "all")]
+        if not positive:
+            around = [p for p in node.parts if p.kind == "inside"]
+            positive = [p if p.text is not None else p.parts[0] for p in around[:1]]
+        if not positive:
+            return found.where("false")
         if combine == "union":
             out = reduce(DataFrame.unionByName, [sub(p) for p in positive])
         else:
@@ -108,13 +140,31 @@ def innermost(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def smallest_spans(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy choice of non-overlapping spans, shortest first, then leftmost; the matches of one file and rule are one group."""
-    rest = [c for c in matches.columns if c not in keys]
-    row = F.struct((F.col("end") - F.col("start")).alias("_n"), F.col("start").alias("_s"), F.struct(*rest).alias("_r"))
-    kind = f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in matches.schema.fields if f.name in rest)}>>"
-    pick = f"aggregate(_all, cast(array() as {kind}), (a, x) -> if(exists(a, y -> x._r.start < y.end and y.start < x._r.end), a, concat(a, array(x._r))))"
-    one = matches.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_all"))
-    return one.select(*keys, F.explode(F.expr(pick)).alias("_x")).select(*keys, "_x.*").select(*matches.columns)
+    """Greedy choice of non-overlapping spans, shortest first, then leftmost, then by the other columns.
+
+    Spans come sorted to one pass that keeps the chosen ones of the current keys in order and finds room by bisection.
+    """
+    rest = [c for c in matches.columns if c not in (*keys, "start", "end")]
+    order = [*keys, F.col("end") - F.col("start"), "start", *rest]
+    at = [matches.columns.index(c) for c in (*keys, "start", "end")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lows, highs = None, [], []
+        for batch in batches:
+            keep = []
+            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in at))):
+                key, low, high = row[:-2], row[-2], row[-1]
+                if key != now:
+                    now, lows, highs = key, [], []
+                k = bisect_left(lows, high)  # chosen spans before k start before this one ends
+                if not k or highs[k - 1] <= low:
+                    lows.insert(k, low)
+                    highs.insert(k, high)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in matches.schema.fields)
+    return matches.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, fields)
 
 
 def consecutive(df: DataFrame, partition: list[str], order: list[str], column: str, values: list[str]) -> DataFrame:
@@ -126,13 +176,28 @@ def consecutive(df: DataFrame, partition: list[str], order: list[str], column: s
 
 
 def interpolate(message: Column, bindings: Column) -> Column:
-    """$NAME and ${NAME} in a message by their bindings."""
+    """$NAME and ${NAME} in a message by their bindings, longer names first, so that $1 leaves $10 alone."""
     step = lambda acc, e: F.replace(F.replace(acc, F.concat(F.lit("${"), F.ltrim(e["key"], F.lit("$")), F.lit("}")), e["value"]), e["key"], e["value"])
-    return F.aggregate(F.map_entries(bindings), message, step)
+    by_length = F.transform(F.map_entries(bindings), lambda e: F.struct((-F.char_length(e["key"])).alias("n"), e["key"].alias("key"), e["value"].alias("value")))
+    return F.aggregate(F.array_sort(by_length), message, step)
+
+
+def fixed(matches: DataFrame, rules: list[Rule], column: str = "fixed") -> DataFrame:
+    """Matches with the matched text as the rule's fix leaves it: its fix-regex applied, else its fix with bindings filled in, else null."""
+    made = F.lit(None).cast("string")
+    for r in rules:
+        if r.fix_regex:
+            done = F.regexp_replace("matched", java_regex(r.fix_regex["regex"]), re.sub(r"\\(\d)", r"$\1", r.fix_regex["replacement"]))
+        elif r.fix is not None:
+            done = interpolate(F.lit(r.fix), F.col("bindings"))
+        else:
+            continue
+        made = F.when(F.col("rule_id") == r.id, done).otherwise(made)
+    return matches.withColumn(column, made)
 
 
 def findings(matches: DataFrame, rules: DataFrame, id_col: str = "file_id") -> DataFrame:
     """Matches with their rule's severity, confidence, interpolated message and fix; the rules table is a driver-side list."""
     r = rules.select("rule_id", "message", "severity", "severity_ord", "confidence", "confidence_ord", "fix", "metadata")
-    out = matches.join(F.broadcast(r), "rule_id")
+    out = matches.join(r, "rule_id")
     return out.withColumn("message", interpolate(F.col("message"), F.col("bindings")))

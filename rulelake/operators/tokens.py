@@ -6,9 +6,13 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import sql_text, sums_before
 
 #: One-character tokens; blanks separate, quotes are ordinary characters.
 PUNCTUATION = "+-*/%=<>!&|^~?:;,()[]{}."
@@ -62,7 +66,10 @@ class TokenPattern:
     def _seek(self, tokens: list[str], at: int, stop: str, balanced: bool) -> int | None:
         """Place of the next stop token; of the one that closes what is open, where balanced."""
         if not balanced:
-            return next((k for k in range(at, len(tokens)) if tokens[k] == stop), None)
+            try:
+                return tokens.index(stop, at)
+            except ValueError:
+                return None
         depth = 1
         for k in range(at, len(tokens)):
             depth += (tokens[k] == CLOSERS[stop]) - (tokens[k] == stop)
@@ -99,10 +106,12 @@ class TokenPattern:
             j = end
         return j, bound
 
-    def matches(self, text: str, statements: bool = True) -> list[tuple[int, int, dict[str, tuple[int, int]]]]:
+    def matches(self, text: "str | Tokens", statements: bool = True) -> list[tuple[int, int, dict[str, tuple[int, int]]]]:
         """(start, end, bindings) in characters; spans may overlap. SQL is matched statement by statement."""
-        spanned = tokenize(text)
-        words = [self._case(t) for t, _, _ in spanned]
+        tokens = Tokens(text) if isinstance(text, str) else text
+        if not self.fold and not all(s.token in tokens.text for s in self.steps if s.kind == "literal"):
+            return []
+        words = tokens.folded if self.fold else tokens.words
         if self.sql and statements:
             cuts = [0, *(i + 1 for i, t in enumerate(words) if t == ";"), len(words)]
         else:
@@ -122,10 +131,40 @@ class TokenPattern:
                 got = self.at(window, s)
                 if got and got[0] > s:
                     end, bound = got
-                    out.append((spanned[low + s][1], spanned[low + end - 1][2], {k: (spanned[low + a][1], spanned[low + b - 1][2]) for k, (a, b) in bound.items()}))
+                    place = tokens.span
+                    out.append((place(low + s)[0], place(low + end - 1)[1], {k: (place(low + a)[0], place(low + b - 1)[1]) for k, (a, b) in bound.items()}))
         return out
 
 
+class Tokens:
+    """A text's tokens, split once for all patterns; their places only where a match asks for them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._words: list[str] | None = None
+        self._folded: list[str] | None = None
+        self._spans: list[tuple[int, int]] | None = None
+
+    @property
+    def words(self) -> list[str]:
+        if self._words is None:
+            self._words = _TOKEN.findall(self.text)
+            if ".." in self.text:
+                self._words = ["." if t == ".." else t for t in self._words]
+        return self._words
+
+    @property
+    def folded(self) -> list[str]:
+        if self._folded is None:
+            self._folded = [t.lower() if t.isascii() else t for t in self.words]
+        return self._folded
+
+    def span(self, i: int) -> tuple[int, int]:
+        if self._spans is None:
+            self._spans = [(a, b) for _, a, b in tokenize(self.text)]
+        return self._spans[i]
+
+
 def line_starts(text: str) -> list[int]:
     return [0, *(m.end() for m in re.finditer("\n", text))]
 
@@ -139,46 +178,138 @@ def line_col(starts: list[int], at: int) -> tuple[int, int]:
 MATCH_FIELDS = "rule_id string, pattern_no int, start long, end long, start_line int, start_column int, end_line int, end_column int, matched string, bindings map<string,string>"
 
 
-def match_leaves(files: DataFrame, leaves: list[tuple[str, int, str, str, list[str]]], id_col: str = "file_id", text_col: str = "source", language_col: str | None = "language") -> DataFrame:
-    """Matches of leaf patterns (rule_id, number, kind, text, languages) in every file.
+@dataclass(frozen=True)
+class Leaf:
+    """A leaf pattern of a rule. kind is simple or regex; focus is a metavariable whose place becomes the match's."""
+
+    rule_id: str
+    no: int
+    kind: str
+    text: str
+    languages: tuple[str, ...]
+    statements: bool = True
+    focus: str | None = None
+
+
+def java_regex(pattern: str) -> str:
+    """A regular expression of rule files as the JVM reads it: named groups and the end of the text are written differently."""
+    return re.sub(r"\\Z", r"\\z", re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")))
 
-    The leaves are a driver-side list: one pass over the files, no shuffle. kind is simple or regex.
-    A leaf is tried where the file's language is among its languages (or they hold "generic").
-    Null texts have no matches.
+
+def match_leaves(files: DataFrame, leaves: list, id_col: str = "file_id", text_col: str = "source", language_col: str | None = "language", once: set[str] = frozenset()) -> DataFrame:
+    """Matches of leaf patterns in every file; leaves are Leaf objects or their first five fields.
+
+    The leaves are a driver-side list: no shuffle, and at most two passes over the files. Rules of regular
+    expressions alone are matched by built-in functions, those with token patterns in Arrow batches. A leaf is tried
+    where the file's language is among its languages (or they hold "generic"). Null texts have no matches.
+    Of the rules in `once`, matches of equal spans of one file are one match, that of the least leaf.
     """
+    leaves = [x if isinstance(x, Leaf) else Leaf(*x[:4], tuple(x[4])) for x in leaves]
+    slow = {x.rule_id for x in leaves if x.kind == "simple" or x.focus or re.search(x.text, "")}
+    language = F.col(language_col) if language_col else F.lit("generic")
+    slim = files.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), language.cast("string").alias("_language"))
+    parts = []
+    if fast := [x for x in leaves if x.rule_id not in slow]:
+        parts.append(_by_functions(slim, fast, once))
+    if rest := [x for x in leaves if x.rule_id in slow]:
+        parts.append(_by_tokens(slim, rest, once))
+    if not parts:
+        parts.append(_by_tokens(slim, [], once))
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("_id", id_col)
+
+
+def _by_functions(slim: DataFrame, leaves: list[Leaf], once: set[str]) -> DataFrame:
+    """One expression over an array of the leaves: all matches, the text between them by splitting, and places by adding lengths up."""
+    row = lambda x: f"named_struct('rule', {sql_text(x.rule_id)}, 'no', {x.no}, 're', {sql_text(java_regex(x.text))}, 'groups', {re.compile(x.text).groups}, 'any', {str('generic' in x.languages).lower()}, 'langs', array({', '.join(map(sql_text, x.languages))}), 'once', {str(x.rule_id in once).lower()})"
+    count = lambda s: f"char_length({s}) - char_length(replace({s}, '\n', ''))"
+    # 1-based place of a string's last line feed, 0 for none
+    last = lambda s: f"if(instr({s}, '\n') = 0, 0, char_length({s}) + 1 - instr(reverse({s}), '\n'))"
+    let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    fields = "rule: string, no: int, once: boolean, start: int, end: int, l1: int, c1: int, l2: int, c2: int, matched: string, groups: map<string, string>"
+    one = (
+        "named_struct('rule', r.rule, 'no', r.no, 'once', r.once, 'start', at[j] + g[j].n, 'end', at[j] + g[j].n + m[j].n, 'l1', 1 + ls[j] + g[j].nl, "
+        "'c1', at[j] + g[j].n - greatest(nl[j], if(g[j].last > 0, at[j] + g[j].last - 1, -1)), 'l2', 1 + ls[j] + g[j].nl + m[j].nl, "
+        "'c2', at[j] + g[j].n + m[j].n - greatest(nl[j], if(g[j].last > 0, at[j] + g[j].last - 1, -1), if(m[j].last > 0, at[j] + g[j].n + m[j].last - 1, -1)), "
+        "'matched', f[j], 'groups', map_from_arrays(transform(gs, (x, i) -> concat('$', i + 1)), transform(gs, x -> x[j])))"
+    )
+    shape = lambda s: f"named_struct('n', char_length({s}), 'nl', {count(s)}, 'last', {last(s)})"
+    body = f"transform(f, (x, j) -> {one})"
+    body = let("gs", "if(r.groups = 0, cast(array() as array<array<string>>), transform(sequence(1, r.groups), k -> regexp_extract_all(_text, r.re, k)))", body)
+    body = let("nl", sums_before("transform(f, (x, j) -> greatest(if(g[j].last > 0, at[j] + g[j].last - 1, -1), if(m[j].last > 0, at[j] + g[j].n + m[j].last - 1, -1)))", "-1", "greatest({0}, {1})"), body)
+    body = let("ls", sums_before("transform(f, (x, j) -> g[j].nl + m[j].nl)"), body)
+    body = let("at", sums_before("transform(f, (x, j) -> g[j].n + m[j].n)"), body)
+    body = let("m", f"transform(f, x -> {shape('x')})", body)
+    body = let("g", f"transform(split(_text, r.re, -1), x -> {shape('x')})", body)
+    found = let("f", "regexp_extract_all(_text, r.re, 0)", f"if(size(f) = 0, cast(array() as array<struct<{fields}>>), {body})")
+    rules = f"filter(array({', '.join(map(row, leaves))}), r -> r.any or array_contains(r.langs, _language))"
+    every = slim.where("_text is not null and _text != ''").select("_id", F.expr(f"flatten(transform({rules}, r -> {found}))").alias("_all"))
+    if any(x.rule_id in once for x in leaves):
+        # sorted, so that equal spans of a rule stand together and the least leaf first
+        keyed = "array_sort(transform(_all, x -> named_struct('rule', x.rule, 'start', x.start, 'end', x.end, 'no', x.no, 'x', named_struct('once', x.once, 'l1', x.l1, 'c1', x.c1, 'l2', x.l2, 'c2', x.c2, 'matched', x.matched, 'pairs', map_entries(x.groups)))))"
+        every = every.withColumn("_all", F.expr(keyed))
+        every = every.withColumn("_all", F.expr("filter(_all, (x, i) -> i = 0 or not x.x.once or x.rule != _all[i - 1].rule or x.start != _all[i - 1].start or x.end != _all[i - 1].end)"))
+        cols = ["m.rule", "m.no", "m.start", "m.end", "m.x.l1", "m.x.c1", "m.x.l2", "m.x.c2", "m.x.matched"]
+        groups = F.map_from_entries("m.x.pairs")
+    else:
+        cols, groups = ["m.rule", "m.no", "m.start", "m.end", "m.l1", "m.c1", "m.l2", "m.c2", "m.matched"], F.col("m.groups")
+    rows = every.select("_id", F.explode("_all").alias("m"))
+    names = [f.split() for f in MATCH_FIELDS.split(", ")]
+    return rows.select("_id", *[F.col(c).cast(t).alias(n) for c, (n, t) in zip(cols, names)], groups.alias("bindings"))
 
+
+def _by_tokens(slim: DataFrame, leaves: list[Leaf], once: set[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled: dict = {}
         names = ["_id", *[f.split()[0] for f in MATCH_FIELDS.split(", ")]]
         for batch in batches:
             rows: list[tuple] = []
             keep: list[int] = []
-            ids, texts, languages = (c.to_pylist() for c in batch.columns)
+            texts, languages = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for k, (text, language) in enumerate(zip(texts, languages)):
                 if not text:
                     continue
-                starts = line_starts(text)
-                for rule, no, kind, pattern, wanted in leaves:
-                    if "generic" not in wanted and language not in wanted:
+                tokens, starts, seen = Tokens(text), None, set()
+                for leaf in leaves:
+                    if "generic" not in leaf.languages and language not in leaf.languages:
                         continue
-                    key = (kind, pattern, language if kind == "simple" else "")
+                    key = (leaf.kind, leaf.text, language if leaf.kind == "simple" else "")
                     if key not in compiled:
-                        compiled[key] = TokenPattern(pattern, language or "generic") if kind == "simple" else re.compile(pattern)
+                        compiled[key] = TokenPattern(leaf.text, language or "generic") if leaf.kind == "simple" else re.compile(leaf.text)
                     p = compiled[key]
-                    if kind == "simple":
-                        found = p.matches(text)
+                    if leaf.kind == "simple":
+                        found = p.matches(tokens, leaf.statements)
                     else:
                         found = [(m.start(), m.end(), {f"${i}": m.span(i) for i in range(1, (m.re.groups or 0) + 1) if m.span(i)[0] >= 0}) for m in p.finditer(text)]
                     for a, b, bound in found:
+                        a, b = bound.get(leaf.focus, (a, b))
+                        if leaf.rule_id in once:
+                            if (leaf.rule_id, a, b) in seen:
+                                continue
+                            seen.add((leaf.rule_id, a, b))
+                        starts = starts or line_starts(text)
                         keep.append(k)
-                        rows.append((rule, no, a, b, *line_col(starts, a), *line_col(starts, b), text[a:b], [(n, text[x:y]) for n, (x, y) in bound.items()]))
+                        rows.append((leaf.rule_id, leaf.no, a, b, *line_col(starts, a), *line_col(starts, b), text[a:b], [(n, text[x:y]) for n, (x, y) in bound.items()]))
             types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string())]
             cols = list(zip(*rows)) if rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, types))], names)
 
-    from pyspark.sql import functions as F
+    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, {MATCH_FIELDS}")
 
-    language = F.col(language_col) if language_col else F.lit("generic")
-    slim = files.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), language.cast("string").alias("_language"))
-    out = slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, {MATCH_FIELDS}")
-    return out.withColumnRenamed("_id", id_col)
+
+def holds(value: str, patterns: list[str], language: str = "generic") -> bool:
+    """Whether any token pattern matches a text at all (an ending semicolon of a pattern never counts)."""
+    tokens = Tokens(value)
+    return any(TokenPattern(p.rstrip().removesuffix(";"), language).matches(tokens, False) for p in patterns)
+
+
+def approximate_span(text: Column, pattern: str) -> Column:
+    """struct<start, end> (0-based characters) from a pattern's first literal to the next of its last one; null where the first is not there."""
+    anchors = [x for x in re.split(r"\$\w*", pattern) if x]
+    if not anchors:
+        return F.lit(None).cast("struct<start: int, end: int>")
+    first, last = anchors[0], anchors[-1]
+    start = F.instr(text, first)
+    after = start + len(first)
+    more = F.locate(last, text, 1) if len(anchors) == 1 else F.instr(F.substring(text, after, F.lit(1 << 30)), last)
+    end = F.when(F.lit(len(anchors) > 1) & (more > 0), after - 1 + more - 1 + len(last)).otherwise(after - 1)
+    return F.when(start > 0, F.struct((start - 1).alias("start"), end.cast("int").alias("end")))

@@ -18,7 +18,7 @@ CONFIDENCES = {"low": 0, "medium": 1, "high": 2}
 SEVERITY_ALIASES = {"high": "error", "medium": "warning", "low": "info"}
 #: Pattern keys of rule files and the tree's node kinds.
 KEYS = {"pattern": "simple", "pattern-regex": "regex", "pattern-either": "either", "patterns": "all", "pattern-all": "all", "pattern-any": "either", "pattern-not": "not", "pattern-inside": "inside", "pattern-not-inside": "not-inside", "pattern-not-regex": "not-regex"}
-CLAUSES = ("metavariable-regex", "metavariable-comparison", "metavariable-name", "metavariable-pattern", "metavariable-analysis", "focus-metavariable")
+CLAUSES = ("metavariable-regex", "metavariable-comparison", "metavariable-name", "metavariable-pattern", "metavariable-analysis", "focus-metavariable", "where")
 
 
 @dataclass
@@ -170,6 +170,89 @@ def load_rules(text: str, strict: bool = False) -> tuple[list[Rule], dict[str, l
     return good, bad
 
 
+#: The rules of each language that has none of its own (id, severity, confidence, message, texts).
+DEFAULTS = {
+    "java": ("java-system-out", "warning", "high", "Use proper logging instead of System.out", ["System.out.println", "System.out.print"]),
+    "javascript": ("js-console-log", "warning", "high", "Remove console statements before production", ["console.log", "console.warn"]),
+    "python": ("python-print-usage", "warning", "high", "Use logging instead of print statements", ["print("]),
+    "sql": ("sql-select-star", "warning", "medium", "Avoid SELECT * in production queries", ["SELECT *"]),
+    "bash": ("bash-unquoted-variable", "warning", "medium", "Quote variables to prevent word splitting", ["echo $"]),
+    "php": ("php-sql-injection", "error", "high", "Use prepared statements", ["mysql_query(", "mysqli_query("]),
+    "csharp": ("csharp-console-writeline", "warning", "high", "Use proper logging framework", ["Console.WriteLine"]),
+    "c": ("c-buffer-overflow", "error", "high", "Use safer alternatives", ["strcpy(", "gets("]),
+    "ruby": ("ruby-puts-usage", "warning", "high", "Use proper logging instead of puts", ["puts "]),
+    "kotlin": ("kotlin-println-usage", "warning", "high", "Use proper logging instead of println", ["println("]),
+    "swift": ("swift-print-usage", "warning", "high", "Use proper logging instead of print", ["print("]),
+    "xml": ("xml-best-practices", "warning", "high", "Review XML structure and comments", ["<!--"]),
+}
+#: Literal texts to look for in each language (id, text, severity, confidence, message, fix).
+LITERALS = {
+    "java": [
+        ("java-sql-injection", ".executeQuery(", "critical", "medium", "Potential SQL injection vulnerability", "Use PreparedStatement instead of Statement"),
+        ("java-hardcoded-password", "password", "warning", "low", "Potential hardcoded password", "Use environment variables or secure configuration"),
+        ("java-weak-hash-sha1", '"SHA1"', "error", "high", "Use of SHA1 hash algorithm which is considered insecure", "Use SHA-256, SHA-384, or SHA-512 instead of SHA1"),
+        ("java-weak-hash-md5", '"MD5"', "error", "high", "Use of MD5 hash algorithm which is considered insecure", "Use SHA-256, SHA-384, or SHA-512 instead of MD5"),
+    ],
+    "javascript": [
+        ("js-eval-usage", "eval(", "critical", "high", "Use of eval() can lead to code injection", "Avoid using eval(), use safer alternatives"),
+        ("js-innerhtml", "innerHTML", "warning", "medium", "Potential XSS vulnerability with innerHTML", "Use textContent or sanitize input"),
+    ],
+    "python": [
+        ("python-exec-usage", "exec(", "critical", "high", "Use of exec() can lead to code injection", "Avoid using exec(), use safer alternatives"),
+        ("python-sql-format", ".format(", "warning", "low", "Potential SQL injection with string formatting", "Use parameterized queries"),
+    ],
+    "sql": [("sql-union-injection", "UNION", "critical", "medium", "Potential SQL injection with UNION", "Use parameterized queries")],
+    "bash": [("bash-command-injection", "$((", "critical", "medium", "Potential command injection", "Validate and sanitize input")],
+}
+
+
+def read_rule_files(spark: SparkSession, paths: list[str]) -> tuple[list[Rule], dict[str, str]]:
+    """(rules, warnings by file) of all .yaml and .yml files at or below the paths, read by Spark from any store.
+
+    A file that cannot be read as rules is a warning and leaves the others; of rules of one id the first file's stays.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    yaml = raw.where("path rlike '(?i)[.]ya?ml$'").selectExpr("path", "decode(content, 'UTF-8') as text").orderBy("path")
+    rules: dict[str, Rule] = {}
+    warnings: dict[str, str] = {}
+    for row in yaml.toLocalIterator():
+        try:
+            good, bad = load_rules(row.text)
+        except Exception as e:  # a file of anything but rules
+            warnings[row.path] = f"{type(e).__name__}: {e}"
+            continue
+        warnings.update({row.path: str(bad)} if bad else {})
+        for r in good:
+            rules.setdefault(r.id, r)
+    return list(rules.values()), warnings
+
+
+def default_rules(language: str, loaded: list[Rule] = ()) -> list[Rule]:
+    """The loaded rules of a language and the general ones; where there are none, the language's built-in rule."""
+    mine = [r for r in loaded if language in r.languages or "generic" in r.languages]
+    if mine or language not in DEFAULTS:
+        return mine
+    rule_id, severity, confidence, message, texts = DEFAULTS[language]
+    return [Rule(rule_id, message, severity, [language], PatternNode("all", None, [PatternNode("simple", t) for t in texts]), confidence=confidence, description=message)]
+
+
+def literal_rules(languages: list[str] | None = None) -> list[Rule]:
+    """The built-in literal texts as rules."""
+    return [
+        Rule(rule_id, message, severity, [language], PatternNode("regex", re.escape(text)), confidence=confidence, fix=fix, description=message)
+        for language, rows in LITERALS.items() if languages is None or language in languages for rule_id, text, severity, confidence, message, fix in rows
+    ]
+
+
+def select_rules(rules: list[Rule], language: str | None = None, category: str | None = None, enabled: bool | None = None, name: str | None = None, description: str | None = None) -> list[Rule]:
+    """Rules by equality of language, category and state, and by parts of name and description without regard to case."""
+    return [
+        r for r in rules
+        if (language is None or language in r.languages) and (category is None or r.metadata.get("category") == category) and (enabled is None or r.enabled == enabled)
+        and (name is None or name.lower() in r.name.lower()) and (description is None or description.lower() in r.description.lower())
+    ]
+
+
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """Rules as a table; the pattern tree as JSON."""
     rows = [(r.id, r.name, r.message, r.severity, SEVERITIES[r.severity], r.confidence, CONFIDENCES[r.confidence], r.languages, json.dumps(asdict(r.pattern)) if r.pattern else None, r.fix, r.metadata, r.enabled) for r in rules]

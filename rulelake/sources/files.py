@@ -11,21 +11,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import EXTENSIONS, extension, included
+from ..functions.text import extension, extension_table, included
 
 #: Most bytes of a file of each language.
 SIZE_CAPS = {"java": 10 << 20, "javascript": 5 << 20, "python": 5 << 20, "sql": 20 << 20, "bash": 1 << 20, "php": 5 << 20, "csharp": 10 << 20, "c": 10 << 20}
 
 
-def languages(spark: SparkSession) -> DataFrame:
-    """(extension, language): a fixed list of a few dozen rows."""
-    return spark.createDataFrame([(e, lang) for lang, es in EXTENSIONS.items() for e in es], "ext string, language string")
+def languages(spark: SparkSession, profile: str = "files") -> DataFrame:
+    """(ext, language): a fixed list of a few dozen rows, by profile (files, parsers, uploads)."""
+    return spark.createDataFrame(list(extension_table(profile).items()), "ext string, language string")
+
+
+def inline(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
+    """Files given as (language, source) pairs, with the same columns as scan()'s."""
+    rows = [(i, f"inline-{i}", language, source) for i, (language, source) in enumerate(sources)]
+    return spark.createDataFrame(rows, "file_id long, path string, language string, source string")
 
 
 def scan(spark: SparkSession, paths: list[str], include: list[str] = (), exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(files, rejected): every file below the paths as text with its language; files that are not UTF-8 are rejected with a reason."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).where(included(F.col("path"), list(include), list(exclude)))
-    named = raw.withColumn("ext", extension(F.col("path"))).join(F.broadcast(languages(spark)), "ext", "left")
+    named = raw.withColumn("ext", extension(F.col("path"))).join(languages(spark), "ext", "left")
     cap = F.create_map(*[F.lit(x) for kv in SIZE_CAPS.items() for x in kv])[F.col("language")]
     bad = F.when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8").when(F.col("length") > F.coalesce(cap, F.lit(10 << 20)), "too large")
     named = named.withColumn("reason", bad)
