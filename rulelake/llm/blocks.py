@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import give_back, materialize, slices
 
 #: Bytes of text whose keys one range of the key space should hold.
 PART_BYTES = 12 << 20
@@ -71,6 +71,8 @@ def write_blocks(slim: DataFrame, text_at: int, block_bytes: int, name: str) ->
                     k, held, size = k + 1, [], 0
         if held:
             yield leave()
+        held.clear()
+        give_back()
 
     return materialize(slim.mapInArrow(run, "block long, data binary"), name)
 
@@ -100,6 +102,7 @@ def ask(blocks: DataFrame, questions: Callable[[bytes], list[tuple[np.ndarray, n
                     data = [squeeze(np.diff(keys[c], prepend=np.uint64(0))) for c in cuts]
                     counts = [squeeze(own[c].astype(np.uint32)) for c in cuts]
                     yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array([name] * len(cuts), pa.int64()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], ["slot", "block", "keys", "own"])
+                give_back()
 
     return blocks.mapInArrow(run, "slot int, block long, keys binary, own binary")
 
@@ -138,6 +141,7 @@ def answer(messages: DataFrame, tasks: int, kind=np.uint64) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slot, rows in _runs(batches):
             yield reply(slot, rows)
+            give_back()
 
     return messages.repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(run, "block long, slot int, data binary, types long, total long")
 
@@ -150,6 +154,7 @@ def meet(blocks: DataFrame, replies: DataFrame, tasks: int, parts: int, orders:
             raw = rows[0][1]  # slot -1 comes first
             counts = [[expand(data, kind) for slot, data in rows[1:] if slot // parts == order] for order in range(orders)]
             yield use(raw, [np.concatenate(c) if c else np.empty(0, kind) for c in counts])
+            give_back()
 
     both = blocks.select("block", F.lit(-1).alias("slot"), "data").unionByName(replies.select("block", "slot", "data"))
     return both.repartition(tasks, "block").sortWithinPartitions("block", "slot").mapInArrow(run, schema)

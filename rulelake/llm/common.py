@@ -11,6 +11,8 @@ Conventions every operator keeps:
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+try:
+    _trim = ctypes.CDLL(ctypes.util.find_library("c")).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library: freed memory stays with the worker
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that is used again holds no more than its present work."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_bytes(text_col: str = "text") -> Column:
     """The text's UTF-8 bytes as a Column; a null text is empty."""
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
