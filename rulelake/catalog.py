@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from .functions import text as fx
 from .operators import conditions as cond
 from .operators import dataflow as flow
-from .operators import matching, nodes, tokens
+from .operators import flowstats, legacy, matching, nodes, tokens
 from .plans.rules import load_rules, rules_frame
 from .sources import files as src
 from .sources import reports
+from .streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,11 +118,19 @@ def lines(spark, sf):
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-@query(f"select doc_id, cast(count(*) as bigint) as n from {LINES} where contains(line, 'the ') and not regexp_matches(line, '[0-9]') group by 1")
+def rule_counts(spark, sf, yaml: str, **how):
+    """Matches of YAML rules a document, by the engine."""
+    rules, _ = load_rules(yaml)
+    found = matching.evaluate(read(spark, sf, "documents").select("doc_id", "text"), rules, "doc_id", "text", None, **how)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+NOT_RULE = r"""rules: [{id: no.digits, message: m, severity: info, languages: [generic], patterns: [{pattern-regex: '(?m)^.*\bthe .*$'}, {pattern-not-regex: '[0-9]'}]}]"""
+
+
+@query(f"select doc_id, cast(count(*) as bigint) as n from {LINES} where regexp_matches(line, '\\bthe ') and not regexp_matches(line, '[0-9]') group by 1")
 def pattern_not(spark, sf):
-    ls = lines(spark, sf)
-    digits = ls.where(F.regexp("line", F.lit("[0-9]"))).select("doc_id", "line_no")
-    return ls.where(F.contains("line", F.lit("the "))).join(digits, ["doc_id", "line_no"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return rule_counts(spark, sf, NOT_RULE)
 
 
 @query(f"select doc_id, cast(count(*) as bigint) as n from {LINES} where not regexp_matches(ltrim(line, ' '), '^(#|//|/\\*)') and contains(line, '###') group by 1")
@@ -129,40 +138,51 @@ def comment_suppressed_lines(spark, sf):
     return lines(spark, sf).where(~fx.is_comment(F.col("line")) & F.contains("line", F.lit("###"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select doc_id from documents where contains(text, 'Licensed') and regexp_matches(text, '[0-9]') intersect select doc_id from documents where contains(text, 'License')")
+ALL_RULE = r"""rules: [{id: all, message: m, severity: info, languages: [generic], patterns: [{pattern-regex: 'Licensed under the [A-Za-z]+ License'}, {pattern-regex: '[A-Za-z]+ License'}, {pattern-inside: {pattern-regex: '(?m)^.*Licen.e.*$'}}]}]"""
+
+
+@query("select doc_id, cast(count(*) as bigint) as n from (select doc_id, unnest(regexp_extract_all(text, 'Licensed under the [A-Za-z]+ License')) from documents) group by 1")
 def patterns_all(spark, sf):
-    d = read(spark, sf, "documents")
-    return d.where(F.contains("text", F.lit("Licensed")) & F.regexp("text", F.lit("[0-9]"))).select("doc_id").intersect(d.where(F.contains("text", F.lit("License"))).select("doc_id"))
+    """Of a list that must all hold, the first entry's matches that overlap the others' and lie in an enclosing line."""
+    return rule_counts(spark, sf, ALL_RULE)
+
+
+UNION_RULE = r"""rules: [{id: union, message: m, severity: info, languages: [generic], patterns: [{pattern-regex: 'Licensed under the [A-Za-z]+ License'}, {pattern-regex: '[A-Za-z]+ License'}, {pattern-not-regex: 'License'}]}]"""
 
 
-@query(f"select rule_id, doc_id, cast(count(*) as bigint) as n from {SQL_FOUND} group by all")
+@query("select doc_id, cast(count(*) as bigint) as n from (select doc_id, unnest(regexp_extract_all(text, 'Licensed under the [A-Za-z]+ License')) from documents union all select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+ License')) from documents) group by 1")
 def patterns_union(spark, sf):
-    rules, _ = load_rules(RULES)
-    found = matching.evaluate(read(spark, sf, "documents").select("doc_id", "text"), rules, "doc_id", "text", None, combine="union")
-    return found.groupBy("rule_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """The same kind of list read as a union: all entries' matches, and negative entries do nothing."""
+    return rule_counts(spark, sf, UNION_RULE, combine="union")
+
 
+TOKEN_RE = r"\.\.\.|\.\.?|[+\-*/%=<>!&|^~?:;,()\[\]{}]|[^ \t\n\r+\-*/%=<>!&|^~?:;,()\[\]{}.]+"
+SQL_TOKENS = f"""(select doc_id, i, case when m = '..' then '.' else m end as tok, gap_end as s, gap_end + case when m = '..' then 1 else length(m) end as e from (
+  select doc_id, i, m, sum(length(g) + length(m)) over (partition by doc_id order by i) - length(m) as gap_end from (
+    select doc_id, unnest(m) as m, unnest(g[1:len(m)]) as g, unnest(range(len(m))) as i from (select doc_id, regexp_extract_all(text, '{TOKEN_RE}') as m, string_split_regex(text, '{TOKEN_RE}') as g from documents))))"""
 
-@query()
+
+@query(f"""with t as {SQL_TOKENS},
+w as (select *, lead(tok) over x as nxt, count(*) over (partition by doc_id) as n, max(e) over (partition by doc_id) as last, min(case when tok = 'of' then e end) over (partition by doc_id order by i rows between 1 following and unbounded following) as of from t window x as (partition by doc_id order by i)),
+f as (select doc_id, 'assign' as rule_id, s, last as e from w where tok = 'token' and nxt = '=' and i + 2 < n union all select doc_id, 'call', s, of from w where tok = 'the' and of is not null),
+p as (select f.*, left(d.text, f.s::bigint) as before from f join documents d using (doc_id))
+select doc_id, rule_id, s::bigint as "start", e::bigint as "end", (1 + length(before) - length(replace(before, chr(10), '')))::int as start_line, (length(string_split(before, chr(10))[-1]) + 1)::int as start_column from p""")
 def token_sequence_match(spark, sf):
     leaves = [("assign", 0, "simple", "token = $V", ["generic"]), ("call", 1, "simple", "the ... of", ["generic"])]
     found = tokens.match_leaves(read(spark, sf, "documents"), leaves, "doc_id", "text", None)
     return found.select("doc_id", "rule_id", "start", "end", "start_line", "start_column")
 
 
-TOKEN_RE = r"[+\-*/%=<>!&|^~?:;,()\[\]{}.]|[^ \t\n\r+\-*/%=<>!&|^~?:;,()\[\]{}.]+"
-
-
-@query(f"select role, cast(sum(len(t)) as bigint) as tokens, cast(sum(len([x for x in t if length(x) = 1 and regexp_matches(x, '[.,]')])) as bigint) as marks from (select role, regexp_extract_all(text, '{TOKEN_RE}') as t from conversations) group by role")
+@query(f"select role, cast(sum(len(t)) as bigint) as tokens, cast(sum(len([x for x in t if x in ('.', '..', ',')])) as bigint) as marks from (select role, regexp_extract_all(text, '{TOKEN_RE}') as t from conversations) group by role")
 def token_stream_stats(spark, sf):
-    t = read(spark, sf, "conversations").withColumn("t", F.regexp_extract_all("text", F.lit(TOKEN_RE), F.lit(0)))
-    return t.groupBy("role").agg(F.sum(F.size("t")).alias("tokens"), F.sum(F.size(F.filter("t", lambda x: x.isin(".", ",")))).alias("marks"))
+    t = tokens.token_rows(read(spark, sf, "conversations"), "role", "text")
+    return t.groupBy("role").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("token").isin(".", ",")).alias("marks"))
 
 
-@query(f"select conv_id, turn, cast(s as bigint) as stmt, cast(count(*) as bigint) as n from (select conv_id, turn, coalesce(sum(case when tok = '.' then 1 else 0 end) over (partition by conv_id, turn order by i rows between unbounded preceding and 1 preceding), 0) as s from (select conv_id, turn, unnest(t) as tok, unnest(range(len(t))) as i from (select conv_id, turn, regexp_extract_all(text, '{TOKEN_RE}') as t from conversations))) group by all")
+@query(f"select conv_id, turn, cast(s as bigint) as stmt, cast(count(*) as bigint) as n from (select conv_id, turn, coalesce(sum(case when tok in ('.', '..') then 1 else 0 end) over (partition by conv_id, turn order by i rows between unbounded preceding and 1 preceding), 0) as s from (select conv_id, turn, unnest(t) as tok, unnest(range(len(t))) as i from (select conv_id, turn, regexp_extract_all(text, '{TOKEN_RE}') as t from conversations))) group by all")
 def statement_windows(spark, sf):
-    t = read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_RE), F.lit(0))).alias("i", "tok"))
-    w = Window.partitionBy("conv_id", "turn").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("stmt", F.coalesce(F.sum(F.when(F.col("tok") == ".", 1).otherwise(0)).over(w), F.lit(0)).cast("long")).groupBy("conv_id", "turn", "stmt").agg(F.count(F.lit(1)).alias("n"))
+    t = tokens.token_rows(read(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text"), "k", "text")
+    return tokens.statement_numbers(t, ".", "k").groupBy("k.conv_id", "k.turn", "stmt").agg(F.count(F.lit(1)).alias("n"))
 
 
 BOUND = """(select doc_id, unnest(regexp_extract_all(text, 'token = "([^"]+)"', 1)) as v from documents)"""
@@ -205,7 +225,7 @@ def charset_type(spark, sf):
 @query("select page_id, case when ext in ('html', 'xml') then 'xml' when ext in ('js', 'ts') then 'javascript' when ext = 'py' then 'python' when ext = 'php' then 'php' end as language from (select page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) as ext from pages)")
 def language_dim_join(spark, sf):
     dim = src.languages(spark).where(F.col("ext").isin("xml", "js", "ts", "py", "php")).union(spark.createDataFrame([("html", "xml")], "ext string, language string"))
-    return read(spark, sf, "pages").select("page_id", fx.extension(F.col("url")).alias("ext")).join(F.broadcast(dim), "ext", "left").select("page_id", "language")
+    return read(spark, sf, "pages").select("page_id", fx.extension(F.col("url")).alias("ext")).join(dim, "ext", "left").select("page_id", "language")
 
 
 @query("select page_id, url from pages where (starts_with(url, 'http') and ends_with(url, '1') or contains(url, '2')) and not contains(url, '33')")
@@ -250,7 +270,10 @@ def not_inside(spark, sf):
     return matching.contained(s, s.where(F.col("end") - F.col("start") > 40), "file_id", wanted=False).select("file_id", "no")
 
 
-@query()
+@query(f"""with recursive o as (select *, row_number() over (partition by file_id order by e - s, s, no) as k from {SQL_SPANS}),
+r(file_id, k, chosen) as (select distinct file_id, 0::bigint, []::struct(no bigint, s bigint, e bigint)[] from o
+  union all select r.file_id, o.k, case when len(list_filter(r.chosen, lambda x: o.s < x.e and x.s < o.e)) = 0 then list_append(r.chosen, {{'no': o.no, 's': o.s, 'e': o.e}}) else r.chosen end from r join o on o.file_id = r.file_id and o.k = r.k + 1)
+select file_id, x.no as no, x.s as "start", x.e as "end" from (select file_id, unnest(chosen) as x from (select file_id, arg_max(chosen, k) as chosen from r group by 1))""")
 def smallest_span(spark, sf):
     return matching.smallest_spans(spans(spark, sf), ["file_id", "rule_id"]).select("file_id", "no", "start", "end")
 
@@ -265,14 +288,12 @@ def ranked(spark, sf):
 @query(f"select a.event_id from {RANKED} a where a.event_type = 'purchase' and not exists (select 1 from {RANKED} b where b.user_id = a.user_id and b.event_type = 'view' and a.i - b.i between 1 and 3)")
 def guard_within_n(spark, sf):
     r = ranked(spark, sf)
-    v = r.where("event_type = 'view'").select(F.col("user_id").alias("u"), F.col("i").alias("k"))
-    return r.where("event_type = 'purchase'").join(v, (F.col("user_id") == F.col("u")) & (F.col("i") - F.col("k")).between(1, 3), "left_anti").select("event_id")
+    return legacy.unguarded(r.where("event_type = 'purchase'"), r.where("event_type = 'view'"), ["user_id"], "i", 3).select("event_id")
 
 
 @query(f"select event_id, max(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by i rows between 2 preceding and current row) as near_error from {RANKED}")
 def lookback_flag(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("i").rowsBetween(-2, 0)
-    return ranked(spark, sf).select("event_id", F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w).alias("near_error"))
+    return ranked(spark, sf).select("event_id", legacy.seen_lately(F.col("event_type") == "error", ["user_id"], ["i"], 2).alias("near_error"))
 
 
 @query(f"select event_id from (select event_id, event_type, lead(event_type, 1) over w as b, lead(event_type, 2) over w as c from {RANKED} window w as (partition by user_id order by i)) where event_type = 'click' and b = 'view' and c = 'purchase'")
@@ -326,11 +347,9 @@ def event_graph(spark, sf):
     return edges, sources, clean, sinks
 
 
-#: Of the SQL only: the queries have no step limit, and their rows of up to so many hops are the rows of the SQL.
-TAINT_STEPS = 4
-SQL_TAINT = f"""with recursive r as {RANKED}, t(source, node, u, i, conf, n) as (
+SQL_TAINT = f"""with recursive r as materialized {RANKED}, t(source, node, u, i, conf, n) as (
   select event_id, event_id, user_id, i, 0.9::double, 1 from r where event_type = 'signup'
-  union all select t.source, r.event_id, t.u, r.i, t.conf * case when r.event_type = 'view' then 1 - 0.2::double else 1 end, t.n + 1 from t join r on r.user_id = t.u and r.i = t.i + 1 where t.n <= {TAINT_STEPS})"""
+  union all select source, event_id, u, i, conf, n from (select t.source, r.event_id, t.u, r.i, t.conf * case when r.event_type = 'view' then 1 - 0.2::double else 1::double end as conf, t.n + 1 as n from t join r on r.user_id = t.u and r.i = t.i + 1) where conf >= 0.1)"""
 
 
 @query(SQL_TAINT + " select source, node, round(conf, 6) as confidence, n as length from t")
@@ -348,10 +367,13 @@ def taint_flows(spark, sf):
     return f.select("source", "sink", F.round("confidence", 6).alias("confidence"), "vulnerable")
 
 
-@query("select event_id, case when event_type = 'view' then 'Sanitized' when event_type = 'error' then 'Unknown' else 'Cross-Site Scripting' end as category, case when event_type = 'view' then 'Info' when value > 50 then 'High' else 'Low' end as severity from events")
+@query("""select event_id, case when event_type = 'view' then 'Sanitized' when event_type = 'error' then 'Unknown' else 'Cross-Site Scripting' end as category,
+  case when event_type = 'view' then 'Info' when a = 'High' and b = 'Critical' then 'Critical' when a = 'High' and b = 'High' or a = 'Medium' and b = 'Critical' then 'High' when a = 'Medium' and b = 'High' then 'Medium' else 'Low' end as severity
+  from (select *, ['High', 'Medium', 'Low'][event_id % 3 + 1] as a, ['Critical', 'High', 'Medium', 'Low'][event_id // 3 % 4 + 1] as b from events)""")
 def flow_severity(spark, sf):
     f = read(spark, sf, "events").select("event_id", "event_type", "value", F.when(F.col("event_type") == "error", "OTHER").otherwise("XSS").alias("vulnerability_type"), (F.col("event_type") != "view").alias("vulnerable"))
-    s = flow.flow_severity(F.lit("High"), F.when(F.col("value") > 50, "High").otherwise("Low"), F.col("vulnerable"))
+    level = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    s = flow.flow_severity(level(("High", "Medium", "Low"), F.col("event_id") % 3), level(("Critical", "High", "Medium", "Low"), F.floor(F.col("event_id") / 3) % 4), F.col("vulnerable"))
     return flow.describe_flows(f.withColumn("level", s), spark).select("event_id", "category", F.col("level").alias("severity"))
 
 
@@ -384,12 +406,13 @@ def marketplace_topk(spark, sf):
 
 @query("select p_brand, round(avg(p_size) filter (p_size between 0 and 30), 6) as rating, cast(count(*) as bigint) as n from part group by 1")
 def rating_avg(spark, sf):
-    return read(spark, sf, "part").groupBy("p_brand").agg(F.round(F.avg(F.when(F.col("p_size").between(0, 30), F.col("p_size"))), 6).alias("rating"), F.count(F.lit(1)).alias("n"))
+    r = flowstats.mean_rating(read(spark, sf, "part").withColumnRenamed("p_size", "rating"), ["p_brand"], 0, 30)
+    return r.select("p_brand", F.round("mean", 6).alias("rating"), "n")
 
 
 @query("select tag, cast(count(*) as bigint) as n, min(p_partkey) as first_part from (select p_partkey, unnest(string_split(p_type, ' ')) as tag from part) group by 1")
 def tag_index(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", F.explode(F.split("p_type", " ")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_part"))
+    return flowstats.tag_index(read(spark, sf, "part").select(F.col("p_partkey").alias("rule_id"), F.split("p_type", " ").alias("tags"))).withColumnRenamed("first_rule", "first_part")
 
 
 @query("select o_orderkey, o_orderdate from orders order by o_orderdate desc, o_orderkey limit 50 offset 100")
@@ -399,7 +422,7 @@ def job_pagination(spark, sf):
 
 @query("select o_orderkey from orders where o_orderdate >= timestamp '1996-01-01'")
 def retention_cutoff(spark, sf):
-    return read(spark, sf, "orders").where(F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")).select("o_orderkey")
+    return feeds.retained(read(spark, sf, "orders"), "1996-01-01", "o_orderdate").select("o_orderkey")
 
 
 @query("select p_brand, p_type, cast(count(*) as bigint) as n, cast(grouping(p_brand) as int) as all_brands from part group by cube (p_brand, p_type)")
@@ -407,16 +430,17 @@ def grouping_sets(spark, sf):
     return read(spark, sf, "part").cube("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.grouping("p_brand").cast("int").alias("all_brands"))
 
 
-@query("select conv_id, turn, cast(i - 1 as int) as position, a[i] as argument, 'p' || (i - 1) as parameter from (select conv_id, turn, a, unnest(range(1, least(len(a), 3) + 1)) as i from (select conv_id, turn, string_split(text, ' ') as a from conversations) where len(a) >= 3)")
+@query("select conv_id, turn, cast(i - 1 as int) as position, a[i] as argument, 'p' || (i - 1) as parameter from (select conv_id, turn, a, unnest(range(1, len(a) + 1)) as i from (select conv_id, turn, string_split(text, ' ') as a from conversations))")
 def call_param_zip(spark, sf):
-    c = read(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a")).where(F.size("a") >= 3)
-    pairs = F.arrays_zip(F.slice("a", 1, 3).alias("argument"), F.array(F.lit("p0"), F.lit("p1"), F.lit("p2")).alias("parameter"))
-    return c.select("conv_id", "turn", F.posexplode(pairs).alias("position", "p")).select("conv_id", "turn", "position", "p.argument", "p.parameter")
+    """Each turn calls, with its words, the function of its role that has as many parameters."""
+    calls = read(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("call_id"), F.col("role").alias("name"), F.lit("text").alias("language"), F.split("text", " ").alias("arguments"))
+    functions = calls.select("name", "language", F.size("arguments").alias("param_count")).distinct().withColumn("parameters", F.expr("transform(sequence(0, param_count - 1), i -> concat('p', i))"))
+    return flow.zip_arguments(calls, functions).select("call_id.conv_id", "call_id.turn", "position", "argument", "parameter")
 
 
-@query("select doc_id, case when ends_with(s, ';') then s else s || ';' end as sql from (select doc_id, trim(regexp_replace(regexp_replace(left(text, 2000000), '\\$\\{[^}]+\\}', 'T0', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) as s from documents where not contains(text, '#{'))")
+@query("select doc_id, case when ends_with(s, ';') then s else s || ';' end as sql from (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '#\\{[^}]+\\}', '1', 'g'), '\\$\\{[^}]+\\}', 'T0', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as s from documents)")
 def normalize_sql(spark, sf):
-    """Every document; a null text stays null. The SQL leaves out texts with #{ and null ones, and cuts at two million characters."""
+    """Every document; a null text stays null."""
     return read(spark, sf, "documents").select("doc_id", fx.normalize_sql(F.col("text")).alias("sql"))
 
 
@@ -434,16 +458,31 @@ def literal_folding(spark, sf):
     return v.select("v", fx.literal_kind(F.col("v")).alias("kind"))
 
 
-@query(f"select doc_id, rule_id, min(matched) as first_match from {SQL_FOUND} group by all")
+@query("""with s as (select doc_id, case when text like '%@%' then 'mail.address' end as a, regexp_extract(text, '""" + MAIL + """') as m, regexp_extract(text, '""" + LICENSE + """') as l, regexp_extract(text, '(token|password|key) = "[^"]+"') as k from documents)
+select doc_id, 'mail.address' as rule_id, m as first_match from s where m <> '' union all select doc_id, 'license.line', l from s where l <> '' union all select doc_id, 'secret.assign', k from s where k <> ''""")
 def first_match(spark, sf):
     found, _ = rule_matches(spark, sf)
-    return found.groupBy("doc_id", "rule_id").agg(F.min("matched").alias("first_match"))
+    return nodes.dedup(found, ["doc_id", "rule_id"], ["start", "end"]).select("doc_id", "rule_id", F.col("matched").alias("first_match"))
 
 
-@query()
-def sarif_json(spark, sf):
+def placed_findings(spark, sf):
     found, _ = rule_matches(spark, sf)
-    return reports.sarif_results(found.withColumn("path", F.concat(F.lit("documents/"), "doc_id")))
+    return found.withColumn("path", F.concat(F.lit("documents/"), "doc_id"))
+
+
+#: The same findings in SQL: the text between matches is split off by the same expression, and lengths add up.
+SQL_PLACED = f"""(select doc_id, rule_id, severity, confidence, 'documents/' || doc_id as path, m as matched, message,
+  (1 + length(b) - length(replace(b, chr(10), '')))::int as start_line, (length(string_split(b, chr(10))[-1]) + 1)::int as start_column,
+  (1 + length(b || m) - length(replace(b || m, chr(10), '')))::int as end_line, (length(string_split(b || m, chr(10))[-1]) + 1)::int as end_column from (
+  select *, left(text, (coalesce(list_sum([length(x) for x in g[1:j]]), 0) + coalesce(list_sum([length(x) for x in ms[1:j - 1]]), 0))::bigint) as b, ms[j] as m,
+    case rule_id when 'mail.address' then 'address ' || regexp_extract(ms[j], '{MAIL}', 1) when 'secret.assign' then 'secret ' || regexp_extract(ms[j], '^([a-z]+)', 1) else 'license' end as message from (
+    select *, unnest(range(1, len(ms) + 1)) as j from (select doc_id, text, rule_id, severity, confidence, regexp_extract_all(text, re) as ms, string_split_regex(text, re) as g from documents, {SQL_RULES}))))"""
+
+
+@query(f"""select rule_id, to_json({{'ruleId': rule_id, 'level': case severity when 'critical' then 'error' when 'info' then 'note' else severity end, 'message': {{'text': message}},
+  'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': path}}, 'region': {{'startLine': start_line, 'startColumn': start_column, 'endLine': end_line, 'endColumn': end_column}}}}}}]}})::varchar as result from {SQL_PLACED}""")
+def sarif_json(spark, sf):
+    return reports.sarif_results(placed_findings(spark, sf))
 
 
 @query("select c_custkey as use_id, n_name as node_id from customer join nation on c_nationkey = n_nationkey")
@@ -486,9 +525,13 @@ def line_pattern(spark, sf):
     return nodes.line_matches(d, "token = $VALUE").select(F.col("file_id").alias("doc_id"), "start_line")
 
 
-@query("select page_id, contains(html, 'innerHTML') or contains(html, 'outerHTML') or contains(html, 'insertAdjacentHTML') as js_sink, contains(html, 'location.search') or contains(html, 'location.hash') or contains(html, 'document.referrer') as js_source, case when contains(html, '??') then '7.0+' when contains(html, '::class') then '5.5+' else '5.0+' end as php_version from pages")
+@query("""select page_id, contains(html, 'innerHTML') or contains(html, 'outerHTML') or contains(html, 'insertAdjacentHTML') as js_sink, contains(html, 'location.search') or contains(html, 'location.hash') or contains(html, 'document.referrer') as js_source,
+  case when contains(html, 'Laravel') then 'Laravel' when contains(html, 'Symfony') then 'Symfony' when contains(html, 'CodeIgniter') then 'CodeIgniter' when contains(html, 'Zend') then 'Zend' end as framework,
+  contains(html, '$_GET') or contains(html, '$_POST') or contains(html, '$_REQUEST') or contains(html, '$_COOKIE') or contains(html, 'file_get_contents') or contains(html, 'fread') as tainted_input,
+  concat_ws(',', case when regexp_matches(html, '(import.*react|React\\.|jsx|useState|useEffect)') then 'React' end, case when regexp_matches(html, '(Vue\\.|new Vue|v-|@click|<template>)') then 'Vue' end,
+    case when regexp_matches(html, '(@Component|@Injectable|angular|ng-)') then 'Angular' end, case when regexp_matches(html, '(\\$\\(|\\$\\.|jQuery)') then 'jQuery' end) as js_frameworks, case when contains(html, '??') then '7.0+' when contains(html, '::class') then '5.5+' else '5.0+' end as php_version from pages""")
 def web_features(spark, sf):
-    return nodes.web_features(read(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "js_sink", "js_source", "php_version")
+    return nodes.web_features(read(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "js_sink", "js_source", "php_version", "framework", "tainted_input", F.concat_ws(",", "js_frameworks").alias("js_frameworks"))
 
 
 @query("with recursive " + SQL_EDGES + ", w(node, source, confidence, length) as (select 'r' || r_regionkey, 'r' || r_regionkey, 90, 1 from region union all select e.dst, w.source, cast(floor(w.confidence * (1 - least(0.05::double * w.length, 0.3::double))) as int), w.length + 1 from w join e on w.node = e.src) select node, source, confidence, length from w where confidence > 30")
@@ -520,11 +563,13 @@ def duplicate_rule_ids(spark, sf):
     return read(spark, sf, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("select event_type, cast(count(distinct user_id) as bigint) as users, cast(percentile_disc(0.5) within group (order by value) * 100 as bigint) as mid from events group by 1")
+@query("select event_type, cast(count(distinct user_id) as bigint) as users, percentile_disc(0.5) within group (order by value) as mid from events group by 1")
 def distinct_and_percentile(spark, sf):
-    return read(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), (F.expr("percentile_disc(0.5) within group (order by value)") * 100).cast("long").alias("mid"))
+    return read(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.expr("percentile_disc(0.5) within group (order by value)").alias("mid"))
 
 
 @query("select date_trunc('hour', ts) as hour, event_type, cast(count(*) as bigint) as n from events group by all")
 def windowed_counts(spark, sf):
-    return read(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+    return feeds.windowed_counts(read(spark, sf, "events")).select(F.col("window.start").alias("hour"), "event_type", "n")
+
+from . import catalog_more  # noqa: E402,F401  (registers its queries)

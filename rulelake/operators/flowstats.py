@@ -51,8 +51,8 @@ def flow_statistics(flows: DataFrame, category: str = "category") -> DataFrame:
 
 
 def flows_by_category(flows: DataFrame, columns: list[str], category: str = "category") -> DataFrame:
-    """Each category once with all its flows, sorted: the listing itself is what is asked for."""
-    return flows.groupBy(category).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("flows"))
+    """Flows listed by category and then by the given columns: rows in order, so that no task holds a whole category."""
+    return flows.select(category, *columns).orderBy(category, *columns)
 
 
 def vulnerable_flows(flows: DataFrame, order: list[str], category: str = "category") -> DataFrame:
@@ -112,6 +112,22 @@ def top_operations(timings: DataFrame, by: str = "total", most: int = 10) -> Dat
     return one.orderBy(F.desc(by), "operation").limit(most)
 
 
+def rule_statistics(runs: DataFrame, rule: str = "rule_id") -> DataFrame:
+    """Per rule: runs, those that failed, findings in all, seconds in all and a run, and the last run's status by number."""
+    n = F.count(F.lit(1))
+    return runs.groupBy(rule).agg(n.alias("runs"), F.count_if(F.col("status") == "failed").alias("failures"), F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"), F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("mean_seconds"), F.max_by("status", "run").alias("last_status"))
+
+
+def tag_index(rules: DataFrame) -> DataFrame:
+    """Per tag: how many rules bear it, and the first of them."""
+    return rules.select("rule_id", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min("rule_id").alias("first_rule"))
+
+
+def mean_rating(ratings: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+    """Mean and number of ratings; those outside the scale count for the number alone."""
+    return ratings.groupBy(*keys).agg(F.avg(F.when(F.col("rating").between(low, high), F.col("rating"))).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
 def shelf_keys(rules: DataFrame) -> DataFrame:
     """(kind, name): distinct categories and tags of rules(rule_id, category, tags)."""
     return rules.select(F.lit("category").alias("kind"), F.col("category").alias("name")).union(rules.select(F.lit("tag"), F.explode("tags"))).distinct()

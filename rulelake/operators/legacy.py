@@ -110,6 +110,26 @@ def line_taint(lines: DataFrame, key: str = "file_id") -> DataFrame:
     return found.select(key, F.col("line_no").alias("start_line"), F.col("at").alias("start_column"), (F.col("at") + 4).alias("end_column"), "confidence")
 
 
+def undeclared_prefixes(files: DataFrame, key: str = "file_id", text_col: str = "source") -> DataFrame:
+    """(key, prefix): namespace prefixes that an XML text uses on elements or attributes and nowhere declares; xml and xmlns are known."""
+    names = lambda regex, group: F.explode(F.regexp_extract_all(text_col, F.lit(regex), F.lit(group))).alias("prefix")
+    used = files.select(key, names(r"</?([A-Za-z_][\w.-]*):[A-Za-z_]", 1)).union(files.select(key, names(r"\s([A-Za-z_][\w.-]*):[A-Za-z_][\w.-]*\s*=", 1)))
+    declared = files.select(key, names(r"xmlns:([A-Za-z_][\w.-]*)\s*=", 1))
+    return used.where(~F.col("prefix").isin("xml", "xmlns")).distinct().join(declared.distinct(), [key, "prefix"], "left_anti")
+
+
+def unguarded(rows: DataFrame, guards: DataFrame, keys: list[str], at: str, within: int) -> DataFrame:
+    """Rows without a guard of the same keys among the `within` places before theirs."""
+    g = guards.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(at).alias("_at"))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
+    return rows.join(g, same & (F.col(at) - F.col("_at")).between(1, within), "left_anti")
+
+
+def seen_lately(test: Column, keys: list[str], order: list[str], rows: int) -> Column:
+    """1 where the test holds in this row or one of the `rows` before it in order, else 0."""
+    return F.max(F.when(test, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-rows, 0))
+
+
 def first_of_each(stages: list[DataFrame], keys: list[str]) -> DataFrame:
     """The findings of the first stage that has any, for each key (rule and file); `stage` numbers it from 0.
 

@@ -159,12 +159,36 @@ PHP_FRAMEWORKS = ("Laravel", "Symfony", "CodeIgniter", "Zend")
 PHP_INPUT = ("$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "file_get_contents", "fread")
 JS_SINKS = ("innerHTML", "outerHTML", "insertAdjacentHTML")
 JS_SOURCES = ("location.search", "location.hash", "document.referrer")
+JS_FRAMEWORKS = {"React": r"(import.*react|React\.|jsx|useState|useEffect)", "Vue": r"(Vue\.|new Vue|v-|@click|<template>)", "Angular": r"(@Component|@Injectable|angular|ng-)", "jQuery": r"(\$\(|\$\.|jQuery)"}
+#: Classes of node types.
+EXPRESSIONS = ("binary_expression", "unary_expression", "call_expression", "member_expression", "assignment", "conditional_expression", "array_expression", "object_expression", "lambda_expression", "identifier", "literal")
+STATEMENTS = ("expression_statement", "declaration_statement", "control_flow_statement", "return_statement", "block_statement", "break_statement", "continue_statement", "throw_statement", "try_statement", "if_statement", "while_statement", "for_statement", "switch_statement", "case_statement")
+DECLARATIONS = ("function_declaration", "variable_declaration", "class_declaration", "import_statement", "export_statement", "interface_declaration")
+
+
+def node_class(node_type: Column) -> Column:
+    """expression, statement or declaration; null for other types."""
+    return F.when(node_type.isin(*EXPRESSIONS), "expression").when(node_type.isin(*STATEMENTS), "statement").when(node_type.isin(*DECLARATIONS), "declaration")
+
+
+def nodes_at(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """(file_id, line) with the innermost node whose lines hold it: the fewest lines, then the deepest, then the last."""
+    p = places.select("file_id", "line").distinct()
+    hit = nodes.join(p, "file_id").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    best = F.min_by(F.struct("node_id", "node_type", "text"), F.struct(F.col("end_line") - F.col("start_line"), -F.col("depth"), -F.col("node_id"))).alias("n")
+    return hit.groupBy("file_id", "line").agg(best).select("file_id", "line", "n.*")
+
+
+def with_child_count(nodes: DataFrame) -> DataFrame:
+    """Nodes with `child_count`."""
+    n = nodes.where("parent_id is not null").groupBy("file_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("child_count"))
+    return nodes.join(n, ["file_id", "node_id"], "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
 
 
 def web_features(files: DataFrame, text_col: str = "source") -> DataFrame:
-    """PHP version and framework, tainted input, and browser sources and sinks of each text."""
+    """PHP version and framework, tainted input, browser sources and sinks, and JavaScript frameworks of each text."""
     t = F.col(text_col)
     any_of = lambda words: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
     framework = F.coalesce(*[F.when(F.contains(t, F.lit(w)), w) for w in PHP_FRAMEWORKS])
     version = F.when(F.contains(t, F.lit("??")), "7.0+").when(F.contains(t, F.lit("::class")), "5.5+").otherwise("5.0+")
-    return files.withColumns({"php_version": version, "framework": framework, "tainted_input": any_of(PHP_INPUT), "js_sink": any_of(JS_SINKS), "js_source": any_of(JS_SOURCES)})
+    return files.withColumns({"php_version": version, "framework": framework, "tainted_input": any_of(PHP_INPUT), "js_sink": any_of(JS_SINKS), "js_source": any_of(JS_SOURCES), "js_frameworks": F.array_compact(F.array(*[F.when(F.regexp(t, F.lit(r)), n) for n, r in JS_FRAMEWORKS.items()]))})

@@ -133,6 +133,9 @@ def _tokens(text: str) -> list[tuple]:
             end = spans[last][2]
             me = len(rows)
             rows.append([me, 0, open_[-1][0], 0, len(open_), kind, text[a:end], line_col(starts, a)[0], line_col(starts, max(a, end - 1))[0]])
+            if kind == "assignment":  # its variable is its first child, as in Python's own trees
+                line = line_col(starts, a)[0]
+                rows.append([me + 1, 0, me, 0, len(open_) + 1, "identifier", t, line, line])
             if last > i:
                 open_.append((me, last))
     seen: dict[int, int] = {}
@@ -155,15 +158,26 @@ def _tokens(text: str) -> list[tuple]:
 PARSERS = {"python": _python, "xml": _xml}
 
 
-def parse(files: DataFrame, parsers: dict | None = None, id_col: str = "file_id", text_col: str = "source") -> DataFrame:
-    """The node table of all files, by each language's parser (others by tokens); pre and post order numbers give containment."""
+def parse(files: DataFrame, parsers: dict | None = None, id_col: str = "file_id", text_col: str = "source", caps: dict[str, int] | None = None) -> DataFrame:
+    """The node table of all files, by each language's parser (others by tokens); pre and post order numbers give containment.
+
+    caps: most characters of a text of a language ("" for all others); a longer one is one `error` node without text.
+    """
     table = {**PARSERS, **(parsers or {})}
+    caps = caps or {}
+    if any(v < 1 for v in caps.values()):
+        raise ValueError("a size cap cannot be zero")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         for batch in batches:
             keep, rows = [], []
             for k, (language, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                most = caps.get(language, caps.get(""))
+                if most is not None and text is not None and len(text) > most:
+                    rows.append((0, 0, None, 0, 0, "error", "", 1, text.count("\n") + 1))
+                    keep.append(k)
+                    continue
                 for r in table.get(language, _tokens)(text or ""):
                     keep.append(k)
                     rows.append(r)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_text, sums_before
@@ -296,6 +296,29 @@ def _by_tokens(slim: DataFrame, leaves: list[Leaf], once: set[str]) -> DataFrame
     return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, {MATCH_FIELDS}")
 
 
+def token_rows(files: DataFrame, id_col: str = "file_id", text_col: str = "source") -> DataFrame:
+    """(id, i, token, start, end): every token of every text with its number from 0 and its place in characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                lists = [tokenize(t or "") for t in part.column(1).to_pylist()]
+                owner = pa.array([j for j, x in enumerate(lists) for _ in x], pa.int64())
+                number = pa.array([i for x in lists for i in range(len(x))], pa.int32())
+                cols = list(zip(*(t for x in lists for t in x))) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), number, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["_id", "i", "token", "start", "end"])
+
+    slim = files.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, i int, token string, start long, end long").withColumnRenamed("_id", id_col)
+
+
+def statement_numbers(tokens: DataFrame, separator: str = ";", id_col: str = "file_id") -> DataFrame:
+    """Tokens with `stmt`: the number of separators before them in their text."""
+    w = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return tokens.withColumn("stmt", F.coalesce(F.sum(F.when(F.col("token") == separator, 1).otherwise(0)).over(w), F.lit(0)).cast("long"))
+
+
 def holds(value: str, patterns: list[str], language: str = "generic") -> bool:
     """Whether any token pattern matches a text at all (an ending semicolon of a pattern never counts)."""
     tokens = Tokens(value)

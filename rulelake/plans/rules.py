@@ -89,8 +89,8 @@ def _text(v) -> str:
 
 
 def parse_rule(raw: dict) -> Rule:
-    top = {k: v for k, v in raw.items() if k in KEYS}
-    node = parse_entry(top) if top else None
+    top = {k: v for k, v in raw.items() if k in KEYS or k in CLAUSES}
+    node = parse_entry(top) if any(k in KEYS for k in top) else None
     flow = None
     if raw.get("mode") == "taint" or "pattern-sources" in raw or "dataflow" in raw:
         spec = raw.get("dataflow", {})
