@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import RANKED, SQL_EDGES, SQL_PLACED, SQL_TAINT, event_graph, lines, placed_findings, query, ranked, read, rule_matches, star_edges
+from .catalog import RANKED, SQL_EDGES, SQL_PLACED, SQL_TAINT, event_graph, lines, placed_findings, query, ranked, read, rule_matches, spans, star_edges
 from .functions import text as fx
 from .operators import conditions as cond
 from .operators import dataflow as flow
@@ -503,6 +503,17 @@ def node_classes(spark, sf):
     return n.groupBy(nodes.node_class(F.col("node_type")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""with s as (select l_orderkey as file_id, l_linenumber::bigint as no, l_linenumber * 10 as a, (l_linenumber * 10 + l_quantity)::bigint as z from lineitem)
+select x.file_id, x.no, exists (select 1 from s y where y.file_id = x.file_id and y.z - y.a > 40 and y.a >= x.z) as followed, exists (select 1 from s y where y.file_id = x.file_id and y.z - y.a > 40 and y.z <= x.a) as preceded from s x""")
+def followed_and_preceded(spark, sf):
+    """Spans of orders that a long span comes after, or before."""
+    s = spans(spark, sf)
+    long = s.where(F.col("end") - F.col("start") > 40)
+    flag = lambda df, name: df.select("file_id", "no").withColumn(name, F.lit(True))
+    out = s.select("file_id", "no").join(flag(matching.followed_by(s, long, ["file_id"]), "followed"), ["file_id", "no"], "left").join(flag(matching.followed_by(s, long, ["file_id"], before=True), "preceded"), ["file_id", "no"], "left")
+    return out.select("file_id", "no", F.coalesce("followed", F.lit(False)).alias("followed"), F.coalesce("preceded", F.lit(False)).alias("preceded"))
+
+
 # reports ------------------------------------------------------------------------------------------
 
 

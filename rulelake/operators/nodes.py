@@ -75,6 +75,12 @@ def search(nodes: DataFrame, pattern: str) -> DataFrame:
     return nodes.where(test).withColumn("bindings", F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"))
 
 
+def search_regex(nodes: DataFrame, regex: str, wanted: bool = True) -> DataFrame:
+    """Nodes whose text an expression finds (or does not); a node without text is never found."""
+    hit = F.coalesce(F.regexp("text", F.lit(regex)), F.lit(False))
+    return nodes.where(hit if wanted else ~hit)
+
+
 def child_first(found: DataFrame) -> DataFrame:
     """Of the nodes found, those below which none was found."""
     o = found.select(F.col("file_id").alias("_f"), F.col("node_id").alias("_pre"), F.col("post").alias("_post"))

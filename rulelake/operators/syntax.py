@@ -155,6 +155,24 @@ def _tokens(text: str) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
+def build(spark, file_id: int, tree: tuple) -> DataFrame:
+    """The node table of a tree written as (node type, text, children): what fixtures and generators start from."""
+    rows: list[list] = []
+    post = [0]
+
+    def visit(node: tuple, parent: int | None, k: int, depth: int) -> None:
+        kind, text, children = (*node, None, ())[:3] if len(node) < 3 else node
+        me = len(rows)
+        rows.append([file_id, me, 0, parent, k, depth, kind, text, 1, 1])
+        for i, c in enumerate(children or ()):
+            visit(c, me, i, depth + 1)
+        rows[me][2] = post[0]
+        post[0] += 1
+
+    visit(tree, None, 0, 0)
+    return spark.createDataFrame([tuple(r) for r in rows], f"file_id long, {NODE_FIELDS}")
+
+
 PARSERS = {"python": _python, "xml": _xml}
 
 

@@ -111,6 +111,10 @@ def test_nodes_and_types(spark):
     counted = nodes.with_child_count(tree.where("file_id = 0"))
     assert {r.text for r in counted.where(cond.every([cond.node_attribute("type", "assignment"), cond.node_attribute("child_count", "2")])).collect()} == {"x = f(1);", "y = g(x);"}
     assert counted.where(cond.text_holds("g(")).count() == 3
+    built = syntax.build(spark, 7, ("program", None, [("call_expression", "f(a)", [("identifier", "a")]), ("literal", "1")]))
+    assert {(r.node_type, r.node_id, r.post, r.parent_id) for r in built.collect()} == {("program", 0, 3, None), ("call_expression", 1, 1, 0), ("identifier", 2, 0, 1), ("literal", 3, 2, 0)}
+    assert [r.text for r in nodes.search_regex(built, "^f").collect()] == ["f(a)"] and nodes.search_regex(built, "^f", False).count() == 3
+    assert [r.node_type for r in syntax.inside(built, "identifier", "call_expression").collect()] == ["identifier"]
     p, o = {"kind": "primitive", "name": "int"}, {"kind": "object", "name": "int"}
     arr, uni, fun = {"kind": "array", "of": p}, {"kind": "union", "of": [o, p]}, {"kind": "function"}
     assert fits(None, fun) and fits(p, p) and not fits(p, o) and fits(arr, {"kind": "array", "of": uni}) and fits(uni, p) and fits(p, uni) and not fits(fun, fun) and not fits(arr, p)
