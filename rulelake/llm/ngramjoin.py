@@ -41,6 +41,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Most nodes of a room.
 BLOCK = 1024
+#: Parts that the members of a large bucket are dealt to while its size is looked up.
+SALTS = 64
 BLOCK_BYTES = 5 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -367,8 +369,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(packed.mapInArrow(gather, "bucket long, node long").distinct(), "buckets")
     nodes = seen.groupBy("node").agg(F.min("_id").alias("_least"), F.max("n").alias("n"))
     sets = seen.where("shingles is not null").groupBy("node").agg(F.first(F.struct("n", "shingles", "often")).alias("set")).select("node", "set.*")
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    # only large buckets have a row there; their members are dealt by bucket and one of SALTS numbers
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["bucket", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.select("bucket", "node", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("mine"))
 
     def rooms(who: DataFrame) -> DataFrame:
         """who(node, room, asking, pivot) with the nodes' sets, room by room."""
@@ -408,7 +413,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = "node long, least long, loose boolean"
     one = dealt.select("node", F.xxhash64("bucket", "mine").alias("room"), F.lit(False).alias("asking"), F.when(F.col("blocks") > 1, F.col("bucket")).alias("pivot"))
     # a bucket's own node is the pivot of each of its rooms
-    pivots = sizes.where("blocks > 1").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"))
+    pivots = sizes.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"))
     one = one.unionByName(pivots.select(F.col("bucket").alias("node"), F.xxhash64("bucket", "mine").alias("room"), F.lit(False).alias("asking"), F.col("bucket").alias("pivot")))
     links = materialize(rooms(one).mapInArrow(walk, found), "room-links")
     many = dealt.where("blocks > 1")
