@@ -509,9 +509,8 @@ def followed_and_preceded(spark, sf):
     """Spans of orders that a long span comes after, or before."""
     s = spans(spark, sf)
     long = s.where(F.col("end") - F.col("start") > 40)
-    flag = lambda df, name: df.select("file_id", "no").withColumn(name, F.lit(True))
-    out = s.select("file_id", "no").join(flag(matching.followed_by(s, long, ["file_id"]), "followed"), ["file_id", "no"], "left").join(flag(matching.followed_by(s, long, ["file_id"], before=True), "preceded"), ["file_id", "no"], "left")
-    return out.select("file_id", "no", F.coalesce("followed", F.lit(False)).alias("followed"), F.coalesce("preceded", F.lit(False)).alias("preceded"))
+    both = matching.with_follower(matching.with_follower(s, long, ["file_id"]), long, ["file_id"], before=True, column="preceded")
+    return both.select("file_id", "no", "followed", "preceded")
 
 
 # reports ------------------------------------------------------------------------------------------

@@ -131,15 +131,20 @@ def contained(inner: DataFrame, outer: DataFrame, id_col: str, wanted: bool = Tr
     return inner.join(o, (F.col(id_col) == F.col("_f")) & (inside if mode == "ancestor" else below), "left_semi" if wanted else "left_anti")
 
 
-def followed_by(left: DataFrame, right: DataFrame, keys: list[str], before: bool = False) -> DataFrame:
-    """Matches of left that a match of right of the same keys begins after the end of (before: ends before the start of).
+def with_follower(left: DataFrame, right: DataFrame, keys: list[str], before: bool = False, column: str = "followed") -> DataFrame:
+    """Matches of left with whether a match of right of the same keys begins after their end (before: ends before their start).
 
     One right match decides for all left ones of its keys, the last to begin or the first to end, so no pairs are made.
     """
     edge = F.min("end") if before else F.max("start")
     r = right.groupBy(*keys).agg(edge.alias("_edge"))
     test = F.col("_edge") <= F.col("start") if before else F.col("_edge") >= F.col("end")
-    return left.join(r, keys).where(test).drop("_edge")
+    return left.join(r, keys, "left").withColumn(column, F.coalesce(test, F.lit(False))).drop("_edge")
+
+
+def followed_by(left: DataFrame, right: DataFrame, keys: list[str], before: bool = False) -> DataFrame:
+    """Matches of left that a match of right of the same keys follows (before: precedes)."""
+    return with_follower(left, right, keys, before, "_followed").where("_followed").drop("_followed")
 
 
 def innermost(matches: DataFrame, keys: list[str]) -> DataFrame:
