@@ -24,8 +24,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 ASSIGN_LEAST = 6
 #: Words that mark a segment as made up.
 PLACEHOLDERS = "example|sample|placeholder|dummy|changeme|xxxxx"
-#: Runs of separators and of segments without a placeholder.
-CANDIDATE = rf"(?:[+/_=-]|(?<![A-Za-z0-9])(?![A-Za-z0-9]*?(?i:{PLACEHOLDERS}))[A-Za-z0-9]++)++"
+#: Runs of separators and of segments without a placeholder, where at least a window of such characters lies ahead.
+CANDIDATE = rf"(?=[A-Za-z0-9+/_=-]{{24}})(?:[+/_=-]|(?<![A-Za-z0-9])(?![A-Za-z0-9]*?(?i:{PLACEHOLDERS}))[A-Za-z0-9]++)++"
 LEAST = 24
 
 
