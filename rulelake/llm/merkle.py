@@ -63,22 +63,23 @@ def _lone(key: tuple[int, int], run: list) -> bool:
     return key[1] == 0 and len(run) == 1
 
 
-def climb(nodes: RDD, n_nodes: int, parts: int) -> tuple[list[RDD], RDD]:
-    """(runs of each level, roots) of the trees over nodes ((tree, run), [(place, digest, payload)]).
+def climb(nodes: RDD, most: int, parts: int) -> tuple[list[RDD], RDD]:
+    """(runs of each level, roots) of the trees over nodes ((tree, run), [(place, digest, payload)]); no tree has over `most` nodes.
 
-    Runs are ((tree, run), children in order); roots are (tree, (digest, level)). A tree of one node is its own root.
+    Runs are ((tree, run), children in order); roots are (tree, digest). A tree that has come down to one node waits: the
+    node is handed on as it is until the last level, so that all trees end there. A tree of one node is its own root.
     """
 
     def rise(row: tuple) -> tuple:
         (tree, run), children = row
-        return (tree, run // FAN), [(run % FAN, digest_of([c[1] for c in children]), None)]
+        digest = children[0][1] if _lone((tree, run), children) else digest_of([c[1] for c in children])
+        return (tree, run // FAN), [(run % FAN, digest, None)]
 
     levels = [_gather(nodes, parts).mapValues(sorted_children)]
-    for _ in range(max(0, math.ceil(math.log(max(1, n_nodes), FAN) - 1e-9))):
+    for _ in range(max(0, math.ceil(math.log(max(1, most), FAN) - 1e-9))):
         parts = max(1, math.ceil(parts / FAN))
-        levels.append(_gather(levels[-1].filter(lambda r: not _lone(*r)).map(rise), parts).mapValues(sorted_children))
-    tops = [level.filter(lambda r: _lone(*r)).map(lambda r, n=n: (r[0][0], (r[1][0][1], n))) for n, level in enumerate(levels)]
-    return levels, levels[0].context.union(tops)
+        levels.append(_gather(levels[-1].map(rise), parts).mapValues(sorted_children))
+    return levels, levels[-1].map(lambda r: (r[0][0], r[1][0][1]))
 
 
 def sorted_children(run: list) -> list:
@@ -86,16 +87,14 @@ def sorted_children(run: list) -> list:
 
 
 def descend(levels: list[RDD], starts: RDD) -> RDD:
-    """Runs of the lowest level as (children, above): what reaches a run is ("above", path, words) with the path over its node.
+    """Runs of the lowest level as (key, children, above): what reaches a run is ("above", path, words) with the path over its node.
 
-    starts: (tree, (level of the tree's root, path over the root, words)); words go along unchanged.
+    starts: (tree, (path over the root, words)); words go along unchanged.
     """
-    messages, opened = None, None
-    for n in range(len(levels) - 1, -1, -1):
-        first = starts.filter(lambda r, n=n: r[1][0] == n).map(lambda r: ((r[0], 0), [("above", r[1][1], r[1][2])]))
-        inbox = first if messages is None else messages.union(first)
-        parts = levels[n].getNumPartitions()
-        opened = _gather(levels[n].union(inbox), parts).map(_opened)
+    messages = starts.map(lambda r: ((r[0], 0), [("above", *r[1])]))
+    opened = None
+    for level in reversed(levels):
+        opened = _gather(level.union(messages).coalesce(level.getNumPartitions()), level.getNumPartitions()).map(_opened)
         messages = opened.flatMap(_messages)
     return opened
 
@@ -121,34 +120,33 @@ def _messages(row: tuple) -> Iterator[tuple]:
 
 
 def _summary(index: int, rows: Iterator) -> Iterator[tuple]:
-    """(partition, rows, first source, its rows, last source, its rows, sources) of a sorted partition."""
-    n = n_first = n_last = sources = 0
+    """(partition, first source, last source, its rows, most rows of one source, sources) of a sorted partition; nothing if it is empty."""
     first = last = None
+    n = most = sources = 0
     for source, *_ in rows:
-        if not n:
-            first = last = source
-            sources, n_last = 1, 0
+        if not sources:
+            first, last, sources = source, source, 1
         elif source != last:
-            last, n_last, sources = source, 0, sources + 1
-        n, n_last = n + 1, n_last + 1
-        n_first += sources == 1
-    yield index, n, first, n_first, last, n_last, sources
+            last, n, sources = source, 0, sources + 1
+        n += 1
+        most = max(most, n)
+    if sources:
+        yield index, first, last, n, most, sources
 
 
 def _starts(summaries: list[tuple]) -> tuple[dict[int, tuple[int, int]], int, int]:
-    """({partition: (number of its first source, rows of that source before it)}, sources, rows) from summaries in order."""
-    out, number, before, last, any_, total = {}, -1, 0, None, False, 0
-    for index, n, first, _, last_here, n_last, sources in sorted(summaries):
-        if not n:
-            continue
-        goes_on = any_ and first == last
+    """({partition: (number of its first source, rows of that source before it)}, sources, bound on the rows of a source)."""
+    out, number, before, last, bound = {}, -1, 0, None, 0
+    for index, first, last_here, n, most, sources in sorted(summaries):
+        goes_on = bool(out) and first == last
         number += not goes_on
         before = before if goes_on else 0
         out[index] = (number, before)
+        bound = max(bound, before + most)
         number += sources - 1
-        before = n_last + (before if goes_on and sources == 1 else 0)
-        last, any_, total = last_here, True, total + n
-    return out, number + 1, total
+        before = n + (before if sources == 1 else 0)
+        last = last_here
+    return out, number + 1, bound
 
 
 def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", fields: list[str] | None = None, changed: DataFrame | None = None, found: dict[str, Column] | None = None, proofs: bool = False) -> DataFrame:
@@ -181,7 +179,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / ROWS_PER_PART))
     order = [F.asc_nulls_first(c) for c in ("source", "id", "leaf", "row")]
     rows = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order).rdd
-    starts, n_sources, _ = _starts(rows.mapPartitionsWithIndex(_summary).collect())
+    starts, n_sources, most = _starts(rows.mapPartitionsWithIndex(_summary).collect())
 
     def number(index: int, part: Iterator) -> Iterator[tuple]:
         """A sorted partition's rows in (pieces of) runs."""
@@ -199,15 +197,14 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         if run:
             yield key, run
 
-    levels, subroots = climb(rows.mapPartitionsWithIndex(number), n_rows, parts)
-    upper = subroots.map(lambda r: ((0, r[0] // FAN), [(r[0] % FAN, r[1][0], r[1][1])]))
-    tops, root = climb(upper, n_sources, max(1, math.ceil(parts / FAN)))
-    over = descend(tops, root.map(lambda r: (0, (r[1][1], [], r[1][0]))))
+    levels, subroots = climb(rows.mapPartitionsWithIndex(number), most, parts)
+    tops, root = climb(subroots.map(lambda r: ((0, r[0] // FAN), [(r[0] % FAN, r[1], None)])), n_sources, max(1, math.ceil(n_sources / ROWS_PER_PART)))
+    over = descend(tops, root.map(lambda r: (0, ([], r[1]))))
 
     def to_sources(row: tuple) -> Iterator[tuple]:
         (tree, run), children, (_, path, root) = row
-        for (at, subroot, level), below in zip(children, paths_below((tree, run), children, path)):
-            yield run * FAN + at, (level, below, (subroot, root))
+        for (at, subroot, _), below in zip(children, paths_below((tree, run), children, path)):
+            yield run * FAN + at, (below, (subroot, root))
 
     def leaves(row: tuple) -> Iterator[tuple]:
         key, children, (_, path, (subroot, root)) = row
