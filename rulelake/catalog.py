@@ -572,4 +572,4 @@ def distinct_and_percentile(spark, sf):
 def windowed_counts(spark, sf):
     return feeds.windowed_counts(read(spark, sf, "events")).select(F.col("window.start").alias("hour"), "event_type", "n")
 
-from . import catalog_more  # noqa: E402,F401  (registers its queries)
+from . import catalog_more, catalog_rules  # noqa: E402,F401  (they register their queries)

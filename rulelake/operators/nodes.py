@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_comment
+from .matching import nested
 
 _PIECES = re.compile(r"\s*(\$\.\.\.[A-Z]\w*|\$[A-Z]\w*|@\w+|\.\.\.|[()|]|[^\s()|]+)")
 
@@ -81,10 +82,9 @@ def search_regex(nodes: DataFrame, regex: str, wanted: bool = True) -> DataFrame
     return nodes.where(hit if wanted else ~hit)
 
 
-def child_first(found: DataFrame) -> DataFrame:
-    """Of the nodes found, those below which none was found."""
-    o = found.select(F.col("file_id").alias("_f"), F.col("node_id").alias("_pre"), F.col("post").alias("_post"))
-    return found.join(o, (F.col("file_id") == F.col("_f")) & (F.col("node_id") < F.col("_pre")) & (F.col("_post") < F.col("post")), "left_anti")
+def child_first(found: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """Of the nodes found, those below which none of their keys was found: in pre-order, none that comes later ends sooner."""
+    return nested(found, found, list(keys), False, False, "node_id", "post", strict=True)
 
 
 def classify(pattern: str) -> str:

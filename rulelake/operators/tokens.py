@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_text, sums_before
+from .anchors import Anchors, candidates_column, regex_anchor, token_anchor
 
 #: One-character tokens; blanks separate, quotes are ordinary characters.
 PUNCTUATION = "+-*/%=<>!&|^~?:;,()[]{}."
@@ -196,71 +198,112 @@ def java_regex(pattern: str) -> str:
     return re.sub(r"\\Z", r"\\z", re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")))
 
 
-def match_leaves(files: DataFrame, leaves: list, id_col: str = "file_id", text_col: str = "source", language_col: str | None = "language", once: set[str] = frozenset()) -> DataFrame:
+def regex_groups(pattern: str) -> int:
+    """Capturing groups of a regular expression, as the JVM counts them."""
+    bare = re.sub(r"\[(\^?\]?)[^\]]*\]", "", re.sub(r"\\Q.*?(\\E|$)|\\.", "", java_regex(pattern), flags=re.DOTALL))
+    return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))
+
+
+#: From so many regular expressions on, texts are first walked by one automaton over all their anchors; fewer are looked for one by one.
+MANY = 32
+
+
+def match_leaves(files: DataFrame, leaves: list, id_col: str = "file_id", text_col: str = "source", language_col: str | None = "language", once: set[str] = frozenset(), plain: bool = False) -> DataFrame:
     """Matches of leaf patterns in every file; leaves are Leaf objects or their first five fields.
 
-    The leaves are a driver-side list: no shuffle, and at most two passes over the files. Rules of regular
-    expressions alone are matched by built-in functions, those with token patterns in Arrow batches. A leaf is tried
-    where the file's language is among its languages (or they hold "generic"). Null texts have no matches.
-    Of the rules in `once`, matches of equal spans of one file are one match, that of the least leaf.
+    The leaves are a driver-side list: no shuffle, and at most two passes over the files. Regular expressions
+    are matched by built-in functions, whatever stands beside them, token patterns in Arrow batches; both only where an
+    anchor of theirs occurs (plain: everywhere, with the same result). A leaf is tried
+    where the file's language is among its languages (or they hold "generic"). Null and empty texts have no matches.
+    Of the rules in `once`, matches of equal spans of one file are one match, that of the least leaf; all leaves of
+    such a rule are of one kind.
     """
     leaves = [x if isinstance(x, Leaf) else Leaf(*x[:4], tuple(x[4])) for x in leaves]
-    slow = {x.rule_id for x in leaves if x.kind == "simple" or x.focus or re.search(x.text, "")}
     language = F.col(language_col) if language_col else F.lit("generic")
     slim = files.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), language.cast("string").alias("_language"))
     parts = []
-    if fast := [x for x in leaves if x.rule_id not in slow]:
-        parts.append(_by_functions(slim, fast, once))
-    if rest := [x for x in leaves if x.rule_id in slow]:
-        parts.append(_by_tokens(slim, rest, once))
+    if regexes := [x for x in leaves if x.kind != "simple"]:
+        parts.append(_by_functions(slim, regexes, once, plain))
+    if simple := [x for x in leaves if x.kind == "simple"]:
+        parts.append(_by_tokens(slim, simple, once, plain))
     if not parts:
-        parts.append(_by_tokens(slim, [], once))
+        parts.append(_by_tokens(slim, [], once, plain))
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("_id", id_col)
 
 
-def _by_functions(slim: DataFrame, leaves: list[Leaf], once: set[str]) -> DataFrame:
-    """One expression over an array of the leaves: all matches, the text between them by splitting, and places by adding lengths up."""
-    row = lambda x: f"named_struct('rule', {sql_text(x.rule_id)}, 'no', {x.no}, 're', {sql_text(java_regex(x.text))}, 'groups', {re.compile(x.text).groups}, 'any', {str('generic' in x.languages).lower()}, 'langs', array({', '.join(map(sql_text, x.languages))}), 'once', {str(x.rule_id in once).lower()})"
+def _by_functions(slim: DataFrame, leaves: list[Leaf], once: set[str], plain: bool) -> DataFrame:
+    """One replacement a leaf and text puts marks around its matches and their groups; splitting at the marks gives the
+    matches and what stands between them, and adding up lengths their places. The expression runs once.
+
+    Marks are private characters around a number that the text does not hold. A focus on a group is its first occurrence inside the match.
+    """
+    anchors = [None if plain else regex_anchor(x.text) for x in leaves]
+    many = len(leaves) >= MANY and not plain
+    rows = [
+        {"rule": x.rule_id, "no": x.no, "re": java_regex(x.text), "groups": (n := regex_groups(x.text)), "any": "generic" in x.languages, "langs": list(x.languages), "once": x.rule_id in once, "need": [] if many else sorted(a or ()), "focus": int(x.focus[1:]) if x.focus and x.focus[1:].isdigit() and int(x.focus[1:]) <= n else 0}
+        for x, a in zip(leaves, anchors)
+    ]
+    row = "rule: string, no: int, re: string, groups: int, any: boolean, langs: array<string>, once: boolean, need: array<string>, focus: int"
+    # every leaf of the run as one constant, whatever their number
+    table = f"from_json({sql_text(json.dumps(rows, ensure_ascii=False))}, 'array<struct<{row}>>')"
+    let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
     count = lambda s: f"char_length({s}) - char_length(replace({s}, '\n', ''))"
     # 1-based place of a string's last line feed, 0 for none
     last = lambda s: f"if(instr({s}, '\n') = 0, 0, char_length({s}) + 1 - instr(reverse({s}), '\n'))"
-    let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    shape = lambda s: f"named_struct('n', char_length({s}), 'nl', {count(s)}, 'last', {last(s)})"
+    mark = lambda c: f"concat('{c}', _mark, '\ue003')"
     fields = "rule: string, no: int, once: boolean, start: int, end: int, l1: int, c1: int, l2: int, c2: int, matched: string, groups: map<string, string>"
+    # the column counts from the last line feed before a place: of the texts before, of what precedes the focus, of the focus itself
+    column = lambda at, *lasts: f"{at} - greatest(nl[j], " + ", ".join(f"if({x}.last > 0, {base} + {x}.last - 1, -1)" for x, base in lasts) + ")"
+    begin, gap, before = "at[j] + g[j].n + h[j].n", ("g[j]", "at[j]"), ("h[j]", "at[j] + g[j].n")
     one = (
-        "named_struct('rule', r.rule, 'no', r.no, 'once', r.once, 'start', at[j] + g[j].n, 'end', at[j] + g[j].n + m[j].n, 'l1', 1 + ls[j] + g[j].nl, "
-        "'c1', at[j] + g[j].n - greatest(nl[j], if(g[j].last > 0, at[j] + g[j].last - 1, -1)), 'l2', 1 + ls[j] + g[j].nl + m[j].nl, "
-        "'c2', at[j] + g[j].n + m[j].n - greatest(nl[j], if(g[j].last > 0, at[j] + g[j].last - 1, -1), if(m[j].last > 0, at[j] + g[j].n + m[j].last - 1, -1)), "
-        "'matched', f[j], 'groups', map_from_arrays(transform(gs, (x, i) -> concat('$', i + 1)), transform(gs, x -> x[j])))"
+        f"named_struct('rule', r.rule, 'no', r.no, 'once', r.once, 'start', {begin}, 'end', {begin} + t[j].n, 'l1', 1 + ls[j] + g[j].nl + h[j].nl, 'c1', {column(begin, gap, before)}, "
+        f"'l2', 1 + ls[j] + g[j].nl + h[j].nl + t[j].nl, 'c2', {column(begin + ' + t[j].n', gap, before, ('t[j]', begin))}, 'matched', if(r.focus > 0, f[j][r.focus], f[j][0]), "
+        "'groups', if(r.groups = 0, cast(map() as map<string, string>), map_from_arrays(transform(sequence(1, r.groups), k -> concat('$', k)), slice(f[j], 2, r.groups))))"
     )
-    shape = lambda s: f"named_struct('n', char_length({s}), 'nl', {count(s)}, 'last', {last(s)})"
     body = f"transform(f, (x, j) -> {one})"
-    body = let("gs", "if(r.groups = 0, cast(array() as array<array<string>>), transform(sequence(1, r.groups), k -> regexp_extract_all(_text, r.re, k)))", body)
+    body = let("t", f"transform(f, x -> {shape('if(r.focus > 0, x[r.focus], x[0])')})", body)
+    body = let("h", f"transform(f, x -> if(r.focus > 0, {shape('left(x[0], greatest(instr(x[0], x[r.focus]) - 1, 0))')}, named_struct('n', 0, 'nl', 0, 'last', 0)))", body)
     body = let("nl", sums_before("transform(f, (x, j) -> greatest(if(g[j].last > 0, at[j] + g[j].last - 1, -1), if(m[j].last > 0, at[j] + g[j].n + m[j].last - 1, -1)))", "-1", "greatest({0}, {1})"), body)
     body = let("ls", sums_before("transform(f, (x, j) -> g[j].nl + m[j].nl)"), body)
     body = let("at", sums_before("transform(f, (x, j) -> g[j].n + m[j].n)"), body)
-    body = let("m", f"transform(f, x -> {shape('x')})", body)
-    body = let("g", f"transform(split(_text, r.re, -1), x -> {shape('x')})", body)
-    found = let("f", "regexp_extract_all(_text, r.re, 0)", f"if(size(f) = 0, cast(array() as array<struct<{fields}>>), {body})")
-    rules = f"filter(array({', '.join(map(row, leaves))}), r -> r.any or array_contains(r.langs, _language))"
-    every = slim.where("_text is not null and _text != ''").select("_id", F.expr(f"flatten(transform({rules}, r -> {found}))").alias("_all"))
+    body = let("m", f"transform(f, x -> {shape('x[0]')})", body)
+    after = f"if(j = 0, x, substring(x, instr(x, {mark(chr(0xE002))}) + char_length({mark(chr(0xE002))})))"
+    body = let("g", f"transform(p, (x, j) -> transform(array({after}), y -> {shape('y')})[0])", body)
+    body = let("f", f"transform(slice(p, 2, size(p) - 1), x -> split(substring_index(x, {mark(chr(0xE002))}, 1), {mark(chr(0xE001))}, -1))", body)
+    groups = f"if(r.groups = 0, '', array_join(transform(sequence(1, r.groups), k -> concat({mark(chr(0xE001))}, '$', k)), ''))"
+    marked = f"regexp_replace(_text, r.re, concat({mark(chr(0xE000))}, '$0', {groups}, {mark(chr(0xE002))}))"
+    found = let("p", f"split({marked}, {mark(chr(0xE000))}, -1)", f"if(size(p) = 1, cast(array() as array<struct<{fields}>>), {body})")
+    texts = slim.where("_text is not null and _text != ''")
+    if many:
+        texts = texts.withColumn("_try", candidates_column(F.col("_text"), anchors))
+        tried = f"transform(_try, i -> {table}[i])"
+    else:
+        tried = f"filter({table}, r -> size(r.need) = 0 or exists(r.need, a -> contains(_text, a)))"
+    free = "filter(sequence(0, char_length(_text) - char_length(replace(_text, '\ue003', ''))), n -> not exists(array('\ue000', '\ue001', '\ue002'), c -> contains(_text, concat(c, n, '\ue003'))))[0]"
+    texts = texts.withColumn("_mark", F.expr(f"cast({free} as string)"))
+    every = texts.select("_id", F.expr(f"flatten(transform(filter({tried}, r -> r.any or array_contains(r.langs, _language)), r -> {found}))").alias("_all"))
     if any(x.rule_id in once for x in leaves):
         # sorted, so that equal spans of a rule stand together and the least leaf first
         keyed = "array_sort(transform(_all, x -> named_struct('rule', x.rule, 'start', x.start, 'end', x.end, 'no', x.no, 'x', named_struct('once', x.once, 'l1', x.l1, 'c1', x.c1, 'l2', x.l2, 'c2', x.c2, 'matched', x.matched, 'pairs', map_entries(x.groups)))))"
-        every = every.withColumn("_all", F.expr(keyed))
-        every = every.withColumn("_all", F.expr("filter(_all, (x, i) -> i = 0 or not x.x.once or x.rule != _all[i - 1].rule or x.start != _all[i - 1].start or x.end != _all[i - 1].end)"))
+        every = every.withColumn("_all", F.expr(let("s", keyed, "filter(s, (x, i) -> i = 0 or not x.x.once or x.rule != s[i - 1].rule or x.start != s[i - 1].start or x.end != s[i - 1].end)")))
         cols = ["m.rule", "m.no", "m.start", "m.end", "m.x.l1", "m.x.c1", "m.x.l2", "m.x.c2", "m.x.matched"]
         groups = F.map_from_entries("m.x.pairs")
     else:
         cols, groups = ["m.rule", "m.no", "m.start", "m.end", "m.l1", "m.c1", "m.l2", "m.c2", "m.matched"], F.col("m.groups")
-    rows = every.select("_id", F.explode("_all").alias("m"))
+    # the outer form, as from explode() the optimizer infers a filter on the array and works it out a second time below
+    rows_ = every.select("_id", F.explode_outer("_all").alias("m")).where("m is not null")
     names = [f.split() for f in MATCH_FIELDS.split(", ")]
-    return rows.select("_id", *[F.col(c).cast(t).alias(n) for c, (n, t) in zip(cols, names)], groups.alias("bindings"))
+    return rows_.select("_id", *[F.col(c).cast(t).alias(n) for c, (n, t) in zip(cols, names)], groups.alias("bindings"))
+
 
+def _by_tokens(slim: DataFrame, leaves: list[Leaf], once: set[str], plain: bool) -> DataFrame:
+    anchors = [None if plain else token_anchor(TokenPattern(x.text)) for x in leaves]
 
-def _by_tokens(slim: DataFrame, leaves: list[Leaf], once: set[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled: dict = {}
         names = ["_id", *[f.split()[0] for f in MATCH_FIELDS.split(", ")]]
+        known = Anchors(anchors, fold=True)
         for batch in batches:
             rows: list[tuple] = []
             keep: list[int] = []
@@ -269,18 +312,13 @@ def _by_tokens(slim: DataFrame, leaves: list[Leaf], once: set[str]) -> DataFrame
                 if not text:
                     continue
                 tokens, starts, seen = Tokens(text), None, set()
-                for leaf in leaves:
+                for leaf in map(leaves.__getitem__, known.candidates(text)):
                     if "generic" not in leaf.languages and language not in leaf.languages:
                         continue
-                    key = (leaf.kind, leaf.text, language if leaf.kind == "simple" else "")
+                    key = (leaf.text, language)
                     if key not in compiled:
-                        compiled[key] = TokenPattern(leaf.text, language or "generic") if leaf.kind == "simple" else re.compile(leaf.text)
-                    p = compiled[key]
-                    if leaf.kind == "simple":
-                        found = p.matches(tokens, leaf.statements)
-                    else:
-                        found = [(m.start(), m.end(), {f"${i}": m.span(i) for i in range(1, (m.re.groups or 0) + 1) if m.span(i)[0] >= 0}) for m in p.finditer(text)]
-                    for a, b, bound in found:
+                        compiled[key] = TokenPattern(leaf.text, language or "generic")
+                    for a, b, bound in compiled[key].matches(tokens, leaf.statements):
                         a, b = bound.get(leaf.focus, (a, b))
                         if leaf.rule_id in once:
                             if (leaf.rule_id, a, b) in seen:

@@ -10,14 +10,18 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.tokens import java_regex
+
 SEVERITIES = {"info": 0, "warning": 1, "error": 2, "critical": 3}
 CONFIDENCES = {"low": 0, "medium": 1, "high": 2}
 #: Other names of severities.
 SEVERITY_ALIASES = {"high": "error", "medium": "warning", "low": "info"}
 #: Pattern keys of rule files and the tree's node kinds.
-KEYS = {"pattern": "simple", "pattern-regex": "regex", "pattern-either": "either", "patterns": "all", "pattern-all": "all", "pattern-any": "either", "pattern-not": "not", "pattern-inside": "inside", "pattern-not-inside": "not-inside", "pattern-not-regex": "not-regex"}
+KEYS = {"pattern": "simple", "pattern-regex": "regex", "pattern-either": "either", "patterns": "all", "pattern-all": "all", "pattern-any": "either", "pattern-not": "not", "pattern-inside": "inside", "pattern-not-inside": "not-inside", "pattern-not-regex": "not-regex", "pattern-followed-by": "followed-by", "pattern-preceded-by": "preceded-by"}
 CLAUSES = ("metavariable-regex", "metavariable-comparison", "metavariable-name", "metavariable-pattern", "metavariable-analysis", "focus-metavariable", "where")
 
 
@@ -115,6 +119,22 @@ def leaves(node: PatternNode | None):
         yield from leaves(p)
 
 
+def regex_error(pattern: str) -> str | None:
+    """What the JVM, which matches them, says against a regular expression; before a session is started, what Python says."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            return str(e)
+        return None
+    try:
+        context._jvm.java.util.regex.Pattern.compile(java_regex(pattern))
+    except IllegalArgumentException as e:
+        return str(e).split("\n")[0]
+    return None
+
+
 def validate(rule: Rule) -> list[str]:
     """What is wrong with a rule; empty if nothing is."""
     errors = []
@@ -134,9 +154,7 @@ def validate(rule: Rule) -> list[str]:
         errors.append("no pattern and no dataflow")
     for leaf in leaves(rule.pattern):
         if leaf.kind in ("regex", "not-regex"):
-            try:
-                re.compile(leaf.text)
-            except re.error as e:
+            if e := regex_error(leaf.text):
                 errors.append(f"regex: {e}")
         elif not leaf.text.strip():
             errors.append("pattern: empty")
@@ -233,7 +251,7 @@ def default_rules(language: str, loaded: list[Rule] = ()) -> list[Rule]:
     if mine or language not in DEFAULTS:
         return mine
     rule_id, severity, confidence, message, texts = DEFAULTS[language]
-    return [Rule(rule_id, message, severity, [language], PatternNode("all", None, [PatternNode("simple", t) for t in texts]), confidence=confidence, description=message)]
+    return [Rule(rule_id, message, severity, [language], PatternNode("either", None, [PatternNode("simple", t) for t in texts]), confidence=confidence, description=message)]
 
 
 def literal_rules(languages: list[str] | None = None) -> list[Rule]:
