@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import RANKED, query, ranked, read
-from .operators import matching, syntax, tokens
-from .plans.rules import DEFAULTS, default_rules
+from .operators import matching, syntax, taint_rules, tokens
+from .plans.rules import DEFAULTS, default_rules, load_rules
 
 # many rules ---------------------------------------------------------------------------------------
 
@@ -63,3 +63,90 @@ def shell_statements(spark, sf):
     one = ranked(spark, sf).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", line.alias("line")))).alias("l"))
     files = one.select(F.col("user_id").alias("file_id"), F.lit("bash").alias("language"), F.array_join(F.col("l.line"), "\n").alias("source"))
     return syntax.parse(files).where("node_type in ('assignment', 'if_statement', 'call_expression')").select("file_id", "start_line", "node_type", "text")
+
+# taint over labels and functions ------------------------------------------------------------------
+
+_P = f"(select user_id, i, event_type as t, event_id, event_id % 4 as a, event_id // 4 % 4 as b, event_id // 16 % 4 as c from {RANKED})"
+_V = "(select max(q.i) from p q where q.user_id = p.user_id and q.i < p.i and q.a = p.{0} and q.t in {1})"
+
+
+def _programs(spark, sf, line, head=(), language=None):
+    """A program a user: the head's lines, then line(event type, event id, names of three variables) of each event."""
+    v = lambda n: F.concat(F.lit("v"), (F.floor(F.col("event_id") / n) % 4).cast("string"))
+    rows = ranked(spark, sf).withColumn("line", line(F.col("event_type"), F.col("event_id"), v(1), v(4), v(16)))
+    one = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("l"))
+    return one.select(F.col("user_id").alias("file_id"), (language if language is not None else F.lit("javascript")).alias("language"), F.concat_ws("\n", F.array(*map(F.lit, head)), F.col("l.line")).alias("source"))
+
+
+LABEL_RULE = """rules: [{id: taint.labels, message: m, severity: error, languages: [javascript], mode: taint,
+  pattern-sources: [{pattern: read(), label: A}, {patterns: [{pattern: 'get($K)'}, {metavariable-regex: {metavariable: $K, regex: 'b.*'}}], label: B}, {pattern: 'mark($X)', label: C, requires: A}],
+  pattern-sinks: [{pattern: run($X), requires: '(A and not B) or C'}], pattern-sanitizers: [{pattern: clean($X)}]}]"""
+
+
+@query(f"""with recursive p as materialized {_P},
+d as materialized (select p.*, {_V.format('b', "('signup', 'click', 'view', 'error')")} as db, {_V.format('c', "('signup', 'click', 'view', 'error')")} as dc from p),
+e as (select user_id, db as src, i as dst, t, event_id from d where (t = 'click' or t = 'view' and event_id % 3 > 0) and db is not null union select user_id, dc, i, t, event_id from d where t = 'click' and dc is not null),
+r(user_id, label, i) as (select user_id, 'A', i from p where t = 'signup' union select user_id, 'B', i from p where t = 'error' and event_id % 2 = 0
+  union select r.user_id, unnest(case when e.t = 'view' and r.label = 'A' then ['A', 'C'] else [r.label] end), e.dst from r join e on e.user_id = r.user_id and e.src = r.i),
+s as (select d.user_id, d.i, list_sort(list(distinct r.label)) as labels from d join r on r.user_id = d.user_id and r.i = d.db where d.t = 'purchase' group by all)
+select user_id as file_id, i as start_line, array_to_string(labels, ',') as labels from s where list_contains(labels, 'C') or list_contains(labels, 'A') and not list_contains(labels, 'B')""")
+def taint_labels(spark, sf):
+    """A rule with labels: two kinds of sources, a third where the first arrives, and sinks that ask for some and not for others."""
+    rules, bad = load_rules(LABEL_RULE)
+    line = lambda t, n, a, b, c: (
+        F.when(t == "signup", F.concat(a, F.lit(" = read();"))).when(t == "error", F.concat(a, F.when(n % 2 == 0, " = get(bad);").otherwise(" = get(good);"))).when(t == "click", F.concat(a, F.lit(" = "), b, F.lit(" + "), c, F.lit(";")))
+        .when(t == "view", F.concat(a, F.when(n % 3 == 0, " = clean(").otherwise(" = mark("), b, F.lit(");"))).otherwise(F.concat(F.lit("run("), b, F.lit(");")))
+    )
+    return taint_rules.evaluate_flows(_programs(spark, sf, line), rules).select("file_id", "start_line", F.array_join("labels", ",").alias("labels"))
+
+
+_FUNCTIONS = [
+    "function id(x) { return x; }", "function second(x, y) { return id(y); }", "function first(x, y) { var z = second(y, x); return z; }",
+    "function odd(x, n) { if (n) { return even(n, x); } return x; }", "function even(n, x) { return odd(x, n); }", "function none(x) { return 0; }", "function use(z) { run(z); }", "function give() { return read(); }",
+]
+_N = len(_FUNCTIONS)
+FUNCTION_RULE = "rules: [{id: taint.calls, message: m, severity: error, languages: [javascript], mode: taint, pattern-sources: [{pattern: read()}], pattern-sinks: [{patterns: [{pattern: run($X)}, {focus-metavariable: $X}]}], pattern-sanitizers: [{pattern: clean(...)}]}]"
+_DEFS = "('signup', 'click', 'view')"
+
+
+@query(f"""with recursive p as materialized {_P},
+d as materialized (select p.*, {_V.format('b', _DEFS)} as db, {_V.format('c', _DEFS)} as dc from p),
+e as (select user_id, case event_id % 5 when 1 then dc when 4 then null else db end as src, i as dst from d where t = 'click'),
+r(user_id, i) as (select user_id, i from p where t = 'signup' union select r.user_id, e.dst from r join e on e.user_id = r.user_id and e.src = r.i),
+s as (select d.user_id, d.i, d.event_id from d join r on r.user_id = d.user_id and r.i = d.db where d.t = 'purchase')
+select distinct user_id as file_id, case when event_id % 2 = 0 then i + {_N} else 7 end as start_line, 8 as source_line from s""")
+def taint_functions(spark, sf):
+    """A source in one function, sinks in others: values go through calls by summaries, calls that recur by turns among them."""
+    rules, _ = load_rules(FUNCTION_RULE)
+    line = lambda t, n, a, b, c: (
+        F.when(t == "signup", F.concat(a, F.lit(" = give();")))
+        .when(t == "click", F.concat(a, F.lit(" = "), F.element_at(F.array(*map(F.lit, ("id(", "second(", "first(", "odd(", "none("))), (n % 5 + 1).cast("int")), b, F.when((n % 5).isin(1, 2, 3), F.concat(F.lit(", "), c)).otherwise(""), F.lit(");")))
+        .when(t == "view", F.concat(a, F.lit(" = clean("), b, F.lit(");"))).when(t == "purchase", F.concat(F.when(n % 2 == 0, "run(").otherwise("use("), b, F.lit(");"))).otherwise(F.lit("log(1);"))
+    )
+    return taint_rules.evaluate_flows(_programs(spark, sf, line, _FUNCTIONS), rules).select("file_id", "start_line", "source_line")
+
+
+# nodes --------------------------------------------------------------------------------------------
+
+NODE_LIST_RULES = """rules:
+  - {id: same.twice, message: m, severity: error, languages: [javascript], pattern: 'cmp($X, $X)'}
+  - {id: not.one, message: m, severity: error, languages: [javascript], patterns: [{pattern: run(...)}, {pattern-not: run(v1)}]}
+  - {id: inside.wrap, message: m, severity: info, languages: [python], patterns: [{pattern: 'get($K)'}, {pattern-inside: 'wrap($K, ...)'}]}
+  - {id: any.of, message: m, severity: info, languages: [generic], pattern-either: [{pattern: run(v2)}, {pattern: 'cmp(v3, $Y)'}]}
+"""
+
+
+@query(f"""with p as (select user_id, i, event_type as t, event_id % 4 as a, event_id // 4 % 4 as b, user_id % 2 = 0 as js from {RANKED})
+select user_id as file_id, i as start_line, 'same.twice' as rule_id, 'cmp(v' || a || ', v' || b || ')' as text from p where js and t = 'click' and a = b
+union all select user_id, i, 'not.one', 'run(v' || b || ')' from p where js and t = 'purchase' and b <> 1
+union all select user_id, i, 'inside.wrap', 'get(v' || a || ')' from p where not js and t = 'view' and a = b
+union all select user_id, i, 'any.of', 'run(v2)' from p where t = 'purchase' and b = 2 union all select user_id, i, 'any.of', 'cmp(v3, v' || b || ')' from p where t = 'click' and a = 3""")
+def node_rules_by_language(spark, sf):
+    """Lists, negations and repeated metavariables on nodes of programs in two languages, each rule for its own."""
+    rules, _ = load_rules(NODE_LIST_RULES)
+    line = lambda t, n, a, b, c: (
+        F.when(t == "click", F.concat(F.lit("cmp("), a, F.lit(", "), b, F.lit(")"))).when(t == "purchase", F.concat(F.lit("run("), b, F.lit(")")))
+        .when(t == "view", F.concat(F.lit("wrap("), b, F.lit(", get("), a, F.lit("))"))).otherwise(F.lit("log(1)"))
+    )
+    files = _programs(spark, sf, line, language=F.when(F.col("user_id") % 2 == 0, "javascript").otherwise("python"))
+    return taint_rules.evaluate_nodes(files, rules).select("file_id", "start_line", "rule_id", "text")

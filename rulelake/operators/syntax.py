@@ -16,6 +16,7 @@ from .matching import nested
 from .tokens import line_col, line_starts, tokenize
 
 NODE_FIELDS = "node_id long, post long, parent_id long, sibling_idx int, depth int, node_type string, text string, start_line int, end_line int"
+DETAIL_FIELDS = ", language string, scope long, arg int"
 #: Words that open a declaration, and verbs of SQL statements.
 DECLARING = "int|long|float|double|boolean|char|String|var|let|const|final|static|public|private|protected"
 SQL_VERBS = "SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER|MERGE|WITH"
@@ -85,9 +86,9 @@ def _python(text: str) -> list[tuple]:
     starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", data))]
     place = lambda line, column: starts[line - 1] + column
     rows: list[list] = [[0, 0, None, 0, 0, "program", text, 1, max(1, len(text.splitlines()))]]
-    walk = [(c, 0, 1) for c in reversed([c for c in pyast.iter_child_nodes(tree) if hasattr(c, "lineno")])]
+    walk = [(c, 0, 1, None) for c in reversed([c for c in pyast.iter_child_nodes(tree) if hasattr(c, "lineno")])]
     while walk:
-        node, parent, depth = walk.pop()
+        node, parent, depth, arg = walk.pop()
         body = getattr(node, "body", None)
         first = body[0] if isinstance(body, list) and body else None
         if first is not None and getattr(first, "decorator_list", None):
@@ -97,8 +98,9 @@ def _python(text: str) -> list[tuple]:
             high = max(low, place(first.lineno, first.col_offset))
         me = len(rows)
         part = data[low:high].decode()
-        rows.append([me, 0, parent, 0, depth, PYTHON.get(type(node).__name__, type(node).__name__), part.rstrip("@ \t\r\n") if first is not None else part, node.lineno, node.end_lineno])
-        walk += [(c, me, depth + 1) for c in reversed([c for c in _python_children(node) if hasattr(c, "lineno")])]
+        rows.append([me, 0, parent, 0, depth, PYTHON.get(type(node).__name__, type(node).__name__), part.rstrip("@ \t\r\n") if first is not None else part, node.lineno, node.end_lineno, arg])
+        places = {id(a): k for k, a in enumerate(node.args)} if isinstance(node, pyast.Call) else {}
+        walk += [(c, me, depth + 1, places.get(id(c))) for c in reversed([c for c in _python_children(node) if hasattr(c, "lineno")])]
     return _post_order(rows)
 
 
@@ -218,13 +220,20 @@ def _tokens(text: str, language: str = "generic") -> list[tuple]:
         while at < len(starts) and starts[at] <= a:
             at += 1
         lines.append(at)
-    last, close, begins, _ = _ends(words, lines, language)
+    last, close, begins, around = _ends(words, lines, language)
     n = len(words)
+    commas: list[int] = []  # before each token in its own group
+    counted: dict[int, int] = {}
+    for k, t in enumerate(words):
+        commas.append(counted.get(around[k], 0))
+        if t == ",":
+            counted[around[k]] = commas[k] + 1
     rows: list[list] = [[0, 0, None, 0, 0, "program", text, 1, len(starts)]]
     openers, _ = BLOCK_WORDS.get(language, ({}, set()))
     ends = set(openers.values())
     word = lambda k: words[k][0].isalpha() or words[k][0] in "_$@"
     open_: list[tuple[int, int]] = [(0, n)]
+    calls: dict[int, int] = {}  # opening parentheses of calls
     heads: list[tuple[int, set[int]]] = [(-1, set())]  # end of the present function's head, its parameters
 
     def block_of(k: int, stop: int) -> tuple[int, int]:
@@ -242,7 +251,12 @@ def _tokens(text: str, language: str = "generic") -> list[tuple]:
         parent, limit = open_[-1]
         extent = max(first, min(extent, limit))
         a, b = spans[first][1], spans[max(first, head)][2]
-        rows.append([len(rows), 0, parent, 0, len(open_), kind, text[a:b] if own is None else own, lines[first], lines[extent]])
+        arg, k = None, first
+        if parent in calls:
+            while k >= 0 and around[k] != calls[parent]:
+                k = around[k]
+            arg = commas[k] if k >= 0 else None
+        rows.append([len(rows), 0, parent, 0, len(open_), kind, text[a:b] if own is None else own, lines[first], lines[extent], arg])
         if extent > first:
             open_.append((len(rows) - 1, extent))
 
@@ -275,6 +289,7 @@ def _tokens(text: str, language: str = "generic") -> list[tuple]:
             while k > 1 and words[k - 1] == "." and (words[k - 2][0].isalpha() or words[k - 2][0] == "_"):
                 k -= 2
             end = close.get(i + 1, n - 1)
+            calls[len(rows)] = i + 1
             add("call_expression", i, end, end, text[spans[k][1] : spans[end][2]])
         elif follow == "=" and (i + 2 >= n or words[i + 2] not in ("=", ">")):
             end = last[i]
@@ -336,9 +351,12 @@ def build(spark, file_id: int, tree: tuple) -> DataFrame:
 PARSERS = {"python": _python, "xml": _xml}
 
 
-def parse(files: DataFrame, parsers: dict | None = None, id_col: str = "file_id", text_col: str = "source", caps: dict[str, int] | None = None) -> DataFrame:
+def parse(files: DataFrame, parsers: dict | None = None, id_col: str = "file_id", text_col: str = "source", caps: dict[str, int] | None = None, detail: bool = False) -> DataFrame:
     """The node table of all files, by each language's parser (others by tokens); pre and post order numbers give containment.
 
+    With detail there are further columns: the file's language, `scope`, the function that a node lies in (0: none), and `arg`,
+    which argument of its call a node is or lies in (null where the parser does not tell).
+
     caps: most characters of a text of a language ("" for all others); a longer one is one `error` node without text.
     """
     table = {**PARSERS, **(parsers or {})}
@@ -347,23 +365,29 @@ def parse(files: DataFrame, parsers: dict | None = None, id_col: str = "file_id"
         raise ValueError("a size cap cannot be zero")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), *([pa.string(), pa.int64(), pa.int32()] if detail else [])]
         for batch in batches:
             keep, rows = [], []
             for k, (language, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 most = caps.get(language, caps.get(""))
                 if most is not None and text is not None and len(text) > most:
-                    rows.append((0, 0, None, 0, 0, "error", "", 1, text.count("\n") + 1))
+                    rows.append((0, 0, None, 0, 0, "error", "", 1, text.count("\n") + 1, *((language, 0, None) if detail else ())))
                     keep.append(k)
                     continue
-                for r in table[language](text or "") if language in table else _tokens(text or "", language or "generic"):
+                tree = table[language](text or "") if language in table else _tokens(text or "", language or "generic")
+                scopes: dict[int, int] = {}
+                functions = {r[0] for r in tree if r[5] == "function_declaration"} if detail else ()
+                for r in tree:
                     keep.append(k)
-                    rows.append(r)
+                    if detail:  # a parent's number is less than its children's
+                        scopes[r[0]] = r[2] if r[2] in functions else scopes.get(r[2], 0)
+                    rows.append((*r[:9], *((language, scopes[r[0]], r[9] if len(r) > 9 else None) if detail else ())))
             cols = list(zip(*rows)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, types))], ["file_id", *[f.split()[0] for f in NODE_FIELDS.split(", ")]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, types))], ["file_id", *[f.split()[0] for f in fields.split(", ")]])
 
+    fields = NODE_FIELDS + (DETAIL_FIELDS if detail else "")
     slim = files.select(F.col(id_col).alias("file_id"), F.col("language").cast("string"), F.col(text_col).alias("_text"))
-    return slim.mapInArrow(run, f"file_id {slim.schema['file_id'].dataType.simpleString()}, {NODE_FIELDS}")
+    return slim.mapInArrow(run, f"file_id {slim.schema['file_id'].dataType.simpleString()}, {fields}")
 
 
 def inside(nodes: DataFrame, inner: str, outer: str, wanted: bool = True) -> DataFrame:

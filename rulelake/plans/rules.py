@@ -6,6 +6,7 @@ rules are set aside one by one with their errors (a file with one bad rule keeps
 
 from __future__ import annotations
 
+import ast
 import json
 import re
 from dataclasses import asdict, dataclass, field
@@ -33,6 +34,15 @@ class PatternNode:
     conditions: list[dict] = field(default_factory=list)
 
 
+@dataclass
+class Role:
+    """An entry of a rule's sources, sinks or sanitizers: what it matches, the label a source gives, the labels it requires."""
+
+    pattern: PatternNode
+    label: str = "__SOURCE__"
+    requires: tuple | None = None
+
+
 @dataclass
 class Rule:
     id: str
@@ -51,6 +61,7 @@ class Rule:
     dataflow: dict | None = None
     enabled: bool = True
     focus: str | None = None
+    roles: dict[str, list[Role]] = field(default_factory=dict)
 
 
 def _load(text: str):
@@ -92,21 +103,67 @@ def _text(v) -> str:
     return v if isinstance(v, str) else json.dumps(v, sort_keys=True)
 
 
+def parse_requires(text: str) -> tuple:
+    """A boolean expression over labels (and, or, not, parentheses) as ("label", name), ("not", x), ("and", [..]) or ("or", [..])."""
+
+    def read(e) -> tuple:
+        if isinstance(e, ast.Name):
+            return "label", e.id
+        if isinstance(e, ast.Constant) and isinstance(e.value, bool):
+            return "and" if e.value else "or", []
+        if isinstance(e, ast.UnaryOp) and isinstance(e.op, ast.Not):
+            return "not", read(e.operand)
+        if isinstance(e, ast.BoolOp):
+            return "and" if isinstance(e.op, ast.And) else "or", [read(v) for v in e.values]
+        raise ValueError(f"requires: {text!r} is no expression over labels")
+
+    try:
+        return read(ast.parse(str(text).strip(), mode="eval").body)
+    except SyntaxError:
+        raise ValueError(f"requires: {text!r} is no expression over labels") from None
+
+
+def satisfied(expression: tuple | None, present) -> bool:
+    """Whether a set of labels satisfies an expression; without one, whether it holds the label of sources that name none."""
+    kind, value = expression or ("label", Role.label)
+    if kind == "label":
+        return value in present
+    if kind == "not":
+        return not satisfied(value, present)
+    return (all if kind == "and" else any)(satisfied(x, present) for x in value)
+
+
+def _negates(expression: tuple | None) -> bool:
+    kind, value = expression or ("label", "")
+    return kind == "not" or (kind != "label" and any(map(_negates, value)))
+
+
+def parse_role(entry) -> Role:
+    """An entry of sources, sinks or sanitizers: a text, or a mapping like that of a pattern list with label and requires."""
+    if isinstance(entry, str):
+        return Role(PatternNode("simple", entry))
+    keys = {k: v for k, v in entry.items() if k in KEYS or k in CLAUSES}
+    requires = entry.get("requires")
+    return Role(parse_entry(keys), str(entry.get("label", Role.label)), None if requires is None else parse_requires(requires))
+
+
 def parse_rule(raw: dict) -> Rule:
     top = {k: v for k, v in raw.items() if k in KEYS or k in CLAUSES}
     node = parse_entry(top) if any(k in KEYS for k in top) else None
-    flow = None
+    flow, roles = None, {}
     if raw.get("mode") == "taint" or "pattern-sources" in raw or "dataflow" in raw:
         spec = raw.get("dataflow", {})
-        flat = lambda k: [p["pattern"] if isinstance(p, dict) else p for p in raw.get(f"pattern-{k}", spec.get(k, []))]
-        flow = {k: flat(k) for k in ("sources", "sinks", "sanitizers")} | {"must_flow": bool(spec.get("must_flow", True)), "max_depth": int(spec.get("max_depth", 50))}
+        roles = {k: [parse_role(e) for e in raw.get(f"pattern-{k}", spec.get(k, [])) or []] for k in ("sources", "sinks", "sanitizers")}
+        # a depth that the rule does not name bounds nothing
+        flow = {k: [r.pattern.text for r in some if r.pattern.text is not None] for k, some in roles.items()}
+        flow |= {"must_flow": bool(spec.get("must_flow", True)), "max_depth": int(spec.get("max_depth", 50)), "bounded": "max_depth" in spec}
     focus = [c["spec"] for c in (node.conditions if node else []) if c["kind"] == "focus-metavariable"]
     severity = str(raw.get("severity", "")).lower()
     return Rule(
         id=str(raw["id"]), message=str(raw["message"]), severity=SEVERITY_ALIASES.get(severity, severity), languages=[str(x).lower() for x in raw["languages"]], pattern=node,
         name=str(raw.get("name", raw["id"])), description=str(raw.get("description", raw["message"])), confidence=str(raw.get("confidence", "medium")).lower(), fix=raw.get("fix"), fix_regex=raw.get("fix-regex"),
         paths=raw.get("paths") or {}, metadata={k: _text(v) for k, v in (raw.get("metadata") or {}).items()}, options={k: str(v).lower() for k, v in (raw.get("options") or {}).items()}, dataflow=flow, enabled=bool(raw.get("enabled", True)),
-        focus=(focus[0] if isinstance(focus[0], str) else focus[0][0]) if focus else None,
+        roles=roles, focus=(focus[0] if isinstance(focus[0], str) else focus[0][0]) if focus else None,
     )
 
 
@@ -152,7 +209,11 @@ def validate(rule: Rule) -> list[str]:
         errors.append("languages: none")
     if rule.pattern is None and not rule.dataflow:
         errors.append("no pattern and no dataflow")
-    for leaf in leaves(rule.pattern):
+    every = [r for some in rule.roles.values() for r in some]
+    for r in rule.roles.get("sources", []):
+        if _negates(r.requires):
+            errors.append("requires: a source's may not negate a label")
+    for leaf in [*leaves(rule.pattern), *(leaf for r in every for leaf in leaves(r.pattern))]:
         if leaf.kind in ("regex", "not-regex"):
             if e := regex_error(leaf.text):
                 errors.append(f"regex: {e}")
