@@ -9,8 +9,8 @@ is fitted on a bounded sample of them (`fit_rows`) and scores the restored text
 
 A feature is the prefix of a word that tells toxic rows best among the prefixes of its stem. It is
 chosen by the lower confidence bound of its smoothed log-odds, which depends on rates and their
-sampling error: a bar that is the same at every size. `n_features` bounds the model that is sent to
-the executors; the strongest evidence comes first.
+sampling error: a bar that is the same at every size. A least share of the toxic rows bounds the model that
+is sent to the executors.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def features(words: list[str]) -> set[str]:
 
 @dataclass
 class Scorer:
-    """What is sent to the executors: at most `n_features` prefixes and 60^3 character trigrams."""
+    """What is sent to the executors: prefixes of which each has its share of the toxic rows (see train) and 60^3 character trigrams."""
 
     chars: dict[str, int]
     names: list[str]
@@ -188,46 +188,57 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Newton steps for a ridge-penalised logistic model; the bias is not penalised. Equal rows are one row with a weight."""
-    rows, number = np.unique(np.packbits(x.astype(bool), axis=1), axis=0, return_inverse=True) if x.shape[1] else (np.zeros((1, 0), np.uint8), np.zeros(len(y), int))
-    n = np.bincount(number.ravel(), minlength=len(rows)).astype(float)
-    ones = np.bincount(number.ravel(), weights=y, minlength=len(rows))
-    x = np.hstack([np.unpackbits(rows, axis=1)[:, : x.shape[1]].astype(float), np.ones((len(rows), 1))])
-    w = np.zeros(x.shape[1])
+def fit_logistic(row: np.ndarray, column: np.ndarray, columns: int, y: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Newton steps for a ridge-penalised logistic model over the ones (row, column) of a sparse matrix; the bias is not penalised.
+
+    A step's equations are solved by conjugate gradients, so memory follows the ones and never the square of the columns.
+    """
+    times = lambda w: np.bincount(row, weights=w[column], minlength=len(y)) + w[-1]
+    back = lambda v: np.append(np.bincount(column, weights=v[row], minlength=columns), v.sum())
+    penalty = np.append(np.full(columns, ridge), 1e-6)
+    squares = np.append(np.bincount(column, minlength=columns), len(y)).astype(float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    w[-1] = math.log(rate / (1 - rate))
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
+    w = np.append(np.zeros(columns), math.log(rate / (1 - rate)))
 
     def loss(w):
-        z = x @ w
-        return n @ np.logaddexp(0, z) - ones @ z + (penalty * w * w).sum() / 2
+        z = times(w)
+        return np.logaddexp(0, z).sum() - y @ z + (penalty * w * w).sum() / 2
 
     now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (ones - n * p) - penalty * w
-        hess = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hess, grad)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        d = p * (1 - p)
+        grad = back(y - p) - penalty * w
+        scale = squares * d.mean() + penalty
+        step, left = np.zeros_like(w), grad.copy()
+        way = near = left / scale
+        least = 1e-20 * (left @ near + 1e-300)
+        for _ in range(500):
+            if left @ near <= least:
+                break
+            curved = back(d * times(way)) + penalty * way
+            far = (left @ near) / (way @ curved)
+            step = step + far * way
+            after = left - far * curved
+            ahead = after / scale
+            way = ahead + way * ((after @ ahead) / (left @ near))
+            left, near = after, ahead
         size = 1.0
         while size > 1e-4 and loss(w + size * step) > now:
             size /= 2
         w = w + size * step
         before, now = now, loss(w)
-        if before - now < 1e-7 * (1 + abs(now)):
+        if before - now < 1e-9 * (1 + abs(now)):
             break
     return w[:-1], float(w[-1])
 
 
-def one_a_stem(names: list[str], most: int) -> list[str]:
+def one_a_stem(names: list[str]) -> list[str]:
     """The first `most` names of which none is a prefix of an earlier one or has an earlier one as its prefix."""
     chosen: list[str] = []
     heads: set[str] = set()
     taken: set[str] = set()
     for x in names:
-        if len(chosen) == most:
-            break
         if x in heads or any(x[:k] in taken for k in range(1, len(x) + 1)):
             continue
         chosen.append(x)
@@ -241,13 +252,14 @@ def bucket(id_col: str, n: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_features: int = 512, fit_rows: int = 20_000, least_rows: int = 4, bar: float = 0.75) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 20_000, least_share: float = 0.001, bar: float = 0.75) -> Scorer:
     """Learn from the rows of docs whose id has a label (repeated label rows: the largest; null labels are left out).
 
     Character and feature statistics cover every word of all such rows, whatever their partitions; the
     logistic weights are fitted on about `fit_rows` of them, chosen by a hash of the id. A feature needs
-    `least_rows` toxic rows and log-odds of at least `bar` at their lower confidence bound. Without
-    labelled rows every score is 0.5 or the labels' base rate.
+    a share of `least_share` of the toxic rows and log-odds of at least `bar` at their lower confidence bound; every feature that has
+    both is taken. As a row holds a bounded number of features on average, the share bounds their number by that
+    number over `least_share`, whatever the corpus. Without labelled rows every score is 0.5 or the labels' base rate.
     """
     ones = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     slim = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text"))
@@ -311,8 +323,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Scorer(chars, [], np.zeros((0, len(TIMES))), math.log(rate / (1 - rate)))
 
     def odds(a: str, b: str):
-        """Log-odds of a feature in toxic against clean rows, and less by 1.64 standard errors."""
-        p, q = F.col(a) + 0.5, F.col(b) + 0.5
+        """Log-odds of a feature in toxic against clean rows, less by 1.64 standard errors; one row more of either kind's share is added."""
+        p, q = F.col(a) + n1 / (n1 + n0), F.col(b) + n0 / (n1 + n0)
         return F.log(p / q) + math.log((n0 + 1) / (n1 + 1)) - 1.64 * F.sqrt(1 / p + 1 / q)
 
     def z(a: str, b: str):
@@ -320,11 +332,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return (p - q) / F.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0 + F.lit(1e-12))
 
     words = stats.where(~F.col("key").startswith("\x01") & (F.col("key") != "\x02"))
-    good = [(F.col(f"a{k}") >= least_rows) & (odds(f"a{k}", f"b{k}") >= bar) for k in range(len(TIMES))]
+    good = [(F.col(f"a{k}") >= max(1.0, least_share * n1)) & (odds(f"a{k}", f"b{k}") >= bar) for k in range(len(TIMES))]
     best = F.greatest(*[F.when(g, z(f"a{k}", f"b{k}")) for k, g in enumerate(good)])
     ranked = words.select("key", F.round(best, 9).alias("z")).where("z is not null").orderBy(F.desc("z"), "key")
-    # a stem has at most len(PREFIXES) lengths above its shortest, so this many hold n_features stems
-    names = one_a_stem([r.key for r in ranked.limit(8 * n_features).collect()], n_features)
+    names = one_a_stem([r.key for r in ranked.collect()])
     draft = Scorer(chars, names, np.zeros((len(names), len(TIMES))), 0.0)
     share = max(1, math.ceil((n1 + n0) / fit_rows))
 
@@ -335,11 +346,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([list(c.keys()) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["y", "i", "n"])
 
     sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(share)) == 0).mapInArrow(seen, "y int, i array<int>, n array<int>").toPandas()
-    x = np.zeros((len(sample), len(names) * len(TIMES)), bool)
-    for r, (i, n) in enumerate(zip(sample["i"], sample["n"])):
-        for k, least in enumerate(TIMES):
-            x[r, np.asarray(i, np.int64)[np.asarray(n) >= least] * len(TIMES) + k] = True
-    w, bias = fit_logistic(x, (sample["y"].to_numpy() > 0).astype(float))
+    row = np.repeat(np.arange(len(sample)), [len(i) for i in sample["i"]])
+    of, n = (np.concatenate([np.asarray(v, np.int64) for v in sample[c]] or [np.empty(0, np.int64)]) for c in "in")
+    ones = [(row[n >= least], of[n >= least] * len(TIMES) + k) for k, least in enumerate(TIMES)]
+    w, bias = fit_logistic(np.concatenate([r for r, _ in ones]), np.concatenate([c for _, c in ones]), len(names) * len(TIMES), (sample["y"].to_numpy() > 0).astype(float))
     release(rows, stats)
     return Scorer(chars, names, w.reshape(len(names), len(TIMES)), bias)
 
