@@ -24,6 +24,8 @@ from .common import materialize, release, text_bytes
 
 MANTISSA_BITS = 12
 ROWS_PER_BUCKET = 50_000
+#: A text of over 1/HOT of all rows is hot; there are fewer than HOT of them, and each is met in parts of that share.
+HOT = 2000
 
 
 def place_classes(classes: list[tuple[int, float]], n_shards: int) -> list[list[int]]:
@@ -99,8 +101,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     groups = slim.groupBy("_key").agg(F.count(F.lit(1)).alias("_members"), F.max("size").alias("_one"))
     groups = groups.withColumn("_bytes", F.col("_members") * F.col("_one"))
     shift = F.greatest(F.length(F.bin("_bytes")) - MANTISSA_BITS, F.lit(0))
-    groups = materialize(groups.withColumn("_shift", shift).withColumn("_mant", F.expr("shiftright(_bytes, _shift)")).select("_key", "_bytes", "_shift", "_mant"), "shard-groups")
-    classes = groups.groupBy("_shift", "_mant").agg(F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("b")).orderBy(F.desc("_shift"), F.desc("_mant")).collect()
+    groups = materialize(groups.withColumn("_shift", shift).withColumn("_mant", F.expr("shiftright(_bytes, _shift)")).select("_key", "_members", "_bytes", "_shift", "_mant"), "shard-groups")
+    classes = groups.groupBy("_shift", "_mant").agg(F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("b"), F.sum("_members").alias("m")).orderBy(F.desc("_shift"), F.desc("_mant")).collect()
     plan = place_classes([(c.n, c.b / c.n) for c in classes], n_shards)
     n_groups = sum(c.n for c in classes)
     bounds = []
@@ -115,9 +117,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     ranges = spark.createDataFrame(bounds, schema).groupBy("_shift", "_mant").agg(F.sort_array(F.collect_list(F.struct("_to", "shard"))).alias("_ends"))
     ranked = numbered(groups, ["_shift", "_mant"], ["_key"], n_groups, "_place")
     # one row a class, at most 4096 + 52 * 2048 of them with n_shards ends each: bounded whatever the corpus
-    placed = ranked.join(F.broadcast(ranges), ["_shift", "_mant"]).select("_key", F.expr("filter(_ends, x -> x._to > _place)[0].shard").alias("shard"))
+    placed = ranked.join(F.broadcast(ranges), ["_shift", "_mant"]).select("_key", "_members", F.expr("filter(_ends, x -> x._to > _place)[0].shard").alias("shard"))
+    part = sum(c.m for c in classes) / HOT
+    copies = F.when(F.col("_members") > part, F.ceil(F.col("_members") / part)).otherwise(1).cast("int")
+    hot = groups.where(F.col("_members") > part).select("_key", copies.alias("_copies"))  # fewer than HOT rows
+    met = placed.select("_key", "shard", F.explode(F.sequence(F.lit(0), copies - 1)).alias("_part"))
+    parted = slim.join(F.broadcast(hot), "_key", "left").withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_copies", F.lit(1))).cast("int"))
     # rows that are equal in all else are told apart by a number that is written with them
-    dealt = materialize(slim.join(placed, "_key").select("_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("_row")), "shard-dealt")
+    dealt = materialize(parted.join(met, ["_key", "_part"]).select("_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("_row")), "shard-dealt")
     n_rows = dealt.count()
     release(slim, groups)
     out = numbered(dealt, ["shard"], ["_id", "text_crc32", "size", "_row"], n_rows, "slot")
