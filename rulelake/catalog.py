@@ -339,10 +339,11 @@ def constant_propagation(spark, sf):
 
 
 def event_graph(spark, sf):
-    r = ranked(spark, sf).withColumn("nxt", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("i")))
-    edges = r.where("nxt is not null").select(F.col("event_id").alias("src"), F.col("nxt").alias("dst"))
-    sources = r.where("event_type = 'signup'").select(F.col("event_id").alias("node"), F.lit("XSS").alias("vulnerability_type"), F.lit(0.9).alias("confidence"))
-    clean = r.where("event_type = 'view'").select(F.col("event_id").alias("node"), F.lit(0.2).alias("effectiveness"), F.array(F.lit("XSS")).alias("vulnerability_types"))
+    """Each user's events as one path; `graph` is the user, whom no edge leaves."""
+    r = ranked(spark, sf).withColumns({"nxt": F.lead("event_id").over(Window.partitionBy("user_id").orderBy("i")), "graph": F.col("user_id")})
+    edges = r.where("nxt is not null").select(F.col("event_id").alias("src"), F.col("nxt").alias("dst"), "graph")
+    sources = r.where("event_type = 'signup'").select(F.col("event_id").alias("node"), F.lit("XSS").alias("vulnerability_type"), F.lit(0.9).alias("confidence"), "graph")
+    clean = r.where("event_type = 'view'").select(F.col("event_id").alias("node"), F.lit(0.2).alias("effectiveness"), F.array(F.lit("XSS")).alias("vulnerability_types"), "graph")
     sinks = r.where("event_type in ('purchase', 'error')").select(F.col("event_id").alias("node"), F.lit("XSS").alias("vulnerability_type"))
     return edges, sources, clean, sinks
 
@@ -355,7 +356,7 @@ SQL_TAINT = f"""with recursive r as materialized {RANKED}, t(source, node, u, i,
 @query(SQL_TAINT + " select source, node, round(conf, 6) as confidence, n as length from t")
 def taint_propagation(spark, sf):
     edges, sources, clean, _ = event_graph(spark, sf)
-    t = flow.taint(edges, sources, clean)
+    t = flow.taint(edges, sources, clean, "graph")
     return t.select("source", "node", F.round("confidence", 6).alias("confidence"), F.size("path").alias("length"))
 
 
@@ -363,7 +364,7 @@ def taint_propagation(spark, sf):
 select source, node as sink, round(conf * pow(0.8, views), 6) as confidence, true as vulnerable from k where conf * pow(0.8, views) > 0.5""")
 def taint_flows(spark, sf):
     edges, sources, clean, sinks = event_graph(spark, sf)
-    f = flow.flows(flow.taint(edges, sources, clean), sinks, clean)
+    f = flow.flows(flow.taint(edges, sources, clean, "graph"), sinks, clean)
     return f.select("source", "sink", F.round("confidence", 6).alias("confidence"), "vulnerable")
 
 

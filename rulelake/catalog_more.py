@@ -278,7 +278,7 @@ def context_taint(spark, sf):
     """Flows between sources and sinks of one context, all contexts side by side."""
     edges, sources, clean, sinks = event_graph(spark, sf)
     named = lambda df: df.withColumn("context", F.concat(F.lit("c"), F.col("node") % 3))
-    return taint_rules.context_taint(edges, named(sources), named(sinks), clean).select("source", "sink", "context", F.round("confidence", 6).alias("confidence"))
+    return taint_rules.context_taint(edges, named(sources), named(sinks), clean, "graph").select("source", "sink", "context", F.round("confidence", 6).alias("confidence"))
 
 
 # graphs and symbols -------------------------------------------------------------------------------

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import itertools
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.storage import fixpoint, saved
 
@@ -82,13 +87,110 @@ def simple_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most:
     return out
 
 
-def taint(edges: DataFrame, sources: DataFrame, sanitizers: DataFrame) -> DataFrame:
+def taint(edges: DataFrame, sources: DataFrame, sanitizers: DataFrame, graph: str | None = None) -> DataFrame:
     """One taint per (node, source): the shortest path; of these the surest, then the least path.
 
     edges(src, dst); sources(node, vulnerability_type, confidence, and source where it is not named by its node); sanitizers(node,
     effectiveness, vulnerability_types). Entering a sanitizer that protects the source's
     vulnerability multiplies the confidence by 1 - effectiveness; under 0.1 the taint ends.
+
+    graph: a column of all three tables, such as a file or a user, that every edge stays inside of. Graphs of up to LOCAL edges
+    are then walked each in one task, all in one pass grouped by it, and the result has `passed`, the sanitizers of the path. Larger
+    graphs, and all where no column is named, go step by step over written tables.
     """
+    if graph is None:
+        return _stepped(edges, sources, sanitizers)
+    sizes = edges.groupBy(F.col(graph).alias("_graph")).count()
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= LOCAL:
+        return _walked(edges, sources, sanitizers, graph)
+    large = saved(sizes.where(F.col("count") > LOCAL).select("_graph"), "large-graphs")
+    part = lambda df, how: df.join(large, df[graph] == large["_graph"], how)
+    near = _walked(*[part(x, "left_anti") for x in (edges, sources, sanitizers)], graph)
+    far = _stepped(*[part(x, "left_semi") for x in (edges, sources, sanitizers)])
+    return near.unionByName(far.withColumn("passed", F.col("path")))
+
+
+#: Edges of a graph that one task walks.
+LOCAL = 100_000
+
+
+def _walked(edges: DataFrame, sources: DataFrame, sanitizers: DataFrame, graph: str) -> DataFrame:
+    """Taints of graphs that fit a task. A node keeps its predecessor and its rank among the nodes of its step, by which equal
+    paths are told apart; paths are read off from the predecessors at the end."""
+    source = F.col("source" if "source" in sources.columns else "node").alias("source")
+    kind, name = sources.select("node").schema["node"].dataType, sources.select(source).schema["source"].dataType
+    fields = {"graph": edges.schema[graph].dataType, "kind": T.IntegerType(), "a": kind, "b": kind, "source": name, "vt": T.StringType(), "number": T.DoubleType(), "vts": T.ArrayType(T.StringType())}
+    row = lambda df, given: df.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields.items()])
+    facts = row(edges, {"graph": F.col(graph), "kind": F.lit(0), "a": F.col("src"), "b": F.col("dst")})
+    facts = facts.unionByName(row(sanitizers, {"graph": F.col(graph), "kind": F.lit(1), "a": F.col("node"), "number": F.col("effectiveness"), "vts": F.col("vulnerability_types")}))
+    facts = facts.unionByName(row(sources, {"graph": F.col(graph), "kind": F.lit(2), "a": F.col("node"), "source": source, "vt": F.col("vulnerability_type"), "number": F.col("confidence")}))
+    out = T.StructType([T.StructField("node", kind), T.StructField("source", name), T.StructField("vulnerability_type", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("path", T.ArrayType(kind)), T.StructField("passed", T.ArrayType(kind))])
+    arrow = [to_arrow_type(f.dataType) for f in out.fields]
+
+    def walk(rows: list[tuple]) -> Iterator[tuple]:
+        after, clean = defaultdict(list), defaultdict(list)
+        starts = []
+        for kind, a, b, source, vt, number, vts in rows:
+            if kind == 0:
+                after[a].append(b)
+            elif kind == 1:
+                clean[a].append((number, vts or ()))
+            else:
+                starts.append((a, source, vt, number))
+        known = set()
+        for first, source, vt, sure in starts:
+            if (key := (first, repr(source))) in known or first is None:
+                continue  # of equal sources one
+            known.add(key)
+            left = {n: 1 - least for n, cs in clean.items() if (least := min((e for e, vts in cs if vt in vts), default=None)) is not None}
+            at, front = {first: (sure, None)}, [first]
+            yield first, source, vt, sure, [first], [first] if first in clean else []
+            paths = {first: ([first], [first] if first in clean else [])}
+            while front:
+                best: dict = {}
+                for rank, n in enumerate(front):  # in the order of their paths
+                    for m in after.get(n, ()):
+                        if m in at or m is None:
+                            continue
+                        c = at[n][0] * left.get(m, 1.0)
+                        if c >= 0.1 and (m not in best or (-c, rank) < best[m][0]):
+                            best[m] = ((-c, rank), c, n)
+                front = sorted(best, key=lambda m: (best[m][0][1], m))
+                for m in front:
+                    _, c, n = best[m]
+                    at[m] = (c, n)
+                    path, passed = paths[n]
+                    paths[m] = ([*path, m], [*passed, m] if m in clean else passed)
+                    yield m, source, vt, c, *paths[m]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(found: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*found)) or [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, arrow)], out.names)
+
+        now, rows, found = None, None, []
+        for batch in batches:
+            for g, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows is None or g != now:
+                    for x in walk(rows or []):
+                        found.append(x)
+                        if len(found) >= 4096:
+                            yield pack(found)
+                            found = []
+                    now, rows = g, []
+                rows.append(row)
+        for x in walk(rows or []):
+            found.append(x)
+            if len(found) >= 4096:
+                yield pack(found)
+                found = []
+        yield pack(found)
+
+    return facts.repartition("graph").sortWithinPartitions("graph").mapInArrow(run, out)
+
+
+def _stepped(edges: DataFrame, sources: DataFrame, sanitizers: DataFrame) -> DataFrame:
+    """Taints of any graph: each step joins the newest ones with the edges and appends what is new."""
     clean = sanitizers.groupBy(F.col("node").alias("dst")).agg(F.collect_list(F.struct("effectiveness", "vulnerability_types")).alias("clean"))
     edges = saved(edges.select("src", "dst").join(clean, "dst", "left"), "edges")
     source = F.col("source" if "source" in sources.columns else "node").alias("source")
@@ -108,7 +210,7 @@ def taint(edges: DataFrame, sources: DataFrame, sanitizers: DataFrame) -> DataFr
 def flows(taints: DataFrame, sinks: DataFrame, sanitizers: DataFrame) -> DataFrame:
     """Taints that end in sinks: sure enough (> 0.5) before and after the path's sanitizers of the sink's vulnerability."""
     hit = taints.drop("vulnerability_type").where("confidence > 0.5 and size(path) > 1").join(sinks.select("node", "vulnerability_type"), "node")
-    on_path = hit.select("node", "source", "vulnerability_type", F.explode("path").alias("_p"))
+    on_path = hit.select("node", "source", "vulnerability_type", F.explode("passed" if "passed" in hit.columns else "path").alias("_p"))
     s = sanitizers.select(F.col("node").alias("_p"), "effectiveness", "vulnerability_types")
     used = on_path.join(s, "_p").where(F.array_contains("vulnerability_types", F.col("vulnerability_type"))).groupBy("node", "source", "vulnerability_type").agg(F.sort_array(F.collect_set(F.struct("_p", "effectiveness"))).alias("u"))
     out = hit.join(used, ["node", "source", "vulnerability_type"], "left")

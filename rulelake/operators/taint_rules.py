@@ -273,15 +273,15 @@ def evaluate_flows(files: DataFrame, rules: list[Rule], how: str = "flow", id_co
     return reduce(DataFrame.unionByName, out)
 
 
-def context_taint(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame) -> DataFrame:
+def context_taint(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, graph: str | None = None) -> DataFrame:
     """Flows from sources to sinks of the same context (sources and sinks carry `context`; null is a context like others).
 
-    A taint is named by its source and context, so one pass follows all contexts side by side.
+    A taint is named by its source and context, so one pass follows all contexts side by side. graph: see taint().
     """
     c = F.coalesce("context", F.lit(""))
     pairs = sources.select(c.alias("context")).intersect(sinks.select(c.alias("context")))
-    starts = sources.withColumn("context", c).join(pairs, "context", "left_semi").select("node", F.struct(F.col("node").alias("node"), F.col("context").alias("context")).alias("source"), "vulnerability_type", "confidence")
-    found = flow.flows(flow.taint(edges, starts, sanitizers), sinks.select("node", "vulnerability_type").distinct(), sanitizers)
+    starts = sources.withColumn("context", c).join(pairs, "context", "left_semi").select("node", F.struct(F.col("node").alias("node"), F.col("context").alias("context")).alias("source"), "vulnerability_type", "confidence", *([graph] if graph else []))
+    found = flow.flows(flow.taint(edges, starts, sanitizers, graph), sinks.select("node", "vulnerability_type").distinct(), sanitizers)
     mine = sinks.select(F.col("node").alias("sink"), c.alias("context")).distinct()
     out = found.withColumn("context", F.col("source.context")).join(mine, ["sink", "context"], "left_semi")
     return out.select(F.col("source.node").alias("source"), "sink", "context", "vulnerability_type", "path", "confidence", "vulnerable")
