@@ -224,10 +224,64 @@ def enhanced_step(confidence: Column, length: Column) -> Column:
     return F.floor(confidence * (1 - F.least(0.05 * length, F.lit(0.3)))).cast("int")
 
 
+def tour(parents: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(<id_col>, root, enter, leave) of a forest: a node holds another of its root if enter is greater and leave is less.
+
+    The walk around each tree is a linked list of entering and leaving its nodes; how far each step is from the end is worked out by
+    pointer doubling, so a tree of n nodes takes log2(2n) rounds, however deep it is. A node on a cycle has no root and is left out.
+    """
+    n = parents.select(F.col(id_col).alias("v"), F.col(parent_col).alias("p")).dropDuplicates(["v"])
+    known = n.select(F.col("v").alias("p")).withColumn("_in", F.lit(True))
+    n = saved(n.join(known, "p", "left").select("v", F.when(F.col("_in"), F.col("p")).alias("p")), "tree")  # a parent outside the table is none
+    beside = n.withColumn("after", F.lead("v").over(Window.partitionBy("p").orderBy("v")))
+    first = n.where("p is not null").groupBy(F.col("p").alias("v")).agg(F.min("v").alias("child"))
+    step = lambda v, down: F.struct(v.alias("v"), F.lit(down).alias("down"))
+    enter = n.join(first, "v", "left").select(step(F.col("v"), True).alias("at"), F.when(F.col("child").isNotNull(), step(F.col("child"), True)).otherwise(step(F.col("v"), False)).alias("next"))
+    leave = beside.select(step(F.col("v"), False).alias("at"), F.when(F.col("p").isNull(), F.lit(None)).when(F.col("after").isNotNull(), step(F.col("after"), True)).otherwise(step(F.col("p"), False)).alias("next"))
+    here = saved(enter.unionByName(leave).withColumns({"far": F.when(F.col("next").isNull(), 0).otherwise(1).cast("long"), "last": F.col("at")}), "tour")
+    for _ in range(64):
+        if here.where("next is not null").isEmpty():
+            break
+        # a cycle never comes to an end: after as many doublings as there are bits it is left out
+        ahead = here.select(F.col("at").alias("next"), F.col("next").alias("_next"), F.col("far").alias("_far"), F.col("last").alias("_last"))
+        done = here.where("next is null")
+        moved = here.where("next is not null").join(ahead, "next").select("at", F.col("_next").alias("next"), (F.col("far") + F.col("_far")).alias("far"), F.col("_last").alias("last"))
+        here = saved(done.unionByName(moved), "tour")
+    ends = here.where("next is null").groupBy(F.col("at.v").alias(id_col)).agg(F.max(F.when(F.col("at.down"), F.col("far"))).alias("enter"), F.max(F.when(~F.col("at.down"), F.col("far"))).alias("leave"), F.first("last.v").alias("root"))
+    return ends.select(id_col, "root", "enter", "leave")
+
+
 def resolve_scopes(uses: DataFrame, scopes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """uses(use_id, scope_id, name) with the symbol of the innermost enclosing scope that defines the name (null: none)."""
-    chain = fixpoint(scopes.select("scope_id", F.col("scope_id").alias("at"), F.lit(0).alias("d")), lambda f: f.join(scopes.select(F.col("scope_id").alias("at"), "parent_id"), "at").where("parent_id is not null").select("scope_id", F.col("parent_id").alias("at"), (F.col("d") + 1).alias("d")), ["scope_id", "at"])
-    hit = uses.join(chain, "scope_id").join(symbols.select(F.col("scope_id").alias("at"), "name", "node_id"), ["at", "name"]).groupBy("use_id").agg(F.min_by("node_id", "d").alias("node_id"))
+    """uses(use_id, scope_id, name) with the symbol of the innermost enclosing scope that defines the name (null: none).
+
+    Scopes become intervals of a walk around their tree (see tour); for each tree and name, definitions and uses are then sorted
+    together and one sweep keeps the open definitions as a stack. Of several definitions of one scope the least node's counts.
+    """
+    at = saved(tour(scopes, "scope_id", "parent_id"), "scopes")
+    kind = symbols.schema["node_id"].dataType
+    keys = ["root", "name"]
+    defined = symbols.groupBy("scope_id", "name").agg(F.min("node_id").alias("node_id")).join(at, "scope_id").select(*keys, "enter", "leave", F.lit(0).alias("kind"), "node_id", F.lit(None).cast(uses.schema["use_id"].dataType).alias("use_id"))
+    asked = uses.join(at, "scope_id").select(*keys, "enter", "leave", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("node_id"), "use_id")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_ = None, []
+        for batch in batches:
+            users, found = [], []
+            nodes = batch.column(5).to_pylist()
+            for i, (root, name, _, leave, k) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                if (root, name) != now:
+                    now, open_ = (root, name), []
+                while open_ and open_[-1][0] > leave:  # it was left before this scope is
+                    open_.pop()
+                if k == 0:
+                    open_.append((leave, nodes[i]))
+                elif open_:
+                    users.append(i)
+                    found.append(open_[-1][1])
+            yield pa.RecordBatch.from_arrays([batch.column(6).take(pa.array(users, pa.int64())), pa.array(found, to_arrow_type(kind))], ["use_id", "node_id"])
+
+    rows = defined.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, F.desc("enter"), "kind")
+    hit = rows.mapInArrow(sweep, T.StructType([T.StructField("use_id", uses.schema["use_id"].dataType), T.StructField("node_id", kind)]))
     return uses.join(hit, "use_id", "left")
 
 
