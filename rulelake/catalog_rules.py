@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import RANKED, query, ranked, read
-from .operators import matching, syntax, taint_rules, tokens
+from .catalog_more import programs
+from .functions import text as fx
+from .functions.types import type_compatible
+from .operators import matching, merging, nodes, syntax, taint_rules, tokens
 from .plans.rules import DEFAULTS, default_rules, load_rules
+from .streaming import feeds
 
 # many rules ---------------------------------------------------------------------------------------
 
@@ -150,3 +154,109 @@ def node_rules_by_language(spark, sf):
     )
     files = _programs(spark, sf, line, language=F.when(F.col("user_id") % 2 == 0, "javascript").otherwise("python"))
     return taint_rules.evaluate_nodes(files, rules).select("file_id", "start_line", "rule_id", "text")
+
+# merges, types, limits ----------------------------------------------------------------------------
+
+
+@query("select user_id, round(list_reduce(list(value order by event_id), lambda a, x: (a + x) / 2), 6) as confidence from events group by 1")
+def merged_confidence(spark, sf):
+    """A user's values merged one after the other into a running mean of two."""
+    one = read(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("v"))
+    return one.select("user_id", F.round(merging.sequential_mean(F.col("v.value")), 6).alias("confidence"))
+
+
+@query("""with d as (select user_id, list_distinct(list(event_type) filter (event_id % 2 = 0)) as a, list_distinct(list(event_type) filter (event_id % 2 = 1)) as b from events group by 1),
+e as (select user_id, coalesce(a, []) as a, coalesce(b, []) as b from d)
+select user_id, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') as everything, array_to_string(list_sort(list_intersect(a, b)), ',') as common from e""")
+def merged_sets(spark, sf):
+    """Two paths' transformations joined, and what both have."""
+    half = lambda k: F.collect_set(F.when(F.col("event_id") % 2 == k, F.col("event_type")))
+    one = read(spark, sf, "events").groupBy("user_id").agg(half(0).alias("a"), half(1).alias("b"))
+    return one.select("user_id", *[F.array_join(F.sort_array(merging.merge_sets(F.col("a"), F.col("b"), how)), ",").alias(n) for how, n in (("union", "everything"), ("intersection", "common"))])
+
+
+SQL_KINDS = "(select o_orderkey, o_custkey, ['sanitize', 'encode', 'validate', 'filter', 'other'] as ks, o_orderkey % 5 as k, o_custkey % 5 as j, (o_orderkey % 9 + 1) / 10.0::double as e, (o_custkey % 7 + 1) / 8.0::double as f from orders)"
+_KEPT = "case {0} when 0 then 1 - {1} when 1 then 0.7::double when 2 then 0.5::double when 3 then 0.8::double else 1::double end"
+
+
+@query(f"select o_orderkey, round(0.9::double * {_KEPT.format('k', 'e')} * {_KEPT.format('j', 'f')}, 9) as confidence, not (k = 0 and e > 0.8 or j = 0 and f > 0.8) as significant from {SQL_KINDS}")
+def transformed_confidence(spark, sf):
+    """Confidence after two transformations of each order's keys, and whether a taint of 0.9 through them still counts."""
+    names = F.array(*map(F.lit, ("sanitize", "encode", "validate", "filter", "other")))
+    o = read(spark, sf, "orders").select("o_orderkey", F.array(*[F.element_at(names, (F.col(c) % 5 + 1).cast("int")) for c in ("o_orderkey", "o_custkey")]).alias("kinds"), F.array((F.col("o_orderkey") % 9 + 1) / 10.0, (F.col("o_custkey") % 7 + 1) / 8.0).alias("effects"))
+    return o.select("o_orderkey", F.round(merging.transformed(F.lit(0.9), F.col("kinds"), F.col("effects")), 9).alias("confidence"), merging.significant(F.lit(0.9), F.col("kinds"), F.col("effects")).alias("significant"))
+
+
+@query("""select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by (o_orderkey % 7) / 8.0::double + (o_orderkey % 3) / 4.0::double desc, o_orderkey) as n from orders) where n = 1""")
+def most_restrictive(spark, sf):
+    """Of each customer's orders the one whose effects add up to most."""
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.array((F.col("o_orderkey") % 7) / 8.0, (F.col("o_orderkey") % 3) / 4.0).alias("effects"))
+    return merging.most_restrictive(o, ["o_custkey"], "effects", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("select l_orderkey, l_linenumber from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_discount desc, [l_suppkey, l_linenumber]) as n from lineitem) where n = 1")
+def surest_of_each(spark, sf):
+    """Flows that are alike become one, the surest; of equals that of the least path."""
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", F.array(F.col("l_suppkey").cast("long"), F.col("l_linenumber").cast("long")).alias("path"))
+    return merging.best_of_each(rows, ["l_orderkey"], "l_discount").select("l_orderkey", "l_linenumber")
+
+
+@query("select event_id, round(value * case event_id % 4 when 0 then 1.0::double when 1 then 0.9::double when 2 then 0.8::double else 0.7::double end, 6) as effect from events")
+def effect_by_origin(spark, sf):
+    origin = F.element_at(F.array(*map(F.lit, ("user", "database", "file", "network"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return read(spark, sf, "events").select("event_id", F.round(merging.origin_effectiveness(F.col("value"), origin), 6).alias("effect"))
+
+
+_INT, _OBJECT = '{"kind": "primitive", "name": "int"}', '{"kind": "object", "name": "int"}'
+_TYPES = [None, _INT, '{"kind": "primitive", "name": "str"}', _OBJECT, f'{{"kind": "array", "of": {_INT}}}', f'{{"kind": "union", "of": [{_OBJECT}, {_INT}]}}', '{"kind": "function"}']
+
+
+@query("select p_partkey, a = 0 or b = 0 or a = b and a < 6 or a in (1, 3) and b = 5 or a = 5 and b in (1, 3) as fits from (select p_partkey, p_partkey % 7 as a, p_partkey // 7 % 7 as b from part)")
+def type_fits(spark, sf):
+    """Unknown, primitive, object, array, union and function types against each other."""
+    at = lambda k: F.get(F.array(*map(F.lit, _TYPES)), k.cast("int"))
+    p = read(spark, sf, "part")
+    return p.select("p_partkey", type_compatible(at(F.col("p_partkey") % 7), at(F.floor(F.col("p_partkey") / 7) % 7)).alias("fits"))
+
+
+@query("""with recursive e as materialized (select event_id, user_id, epoch(ts)::double as t, row_number() over (partition by user_id order by ts, event_id) as i from events),
+r(user_id, event_id, i, t0, n) as (select user_id, event_id, i, t, 1 from e where i = 1 union all
+  select e.user_id, e.event_id, e.i, case when e.t - r.t0 > 21600 then e.t else r.t0 end, case when e.t - r.t0 > 21600 then 1 else r.n + 1 end from r join e on e.user_id = r.user_id and e.i = r.i + 1)
+select event_id, n <= 2 as admitted from r""")
+def rate_limit_fixed(spark, sf):
+    """At most two hits of a user in a window of six hours that opens with the first."""
+    e = read(spark, sf, "events").select("event_id", F.col("user_id").alias("client"), (F.col("ts").cast("timestamp").cast("double")).alias("ts"))
+    return feeds.rate_limited(e, 2, 21600.0).select("event_id", "admitted")
+
+
+@query(f"""with p as {_P} select user_id as file_id, 'found' as how, count(*) filter (t = 'signup') as n from p group by 1
+union all select user_id, 'other', 2 * count(*) filter (t in ('click', 'signup')) + 3 * count(*) filter (t = 'view') + 2 * count(*) filter (t = 'purchase') + count(*) filter (t = 'error') + count(*) filter (t in ('click', 'view')) from p group by 1""")
+def nodes_by_regex(spark, sf):
+    """Nodes whose text an expression finds, and all the others, counted by program."""
+    tree = syntax.parse(programs(spark, sf)).where("depth > 0")
+    count = lambda df, how: tree.select("file_id").distinct().join(df.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")), "file_id", "left").select("file_id", F.lit(how).alias("how"), F.coalesce("n", F.lit(0)).alias("n"))
+    found = lambda wanted: nodes.search_regex(tree, r"^v[0-9] = read\(\)", wanted)
+    return count(found(True), "found").unionByName(count(found(False), "other"))
+
+
+@query(f"""with p as (select event_type as t, count(*) as n from {RANKED} group by 1), u as (select count(distinct user_id) as n from events),
+k as (select 'program' as node_type, n, 0 as depth from u union all select 'assignment', n, 1 from p where t in ('signup', 'click', 'view') union all select 'call_expression', n, case t when 'signup' then 2 when 'view' then 2 else 1 end from p where t in ('signup', 'view', 'purchase', 'error')
+  union all select 'identifier', case t when 'signup' then n when 'purchase' then n else 2 * n end, case t when 'view' then 3 else 2 end from p where t in ('signup', 'click', 'view', 'purchase'))
+select node_type, sum(n)::bigint as n, max(depth)::int as max_depth from k group by 1""")
+def node_figures(spark, sf):
+    """Nodes of all programs by type, and the greatest depth of each type."""
+    return syntax.node_counts(syntax.parse(programs(spark, sf)))
+
+
+@query("""select doc_id, case when length(text) > 40 then text[1:37] || '...' else text end as short, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as plain from documents where text is not null""")
+def short_texts(spark, sf):
+    return read(spark, sf, "documents").where("text is not null").select("doc_id", fx.truncate(F.col("text"), 40).alias("short"), fx.normalize_whitespace(F.col("text")).alias("plain"))
+
+
+@query("""with d as (select doc_id, coalesce(source, '') || '/' || coalesce(lang, '') as path, text from documents), k as (select distinct path, text from d where doc_id % 3 = 0)
+select doc_id from d where not exists (select 1 from k where k.path = d.path and k.text is not distinct from d.text)""")
+def files_to_scan(spark, sf):
+    """Files that no earlier run with the same rules has seen under their path."""
+    files = read(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit(""))).alias("path"), "text")
+    known = files.where("doc_id % 3 = 0").withColumn("cache_key", F.xxhash64(F.lit("v1"), "path", "text"))
+    return nodes.cached(files, known, "v1", "text")[0].select("doc_id")

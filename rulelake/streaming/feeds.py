@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -47,6 +48,29 @@ def rate_limit(hits: DataFrame, limit: int, width: float = 60.0) -> DataFrame:
     return hits.groupBy("client").applyInPandasWithState(run, "client long, ts double, admitted boolean", "start double, count int", "append", GroupStateTimeout.NoTimeout)
 
 
+def rate_limited(hits: DataFrame, limit: int, width: float = 60.0, client: str = "client", ts: str = "ts") -> DataFrame:
+    """Hits of a table with `admitted`, as rate_limit() admits those of a stream: clients come sorted by time, and only the
+    present one's window is held. Hits without a time are refused."""
+    at = [hits.columns.index(c) for c in (client, ts)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, count = None, None, 0
+        for batch in batches:
+            out = []
+            for who, t in zip(*(batch.column(k).to_pylist() for k in at)):
+                if t is None:
+                    out.append(False)
+                    continue
+                if (who,) != now:
+                    now, start, count = (who,), None, 0
+                (ok,), start, count = fixed_window([t], limit, width, start, count)
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "admitted"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields)
+    return hits.repartition(client).sortWithinPartitions(client, ts).mapInArrow(run, f"{fields}, admitted boolean")
+
+
 def retained(jobs: DataFrame, cutoff: str, column: str = "created_at") -> DataFrame:
     """Rows not older than the cutoff."""
     return jobs.where(F.col(column) >= F.to_timestamp_ntz(F.lit(cutoff)))
