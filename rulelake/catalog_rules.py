@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import RANKED, query, ranked, read
+from .catalog import ORACLES, RANKED, query, ranked, read
 from .catalog_more import programs
 from .functions import text as fx
 from .functions.types import type_compatible
 from .operators import matching, merging, nodes, syntax, taint_rules, tokens
 from .plans.rules import DEFAULTS, default_rules, load_rules
+from .sources import plugins
 from .streaming import feeds
 
 # many rules ---------------------------------------------------------------------------------------
@@ -260,3 +261,10 @@ def files_to_scan(spark, sf):
     files = read(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit(""))).alias("path"), "text")
     known = files.where("doc_id % 3 = 0").withColumn("cache_key", F.xxhash64(F.lit("v1"), "path", "text"))
     return nodes.cached(files, known, "v1", "text")[0].select("doc_id")
+
+
+@query(ORACLES["node_figures"])
+def parsed_in_sql(spark, sf):
+    """The same figures through the table function of SQL."""
+    plugins.register(spark)
+    return spark.sql("select n.node_type, count(*) as n, max(n.depth) as max_depth from {files} f, lateral parse_code(f.language, f.source) n group by 1", files=programs(spark, sf))

@@ -351,6 +351,17 @@ def build(spark, file_id: int, tree: tuple) -> DataFrame:
 PARSERS = {"python": _python, "xml": _xml}
 
 
+def tree_rows(table: dict, language: str | None, text: str, detail: bool) -> Iterator[tuple]:
+    """One text's rows of NODE_FIELDS, with detail of DETAIL_FIELDS as well."""
+    tree = table[language](text) if language in table else _tokens(text, language or "generic")
+    scopes: dict[int, int] = {}
+    functions = {r[0] for r in tree if r[5] == "function_declaration"} if detail else ()
+    for r in tree:
+        if detail:  # a parent's number is less than its children's
+            scopes[r[0]] = r[2] if r[2] in functions else scopes.get(r[2], 0)
+        yield (*r[:9], *((language, scopes[r[0]], r[9] if len(r) > 9 else None) if detail else ()))
+
+
 def parse(files: DataFrame, parsers: dict | None = None, id_col: str = "file_id", text_col: str = "source", caps: dict[str, int] | None = None, detail: bool = False) -> DataFrame:
     """The node table of all files, by each language's parser (others by tokens); pre and post order numbers give containment.
 
@@ -374,14 +385,9 @@ def parse(files: DataFrame, parsers: dict | None = None, id_col: str = "file_id"
                     rows.append((0, 0, None, 0, 0, "error", "", 1, text.count("\n") + 1, *((language, 0, None) if detail else ())))
                     keep.append(k)
                     continue
-                tree = table[language](text or "") if language in table else _tokens(text or "", language or "generic")
-                scopes: dict[int, int] = {}
-                functions = {r[0] for r in tree if r[5] == "function_declaration"} if detail else ()
-                for r in tree:
+                for r in tree_rows(table, language, text or "", detail):
                     keep.append(k)
-                    if detail:  # a parent's number is less than its children's
-                        scopes[r[0]] = r[2] if r[2] in functions else scopes.get(r[2], 0)
-                    rows.append((*r[:9], *((language, scopes[r[0]], r[9] if len(r) > 9 else None) if detail else ())))
+                    rows.append(r)
             cols = list(zip(*rows)) if rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, types))], ["file_id", *[f.split()[0] for f in fields.split(", ")]])
 
