@@ -268,3 +268,15 @@ def parsed_in_sql(spark, sf):
     """The same figures through the table function of SQL."""
     plugins.register(spark)
     return spark.sql("select n.node_type, count(*) as n, max(n.depth) as max_depth from {files} f, lateral parse_code(f.language, f.source) n group by 1", files=programs(spark, sf))
+
+
+@query(r"""with l as (select doc_id, unnest(l) as line, unnest(range(len(l))) + 1 as n from (select doc_id, string_split(text, chr(10)) as l from documents)),
+k as (select doc_id, n, line, least(case when contains(line, '#') then instr(line, '#') else 1000000000 end, case when contains(line, '//') then instr(line, '//') else 1000000000 end) as mark from l where not regexp_matches(ltrim(line, ' '), '^(#|//|/\*)') and regexp_matches(line, 'under\s+the\s+\S+\s+License')),
+m as (select doc_id, n, mark, m[j] as matched, v[j] as name, coalesce(list_sum([length(x) for x in b[1:j]]), 0) + coalesce(list_sum([length(x) for x in m[1:j - 1]]), 0) + 1 as place from (select doc_id, n, mark, m, v, b, unnest(range(1, len(m) + 1)) as j from
+  (select doc_id, n, mark, regexp_extract_all(line, 'under\s+the\s+(\S+)\s+License') as m, regexp_extract_all(line, 'under\s+the\s+(\S+)\s+License', 1) as v, string_split_regex(line, 'under\s+the\s+(\S+)\s+License') as b from k)))
+select doc_id, n::int as start_line, place::int as start_column, matched, name from m where place < mark""")
+def line_captures(spark, sf):
+    """All matches of a line pattern in a line, with what its metavariable binds."""
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("source"))
+    found = nodes.line_captures(d, "under the $NAME License")
+    return found.select(F.col("file_id").alias("doc_id"), "start_line", "start_column", "matched", F.col("bindings")["$NAME"].alias("name"))

@@ -162,11 +162,15 @@ def context_is(key: str, value: str, column: str = "context") -> Column:
     return F.coalesce(F.col(column)[F.lit(key)] == value, F.lit(False))
 
 
-def clause_column(clause: dict) -> Column:
-    """A rule's metavariable clause as a boolean Column."""
+def clause_column(clause: dict, extensions=None) -> Column:
+    """A rule's metavariable clause as a boolean Column; a `custom-condition` is looked up by its name in the run's extensions."""
     spec = clause["spec"]
     kind = clause["kind"]
     value = bound(spec["metavariable"]) if isinstance(spec, dict) and "metavariable" in spec else None
+    if kind == "custom-condition":
+        if extensions is None or spec["name"] not in extensions.conditions:
+            raise KeyError(f"no condition {spec['name']!r} among the run's extensions")
+        return extensions.condition(spec["name"], F.col("matched") if value is None else value)
     if kind == "metavariable-regex":
         return regex_condition(value, spec["regex"])
     if kind == "metavariable-name":

@@ -14,17 +14,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import included
-from ..plans.extensions import option
+from ..plans.extensions import Extensions, option
 from ..plans.rules import PatternNode, Rule, leaves
 from ..plans.storage import saved
 from .conditions import clause_column, every
-from .tokens import Leaf, java_regex, match_leaves
+from .tokens import PLACE, Leaf, java_regex, match_leaves
 
 #: Kinds of entries of a list that its matches come from.
 POSITIVE = ("simple", "regex", "either", "all")
 
 
-def evaluate(files: DataFrame, rules: list[Rule], id_col: str = "file_id", text_col: str = "source", language_col: str | None = "language", combine: str = "all", inside_mode: str = "ancestor", path_col: str | None = None, statements: bool | None = None) -> DataFrame:
+def evaluate(files: DataFrame, rules: list[Rule], id_col: str = "file_id", text_col: str = "source", language_col: str | None = "language", combine: str = "all", inside_mode: str = "ancestor", path_col: str | None = None, statements: bool | None = None, extensions: Extensions | None = None) -> DataFrame:
     """Matches of whole rules: leaves in one pass over the files, then all other rules in one pass over (file, rule).
 
     combine "all" keeps matches of the first positive entry that overlap a match of every other
@@ -36,7 +36,8 @@ def evaluate(files: DataFrame, rules: list[Rule], id_col: str = "file_id", text_
     to the shared folder and one grouped pass combines them, however many rules there are. Nothing is collected. Rules without a pattern and
     disabled ones match nothing. With path_col, a rule's own include and exclude paths hold (one pass for each
     different set of them). `statements` is the run's choice of matching SQL statement by statement,
-    which a rule's option overrides.
+    which a rule's option overrides. extensions holds the conditions that rules name by `custom-condition`. A rule's focus moves
+    its matches to the metavariable's place; in a list, that of the first positive entry, where it is bound by tokens.
     """
     active = [r for r in rules if r.enabled and r.pattern]
     groups: dict[str, list[Rule]] = {}
@@ -46,35 +47,44 @@ def evaluate(files: DataFrame, rules: list[Rule], id_col: str = "file_id", text_
     for paths, some in groups.items():
         wanted = json.loads(paths)
         taken = files.where(included(F.col(path_col), wanted.get("include") or [], wanted.get("exclude") or [])) if wanted else files
-        parts += _evaluate(taken, some, id_col, text_col, language_col, combine, inside_mode, statements)
+        parts += _evaluate(taken, some, id_col, text_col, language_col, combine, inside_mode, statements, extensions)
     return reduce(DataFrame.unionByName, parts) if parts else match_leaves(files, [], id_col, text_col, language_col)
 
 
-def _evaluate(files: DataFrame, active: list[Rule], id_col: str, text_col: str, language_col: str | None, combine: str, inside_mode: str, statements: bool | None) -> list[DataFrame]:
+def _evaluate(files: DataFrame, active: list[Rule], id_col: str, text_col: str, language_col: str | None, combine: str, inside_mode: str, statements: bool | None, extensions: Extensions | None) -> list[DataFrame]:
     flat, at = [], {}
     plain = [r for r in active if _plain(r.pattern)]
     for r in active:
         by_statement = option(r, "sql_statement_boundary", None if statements is None else str(statements))
         for leaf in leaves(r.pattern):
             at[id(leaf)] = len(flat)
-            flat.append(Leaf(r.id, len(flat), "simple" if leaf.kind == "simple" else "regex", leaf.text, tuple(r.languages), by_statement, r.focus if r in plain else None))
+            flat.append(Leaf(r.id, len(flat), "simple" if leaf.kind == "simple" else "regex", leaf.text, tuple(r.languages), by_statement, r.focus if r in plain else None, None if r in plain else r.focus))
     found = match_leaves(files, flat, id_col, text_col, language_col, once={r.id for r in plain})
     if len(plain) == len(active):
-        return [_with_conditions(found, plain)]
+        return [_with_conditions(found, plain, extensions)]
     found = saved(found, "matches")
     parts = []
     if plain:
         numbers = [at[id(leaf)] for r in plain for leaf in leaves(r.pattern)]
-        parts.append(_with_conditions(found.where(F.col("pattern_no").isin(numbers)), plain))
-    parts.append(evaluate_trees(found, [(r.id, r.pattern) for r in active if r not in plain], at, id_col, combine, inside_mode))
+        parts.append(_with_conditions(found.where(F.col("pattern_no").isin(numbers)), plain, extensions))
+    lists = evaluate_trees(found, [(r.id, r.pattern) for r in active if r not in plain], at, id_col, combine, inside_mode, extensions=extensions)
+    parts.append(_focused(lists) if any(r.focus for r in active if r not in plain) else lists)
     return parts
 
 
-def _with_conditions(found: DataFrame, rules: list[Rule]) -> DataFrame:
+def _focused(matches: DataFrame) -> DataFrame:
+    """Matches moved to the place that they keep of a metavariable; those without one as they are."""
+    place = F.split(F.try_element_at("bindings", F.lit(PLACE)), ":", 7)
+    columns = ("start", "end", "start_line", "start_column", "end_line", "end_column", "matched")
+    moved = {c: F.coalesce(F.get(place, k).cast(matches.schema[c].dataType), F.col(c)) for k, c in enumerate(columns)}
+    return matches.withColumns({**moved, "bindings": F.map_filter("bindings", lambda k, _: k != PLACE)})
+
+
+def _with_conditions(found: DataFrame, rules: list[Rule], extensions: Extensions | None) -> DataFrame:
     """Conditions of a single pattern hold on its own matches."""
     for r in rules:
         if clauses := [c for c in r.pattern.conditions if c["kind"] != "focus-metavariable"]:
-            found = found.where((F.col("rule_id") != r.id) | every([clause_column(c) for c in clauses]))
+            found = found.where((F.col("rule_id") != r.id) | every([clause_column(c, extensions) for c in clauses]))
     return found
 
 
@@ -94,7 +104,7 @@ def _clauses(node: PatternNode):
         yield from _clauses(p)
 
 
-def evaluate_trees(found: DataFrame, trees: list[tuple[str, PatternNode]], at: dict[int, int], id_col: str, combine: str = "all", inside_mode: str = "ancestor", nodes: bool = False) -> DataFrame:
+def evaluate_trees(found: DataFrame, trees: list[tuple[str, PatternNode]], at: dict[int, int], id_col: str, combine: str = "all", inside_mode: str = "ancestor", nodes: bool = False, extensions: Extensions | None = None) -> DataFrame:
     """Matches of whole pattern trees, for all rules in one pass over their leaves' matches, grouped by file and rule.
 
     Conditions are columns and are worked out first, as one array a match; then a group's matches are combined by sorted
@@ -106,7 +116,7 @@ def evaluate_trees(found: DataFrame, trees: list[tuple[str, PatternNode]], at: d
     for rule_id, tree in trees:
         columns = []
         for node, c in _clauses(tree):
-            columns.append((node, F.coalesce(clause_column(c), F.lit(False))))
+            columns.append((node, F.coalesce(clause_column(c, extensions), F.lit(False))))
         for k, (node, _) in enumerate(columns):
             numbers.setdefault(id(node), []).append(k)
         if columns:
@@ -135,7 +145,7 @@ def evaluate_trees(found: DataFrame, trees: list[tuple[str, PatternNode]], at: d
                             kept.append(batch.slice(start, i - start))
                         yield from leave()
                     now, kept, rows, start = (f, r), [], [], i
-                rows.append((*row[:3], dict(row[3] or ()), row[4]))
+                rows.append((*row[:3], {k: v for k, v in row[3] or () if k != PLACE}, row[4]))
             kept.append(batch.slice(start))
         if now is not None:
             yield from leave()

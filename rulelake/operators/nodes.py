@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_comment
 from .matching import nested
+from .tokens import Leaf, match_leaves
 
 _PIECES = re.compile(r"\s*(\$\.\.\.[A-Z]\w*|\$[A-Z]\w*|@\w+|\.\.\.|[()|]|[^\s()|]+)")
 
@@ -133,6 +134,28 @@ def line_matches(files: DataFrame, pattern: str, text_col: str = "source") -> Da
     return lines.where((at > 0) & (at < mark)).select("file_id", (F.col("line_no") + 1).alias("start_line"), "line")
 
 
+def line_captures(files: DataFrame, pattern: str, text_col: str = "source") -> DataFrame:
+    """(file_id, start_line, start_column, end_column, matched, bindings): every match of a line pattern in every line, with its metavariables.
+
+    A metavariable that comes again must have the same text. Comment lines, and matches after the first # or // of their line, do not count.
+    """
+    names: list[str] = []
+
+    def group(m: re.Match) -> str:
+        name = "$" + m[1]
+        if name in names:
+            return rf"\{names.index(name) + 1}"
+        names.append(name)
+        return r"(\S+)"
+
+    regex = re.sub(r"\\\$([A-Z]\w*)", group, re.escape(re.sub(r"\s+", " ", pattern.strip())).replace(r"\ ", r"\s+")).replace(r"\.\.\.", ".*")
+    lines = files.select("file_id", F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).where(~is_comment(F.col("line")))
+    found = match_leaves(lines.select(F.struct("file_id", "line_no", "line").alias("at"), "line"), [Leaf("line", 0, "regex", regex, ("generic",))], "at", "line", None)
+    mark = F.least(*[F.when(F.instr("at.line", m) > 0, F.instr("at.line", m)).otherwise(F.lit(1 << 30)) for m in ("#", "//")])
+    named = F.transform_keys("bindings", lambda k, _: F.element_at(F.array(*map(F.lit, names)), F.substring(k, 2, 9).cast("int"))) if names else F.col("bindings")
+    return found.where(F.col("start") + 1 < mark).select("at.file_id", (F.col("at.line_no") + 1).alias("start_line"), "start_column", "end_column", "matched", named.alias("bindings"))
+
+
 def sinks_with_source(sinks: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     """Sinks of files (and rules) that hold any source at all."""
     return sinks.join(sources.select(*keys).distinct(), keys, "left_semi")

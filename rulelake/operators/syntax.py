@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast as pyast
 import re
 import xml.etree.ElementTree as ET
+import xml.parsers.expat as expat
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,17 +115,33 @@ def _python_children(node) -> Iterator:
 
 
 def _xml(text: str) -> list[tuple]:
+    """Elements, each with its whole text and the lines of its tags."""
+    places: list[list[int]] = []
+    inside: list[int] = []
+    places_of = expat.ParserCreate()
+
+    def begin(*_) -> None:
+        inside.append(len(places))
+        places.append([places_of.CurrentLineNumber, 0])
+
+    def end(_) -> None:
+        places[inside.pop()][1] = places_of.CurrentLineNumber
+
+    places_of.StartElementHandler, places_of.EndElementHandler = begin, end
     try:
         root = ET.fromstring(text)
+        places_of.Parse(text, True)
         rows: list[list] = []
         walk = [(root, None, 0)]
         while walk:
             e, parent, depth = walk.pop()
             me = len(rows)
-            rows.append([me, 0, parent, 0, depth, "element", ET.tostring(e, "unicode"), 0, 0])
+            tail, e.tail = e.tail, None  # what follows an element is its parent's
+            rows.append([me, 0, parent, 0, depth, "element", ET.tostring(e, "unicode"), *places[me]])
+            e.tail = tail
             walk += [(c, me, depth + 1) for c in reversed(e)]
         return _post_order(rows)
-    except (ET.ParseError, RecursionError):
+    except (ET.ParseError, expat.ExpatError, RecursionError):
         return _error(text)
 
 

@@ -182,7 +182,8 @@ MATCH_FIELDS = "rule_id string, pattern_no int, start long, end long, start_line
 
 @dataclass(frozen=True)
 class Leaf:
-    """A leaf pattern of a rule. kind is simple or regex; focus is a metavariable whose place becomes the match's."""
+    """A leaf pattern of a rule. kind is simple or regex; focus is a metavariable whose place becomes the match's; mark is one
+    whose place a match of tokens keeps beside its own, under PLACE in its bindings."""
 
     rule_id: str
     no: int
@@ -191,6 +192,11 @@ class Leaf:
     languages: tuple[str, ...]
     statements: bool = True
     focus: str | None = None
+    mark: str | None = None
+
+
+#: Where a match keeps its marked metavariable's place: start, end, lines and columns, and text.
+PLACE = "\x00place"
 
 
 def java_regex(pattern: str) -> str:
@@ -326,7 +332,11 @@ def _by_tokens(slim: DataFrame, leaves: list[Leaf], once: set[str], plain: bool)
                             seen.add((leaf.rule_id, a, b))
                         starts = starts or line_starts(text)
                         keep.append(k)
-                        rows.append((leaf.rule_id, leaf.no, a, b, *line_col(starts, a), *line_col(starts, b), text[a:b], [(n, text[x:y]) for n, (x, y) in bound.items()]))
+                        bindings = [(n, text[x:y]) for n, (x, y) in bound.items()]
+                        if leaf.mark in bound:
+                            x, y = bound[leaf.mark]
+                            bindings.append((PLACE, ":".join(map(str, (x, y, *line_col(starts, x), *line_col(starts, y), text[x:y])))))
+                        rows.append((leaf.rule_id, leaf.no, a, b, *line_col(starts, a), *line_col(starts, b), text[a:b], bindings))
             types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string())]
             cols = list(zip(*rows)) if rows else [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, types))], names)

@@ -31,6 +31,12 @@ class Extensions:
         made = self.conditions.get(name)
         return F.coalesce(made(value), F.lit(False)) if made else F.lit(unknown)
 
+    def aggregate(self, name: str, *columns: Column) -> Column:
+        """A named aggregate over columns, for use in agg() (a grouped pandas UDF serves as well)."""
+        if name not in self.aggregates:
+            raise KeyError(f"no aggregate {name!r}; there are {sorted(self.aggregates)}")
+        return self.aggregates[name](*columns)
+
     def format(self, findings: DataFrame, name: str) -> DataFrame:
         """Findings as lines by a named formatter."""
         if name not in self.formatters:

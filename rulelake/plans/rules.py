@@ -23,7 +23,7 @@ CONFIDENCES = {"low": 0, "medium": 1, "high": 2}
 SEVERITY_ALIASES = {"high": "error", "medium": "warning", "low": "info"}
 #: Pattern keys of rule files and the tree's node kinds.
 KEYS = {"pattern": "simple", "pattern-regex": "regex", "pattern-either": "either", "patterns": "all", "pattern-all": "all", "pattern-any": "either", "pattern-not": "not", "pattern-inside": "inside", "pattern-not-inside": "not-inside", "pattern-not-regex": "not-regex", "pattern-followed-by": "followed-by", "pattern-preceded-by": "preceded-by"}
-CLAUSES = ("metavariable-regex", "metavariable-comparison", "metavariable-name", "metavariable-pattern", "metavariable-analysis", "focus-metavariable", "where")
+CLAUSES = ("metavariable-regex", "metavariable-comparison", "metavariable-name", "metavariable-pattern", "metavariable-analysis", "focus-metavariable", "where", "custom-condition")
 
 
 @dataclass

@@ -151,3 +151,32 @@ def test_followed_and_preceded_clauses(spark):
     for clause, want in (("pattern-followed-by: close($Y)", ["open(a)"]), ("pattern-preceded-by: close($Y)", ["open(b)"])):
         rules = load_rules("rules: [{id: r, message: m, severity: info, languages: [generic], patterns: [{pattern: open($X)}, {%s}]}]" % clause)[0]
         assert [r.matched for r in matching.evaluate(files, rules).collect()] == want
+
+
+def test_focus_in_lists(spark):
+    rules = load_rules("rules: [{id: f, message: m, severity: info, languages: [python], patterns: [{pattern: 'call($A, $B)'}, {pattern-not: 'call($A, 1)'}, {focus-metavariable: $B}]}]")[0]
+    found = matching.evaluate(src.inline(spark, [("python", "call(b, 1)\n call(bb, c:b)\ncall(x, y)")]), rules).orderBy("start").collect()
+    assert [(r.matched, r.start, r.start_line, r.start_column, r.end_column, r.bindings) for r in found] == [("c:b", 21, 2, 11, 14, {"$A": "bb", "$B": "c:b"}), ("y", 34, 3, 9, 10, {"$A": "x", "$B": "y"})]
+
+
+def test_custom_conditions_of_rules(spark):
+    from rulelake.plans.extensions import Extensions
+
+    more = Extensions(conditions={"short": lambda v: F.char_length(v) < 3}, aggregates={"spread": lambda c: F.max(c) - F.min(c)})
+    one = "{id: a, message: m, severity: info, languages: [python], pattern: call($A), custom-condition: {name: short, metavariable: $A}}"
+    two = "{id: b, message: m, severity: info, languages: [python], patterns: [{pattern: call($A)}, {pattern-not: call(x)}, {custom-condition: {name: short, metavariable: $A}}]}"
+    rules = load_rules(f"rules: [{one}, {two}]")[0]
+    files = src.inline(spark, [("python", "call(x) call(yy) call(zzz)")])
+    assert sorted((r.rule_id, r.matched) for r in matching.evaluate(files, rules, extensions=more).collect()) == [("a", "call(x)"), ("a", "call(yy)"), ("b", "call(yy)")]
+    with pytest.raises(KeyError):
+        matching.evaluate(files, rules)
+    assert spark.range(5).agg(more.aggregate("spread", F.col("id"))).first()[0] == 4
+    with pytest.raises(KeyError):
+        more.aggregate("none")
+
+
+def test_lines_with_captures(spark):
+    files = spark.createDataFrame([(1, "set a = b; set c = c; # set d = d\n// set e = e\nset f = f")], "file_id long, source string")
+    key = lambda p: sorted((r.start_line, r.start_column, r.matched, tuple(sorted(r.bindings.items()))) for r in nodes.line_captures(files, p).collect())
+    assert key("set $X = $X;") == [(1, 12, "set c = c;", (("$X", "c"),))]
+    assert [x[2:] for x in key("set $X = $Y")] == [("set a = b;", (("$X", "a"), ("$Y", "b;"))), ("set c = c;", (("$X", "c"), ("$Y", "c;"))), ("set f = f", (("$X", "f"), ("$Y", "f")))]

@@ -74,3 +74,8 @@ def test_any_text_gives_a_tree(text, language):
         up = rows[parent]
         assert parent < me and post < up[1] and depth == up[4] + 1 and low <= high and (own in text or kind == "error")
         assert post - me + depth >= 0  # descendants
+
+
+def test_xml_lines():
+    rows = syntax._xml("<a>\n <b x='1'>t</b> tail\n <c>\n  <d/>\n </c>\n</a>")
+    assert [(r[6], r[7], r[8]) for r in rows[1:]] == [('<b x="1">t</b>', 2, 2), ("<c>\n  <d />\n </c>", 3, 5), ("<d />", 4, 4)] and rows[0][7:] == (1, 6)
