@@ -70,7 +70,7 @@ def test_python_is_linear_and_deep_code_is_an_error():
 def test_any_text_gives_a_tree(text, language):
     rows = syntax._tokens(text, language)
     assert sorted(r[1] for r in rows) == list(range(len(rows))) and [r[0] for r in rows] == list(range(len(rows)))
-    for me, post, parent, _, depth, kind, own, low, high in rows[1:]:
+    for me, post, parent, _, depth, kind, own, low, high, *_ in rows[1:]:
         up = rows[parent]
         assert parent < me and post < up[1] and depth == up[4] + 1 and low <= high and (own in text or kind == "error")
         assert post - me + depth >= 0  # descendants
