@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import fixpoint
+from .matching import nested
 
 #: Conditions of `if` blocks that guard what they hold (mark in the rule, texts on the line).
 GUARDS = [
@@ -50,8 +51,9 @@ def not_inside(findings: DataFrame, lines: DataFrame, pattern: str, key: str = "
     if brackets:
         hit = reduce(lambda a, b: a | b, [F.contains("line", F.lit(a)) & F.contains("line", F.lit(b)) for a, b in brackets])
         out = out.join(lines.where(hit).select(key, F.col("line_no").alias("start_line")).distinct(), [key, "start_line"], "left_anti")
-    blocks = guarded_blocks(lines, pattern, key).select(F.col(key).alias("_k"), "first", "last")
-    return out.join(blocks, (F.col(key) == F.col("_k")) & (F.col("first") < F.col("start_line")) & (F.col("start_line") < F.col("last")), "left_anti")
+    blocks = guarded_blocks(lines, pattern, key).select(key, (F.col("first") + 1).alias("_from"), (F.col("last") - 1).alias("_to"))
+    lined = out.withColumns({"_from": F.col("start_line"), "_to": F.col("start_line")})
+    return nested(lined, blocks, [key], False, True, "_from", "_to").drop("_from", "_to")
 
 
 def not_regex(findings: DataFrame, lines: DataFrame, regex: str, key: str = "file_id") -> DataFrame:
