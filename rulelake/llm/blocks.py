@@ -121,7 +121,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]
         yield now, rows
 
 
-def answer(messages: DataFrame, tasks: int, kind=np.uint64) -> DataFrame:
+def answer(messages: DataFrame, slots: int, kind=np.uint64) -> DataFrame:
     """Replies (block, slot, data, types, total): the corpus counts of a message's keys as `kind`, cut off at its greatest
     value, in the order of the keys. One reply of each slot has the number of keys with a count and the sum of all counts."""
     most = np.iinfo(kind).max
@@ -143,7 +143,8 @@ def answer(messages: DataFrame, tasks: int, kind=np.uint64) -> DataFrame:
             yield reply(slot, rows)
             give_back()
 
-    return messages.repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(run, "block long, slot int, data binary, types long, total long")
+    # by the slot itself: of a hash some tasks would get several
+    return messages.repartitionById(slots, F.col("slot")).sortWithinPartitions("slot").mapInArrow(run, "block long, slot int, data binary, types long, total long")
 
 
 def meet(blocks: DataFrame, replies: DataFrame, tasks: int, parts: int, orders: int, kind, use: Callable[[bytes, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
@@ -157,4 +158,4 @@ def meet(blocks: DataFrame, replies: DataFrame, tasks: int, parts: int, orders:
             give_back()
 
     both = blocks.select("block", F.lit(-1).alias("slot"), "data").unionByName(replies.select("block", "slot", "data"))
-    return both.repartition(tasks, "block").sortWithinPartitions("block", "slot").mapInArrow(run, schema)
+    return both.repartition(2 * tasks, "block").sortWithinPartitions("block", "slot").mapInArrow(run, schema)

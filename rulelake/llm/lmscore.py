@@ -187,10 +187,10 @@ def score_documents(docs: DataFrame, train: "F.Column", id_col: str = "doc_id",
         _, b = load(raw, 3)
         return list(zip(b.keys[1:], b.own[1:]))
 
-    one = materialize(answer(ask(texts, words, parts, [64]), max(parts, 4)), "lm-words")
+    one = materialize(answer(ask(texts, words, parts, [64]), parts), "lm-words")
     sums = one.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     n_types, n_tokens = int(sums[0]), int(sums[1])
-    more = answer(ask(texts, ngrams, parts, [bits, bits]), 4 * parts)
+    more = answer(ask(texts, ngrams, parts, [bits, bits]), 2 * parts)
 
     def walk(raw: bytes, counts: list[np.ndarray]) -> pa.RecordBatch:
         batch, b = load(raw, 3)

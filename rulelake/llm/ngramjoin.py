@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ["_id", "_key", "node", "n", "firsts", "shingles", "often"],
         )
 
-    replies = answer(ask(texts, questions, parts, [bits]), 4 * parts, np.uint32)
+    replies = answer(ask(texts, questions, parts, [bits]), parts, np.uint32)
     seen = materialize(meet(texts, replies, tasks, parts, 1, np.uint32, describe, f"_id {kind}, _key string, node long, n long, firsts binary, shingles binary, often binary"), "shingle-nodes")
     release(texts)
 
