@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import ORACLES, RANKED, query, ranked, read
-from .catalog_more import programs
+from .catalog_more import SQL_SNIPPETS, code_files, programs
 from .functions import text as fx
 from .functions.types import type_compatible
 from .operators import matching, merging, nodes, syntax, taint_rules, tokens
 from .plans.rules import DEFAULTS, default_rules, load_rules
-from .sources import plugins
+from .sources import embedded_sql, plugins
 from .streaming import feeds
 
 # many rules ---------------------------------------------------------------------------------------
@@ -280,3 +280,9 @@ def line_captures(spark, sf):
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("source"))
     found = nodes.line_captures(d, "under the $NAME License")
     return found.select(F.col("file_id").alias("doc_id"), "start_line", "start_column", "matched", F.col("bindings")["$NAME"].alias("name"))
+
+
+@query("select file_id, context, sql, start_line::int as start_line from " + SQL_SNIPPETS.replace("'delete from t where", "'delete from tn where"))
+def embedded_sql_loose(spark, sf):
+    """The same files read as the looser scanner does: the next string literal after a mark, without its backslashes."""
+    return embedded_sql.sql_snippets(code_files(spark, sf), loose=True).select("file_id", "context", "sql", "start_line")

@@ -38,7 +38,7 @@ def sql_snippets(files: DataFrame, loose: bool = False, id_col: str = "file_id",
         found = embedded(some, regex, group, text_col)
         sql = F.col("snippet")
         if language == "java":
-            sql = unescape_java(F.regexp_replace(sql, r"(?s)\\\\(.)", "$1") if loose else sql)
+            sql = unescape_java(F.regexp_replace(sql, r"(?s)\\(.)", "$1") if loose else sql)
         sql = normalize_sql_loose(sql) if loose else normalize_sql(sql)
         parts.append(found.select(id_col, F.lit(context).alias("context"), "ordinal", sql.alias("sql"), "start_line"))
     return reduce(DataFrame.unionByName, parts)
