@@ -286,3 +286,30 @@ def line_captures(spark, sf):
 def embedded_sql_loose(spark, sf):
     """The same files read as the looser scanner does: the next string literal after a mark, without its backslashes."""
     return embedded_sql.sql_snippets(code_files(spark, sf), loose=True).select("file_id", "context", "sql", "start_line")
+
+
+@query(f"""with p as {_P}, k as (select user_id, i, t, case t when 'signup' then 'v' || a || ' = read();' when 'click' then 'v' || a || ' = v' || b || ';' when 'view' then 'v' || a || ' = clean(v' || b || ');' when 'purchase' then 'run(v' || b || ');' else 'log(1);' end as text from p)
+select user_id as file_id, i::int as start_line, 'assignment' as node_type, text from k where t in ('signup', 'click', 'view') union all select user_id, i, 'call_expression', text from k where t <> 'click'""")
+def line_node_rows(spark, sf):
+    """What the lines of programs are by simple signs: calls by their parentheses, assignments by their sign."""
+    return syntax.line_nodes(programs(spark, sf)).select("file_id", F.col("start_line").cast("int").alias("start_line"), "node_type", "text")
+
+
+@query("""select o_orderkey, case o_orderkey % 3 when 0 then 'SELECT' when 1 then 'UPDATE' else 'INSERT' end as verb, 't' || o_custkey as table_name, case when o_orderkey % 3 = 0 then 'a = ' || o_custkey when o_orderkey % 3 = 1 then 'b = 1' end as condition,
+  case when o_orderkey % 3 = 0 then 'a|b' || o_orderkey else '' end as columns from orders""")
+def statement_parts(spark, sf):
+    """Verb, columns, table and condition of a statement for each order."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    sql = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("select a,\n b"), k, F.lit(" from t"), c, F.lit(" where a = "), c, F.lit(" order by a;"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Update t"), c, F.lit(" set a = 2 where b = 1")))
+    o = read(spark, sf, "orders").select("o_orderkey", sql.otherwise(F.concat(F.lit("insert into t"), c, F.lit(" values (1)"))).alias("sql"))
+    return syntax.sql_statements(o).select("o_orderkey", "verb", "table_name", "condition", F.array_join("columns", "|").alias("columns"))
+
+
+@query(f"""with p as {_P} select user_id as file_id, i as start_line, 'assignment' as node_type from p where t in ('signup', 'click', 'view') and (a = 1 or t <> 'signup' and b = 1)
+union all select user_id, i, 'call_expression' from p where t = 'purchase' and b <> 1 or t = 'view' and b <> 1 or t = 'purchase' and b = 1""")
+def node_pattern_search(spark, sf):
+    """Nodes by a pattern of types, texts, alternatives and groups: assignments with v1, calls of run, and calls of clean without regard to v1."""
+    tree = syntax.parse(programs(spark, sf)).where("depth > 0")
+    found = nodes.search(tree, "@assignment v1 | @call_expression (run | clean)")
+    skipped = found.where("node_type = 'call_expression' and text = 'clean(v1)'")
+    return found.join(skipped, ["file_id", "node_id"], "left_anti").select("file_id", "start_line", "node_type")

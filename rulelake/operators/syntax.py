@@ -49,7 +49,7 @@ def sql_statements(statements: DataFrame, column: str = "sql") -> DataFrame:
     return statements.withColumns(
         {
             "verb": F.upper(get(r"^\s*([A-Za-z]+)")),
-            "columns": F.transform(F.split(get(r"(?is)^\s*select\s+(.*?)\s+from\b"), ","), lambda c: F.trim(c)),
+            "columns": F.transform(F.split(get(r"(?is)^\s*select\s+(.*?)\s+from\b"), ","), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")),
             "table_name": F.coalesce(F.nullif(get(r"(?is)\bfrom\s+([\w.]+)"), F.lit("")), F.nullif(get(r"(?is)\binto\s+([\w.]+)"), F.lit("")), F.nullif(get(r"(?is)^\s*update\s+([\w.]+)"), F.lit(""))),
             "condition": F.nullif(get(r"(?is)\bwhere\s+(.*?)(\s+(?:group|order|having|limit)\b.*)?$"), F.lit("")),
         }
