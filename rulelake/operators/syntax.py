@@ -168,14 +168,14 @@ def _masked(text: str, language: str) -> str:
     return re.sub(pattern, blank, text, flags=re.DOTALL)
 
 
-def _ends(words: list[str], lines: list[int], language: str) -> tuple[list[int], dict[int, int], list[bool], list[int]]:
-    """(last token of each token's statement, closing token of each opening one, whether a token begins a statement, opening token around each).
+def _ends(words: list[str], lines: list[int], language: str) -> tuple[list[int], dict[int, int], list[int]]:
+    """(last token of each token's statement, closing token of each opening one, opening token around each).
 
     One walk with a stack of open brackets and block words. A statement ends at a semicolon, before a closing token, and,
     where the language has it so, at a line break unless the line goes on; inside parentheses a comma ends what it separates.
     """
     n = len(words)
-    last, close, begins, around = list(range(n)), {}, [False] * n, [-1] * n
+    last, close, around = list(range(n)), {}, [-1] * n
     openers, anywhere = BLOCK_WORDS.get(language, ({}, set()))
     closers = set(openers.values()) | ({"end"} if anywhere else set())
     by_line = language not in BY_SEMICOLON
@@ -198,19 +198,19 @@ def _ends(words: list[str], lines: list[int], language: str) -> tuple[list[int],
         # elsewhere a line that assigns begins a statement as well, so that code without semicolons is not one statement
         if group[3] and group[2] is not None and lines[i] > lines[group[2]] and words[group[2]] not in GOES_ON and t not in GOES_ON_FROM and (by_line or i + 1 < n and words[i + 1] == "="):
             finish(group, group[2])
-        around[i], begins[i] = group[0], not group[1] and group[3] and t not in closers and t not in _OPENERS.values()
+        around[i], begins = group[0], not group[1] and group[3] and t not in closers and t not in _OPENERS.values()
         group[1].append(i)
         group[2] = i
-        if t == ";" or (t == "," and not group[3]) or (t in BEGINS and begins[i] | (language in BLOCK_WORDS)) or (t == "}" and group[3] and _is_block(words, group[1][0])):
+        if t == ";" or (t == "," and not group[3]) or (t in BEGINS and (begins or language in BLOCK_WORDS)) or (t == "}" and group[3] and _is_block(words, group[1][0])):
             finish(group, i)
-        if t in _OPENERS or (t in openers and begins[i]) or t in anywhere:
+        if t in _OPENERS or (t in openers and begins) or t in anywhere:
             stack.append([i, [], None, t not in "(["])
     while stack:
         group = stack.pop()
         finish(group, n - 1 if group[2] is None else group[2])
         if group[0] >= 0:
             close[group[0]] = n - 1
-    return last, close, begins, around
+    return last, close, around
 
 
 def _closes(opener: str, t: str, openers: dict[str, str], anywhere: set[str]) -> bool:
@@ -237,7 +237,7 @@ def _tokens(text: str, language: str = "generic") -> list[tuple]:
         while at < len(starts) and starts[at] <= a:
             at += 1
         lines.append(at)
-    last, close, begins, around = _ends(words, lines, language)
+    last, close, around = _ends(words, lines, language)
     n = len(words)
     commas: list[int] = []  # before each token in its own group
     counted: dict[int, int] = {}
@@ -314,7 +314,7 @@ def _tokens(text: str, language: str = "generic") -> list[tuple]:
             while end > i and words[end] == ",":
                 end -= 1
             add("assignment", i, end, end)
-            rows.append([len(rows), 0, len(rows) - 1, 0, len(open_) if end > i else len(open_) + 1, "identifier", t, lines[i], lines[i]])
+            rows.append([len(rows), 0, len(rows) - 1, 0, len(open_) if end > i else len(open_) + 1, "identifier", text[spans[i][1] : spans[i][2]], lines[i], lines[i]])
         else:
             add("identifier", i, i, i)
     return _post_order(rows)

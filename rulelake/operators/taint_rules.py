@@ -51,7 +51,7 @@ def node_matches(nodes: DataFrame, leaves_: list[tuple]) -> DataFrame:
     """Leaf patterns on the nodes of files of their languages: a match covers the node's whole text. Spans are node numbers:
     a node's own and one past its last descendant's. Regular expressions are the JVM's; those of `not-regex` are found anywhere."""
     simple = [x for x in leaves_ if x[2] == "simple"]
-    anchors = [a for x in simple for a in [[token_anchor(TokenPattern(t)) for t in x[3]]]]
+    anchors = [[token_anchor(TokenPattern(t)) for t in x[3]] for x in simple]
     union = [None if None in a else frozenset().union(*a) for a in anchors]
     names = ["file_id", *[f.split()[0] for f in MATCH_FIELDS.split(", ")]]
 
