@@ -3,10 +3,12 @@
 import random
 import re
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rulelake import catalog
 from rulelake.operators import anchors, tokens
 
 PIECES = ["ab", "c", "a?", "(bc)", "(?:c[^a])", "[ab]", "[^b]+", "[^a-b]*", "b{2,3}", r"\s+", r"\S+?", r"\b", "a+", "(a|bc)", "(?i:ab)", "c*?", ".", r"\W"]
@@ -40,3 +42,18 @@ def test_rules_of_common_words_are_tried_where_they_stand_together(spark):
     files = spark.createDataFrame(list(enumerate(texts)), "file_id long, source string")
     key = lambda df: sorted((r.file_id, r.pattern_no, r.start, r.end, r.matched) for r in df.collect())
     assert key(tokens.match_leaves(files, leaves, language_col=None)) == key(tokens.match_leaves(files, leaves, language_col=None, plain=True))
+
+
+def test_line_patterns_equal_their_sql_on_odd_lines(spark, tmp_path):
+    """A second beginning of the pattern after a comment mark, and a vertical tab, which SQL takes for ink."""
+    ends = ["", " x", " x### token = y", " x // token =", " x # tokens", "\x0bx", " x\r# token\t=", " x // a token = "]
+    lines = [f"{begin}token {sign}{end}" for begin in ("", "a ", "a # b ", "// ", "  # ", "http://") for sign in ("=", "\t =", "\x0b=") for end in ends]
+    lines += [f"{a}under the{x}Apache{x}License{b}" for a in ("", "# ", "a # ") for x in (" ", "\x0b", " \x0b ") for b in ("", " # under the B License")]
+    rows = [(k, t) for k, t in enumerate([*lines, "\n".join(lines), "", None])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("line_pattern", "line_captures"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({catalog.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 3, name
