@@ -4,12 +4,14 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from rulelake import catalog
-from rulelake.operators import anchors, tokens
+from rulelake.operators import anchors, syntax, taint_rules, tokens
 
 PIECES = ["ab", "c", "a?", "(bc)", "(?:c[^a])", "[ab]", "[^b]+", "[^a-b]*", "b{2,3}", r"\s+", r"\S+?", r"\b", "a+", "(a|bc)", "(?i:ab)", "c*?", ".", r"\W"]
 
@@ -57,3 +59,54 @@ def test_line_patterns_equal_their_sql_on_odd_lines(spark, tmp_path):
         got = catalog.QUERIES[name](spark, str(tmp_path))
         want = con.execute(f"select {', '.join(got.columns)} from ({catalog.ORACLES[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 3, name
+
+
+@pytest.fixture
+def passes(monkeypatch):
+    """The functions handed to mapInArrow, in their order; the plans are made as ever."""
+    made, plain = [], DataFrame.mapInArrow
+
+    def kept(self, run, *args, **kwargs):
+        made.append(run)
+        return plain(self, run, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", kept)
+    return made
+
+
+def _batches(run, columns):
+    out = list(run(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))])))
+    assert max(b.num_rows for b in out) <= 4096 and max(b.nbytes for b in out) < 16 << 20
+    return sum(b.num_rows for b in out)
+
+
+def test_many_programs_in_one_batch_leave_in_bounded_parts(spark, passes):
+    files = spark.createDataFrame([(1, "javascript", "")], "file_id long, language string, source string")
+    text = "v1 = read();\nv2 = clean(v1);\nrun(v2);\n"
+    for detail in (False, True):
+        syntax.parse(files, detail=detail)
+        nodes = _batches(passes.pop(), {"file_id": range(3000), "language": ["javascript"] * 3000, "_text": [text] * 3000})
+        assert nodes == 3000 * sum(1 for _ in syntax.tree_rows({}, "javascript", text, False)) and nodes > 20000
+        assert _batches_of_one(spark, passes, files, text * 4000, detail) > 20000
+
+
+def _batches_of_one(spark, passes, files, text, detail):
+    syntax.parse(files, detail=detail)
+    # the root alone holds the text
+    return sum(b.num_rows for b in passes.pop()(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["javascript"]), pa.array([text])], ["file_id", "language", "_text"])])))
+
+
+def test_matches_of_long_texts_leave_in_bounded_parts(spark, passes):
+    files = spark.createDataFrame([(1, "")], "file_id long, source string")
+    tokens.match_leaves(files, [tokens.Leaf("r", 0, "simple", "the ... of", ("generic",))], language_col=None)
+    # every "the" reaches to the only "of": the matched texts together are far longer than the text
+    long = "the " * 4000 + "of"
+    assert _batches(passes.pop(), {"_id": [1, 2], "_text": [long, long], "_language": [None, None]}) == 8000
+
+
+def test_node_matches_leave_in_bounded_parts(spark, passes):
+    nodes = syntax.parse(spark.createDataFrame([(1, "javascript", "")], "file_id long, language string, source string"), detail=True)
+    passes.clear()
+    taint_rules.node_matches(nodes, [("a", 0, "simple", ["run($X)"], ("generic",)), ("b", 1, "simple", ["run(...)"], ("generic",))])
+    n = 9000
+    assert _batches(passes.pop(), {"file_id": [1] * n, "node_id": range(n), "end": range(n), "text": ["run(v1)"] * n, "language": ["javascript"] * n, "start_line": [1] * n, "end_line": [1] * n}) == 2 * n
