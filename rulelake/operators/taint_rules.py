@@ -17,7 +17,7 @@ from .matching import POSITIVE, evaluate_trees
 from .nodes import child_first, classified_column, classify
 from .summaries import Program, tainted
 from .syntax import parse
-from .tokens import MATCH_FIELDS, TokenPattern, Tokens, java_regex
+from .tokens import MATCH_FIELDS, MATCH_TYPES, NODES, TokenPattern, Tokens, java_regex, row_batches
 
 #: Kinds of entries and the parts of a rule that they fill.
 ROLES = ("sources", "sinks", "sanitizers")
@@ -57,8 +57,8 @@ def node_matches(nodes: DataFrame, leaves_: list[tuple]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, compiled = Anchors(union, fold=True), {}
-        for batch in batches:
-            keep, rows = [], []
+
+        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple]]:
             for k, (node, end, text, language, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 7)))):
                 if not text:
                     continue
@@ -71,12 +71,11 @@ def node_matches(nodes: DataFrame, leaves_: list[tuple]) -> DataFrame:
                             compiled[t, language] = TokenPattern(t, language or "generic")
                         for a, b, bound in compiled[t, language].matches(tokens):
                             if a == 0 and b >= size:
-                                keep.append(k)
-                                rows.append((key, no, node, end, low, 1, high, 1, text, [(n, text[x:y]) for n, (x, y) in bound.items()]))
+                                yield k, (key, no, node, end, low, 1, high, 1, text, [(n, text[x:y]) for n, (x, y) in bound.items()])
                                 break
-            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string())]
-            cols = list(zip(*rows)) if rows else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, types))], names)
+
+        for batch in batches:
+            yield from row_batches(batch, rows_of, names, MATCH_TYPES, NODES)
 
     last = F.col("post") + F.col("depth") + 1  # a node has post - node_id + depth descendants
     # a whole program is no statement or expression, though it may begin and end as one
@@ -220,22 +219,21 @@ def flow_nodes(nodes: DataFrame, roles: DataFrame, rules: list[Rule]) -> DataFra
                     yield name, node, source, [given[0][0]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def leave(owner: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*found(rows))) or [(), (), (), ()]
-            types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-            at = owner.take(pa.array([0] * len(cols[0]), pa.int64()))
-            return pa.RecordBatch.from_arrays([at, *(pa.array(list(c), t) for c, t in zip(cols, types))], ["file_id", "rule_id", "node_id", "source", "labels"])
+        def leave(owner: pa.Array, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            one = pa.RecordBatch.from_arrays([owner], ["file_id"])
+            types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+            return row_batches(one, lambda _: ((0, x) for x in found(rows)), ["file_id", "rule_id", "node_id", "source", "labels"], types)
 
         now, owner, rows = None, None, []
         for batch in batches:
             for i, (f, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
                 if owner is None or f != now:
                     if owner is not None:
-                        yield leave(owner, rows)
+                        yield from leave(owner, rows)
                     now, owner, rows = f, batch.column(0).slice(i, 1), []
                 rows.append(row)
         if owner is not None:
-            yield leave(owner, rows)
+            yield from leave(owner, rows)
 
     kind = nodes.schema["file_id"].dataType.simpleString()
     return reduce(DataFrame.unionByName, facts).repartition("file_id").sortWithinPartitions("file_id").mapInArrow(run, f"file_id {kind}, rule_id string, node_id long, source long, labels array<string>")
